@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, token_output, url_filter
+from . import bpe, common, decontaminate, jaccard, line_dedup, quality, suffix_dedup, token_output, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,12 +16,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(common.table(spark, sf_dir, "documents"), length=400, output="digest")
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     manifest = token_output.write(docs, common.shared_folder(spark, "token-ids"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_output.digest(token_output.read(manifest))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(common.table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(common.table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
@@ -31,6 +44,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), output="digest")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_runs"), F.sha2(common.binary(), 256).alias("kept_sha256"))
+
+
 #: The rules of the query: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -55,9 +73,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
 }
 SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
