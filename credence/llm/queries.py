@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard, line_dedup, quality, suffix_dedup, token_output, url_filter
+from . import bpe, common, decontaminate, html_extract, jaccard, line_dedup, quality, suffix_dedup, token_counts, token_output, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +31,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The edits of the query: personal data and runs of symbols.
+COUNT_RULES = [(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<EMAIL>"), (r"\+?\d[\d ().-]{7,}\d", "<NUMBER>"), (r"([#*$%&!])\1{2,}", r"\1")]
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), rules=COUNT_RULES)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(common.table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -59,6 +67,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 OP9_SQL = """
 WITH r(host, path, verdict) AS (VALUES ('com','/en/','block'), ('example.com','/en/7','allow'), ('net','/de/','allow'),
   ('example.net','/de/8','block'), ('org','/es/','block')),
@@ -76,10 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_counts": op4_token_counts,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_html_extract": op10_html_extract,
 }
 SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
