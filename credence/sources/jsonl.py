@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def tool_outcome(output):
 
 def first_command_word(commands: DataFrame, column: str = "command") -> DataFrame:
     """The first shell word of a command, quotes honoured; plain splitting where the quoting is broken."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def first(s: pd.Series) -> pd.Series:
         import shlex
