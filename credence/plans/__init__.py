@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import field, ledger, library, replay, retrieval, studies  # noqa: F401
+    from . import field, ledger, library, operational, replay, retrieval, studies  # noqa: F401
