@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, html_extract, jaccard, line_dedup, quality, suffix_dedup, token_counts, token_output, url_filter
+from . import bpe, common, decontaminate, html_extract, jaccard, line_dedup, oracles, quality, suffix_dedup, token_counts, token_output, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
 }
-SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": oracles.OP3_SQL, "op5_ngram_jaccard": oracles.OP5_SQL, "op6_decontaminate": oracles.OP6_SQL, "op9_url_filter": OP9_SQL}
