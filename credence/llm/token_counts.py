@@ -29,6 +29,9 @@ class SumTree:
         self.size = 1 << max(0, int(len(counts) - 1).bit_length()) if len(counts) else 1
         self.node = np.zeros(2 * self.size, np.int64)
         self.node[self.size : self.size + len(counts)] = counts
+        self._add_up()
+
+    def _add_up(self) -> None:
         level = self.size
         while level > 1:
             self.node[level // 2 : level] = self.node[level : 2 * level : 2] + self.node[level + 1 : 2 * level : 2]
@@ -41,6 +44,19 @@ class SumTree:
             self.node[k] += change
             k >>= 1
 
+    def replace(self, groups: list[tuple[int, int, int]]) -> None:
+        """For each (first leaf, last leaf + 1, count): the count on the first leaf, zero on the others."""
+        if sum(hi - lo for lo, hi, _ in groups) * 8 < self.size:
+            for lo, hi, count in groups:
+                self.set(lo, count)
+                for leaf in range(lo + 1, hi):
+                    self.set(leaf, 0)
+            return
+        for lo, hi, count in groups:
+            self.node[self.size + lo : self.size + hi] = 0
+            self.node[self.size + lo] = count
+        self._add_up()
+
     def total(self) -> int:
         return int(self.node[1])
 
@@ -53,12 +69,19 @@ class SumTree:
         return out
 
 
+_SPACE, _STOPS = frozenset(b" \t\n\v\f\r"), frozenset(b".,;:!?")
+
+
 def _safe(left: bytes, right: bytes) -> bool:
+    """Whether a text may be cut between these bytes: the rule of ``pieces.safe_cuts``, for one place."""
     if not left or not right:
         return True
-    tail = left[-3:]
-    data = np.frombuffer(tail + right[:1], np.uint8)
-    return bool(pieces.safe_cuts(data, np.array([0, len(data)]))[len(tail)])
+    last, first = left[-1], right[0]
+    if first in _SPACE:
+        two = len(left) > 1 and left[-2] == 0xC2 and last in (0x85, 0xA0)
+        three = len(left) > 2 and 0xE1 <= left[-3] <= 0xE3 and 0x80 <= last <= 0xBF
+        return not (last in _SPACE or 28 <= last <= 31 or two or three)
+    return first in _STOPS and (65 <= last <= 90 or 97 <= last <= 122)
 
 
 def byte_edits(text: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, bytes]]:
@@ -83,64 +106,80 @@ def apply(data: bytes, start: int, edits: list[tuple[int, int, bytes]]) -> bytes
     return b"".join([*out, data[at:]])
 
 
-def edit(data: bytes, bounds: np.ndarray, tree: SumTree, edits: list[tuple[int, int, bytes]], coder: pieces.Encoder) -> int:
-    """Updates the tree for these edits (byte offsets, in order); returns the bytes that were encoded again."""
+def touched(data: bytes, bounds: np.ndarray, edits: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """What must be encoded again: (first leaf, last leaf + 1, new bytes) with safe edges; edits have byte offsets, in order."""
     m = len(bounds) - 1
-    if m < 1:  # nothing to touch: the new text is all there is
-        raw = b"".join(new for _, _, new in edits)
-        tree.set(0, _count(raw, coder))
-        return len(raw)
-    groups: list[list[int]] = []  # first leaf, last leaf + 1, first edit, last edit + 1
-    k = 0
-    while k < len(edits):
-        lo = min(max(0, int(np.searchsorted(bounds, edits[k][0], side="right")) - 1), m - 1)
-        now = [lo, lo + 1, k, k + 1]
-        k += 1
+    if m < 1:
+        return [(0, 1, b"".join(new for _, _, new in edits))]
+    lo = np.clip(np.searchsorted(bounds, [e[0] for e in edits], side="right") - 1, 0, m - 1)
+    hi = np.minimum(np.maximum(np.searchsorted(bounds, [e[1] for e in edits], side="left"), lo + 1), m)
+    groups: list[list] = []  # first leaf, last leaf + 1, first edit, last edit + 1, new bytes
+    for k, (x, y) in enumerate(zip(lo.tolist(), hi.tolist())):
+        if groups and x <= groups[-1][1]:
+            groups[-1][1], groups[-1][3] = max(groups[-1][1], y), k + 1
+        else:
+            groups.append([x, y, k, k + 1, None])
+    done: list[list] = []
+    for g in groups:
         while True:
-            while groups and groups[-1][1] >= now[0]:
-                before = groups.pop()
-                now = [before[0], max(before[1], now[1]), before[2], now[3]]
-            hi = int(np.searchsorted(bounds, edits[now[3] - 1][1], side="left"))
-            now[1] = min(m, max(now[1], hi))
-            while k < len(edits) and edits[k][0] <= bounds[now[1]]:
-                now[1] = min(m, max(now[1], int(np.searchsorted(bounds, edits[k][1], side="left"))))
-                k += 1
-                now[3] = k
-            a, b = int(bounds[now[0]]), int(bounds[now[1]])
-            new = apply(data[a:b], a, edits[now[2] : now[3]])
-            if not _safe(data[max(0, a - 3) : a], new or data[b : b + 1]):
-                now[0] -= 1
-            elif not _safe(new or data[max(0, a - 3) : a], data[b : b + 1]):
-                now[1] += 1
+            while done and done[-1][1] >= g[0]:  # a neighbour was reached
+                other = done.pop()
+                g = [min(g[0], other[0]), max(g[1], other[1]), min(g[2], other[2]), max(g[3], other[3]), None]
+            a, b = int(bounds[g[0]]), int(bounds[g[1]])
+            if g[4] is None:
+                g[4] = apply(data[a:b], a, edits[g[2] : g[3]])
+            before, after = data[max(0, a - 3) : a], data[b : b + 1]
+            if not _safe(before, g[4] or after):
+                g[0], g[4] = g[0] - 1, None
+            elif not _safe(g[4] or before, after):
+                g[1], g[4] = g[1] + 1, None
             else:
                 break
-        groups.append(now)
-    again = 0
-    for lo, hi, e, f in groups:
+        done.append(g)
+    # a group that grew to the right may have reached the next one
+    out: list[list] = []
+    for g in done:
+        if out and g[0] < out[-1][1]:
+            return touched_together(data, bounds, edits, done)
+        out.append(g)
+    return [(g[0], g[1], g[4]) for g in out]
+
+
+def touched_together(data: bytes, bounds: np.ndarray, edits: list[tuple[int, int, bytes]], groups: list[list]) -> list[tuple[int, int, bytes]]:
+    """One group from the first to the last touched leaf, for the rare texts in which groups grew into each other."""
+    lo, hi, m = min(g[0] for g in groups), max(g[1] for g in groups), len(bounds) - 1
+    while True:
         a, b = int(bounds[lo]), int(bounds[hi])
-        new = apply(data[a:b], a, edits[e:f])
-        tree.set(lo, _count(new, coder))
-        for leaf in range(lo + 1, hi):
-            tree.set(leaf, 0)
-        again += len(new)
-    return again
+        new = apply(data[a:b], a, edits)
+        if lo > 0 and not _safe(data[max(0, a - 3) : a], new or data[b : b + 1]):
+            lo -= 1
+        elif hi < m and not _safe(new or data[max(0, a - 3) : a], data[b : b + 1]):
+            hi += 1
+        else:
+            return [(lo, hi, new)]
 
 
-def _count(raw: bytes, coder: pieces.Encoder) -> int:
-    data = np.frombuffer(raw, np.uint8)
-    cuts = np.append(np.flatnonzero(pieces.safe_cuts(data, np.array([0, len(data)]))), len(data)) if len(data) else np.zeros(1, np.int64)
-    return int(coder.encode(data, cuts)[1][-1])
+def counts_of(texts: list[bytes], coder: pieces.Encoder) -> list[int]:
+    """The number of tokens of each of these texts, encoded together."""
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    cuts = np.append(np.flatnonzero(pieces.safe_cuts(data, offsets)), len(data)) if len(data) else np.zeros(1, np.int64)
+    before = coder.encode(data, cuts)[1]
+    return np.diff(before[np.searchsorted(cuts, offsets)]).tolist()
 
 
 def rule_edits(text: str, rules: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
     """Edits that replace the matches of patterns, the first pattern first; later matches that overlap earlier ones are left."""
     out: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))
     for pattern, new in rules:
-        if pattern.find("@") >= 0 and "@" not in text:
+        if "@" in pattern and "@" not in text:
             continue
         for m in re.finditer(pattern, text):
-            if not any(a < m.end() and m.start() < b for a, b, _ in out[-64:]) and (len(out) <= 64 or not any(a < m.end() and m.start() < b for a, b, _ in out)):
-                out.append((m.start(), m.end(), m.expand(new)))
+            a, b = m.span()
+            if 1 not in taken[a:b]:
+                taken[a:b] = b"\1" * (b - a)
+                out.append((a, b, m.expand(new)))
     return out
 
 
@@ -162,9 +201,9 @@ def count(docs: DataFrame, tokenizer: str, edits: str | None = None, rules: list
                 cuts = np.append(np.flatnonzero(pieces.safe_cuts(part, local)), len(part)) if len(part) else np.zeros(1, np.int64)
                 before = coder.encode(part, cuts)[1]
                 edge = np.searchsorted(cuts, local)
-                out = []
+                n_before = (before[edge[1:]] - before[edge[:-1]]).tolist()
+                out, jobs, regions = [], [], []
                 for i in range(b - a):
-                    n = int(before[edge[i + 1]] - before[edge[i]])
                     raw = part[local[i] : local[i + 1]].tobytes()
                     if given:
                         todo = [(e["start"], e["end"], e["text"] or "") for e in given[a + i] or []]
@@ -172,13 +211,16 @@ def count(docs: DataFrame, tokenizer: str, edits: str | None = None, rules: list
                     else:
                         text = raw.decode()
                         todo = rule_edits(text, rules or [])
-                    if not todo:
-                        out.append((n, 0, n, 0))
-                        continue
-                    bounds = cuts[edge[i] : edge[i + 1] + 1] - local[i]
+                    out.append((n_before[i], len(todo), n_before[i], 0))
+                    if todo:
+                        again = touched(raw, cuts[edge[i] : edge[i + 1] + 1] - local[i], byte_edits(text, todo))
+                        jobs.append((i, len(regions), again))
+                        regions += [new for _, _, new in again]
+                new_counts = counts_of(regions, coder) if regions else []
+                for i, first, again in jobs:
                     tree = SumTree(np.diff(before[edge[i] : edge[i + 1] + 1]))
-                    again = edit(raw, bounds, tree, byte_edits(text, todo), coder)
-                    out.append((n, len(todo), tree.total(), again))
+                    tree.replace([(lo, hi, new_counts[first + k]) for k, (lo, hi, _) in enumerate(again)])
+                    out[i] = (out[i][0], out[i][1], tree.total(), sum(len(new) for _, _, new in again))
                 kept = [batch.column(k).slice(a, b - a) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array([x[k] for x in out], pa.int64()) for k in range(4))], names=[*keep, "n_tokens", "n_edits", "n_tokens_after", "n_bytes_again"])
 
