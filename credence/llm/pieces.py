@@ -8,13 +8,16 @@ of a text are its pieces' ids in order.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
 #: Pieces that one Python worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -45,8 +48,23 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ok
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next one from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
+#: Pieces that may be one word of Latin letters; whether they are is asked of the letters themselves.
+_WORD = re.compile(rb"[ \n]?(?:[A-Za-z]|[\xC3-\xC8][\x80-\xBF])+\Z")
+
+
 class Encoder:
-    """Ids of pieces, each distinct piece encoded once per worker while the cache holds it."""
+    """Ids of pieces, each distinct piece encoded once per worker while the cache holds it.
+
+    A piece that is one word of Latin letters, with at most a space before it, passes normalizer and pre-tokenizer
+    unchanged, so it goes to the library's model at once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,19 +73,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def lookup(self, distinct: list[bytes]) -> list[np.ndarray]:
+        self.known: dict[bytes, bytes] = {}
+        with open(path) as f:
+            file = json.load(f)
+        pre = json.dumps(file.get("pre_tokenizer") or {})
+        kinds = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
+        self.drops_space = "Lowercase" in kinds and "\\\\p{L}" in pre and '"ByteLevel"' in pre
+        self.keeps_space = file.get("normalizer") is None and (file.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
+
+    def word(self, piece: bytes) -> str | None:
+        """What the model sees of a piece that is one word, else None."""
+        bare = piece[1:] if piece[:1] in (b" ", b"\n") else piece
+        if bare.isalpha():  # of bytes: A-Z and a-z, which stand for themselves
+            if self.drops_space:
+                return bare.decode() if bare.islower() else None
+            return None if not self.keeps_space or piece[0] == 10 else ("\u0120" if piece[0] == 32 else "") + bare.decode()
+        if not _WORD.match(piece):
+            return None
+        text = piece.decode()
+        if self.drops_space:
+            text = text.lstrip(" \n")
+            if not text.isalpha() or text != text.lower():
+                return None
+        elif not self.keeps_space or piece[0] == 10 or not text.lstrip(" ").isalpha():
+            return None
+        return text.encode().decode("latin-1").translate(_LETTERS)
+
+    def lookup(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each piece as uint32 bytes."""
         known = self.known
         new = [p for p in distinct if p not in known]
         if len(known) + len(new) > CACHE_PIECES:
             keep = {p: known[p] for p in distinct if p in known}
             known.clear()
             known.update(keep)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        model, other = self.tokenizer.model.tokenize, []
+        for p in new:
+            seen = self.word(p)
+            if seen is None:
+                other.append(p)
+            else:
+                known[p] = array("I", [t.id for t in model(seen)]).tobytes()
+        for k in range(0, len(other), 20_000):
+            part = other[k : k + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
-                known[p] = np.array(e.ids, np.uint32)
+                known[p] = array("I", e.ids).tobytes()
         return [known[p] for p in distinct]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +125,11 @@ class Encoder:
         if len(bounds) < 2:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         cuts = np.ascontiguousarray(bounds, np.int32)
-        array = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = array.dictionary_encode()
+        column = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = column.dictionary_encode()
         ids = self.lookup(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(sizes, out=begin[1:])
         which = coded.indices.to_numpy(zero_copy_only=False)
