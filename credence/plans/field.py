@@ -87,10 +87,10 @@ SQL_SNAP = """sn AS (SELECT as_of, count(*) AS n_active, count(DISTINCT ticker)
 kd AS (SELECT as_of, sum(p * p) AS hhi FROM (SELECT as_of, count(*) / sum(count(*)) OVER (PARTITION BY as_of) AS p FROM xp GROUP BY as_of, kind) GROUP BY 1)"""
 
 
-@query(f"WITH {SQL_EXP}, {SQL_SNAP} SELECT as_of, n_active, n_tickers, n_born, n_retired, round(share_mean, 6) AS share_mean, share_min, share_max, round(hhi, 6) AS hhi FROM sn JOIN kd USING (as_of)")
+@query(f"WITH {SQL_EXP}, {SQL_SNAP} SELECT as_of, n_active, n_tickers, n_born, n_retired, round(share_mean + 1e-9, 6) AS share_mean, share_min, share_max, round(hhi + 1e-9, 6) AS hhi FROM sn JOIN kd USING (as_of)")
 def expectation_snapshot(spark, d):
     s = field.snapshot(_expectations(spark, d))
-    return s.withColumns({"share_mean": F.round("share_mean", 6), "hhi": F.round("hhi", 6)})
+    return s.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("share_mean", "hhi")})  # no ties to round
 
 
 SQL_DRIFT = """dy AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS next FROM (SELECT DISTINCT as_of FROM xp)), st AS (SELECT DISTINCT as_of, expectation_id FROM xp),

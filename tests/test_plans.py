@@ -23,7 +23,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         if hasattr(v, "year"):
             return str(v)[:10] if str(v)[10:] in ("", " 00:00:00") else str(v)
