@@ -4,8 +4,8 @@ Texts are bytes and strings do not cross documents. The work is split so that eq
 
 1. Every string of ``length`` bytes has an anchor, the smallest hash of the ``gram``-byte strings in it. Consecutive
    strings with one anchor form a segment. Equal strings have equal anchors, so only segments whose anchor occurs
-   again can hold a repeat; the counts are aggregated by Spark. Segments whose anchor has one content only are
-   repeats as a whole.
+   again can hold a repeat, and segments in which the anchor itself stands twice (text with a short period); the counts
+   are aggregated by Spark. Segments whose anchor occurs again with one content only are repeats as a whole.
 2. The other segments, one for each content, are dealt to buckets by anchor. A bucket's segments are joined with unique
    end marks; suffixes are sorted by prefix doubling as far as ``length`` asks, which gives a Burrows-Wheeler transform.
    A breadth-first backward extension then expands intervals: level by level it derives the common prefixes of
@@ -34,11 +34,11 @@ BUCKET_BYTES, BUCKET_MOST = 1_500_000, 3_000_000
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Anchor, content hash, row, start (in data) and number of strings of each segment."""
+    """Anchor, content hash, row, start (in data), number of strings of each segment, and whether two of its own strings may be equal."""
     n = len(data)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.view(np.uint64), z.view(np.uint64), z, z, z
+        return z.view(np.uint64), z.view(np.uint64), z, z, z, z.astype(bool)
     s = common.prefix_hash(data)
     at = np.arange(n - gram + 1)
     g = common.span_hash(s, at, at + gram)
@@ -64,7 +64,22 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         start = np.repeat(start, times) + step * MOST_WINDOWS
         count = stop - start
     row = np.searchsorted(offsets, start, side="right") - 1
-    return low[start], common.span_hash(s, start, stop - 1 + length), row, start, count
+    first, second = anchor_pairs(g, np.where(ok, low, 0), w)
+    # pairs are in order of both ends: the first one that starts inside ends first
+    inner = np.append(second, n)[np.searchsorted(first, start)] < stop - 1 + w
+    return low[start], common.span_hash(s, start, stop - 1 + length), row, start, count, inner
+
+
+def anchor_pairs(g: np.ndarray, low: np.ndarray, w: int):
+    """Neighbouring places of one gram that is the smallest of some window each time, at most a window apart.
+
+    Two equal strings of a segment have the anchor at one offset, and every window between them holds it too."""
+    wide = np.concatenate((np.zeros(w - 1, np.uint64), low, np.zeros(w - 1 + -(len(low) + 2 * (w - 1)) % w, np.uint64))).reshape(-1, w)
+    ahead = np.maximum.accumulate(wide, axis=1).ravel()
+    behind = np.maximum.accumulate(wide[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = np.flatnonzero(g == np.maximum(behind[: len(g)], ahead[w - 1 : w - 1 + len(g)]))
+    pair = np.flatnonzero((g[at[1:]] == g[at[:-1]]) & (at[1:] - at[:-1] <= w))
+    return at[pair], at[pair + 1]
 
 
 def sort_suffixes(symbols: np.ndarray, to_end: np.ndarray, length: int) -> np.ndarray:
@@ -174,10 +189,10 @@ def _find_segments(length: int, gram: int):
             data, offsets = common.buffers(batch.column(2))
             for a, b in common.slices(offsets):
                 local = offsets[a : b + 1] - offsets[a]
-                key, content, row, start, count = segments(data[offsets[a] : offsets[b]], local, length, gram)
+                key, content, row, start, count, inner = segments(data[offsets[a] : offsets[b]], local, length, gram)
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
-                columns = [common.list_array(x, bounds) for x in (key.view(np.int64), content.view(np.int64), (start - local[row]).astype(np.int32), count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=["id", "uid", "keys", "contents", "starts", "counts"])
+                columns = [common.list_array(x, bounds) for x in (key.view(np.int64), content.view(np.int64), (start - local[row]).astype(np.int32), count.astype(np.int32), inner.astype(np.int8))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=["id", "uid", "keys", "contents", "starts", "counts", "inner"])
 
     return run
 
@@ -264,11 +279,11 @@ def dedup(docs: DataFrame, length: int = 400, gram: int | None = None, output: s
     gram = gram or max(1, min(GRAM, length // 2))
     parts = parts or common.shuffle_parts(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64("text").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), common.binary().alias("text"))
-    found = common.cut(rows.select("id", "uid", "text").mapInArrow(_find_segments(length, gram), "id long, uid long, keys array<long>, contents array<long>, starts array<int>, counts array<int>"))
-    zipped = F.arrays_zip("keys", "contents", "starts", "counts")
-    every = found.select("id", "uid", F.explode(zipped).alias("x")).select("id", "uid", F.col("x.keys").alias("key"), F.col("x.contents").alias("content"), F.col("x.starts").alias("start"), F.col("x.counts").alias("n"))
-    again = every.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
-    matched = common.cut(every.join(again.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key"))
+    found = common.cut(rows.select("id", "uid", "text").mapInArrow(_find_segments(length, gram), "id long, uid long, keys array<long>, contents array<long>, starts array<int>, counts array<int>, inner array<tinyint>"))
+    zipped = F.arrays_zip("keys", "contents", "starts", "counts", "inner")
+    every = found.select("id", "uid", F.explode(zipped).alias("x")).select("id", "uid", F.col("x.keys").alias("key"), F.col("x.contents").alias("content"), F.col("x.starts").alias("start"), F.col("x.counts").alias("n"), F.col("x.inner").alias("inner"))
+    again = every.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("inner").alias("inner")).where("c > 1 or inner > 0")
+    matched = common.cut(every.drop("inner").join(again.select("key", ((F.col("lo") != F.col("hi")) | (F.col("c") == 1)).alias("mixed")), "key"))
     whole = matched.where(~F.col("mixed")).select("id", "uid", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b"))
     # one segment of each content goes to a bucket
     one = matched.where("mixed").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "uid", "start")).alias("at"), F.first("n").alias("n"))

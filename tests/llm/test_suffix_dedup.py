@@ -73,3 +73,19 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "abc" * 30)] * 2 + [(None, None)], "doc_id long, text string")
     assert sorted(r.n_removed for r in suffix_dedup.dedup(df, length=20).collect()) == [0, 90, 90]
     assert suffix_dedup.dedup(df.where("false"), length=20).count() == 0
+
+
+def test_repeats_inside_one_segment(spark):
+    """Text with a short period has one anchor for all its strings; nothing else in the table repeats it."""
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh \n") for _ in range(250))
+    texts = ["abc" * 200, line * 3, line[:200] + line * 2, line[::-1] * 2, "".join(rng.choice("abcdefgh") for _ in range(900)), ("xy" * 300)[:401]]
+    for period in (17, 128, 145, 200, 272, 273, 274, 300):
+        body = "".join(rng.choice("klmnopqr é") for _ in range(period))
+        texts.append((body * 6)[: rng.randrange(400 + period, 1400)])
+    for length in (400, 130):
+        for some in [[t] for t in texts[:2]] + [texts]:
+            df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+            got = {r.doc_id: r for r in suffix_dedup.dedup(df, length=length, parts=2).collect()}
+            assert [(got[i].n_bytes, got[i].n_removed, [(s.start, s.end) for s in got[i].spans], bytes(got[i].kept)) for i in range(len(some))] == brute(some, length)
+    assert suffix_dedup.segments(np.frombuffer(texts[4].encode(), np.uint8), np.array([0, 900]), 400, 128)[5].sum() == 0
