@@ -9,8 +9,13 @@ is deleted from the later document, with the blank lines inside it. Only hashes
 counts are aggregated before they are joined, and a match takes from its origin no more lines than the later document
 has.
 
-Defined cases: null text stays null and loses nothing; a document without ``gram`` lines has no fingerprint; an
-overlapping repeat inside one document counts as a later run too; rows with equal doc_id and text are the same document
+With ``min_words``, lines of that many words are fingerprints by themselves too, so that a document of one or two lines has
+some, and runs are judged after all of a document's matches are laid together: a run goes that has ``min_lines`` lines or
+``min_words`` words, also where its parts have different origins. With a window of 1 every gram is a fingerprint, and no
+line of an earlier run is missed because its fingerprint has its first position elsewhere.
+
+Defined cases: null text stays null and loses nothing; a document without ``gram`` lines or a line of ``min_words``
+words has no fingerprint; an overlapping repeat inside one document counts as a later run too; rows with equal doc_id and text are the same document
 and lose the same lines; an empty table gives an empty result; other columns pass through (those named n_lines, spans
 and n_removed are replaced).
 """
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST = -(1 << 63)
+#: A repeat of so many words is deleted by the queries, however few lines it has.
+MIN_WORDS = 50
 _SPACE = common.space_table()
 
 
@@ -40,6 +47,11 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray):
     """For all rows: hashes of the lines with a word, their line numbers in the row, and bounds by row."""
+    return _line_hashes(data, offsets)[:3]
+
+
+def _line_hashes(data: np.ndarray, offsets: np.ndarray):
+    """The same, and the lines' numbers of words."""
     n = len(data)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
@@ -51,15 +63,19 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray):
     number = np.arange(len(starts)) - np.searchsorted(starts, offsets[row])
     full = word[ends] > word[starts]
     h = common.span_hash(common.prefix_hash(data), starts[full], ends[full])
-    return h, number[full], np.searchsorted(row[full], np.arange(len(offsets)))
+    begun = np.concatenate(([0], np.cumsum(~_SPACE[data] & np.concatenate(([True], _SPACE[data[:-1]]))))) if n else np.zeros(1, np.int64)
+    # a row's first word may follow the last one of the row before without a space
+    own = (starts > 0) & ~_SPACE[data[starts]] & ~_SPACE[data[np.maximum(starts - 1, 0)]] if len(starts) else np.zeros(0, bool)
+    words = begun[ends] - begun[starts] + own if len(starts) else starts
+    return h, number[full], np.searchsorted(row[full], np.arange(len(offsets))), words[full]
 
 
-def _lines(gram: int, window: int):
+def _lines(gram: int, window: int, min_words: int | None):
     def run(batches):
         for batch in batches:
             data, offsets = common.buffers(batch.column(2))
             for a, b in common.slices(offsets):
-                h, number, bounds = line_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h, number, bounds, words = _line_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 hashes, at = [], []
                 for i in range(b - a):
                     own = h[bounds[i] : bounds[i + 1]]
@@ -69,6 +85,10 @@ def _lines(gram: int, window: int):
                     p = winnow(g, window)
                     hashes.append(g[p].view(np.int64))
                     at.append(p.astype(np.int32))
+                    if min_words is not None and gram > 1:
+                        p = np.flatnonzero(words[bounds[i] : bounds[i + 1]] >= min_words)
+                        hashes[-1] = np.concatenate((hashes[-1], common.mix(own[p]).view(np.int64)))
+                        at[-1] = np.concatenate((at[-1], p.astype(np.int32)))
                 counts = np.concatenate(([0], np.cumsum([len(x) for x in at])))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -78,8 +98,9 @@ def _lines(gram: int, window: int):
                         common.list_array(number.astype(np.int32), bounds),
                         common.list_array(np.concatenate(hashes), counts),
                         common.list_array(np.concatenate(at), counts),
+                        common.list_array(words.astype(np.int32), bounds),
                     ],
-                    names=["id", "uid", "lines", "numbers", "prints", "places"],
+                    names=["id", "uid", "lines", "numbers", "prints", "places", "words"],
                 )
 
     return run
@@ -110,10 +131,29 @@ def _extend(min_lines: int):
     return run
 
 
-def removed_spans(keyed: DataFrame, gram: int = 2, window: int = 2, min_lines: int = 3) -> DataFrame:
+def _judge(min_lines: int, min_words: int):
+    """The matches of a document laid together, of which runs with enough lines or words stay."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for numbers, words, found in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                number = np.array(numbers, np.int64)
+                covered = np.zeros(len(number) + 2, np.int8)
+                for x in found:
+                    covered[1 + np.searchsorted(number, x["start"]) : 1 + np.searchsorted(number, x["end"])] = 1
+                edge = np.flatnonzero(np.diff(covered))
+                total = np.concatenate(([0], np.cumsum(words)))
+                out.append([{"start": int(number[a]), "end": int(number[b - 1]) + 1} for a, b in zip(edge[::2], edge[1::2]) if b - a >= min_lines or total[b] - total[a] >= min_words])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["id", "uid", "spans"])
+
+    return run
+
+
+def removed_spans(keyed: DataFrame, gram: int = 2, window: int = 2, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """id, uid and the line spans [start, end) to delete, for documents that lose lines; keyed: id, uid, text."""
-    kind = "id long, uid long, lines array<long>, numbers array<int>, prints array<long>, places array<int>"
-    lines = common.cut(keyed.select("id", "uid", common.binary().alias("text")).mapInArrow(_lines(gram, window), kind))
+    kind = "id long, uid long, lines array<long>, numbers array<int>, prints array<long>, places array<int>, words array<int>"
+    lines = common.cut(keyed.select("id", "uid", common.binary().alias("text")).mapInArrow(_lines(gram, window, min_words), kind))
     prints = lines.select("id", "uid", F.explode(F.arrays_zip("prints", "places")).alias("x")).select("id", "uid", F.col("x.prints").alias("print"), F.col("x.places").alias("place"))
     origin = prints.groupBy("print").agg(F.min(F.struct("id", "uid", "place")).alias("o"), F.max(F.struct("id", "uid", "place")).alias("last")).where("o <> last").select("print", "o")
     later = prints.join(origin, "print").where(F.struct("id", "uid", "place") != F.col("o"))
@@ -123,20 +163,24 @@ def removed_spans(keyed: DataFrame, gram: int = 2, window: int = 2, min_lines: i
     other = own.select(F.col("id").alias("oid"), F.col("uid").alias("ouid"), F.col("lines").alias("olines"))
     skip = F.greatest(F.lit(0), -F.col("delta"))
     pairs = pairs.join(other, ["oid", "ouid"]).select("id", "uid", "lines", "numbers", F.col("delta").cast("long").alias("delta"), skip.cast("long").alias("skip"), F.slice("olines", skip + 1, F.size("lines")).alias("olines"), F.col("at").cast("array<long>").alias("at"))
-    found = pairs.mapInArrow(_extend(min_lines), "id long, uid long, found array<struct<start:long,end:long>>").where(F.size("found") > 0)
-    return found.groupBy("id", "uid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("spans"))
+    found = pairs.mapInArrow(_extend(min_lines if min_words is None else 1), "id long, uid long, found array<struct<start:long,end:long>>").where(F.size("found") > 0)
+    spans = found.groupBy("id", "uid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("spans"))
+    if min_words is None:
+        return spans
+    laid = own.select("id", "uid", "numbers", "words").join(spans, ["id", "uid"])
+    return laid.mapInArrow(_judge(min_lines, min_words), "id long, uid long, spans array<struct<start:long,end:long>>").where(F.size("spans") > 0)
 
 
-def dedup(docs: DataFrame, gram: int = 2, window: int = 2, min_lines: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, gram: int = 2, window: int = 2, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``docs`` with the kept text and n_lines (lines of the old text), spans (deleted line ranges) and n_removed (lines)."""
     docs = docs.drop("n_lines", "spans", "n_removed")
     names = docs.columns
     keyed = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "uid": F.xxhash64("text")}) if not {"id", "uid"} & set(names) else None
     if keyed is None:  # extra columns with our names step aside
         inner = docs.select(*(F.col(c).alias(f"{c}__kept" if c in ("id", "uid") else c) for c in names))
-        out = dedup(inner, gram, window, min_lines)
+        out = dedup(inner, gram, window, min_lines, min_words)
         return out.select(*(F.col(f"{c}__kept").alias(c) if c in ("id", "uid") else F.col(c) for c in names), "n_lines", "spans", "n_removed")
-    spans = removed_spans(keyed, gram, window, min_lines)
+    spans = removed_spans(keyed, gram, window, min_lines, min_words)
     out = keyed.join(spans, ["id", "uid"], "left")
     split = F.split("text", "\n")
     gone = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))

@@ -72,3 +72,28 @@ def test_every_long_repeat_loses_lines(spark):
     rows = [(i, "\n".join([f"own {i} {k}" for k in range(rng.randrange(6))] + run + [f"more {i} {k}" for k in range(rng.randrange(6))])) for i in range(30)]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 if i == 0 else 4 for i in range(30)}
+
+
+def test_long_runs_of_few_lines_and_of_several_origins(spark):
+    """A run goes if each of its pairs of lines, or each of its long lines, stands earlier, and it has three lines or fifty words."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, a, b, short = line(60), line(30), line(25), line(49)
+    x = [line(5) for _ in range(6)]
+    rows = [(1, one), (2, f"own 2\n{one}\nmore"), (3, one), (4, f"{a}\n{b}"), (5, f"own 5\n\n{a}\n \n{b}\nmore"), (6, short), (7, f"own 7\n{short}")]
+    rows += [(8, "\n".join(x[:3])), (9, "\n".join([x[1], x[2], x[3]])), (10, "\n".join(["own 10", x[0], x[1], x[2], x[3], "more"])), (11, "\n".join([x[4], x[5]])), (12, "\n".join(["own 12", x[4], x[5], "more"])), (13, None), (14, f"{one}\n{one}"), (15, f"{one}x"), (16, f"{b}\u00e9")]
+    rows += [(17, f"{x[1]}\nq"), (18, f"p\n{x[1]}\n{x[2]}\n{x[3]}\nz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup(df, window=1, min_words=50).collect()}
+    gone = {2: "own 2\nmore", 3: "", 5: "own 5\n\nmore", 10: "own 10\nmore", 14: "", 18: "p\nz"}
+    assert got == {i: ((len(t.split("\n")) - (len(gone[i].split("\n")) if gone[i] else 0), gone[i]) if i in gone else (0, t)) for i, t in rows}
+
+
+def test_the_queries_delete_long_single_lines(spark, tmp_path):
+    import corpus_pipeline
+    from credence.llm import queries
+
+    line = " ".join(f"word{i}" for i in range(60))
+    spark.createDataFrame([(1, line, "en", "s", 1), (2, f"own\n{line}", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_runs(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()} == {1: line, 2: "own"}
