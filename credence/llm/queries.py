@@ -68,7 +68,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(common.table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_extract.extract(common.table(spark, sf_dir, "pages"), least=html_extract.PAGES, whole=True).select("page_id", "url", "text", "n_chars")
 
 
 OP9_SQL = """
