@@ -167,6 +167,12 @@ def normalized_signatures(spark, d):
     return docs.select("doc_id", belief.normalized_signature(F.substring("text", 1, 300)).alias("signature"))
 
 
+@query()
+def normalized_signatures_whole(spark, d):
+    """All documents and whole texts; normalized_signatures has the English ones' first 300 characters, as its SQL has."""
+    return read(spark, d, "documents").select("doc_id", belief.normalized_signature(F.col("text")).alias("signature"))
+
+
 @query("""WITH p AS (SELECT event_id, '/r/' || (k // 10) || CASE WHEN k % 2 = 0 THEN '/' || (k % 10) ELSE '/' END AS a, '/r/' || (k % 10) AS b FROM (SELECT event_id, cast(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
 n AS (SELECT event_id, rtrim(a, '/') AS a, rtrim(b, '/') AS b FROM p) SELECT event_id, a = b OR starts_with(a, b || '/') OR starts_with(b, a || '/') AS overlaps FROM n""")
 def path_overlaps(spark, d):
