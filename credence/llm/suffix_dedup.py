@@ -13,6 +13,9 @@ Texts are bytes and strings do not cross documents. The work is split so that eq
 3. An anchor with more bytes than a bucket may hold is dealt to several buckets; there, the strings' hashes are counted
    across these buckets as well, so nothing is lost.
 
+Contents are compared by two independent hashes modulo primes, 124 bits together. Anchors with very many segments (more
+than a fixed share of all) are dealt to several tasks in each join.
+
 Defined cases: null text is empty; overlapping repeats and repeats inside one document count; rows with equal doc_id and
 text are two documents and repeat each other; an empty table gives an empty result; other columns are ignored.
 """
@@ -34,14 +37,12 @@ BUCKET_BYTES, BUCKET_MOST = 1_500_000, 3_000_000
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Anchor, content hash, row, start (in data), number of strings of each segment, and whether two of its own strings may be equal."""
+    """Anchor, both content hashes, row, start (in data), number of strings of each segment, and whether two of its own strings may be equal."""
     n = len(data)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.view(np.uint64), z.view(np.uint64), z, z, z, z.astype(bool)
-    s = common.prefix_hash(data)
-    at = np.arange(n - gram + 1)
-    g = common.span_hash(s, at, at + gram)
+        return z.view(np.uint64), [z.view(np.uint64)] * 2, z, z, z, z.astype(bool)
+    g = common.gram_hash(data, gram)
     w = length - gram + 1
     m = n - length + 1
     tiled = np.concatenate((g, np.full(-len(g) % w, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, w)
@@ -67,7 +68,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     first, second = anchor_pairs(g, np.where(ok, low, 0), w)
     # pairs are in order of both ends: the first one that starts inside ends first
     inner = np.append(second, n)[np.searchsorted(first, start)] < stop - 1 + w
-    return low[start], common.span_hash(s, start, stop - 1 + length), row, start, count, inner
+    contents = [common.span_hash(common.prefix_hash(data, family), start, stop - 1 + length) for family in (0, 1)]
+    return low[start], contents, row, start, count, inner
 
 
 def anchor_pairs(g: np.ndarray, low: np.ndarray, w: int):
@@ -191,8 +193,8 @@ def _find_segments(length: int, gram: int):
                 local = offsets[a : b + 1] - offsets[a]
                 key, content, row, start, count, inner = segments(data[offsets[a] : offsets[b]], local, length, gram)
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
-                columns = [common.list_array(x, bounds) for x in (key.view(np.int64), content.view(np.int64), (start - local[row]).astype(np.int32), count.astype(np.int32), inner.astype(np.int8))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=["id", "uid", "keys", "contents", "starts", "counts", "inner"])
+                columns = [common.list_array(x, bounds) for x in (key.view(np.int64), content[0].view(np.int64), content[1].view(np.int64), (start - local[row]).astype(np.int32), count.astype(np.int32), inner.astype(np.int8))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=["id", "uid", "keys", "contents", "others", "starts", "counts", "inner"])
 
     return run
 
@@ -204,14 +206,17 @@ def _cut_out(length: int):
         for batch in batches:
             out = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(w["bucket"], w["key"], w["content"], w["copies"], w["split"], text[w["start"] : w["start"] + w["n"] - 1 + length]) for w in wanted]
+                out += [(w["bucket"], w["key"], w["content"], w["other"], w["copies"], w["split"], text[w["start"] : w["start"] + w["n"] - 1 + length]) for w in wanted]
             for k in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "key", "content", "copies", "split", "bytes"), x)) for x in out[k : k + 2000]], schema=_PIECE) if out else None
+                yield pa.RecordBatch.from_pylist([dict(zip(_PIECE.names, x)) for x in out[k : k + 2000]], schema=_PIECE) if out else None
 
     return run
 
 
-_PIECE = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("split", pa.bool_()), ("bytes", pa.binary())])
+_PIECE = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("content", pa.int64()), ("other", pa.int64()), ("copies", pa.int64()), ("split", pa.bool_()), ("bytes", pa.binary())])
+
+
+_SOLVED = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("content", pa.int64()), ("other", pa.int64()), ("runs", _RUNS), ("hashes", pa.list_(pa.struct([("h", pa.int64()), ("o", pa.int64())])))])
 
 
 def _buckets(length: int):
@@ -219,15 +224,16 @@ def _buckets(length: int):
 
     def done(rows):
         out = []
-        for (bucket, key, content, copies, split, raw), mask in zip(rows, repeated([r[5] for r in rows], length)):
+        for (bucket, key, content, other, copies, split, raw), mask in zip(rows, repeated([r[6] for r in rows], length)):
             if copies > 1:
                 mask[:] = True
             hashes = []
             if split:
-                s, at = common.prefix_hash(np.frombuffer(raw, np.uint8)), np.arange(len(mask))
-                hashes = common.span_hash(s, at, at + length).view(np.int64).tolist()
-            out.append({"bucket": bucket, "key": key, "content": content, "runs": _runs(mask), "hashes": hashes})
-        return pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("content", pa.int64()), ("runs", _RUNS), ("hashes", pa.list_(pa.int64()))]))
+                at = np.arange(len(mask))
+                h, o = (common.span_hash(common.prefix_hash(np.frombuffer(raw, np.uint8), f), at, at + length).view(np.int64).tolist() for f in (0, 1))
+                hashes = [{"h": x, "o": y} for x, y in zip(h, o)]
+            out.append({"bucket": bucket, "key": key, "content": content, "other": other, "runs": _runs(mask), "hashes": hashes})
+        return pa.RecordBatch.from_pylist(out, schema=_SOLVED)
 
     def run(batches):
         now, rows = None, []
@@ -279,31 +285,34 @@ def dedup(docs: DataFrame, length: int = 400, gram: int | None = None, output: s
     gram = gram or max(1, min(GRAM, length // 2))
     parts = parts or common.shuffle_parts(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64("text").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), common.binary().alias("text"))
-    found = common.cut(rows.select("id", "uid", "text").mapInArrow(_find_segments(length, gram), "id long, uid long, keys array<long>, contents array<long>, starts array<int>, counts array<int>, inner array<tinyint>"))
-    zipped = F.arrays_zip("keys", "contents", "starts", "counts", "inner")
-    every = found.select("id", "uid", F.explode(zipped).alias("x")).select("id", "uid", F.col("x.keys").alias("key"), F.col("x.contents").alias("content"), F.col("x.starts").alias("start"), F.col("x.counts").alias("n"), F.col("x.inner").alias("inner"))
-    again = every.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("inner").alias("inner")).where("c > 1 or inner > 0")
-    matched = common.cut(every.drop("inner").join(again.select("key", ((F.col("lo") != F.col("hi")) | (F.col("c") == 1)).alias("mixed")), "key"))
+    found = common.cut(rows.select("id", "uid", "text").mapInArrow(_find_segments(length, gram), "id long, uid long, keys array<long>, contents array<long>, others array<long>, starts array<int>, counts array<int>, inner array<tinyint>"))
+    zipped = F.arrays_zip("keys", "contents", "others", "starts", "counts", "inner")
+    every = found.select("id", "uid", F.explode(zipped).alias("x")).select("id", "uid", F.col("x.keys").alias("key"), F.col("x.contents").alias("content"), F.col("x.others").alias("other"), F.col("x.starts").alias("start"), F.col("x.counts").alias("n"), F.col("x.inner").alias("inner"))
+    both = F.struct("content", "other")
+    again = common.cut(every.groupBy("key").agg(F.count("*").alias("c"), F.min(both).alias("lo"), F.max(both).alias("hi"), F.max("inner").alias("inner")).where("c > 1 or inner > 0").select("key", "c", ((F.col("lo") != F.col("hi")) | (F.col("c") == 1)).alias("mixed")))
+    total = again.agg(F.sum("c")).first()[0] or 0
+    matched = common.cut(common.spread_join(every.drop("inner"), again.select("key", "mixed"), ["key"], parts, again.select("key", F.col("c").alias("__n")), total))
     whole = matched.where(~F.col("mixed")).select("id", "uid", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b"))
     # one segment of each content goes to a bucket
-    one = matched.where("mixed").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "uid", "start")).alias("at"), F.first("n").alias("n"))
+    one = matched.where("mixed").groupBy("key", "content", "other").agg(F.count("*").alias("copies"), F.min(F.struct("id", "uid", "start")).alias("at"), F.first("n").alias("n"))
     one = common.cut(one)
     sizes = one.groupBy("key").agg(F.sum(F.col("n") + length).alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    buckets = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // bucket_bytes))
     shared = F.ceil(F.col("size") / bucket_bytes)
     split = F.col("size") > bucket_most
     bucket = F.pmod(F.xxhash64("key") + F.when(split, F.pmod(F.xxhash64("content"), shared)).otherwise(0), F.lit(buckets)).cast("int")
-    dealt = one.join(sizes, "key").withColumns({"bucket": bucket, "split": split})
-    wanted = dealt.groupBy(F.col("at.id").alias("id"), F.col("at.uid").alias("uid")).agg(F.collect_list(F.struct("bucket", "key", "content", "copies", "split", F.col("at.start").alias("start"), "n")).alias("wanted"))
-    pieces = rows.join(wanted, ["id", "uid"]).select("text", "wanted").mapInArrow(_cut_out(length), "bucket int, key long, content long, copies long, split boolean, bytes binary")
-    solved = common.cut(pieces.repartition(int(min(buckets, 4 * parts)), "bucket").sortWithinPartitions("bucket", "key", "content").mapInArrow(_buckets(length), "bucket int, key long, content long, runs array<struct<a:int,b:int>>, hashes array<long>"))
-    runs = solved.select("key", "content", F.explode("runs").alias("r")).select("key", "content", F.col("r.a").alias("ra"), F.col("r.b").alias("rb"))
+    dealt = common.spread_join(one, sizes, ["key"], parts).withColumns({"bucket": bucket, "split": split})
+    wanted = dealt.groupBy(F.col("at.id").alias("id"), F.col("at.uid").alias("uid")).agg(F.collect_list(F.struct("bucket", "key", "content", "other", "copies", "split", F.col("at.start").alias("start"), "n")).alias("wanted"))
+    pieces = rows.join(wanted, ["id", "uid"]).select("text", "wanted").mapInArrow(_cut_out(length), "bucket int, key long, content long, other long, copies long, split boolean, bytes binary")
+    of = ["key", "content", "other"]
+    solved = common.cut(pieces.repartition(int(min(buckets, 4 * parts)), "bucket").sortWithinPartitions("bucket", *of).mapInArrow(_buckets(length), "bucket int, key long, content long, other long, runs array<struct<a:int,b:int>>, hashes array<struct<h:long,o:long>>"))
+    runs = solved.select(*of, F.explode("runs").alias("r")).select(*of, F.col("r.a").alias("ra"), F.col("r.b").alias("rb"))
     if sizes.where(split).limit(1).count():
-        strings = solved.where(F.size("hashes") > 0).select("bucket", "key", "content", F.posexplode("hashes").alias("p", "h"))
-        across = strings.groupBy("key", "h").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo <> hi")
-        runs = runs.unionByName(strings.join(across, ["key", "h"]).select("key", "content", F.col("p").cast("int").alias("ra"), (F.col("p") + 1).cast("int").alias("rb")))
-    mixed = matched.where("mixed").join(runs, ["key", "content"]).select("id", "uid", (F.col("start") + F.col("ra")).alias("a"), (F.col("start") + F.col("rb") - 1 + length).alias("b"))
+        strings = common.cut(solved.where(F.size("hashes") > 0).select("bucket", *of, F.posexplode("hashes").alias("p", "x")).select("bucket", *of, "p", "x.h", "x.o"))
+        across = strings.groupBy("key", "h", "o").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo <> hi").select("key", "h", "o")
+        runs = runs.unionByName(common.spread_join(strings, across, ["key", "h", "o"], parts).select(*of, F.col("p").cast("int").alias("ra"), (F.col("p") + 1).cast("int").alias("rb")))
+    copies = one.select(*of, F.col("copies").alias("__n"))
+    mixed = common.spread_join(matched.where("mixed"), runs.distinct(), of, parts, copies, total).select("id", "uid", (F.col("start") + F.col("ra")).alias("a"), (F.col("start") + F.col("rb") - 1 + length).alias("b"))
     spans = whole.unionByName(mixed).groupBy("id", "uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     kind = "n_spans long, kept_sha256 string" if output == "digest" else "spans array<struct<start:long,end:long>>, kept binary"
     return rows.join(spans, ["id", "uid"], "left").select("doc_id", "text", "spans").mapInArrow(_apply(length, output == "digest"), f"doc_id long, n_bytes long, n_removed long, {kind}")

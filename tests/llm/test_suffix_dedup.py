@@ -89,3 +89,16 @@ def test_repeats_inside_one_segment(spark):
             got = {r.doc_id: r for r in suffix_dedup.dedup(df, length=length, parts=2).collect()}
             assert [(got[i].n_bytes, got[i].n_removed, [(s.start, s.end) for s in got[i].spans], bytes(got[i].kept)) for i in range(len(some))] == brute(some, length)
     assert suffix_dedup.segments(np.frombuffer(texts[4].encode(), np.uint8), np.array([0, 900]), 400, 128)[5].sum() == 0
+
+
+def test_hot_anchor_and_hash(spark):
+    """A third of all rows hold one passage, in copies and in variants; Thue-Morse strings are told apart."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, thue = text(120), ["".join("ab"[(bin(i).count("1") + k) & 1] for i in range(1024)) for k in (0, 1)]
+    texts = [text(60) + passage + text(rng.randrange(40)) for _ in range(40)] + [passage] * 40 + [text(200) for _ in range(120)] + [thue[0] + text(5), thue[1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in suffix_dedup.dedup(df, length=64, parts=8).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 64)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup(df, length=1024, parts=8).collect()}
+    assert got == {i: 0 for i in range(len(texts))}
