@@ -53,7 +53,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(common.table(spark, sf_dir, "documents"), window=1, min_words=line_dedup.MIN_WORDS)
+    out = line_dedup.dedup(common.table(spark, sf_dir, "documents"), min_words=line_dedup.MIN_WORDS)
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_runs"), F.sha2(common.binary(), 256).alias("kept_sha256"))
 
 
