@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go, and with them the documents in which no word is left."""
-    out = line_dedup.dedup(docs.select(*COLUMNS), window=1, min_words=line_dedup.MIN_WORDS)
+    out = line_dedup.dedup(docs.select(*COLUMNS), min_words=line_dedup.MIN_WORDS)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
