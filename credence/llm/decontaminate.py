@@ -2,20 +2,25 @@
 
 Texts are lower-cased (A-Z) and cut into words; a pattern is a window of ``window`` consecutive words of a benchmark
 item, or the whole item where it is shorter. For each pattern length, a shift table indexed by the hash of a block of
-two words says how far the search may move on; positions with a shift above zero cannot end a pattern and are
-skipped. Where the shift is zero, the hash of the pattern's suffix block picks a bucket, the hash of all its words
-picks the patterns to test, and a direct comparison of the words decides.
+two words says how far the search may move on. The search moves through the texts in lanes of some hundred words, all
+lanes of a slice together: a lane looks at the block that ends at its word, moves on by the block's shift, and never looks
+at (or hashes) the words it skips. Where the shift is zero, the hash of the suffix block picks a bucket, the hash of all
+the words picks the patterns to test, and a direct comparison of the words decides.
 
-The benchmark is a stated query set: it is taken in blocks of at most ``block_bytes`` of text, each held by all tasks
-while all documents stream past; with one block (the common case) there is no shuffle at all.
+The benchmark is a stated query set. Its distinct items are dealt by hash to blocks of about ``block_bytes`` of text; one
+block at a time is read and sent to the tasks while all documents stream past. With one block (the common case)
+there is no shuffle at all; with more, documents get a row key first, each block's hits are written to the shared folder,
+and they are put together by that key, so the rows are the same for any number of blocks.
 
 Defined cases: null or wordless text has no words and no hits; a null or wordless item matches nothing; a null item_id
-is the string "null"; repeated rows and items each count; an empty table on either side gives no hits; of other
-columns, those named in ``keep`` are passed through.
+is the string "null"; repeated rows each count and stay, with null ids too; an empty table on either side gives no hits; a
+very long text is a row like any other; of other columns, those named in ``keep`` are passed through, but for n_words,
+spans and items, which are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 16
+#: Words that one lane of the search goes through.
+LANE = 256
 _GAP = common.alnum_gap_table()
 
 
@@ -34,39 +40,45 @@ class Patterns:
     """The patterns of one length."""
 
     length: int
-    shift: np.ndarray  # by block hash, modulo 2**BITS
+    shift: np.ndarray  # by block hash, modulo the table's size
     suffix: np.ndarray  # sorted suffix-block hashes
     hashes: np.ndarray  # sorted hashes of whole patterns
     words: list[list[tuple[bytes, list[str]]]]  # by position in hashes: (the words, items that have them)
 
 
-def _scan(data: np.ndarray, offsets: np.ndarray):
-    data = common.lower_ascii(data)
-    starts, ends, first = common.words(data, offsets, _GAP)
-    return data, starts, ends, first, common.span_hash(common.prefix_hash(data), starts, ends)
+class Words:
+    """The words of all rows of a slice; they are hashed when they are looked at."""
 
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data = common.lower_ascii(data)
+        self.starts, self.ends, self.first = common.words(self.data, offsets, _GAP)
+        self.prefix = None
 
-def _block(h: np.ndarray, length: int) -> np.ndarray:
-    """The hash of the block that ends at each word: two words, or one where patterns have one."""
-    if length < 2:
-        return h
-    out = np.zeros(len(h), np.uint64)
-    out[1:] = common.mix(h[:-1] * np.uint64(3) + h[1:])
-    return out
+    def hash(self, at: np.ndarray) -> np.ndarray:
+        if self.prefix is None:
+            self.prefix = common.prefix_hash(self.data)
+        return common.span_hash(self.prefix, self.starts[at], self.ends[at])
 
+    def block(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The hash of the block that ends at each word: two words, or one where patterns have one."""
+        h = self.hash(at)
+        return h if length < 2 else common.mix(self.hash(at - 1) * np.uint64(3) + h)
 
-def _run_hash(h: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    out = np.zeros(len(start), np.uint64)
-    for k in range(length):
-        out = common.mix(out * np.uint64(5) + h[start + k])
-    return out
+    def run(self, start: np.ndarray, length: int) -> np.ndarray:
+        out = np.zeros(len(start), np.uint64)
+        for k in range(length):
+            out = common.mix(out * np.uint64(5) + self.hash(start + k))
+        return out
+
+    def text(self, start: int, length: int) -> bytes:
+        return b" ".join(self.data[self.starts[k] : self.ends[k]].tobytes() for k in range(start, start + length))
 
 
 def compile_patterns(items: list[tuple[str, str | None]], window: int = 10) -> list[Patterns]:
     """Pattern tables by length, from (item_id, text)."""
-    column = pa.array([t or "" for _, t in items], pa.string())
-    data, offsets = common.buffers(column)
-    data, starts, ends, first, h = _scan(data, offsets)
+    data, offsets = common.buffers(pa.array([t or "" for _, t in items], pa.string()))
+    w = Words(data, offsets)
+    first = w.first
     by_length: dict[int, list[tuple[int, str]]] = {}
     for k, (item, _) in enumerate(items):
         n = int(first[k + 1] - first[k])
@@ -76,17 +88,16 @@ def compile_patterns(items: list[tuple[str, str | None]], window: int = 10) -> l
     out = []
     for m, found in sorted(by_length.items()):
         at = np.array([p for p, _ in found], np.int64)
-        block, b = _block(h, m), min(2, m)
-        shift = np.full(1 << BITS, m - b + 1, np.uint8 if m < 256 else np.int64)
+        b, size = min(2, m), 1 << min(24, max(12, int(8 * len(at)).bit_length()))
+        shift = np.full(size, m - b + 1, np.uint8 if m < 256 else np.int64)
         for k in range(m - 1, b - 2, -1):  # the block that ends k words into a pattern allows a move of m - 1 - k
-            np.minimum.at(shift, (block[at + k] & np.uint64((1 << BITS) - 1)).astype(np.int64), m - 1 - k)
-        whole = _run_hash(h, at, m)
+            np.minimum.at(shift, (w.block(at + k, m) & np.uint64(size - 1)).astype(np.int64), m - 1 - k)
+        whole = w.run(at, m)
         tests: dict[int, dict[bytes, set[str]]] = {}
         for (p, item), x in zip(found, whole.tolist()):
-            text = b" ".join(data[starts[p + k] : ends[p + k]].tobytes() for k in range(m))
-            tests.setdefault(x, {}).setdefault(text, set()).add(item)
+            tests.setdefault(x, {}).setdefault(w.text(p, m), set()).add(item)
         keys = sorted(tests)
-        out.append(Patterns(m, shift, np.unique(block[at + m - 1]), np.array(keys, np.uint64), [[(t, sorted(i)) for t, i in tests[x].items()] for x in keys]))
+        out.append(Patterns(m, shift, np.unique(w.block(at + m - 1, m)), np.array(keys, np.uint64), [[(t, sorted(i)) for t, i in tests[x].items()] for x in keys]))
     return out
 
 
@@ -95,31 +106,51 @@ def _in_sorted(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == x
 
 
+def visit(w: Words, p: Patterns) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words at which a pattern may end (shift zero), their rows, and the number of words looked at."""
+    m, n = p.length, np.diff(w.first)
+    row = np.flatnonzero(n >= m)
+    begin, stop = w.first[row] + m - 1, w.first[row + 1]
+    lanes = -(-(stop - begin) // LANE)
+    row, step = np.repeat(row, lanes), np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    at = np.repeat(begin, lanes) + step * LANE
+    stop = np.minimum(at + LANE, np.repeat(stop, lanes))
+    found, rows, looked = [], [], 0
+    while len(at):
+        move = p.shift[(w.block(at, m) & np.uint64(len(p.shift) - 1)).astype(np.int64)]
+        looked += len(at)
+        zero = move == 0
+        found.append(at[zero])
+        rows.append(row[zero])
+        at = at + np.maximum(move, 1)
+        live = at < stop
+        at, stop, row = at[live], stop[live], row[live]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found]), np.concatenate([none, *rows]), looked
+
+
 def search(data: np.ndarray, offsets: np.ndarray, patterns: list[Patterns]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Words before each row, a mask of hit words, and each row's items."""
-    data, starts, ends, first, h = _scan(data, offsets)
-    hit, items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(len(offsets) - 1)]
+    w = Words(data, offsets)
+    hit, items = np.zeros(len(w.starts) + 1, np.int64), [set() for _ in range(len(offsets) - 1)]
     for p in patterns:
         m = p.length
-        if len(h) < m:
+        end, row, _ = visit(w, p)
+        if not len(end):
             continue
-        block = _block(h, m)
-        end = np.flatnonzero(p.shift[(block & np.uint64((1 << BITS) - 1)).astype(np.int64)] == 0)
-        end = end[end >= m - 1]
-        row = np.searchsorted(first, end, side="right") - 1
-        end, row = (x[end - m + 1 >= first[row]] for x in (end, row))
-        end, row = (x[_in_sorted(p.suffix, block[end])[1]] for x in (end, row)) if len(end) else (end, row)
+        ok = _in_sorted(p.suffix, w.block(end, m))[1]
+        end, row = end[ok], row[ok]
         if not len(end):
             continue
-        test, ok = _in_sorted(p.hashes, _run_hash(h, end - m + 1, m))
+        test, ok = _in_sorted(p.hashes, w.run(end - m + 1, m))
         for e, r, t in zip(end[ok].tolist(), row[ok].tolist(), test[ok].tolist()):
-            text = b" ".join(data[starts[k] : ends[k]].tobytes() for k in range(e - m + 1, e + 1))
+            text = w.text(e - m + 1, m)
             for known, of in p.words[t]:
                 if known == text:
                     hit[e - m + 1] += 1
                     hit[e + 1] -= 1
                     items[r].update(of)
-    return first, np.cumsum(hit)[:-1] > 0, items
+    return w.first, np.cumsum(hit)[:-1] > 0, items
 
 
 def _spans(mask: np.ndarray) -> list[dict]:
@@ -130,9 +161,20 @@ def _spans(mask: np.ndarray) -> list[dict]:
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(docs: DataFrame, keep: tuple[str, ...], items: list[tuple[str, str | None]], window: int) -> DataFrame:
+_OUT = ("n_words", "spans", "items")
+_compiled: dict[str, list[Patterns]] = {}
+
+
+def _pass(rows: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
+    """All columns of ``rows`` but the last one, __text, with the hits of these items."""
+    sent, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    names = rows.columns[:-1]
+
     def run(batches):
-        patterns = compile_patterns(items, window)
+        if name not in _compiled:  # a worker serves many tasks
+            _compiled.clear()
+            _compiled[name] = compile_patterns(sent.value, window)
+        patterns = _compiled[name]
         for batch in batches:
             data, offsets = common.buffers(batch.column(batch.num_columns - 1))
             for a, b in common.slices(offsets):
@@ -140,42 +182,39 @@ def _pass(docs: DataFrame, keep: tuple[str, ...], items: list[tuple[str, str | N
                 out = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
                 part = [mask[first[i] : first[i + 1]] for i in range(b - a)]
                 out += [pa.array(np.diff(first)), pa.array([_spans(x) if x.any() else [] for x in part], _SPAN), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays(out, names=[*names, *_OUT])
 
-    rows = docs.select(*keep, common.binary().alias("__text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{kept}n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark as lists of (item_id, text), each of about ``block_bytes``."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    out, held = [[]], 0
-    for r in rows.toLocalIterator():
-        if held > block_bytes:
-            out, held = [*out, []], 0
-        out[-1].append((r.item_id, r.text))
-        held += len(r.text or "")
-    return out
-
-
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 32 << 20) -> DataFrame:
-    """Columns of ``keep`` with n_words, spans (hit word ranges [start, end)) and items (ids of items that occur, sorted).
-
-    With more blocks than one, ``keep`` must identify a document, as the blocks' results are joined by it."""
-    found = [_pass(docs, keep, part, window) for part in blocks(benchmark, block_bytes)]
-    if len(found) == 1:
-        return found[0]
-    rows = found[0]
+    """Columns of ``keep`` with n_words, spans (hit word ranges [start, end)) and items (ids of items that occur, sorted)."""
+    names = [c for c in keep if c not in _OUT]
+    rows = docs.select(*names, common.binary().alias("__text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-size // block_bytes))
+    block = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()]
+    if count == 1:
+        return _pass(rows, block(0), window)
+    rows = common.cut(rows.select(*names, F.monotonically_increasing_id().alias("__row"), "__text"))
+    found = []
+    for k in range(count):
+        part = _pass(rows.select("__row", "__text") if k else rows, block(k), window)
+        found.append(common.cut(part.where(F.size("spans") > 0).select("__row", "spans", "items") if k else part))
+    hits = found[0].where(F.size("spans") > 0).select("__row", "spans", "items")
     for more in found[1:]:
-        rows = rows.unionByName(more)
-    every = rows.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        hits = hits.unionByName(more)
+    every = hits.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.aggregate(
         F.array_sort("spans"),
         F.expr("cast(array() as array<struct<start:long,end:long>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    return every.withColumn("spans", F.when(F.size("spans") > 0, merged).otherwise(F.col("spans")))
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    out = found[0].drop("spans", "items").join(every.withColumn("spans", merged), "__row", "left")
+    return out.select(*names, "n_words", F.coalesce("spans", none("struct<start:long,end:long>")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
 
 
 def n_hit(spans: str = "spans"):

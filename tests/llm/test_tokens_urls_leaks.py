@@ -123,10 +123,26 @@ def test_decontamination_against_brute_force(spark, block_bytes):
     for k, (n, hit, found) in brute_leaks(docs, items, 4).items():
         spans = [p for s in got[k].spans for p in range(s.start, s.end)]
         assert (got[k].n_words, spans, got[k]["items"], got[k].n) == (n, hit, found, len(hit))
+    twice = spark.createDataFrame([(1, docs[3][1])] * 3 + [(None, docs[4][1])] * 2 + [(1, docs[5][1])], "doc_id long, text string")
+    got = decontaminate.find(twice, b, window=4, block_bytes=block_bytes, keep=("doc_id", "n_words", "text"))
+    want = brute_leaks([(i, docs[i][1]) for i in (3, 4, 5)], items, 4)
+    assert got.columns == ["doc_id", "text", "n_words", "spans", "items"]
+    assert sorted((r.n_words, len(r["items"])) for r in got.collect()) == sorted((want[i][0], len(want[i][2])) for i in (3, 3, 3, 4, 4, 5))
     assert decontaminate.find(d.where("false"), b).count() == 0
     assert {len(r.spans) for r in decontaminate.find(d, b.where("false")).collect()} == {0}
 
 
+def test_the_search_skips():
+    """Over text without the patterns' words, one word in nine is looked at."""
+    rng = random.Random(2)
+    w = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    patterns = decontaminate.compile_patterns([("1", w(40)), ("2", w(15))], 10)
+    raw = w(20_000).encode()
+    words = decontaminate.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    end, _, looked = decontaminate.visit(words, patterns[0])
+    assert looked < 20_000 / 7 and len(end) < 50
+
+
 def test_url_rules_against_brute_force(spark):
     rng = random.Random(7)
     hosts = ["com", "a.com", "b.a.com", "net", "x.net", "com.net", "", "a..com", "acom"]
