@@ -16,8 +16,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-#: Pieces that one Python worker remembers.
-CACHE_PIECES = 1_000_000
+#: Pieces that one Python worker remembers, and about how many bytes they and their ids may have.
+CACHE_PIECES, CACHE_BYTES = 1_000_000, 200 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -74,6 +74,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         with open(path) as f:
             file = json.load(f)
         pre = json.dumps(file.get("pre_tokenizer") or {})
@@ -103,10 +104,12 @@ class Encoder:
         """The ids of each piece as uint32 bytes."""
         known = self.known
         new = [p for p in distinct if p not in known]
-        if len(known) + len(new) > CACHE_PIECES:
+        self.held += sum(map(len, new)) * 3 + 130 * len(new)
+        if len(known) + len(new) > CACHE_PIECES or self.held > CACHE_BYTES:
             keep = {p: known[p] for p in distinct if p in known}
             known.clear()
             known.update(keep)
+            self.held = 0
         model, other = self.tokenizer.model.tokenize, []
         for p in new:
             seen = self.word(p)

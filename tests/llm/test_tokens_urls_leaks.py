@@ -62,7 +62,7 @@ def test_reader_touches_only_the_asked_frame_and_notices_damage():
         list(token_output.FrameReader(io.BytesIO(bytes(bad)), len(bad)).documents())
 
 
-@pytest.mark.parametrize("mean", [2, 8, 64])
+@pytest.mark.parametrize("mean", [2, 20, 256])
 def test_bpe_equals_the_library(spark, mean):
     rows = texts(80, mean)
     tk = Tokenizer.from_file(WORD)
@@ -75,6 +75,26 @@ def test_bpe_equals_the_library(spark, mean):
     plain = bpe.digest_columns(bpe.encode(frame(spark, rows), WORD)).collect()
     assert sorted(map(tuple, digest)) == sorted(map(tuple, plain))
     assert bpe.encode(frame(spark, rows).where("false"), WORD).count() == 0
+    assert bpe.encode(frame(spark, rows), WORD, keep=("doc_id", "n_tokens")).columns == ["doc_id", "n_tokens", "ids", "decoded"]
+
+
+def test_chunks_are_shared_and_joins_repaired():
+    rng = random.Random(4)
+    words = [f"{rng.choice('abcdefgh')}{rng.choice(['tion', 'ing', 'é', 'ly'])}{rng.choice('xyz')}" for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", ",", "."]) for _ in range(n))
+    passage = text(1500)
+    docs = [text(rng.randrange(80)) + " " + passage + " " + text(rng.randrange(80)) for _ in range(20)] + ["x" * 5000, "日本語" * 500, "a <|endoftext|> b " * 60, ""]
+    raw = [d.encode() for d in docs]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    tk = Tokenizer.from_file(WORD)
+    for mean in (64, 256):
+        coder = bpe.ChunkEncoder(pieces.encoder(WORD), mean)
+        assert [x.tolist() for x in coder.texts(data, offsets)] == [tk.encode(d, add_special_tokens=False).ids for d in docs]
+        assert coder.used > 2 * coder.encoded
+    # chunks that were encoded wrongly at their edges are noticed and put together
+    row = coder.lone([b"one two three fo", b"ur five six seven eig", b"ht nine ten"])
+    row[1].ids[1] += 1
+    assert coder.stitch(row, {}).tolist() == tk.encode("one two three four five six seven eight nine ten", add_special_tokens=False).ids and coder.merged == 1
 
 
 def test_cache_gives_way(monkeypatch):
