@@ -31,8 +31,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-#: The edits of the query: personal data and runs of symbols.
-COUNT_RULES = [(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<EMAIL>"), (r"\+?\d[\d ().-]{7,}\d", "<NUMBER>"), (r"([#*$%&!])\1{2,}", r"\1")]
+#: The edits of the query: personal data (an address needs its sign) and runs of symbols.
+COUNT_RULES = [(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<EMAIL>", "@"), (r"\+?\d[\d ().-]{7,}\d", "<NUMBER>"), (r"([#*$%&!])\1{2,}", r"\1")]
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
-"""Edit-aware token counts: a segment tree over a document's pre-token pieces.
+"""Edit-aware token counts: segment trees over the documents' pre-tokens, kept in a table.
 
-A document is cut into pieces at places no token crosses (see ``pieces``); the leaves of its tree hold the pieces' token
-counts, the inner nodes their sums. An edit touches some pieces; they, and neighbours until both edges are safe places
-again, are re-encoded as one string. The first touched leaf takes the new count, the others zero, and only the sums above
-them change. The tree also tells how many tokens stand before any piece.
+``trees`` cuts each text into pieces at places no token crosses (see ``pieces``), gathers about ``leaf_bytes`` of pieces in a
+leaf and stores the leaves' ends and token counts with the sums above them, in heap order, beside the text. ``edit`` takes
+such a table with edits and gives the table after them, to be stored and edited again: around an edit, the text is encoded
+again from the last unharmed safe place before it to the first one after it, old and new; the touched leaves take the
+difference, only the sums above them change, and all else stays as it was stored. A leaf that edits have made too
+long is cut anew.
 
-Edits are (start, end, text) in code points of the old text, and must not overlap; they may come in any order, and of two
-insertions at one place the earlier in the list comes first. Defined cases: null text is empty, and edits on it must
+Edits are (start, end, text) in code points of the stored text, and must not overlap; they may come in any order, and of
+two insertions at one place the earlier in the list comes first. Defined cases: null text is empty, and edits on it must
 be insertions at 0; null edits are none; overlapping edits or edits beyond the text raise an error; repeated rows each
-count; an empty table gives an empty result; of other columns, those named in ``keep`` pass through.
+count; a text without white space is one leaf; an empty table gives an empty result; of other columns, those named in
+``keep`` pass through, but for those with the names of results.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common, pieces
 
@@ -31,6 +35,12 @@ class SumTree:
         self.node[self.size : self.size + len(counts)] = counts
         self._add_up()
 
+    @classmethod
+    def stored(cls, node: np.ndarray) -> "SumTree":
+        out = cls.__new__(cls)
+        out.size, out.node = len(node) // 2, np.array(node, np.int64)
+        return out
+
     def _add_up(self) -> None:
         level = self.size
         while level > 1:
@@ -44,19 +54,6 @@ class SumTree:
             self.node[k] += change
             k >>= 1
 
-    def replace(self, groups: list[tuple[int, int, int]]) -> None:
-        """For each (first leaf, last leaf + 1, count): the count on the first leaf, zero on the others."""
-        if sum(hi - lo for lo, hi, _ in groups) * 8 < self.size:
-            for lo, hi, count in groups:
-                self.set(lo, count)
-                for leaf in range(lo + 1, hi):
-                    self.set(leaf, 0)
-            return
-        for lo, hi, count in groups:
-            self.node[self.size + lo : self.size + hi] = 0
-            self.node[self.size + lo] = count
-        self._add_up()
-
     def total(self) -> int:
         return int(self.node[1])
 
@@ -69,21 +66,6 @@ class SumTree:
         return out
 
 
-_SPACE, _STOPS = frozenset(b" \t\n\v\f\r"), frozenset(b".,;:!?")
-
-
-def _safe(left: bytes, right: bytes) -> bool:
-    """Whether a text may be cut between these bytes: the rule of ``pieces.safe_cuts``, for one place."""
-    if not left or not right:
-        return True
-    last, first = left[-1], right[0]
-    if first in _SPACE:
-        two = len(left) > 1 and left[-2] == 0xC2 and last in (0x85, 0xA0)
-        three = len(left) > 2 and 0xE1 <= left[-3] <= 0xE3 and 0x80 <= last <= 0xBF
-        return not (last in _SPACE or 28 <= last <= 31 or two or three)
-    return first in _STOPS and (65 <= last <= 90 or 97 <= last <= 122)
-
-
 def byte_edits(text: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, bytes]]:
     """Edits with byte offsets, in order."""
     edits = sorted(edits, key=lambda e: (e[0], e[1]))
@@ -106,57 +88,35 @@ def apply(data: bytes, start: int, edits: list[tuple[int, int, bytes]]) -> bytes
     return b"".join([*out, data[at:]])
 
 
-def touched(data: bytes, bounds: np.ndarray, edits: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """What must be encoded again: (first leaf, last leaf + 1, new bytes) with safe edges; edits have byte offsets, in order."""
-    m = len(bounds) - 1
-    if m < 1:
-        return [(0, 1, b"".join(new for _, _, new in edits))]
-    lo = np.clip(np.searchsorted(bounds, [e[0] for e in edits], side="right") - 1, 0, m - 1)
-    hi = np.minimum(np.maximum(np.searchsorted(bounds, [e[1] for e in edits], side="left"), lo + 1), m)
-    groups: list[list] = []  # first leaf, last leaf + 1, first edit, last edit + 1, new bytes
-    for k, (x, y) in enumerate(zip(lo.tolist(), hi.tolist())):
-        if groups and x <= groups[-1][1]:
-            groups[-1][1], groups[-1][3] = max(groups[-1][1], y), k + 1
-        else:
-            groups.append([x, y, k, k + 1, None])
-    done: list[list] = []
-    for g in groups:
-        while True:
-            while done and done[-1][1] >= g[0]:  # a neighbour was reached
-                other = done.pop()
-                g = [min(g[0], other[0]), max(g[1], other[1]), min(g[2], other[2]), max(g[3], other[3]), None]
-            a, b = int(bounds[g[0]]), int(bounds[g[1]])
-            if g[4] is None:
-                g[4] = apply(data[a:b], a, edits[g[2] : g[3]])
-            before, after = data[max(0, a - 3) : a], data[b : b + 1]
-            if not _safe(before, g[4] or after):
-                g[0], g[4] = g[0] - 1, None
-            elif not _safe(g[4] or before, after):
-                g[1], g[4] = g[1] + 1, None
-            else:
-                break
-        done.append(g)
-    # a group that grew to the right may have reached the next one
+def regions(data: bytes, edits: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """What must be encoded again: (start, end, new bytes) between safe places of the old text that the edits leave safe."""
+    raw = np.frombuffer(data, np.uint8)
+    cuts = np.flatnonzero(pieces.safe_cuts(raw, np.array([0, len(raw)], np.int64)))
     out: list[list] = []
-    for g in done:
-        if out and g[0] < out[-1][1]:
-            return touched_together(data, bounds, edits, done)
-        out.append(g)
-    return [(g[0], g[1], g[4]) for g in out]
-
-
-def touched_together(data: bytes, bounds: np.ndarray, edits: list[tuple[int, int, bytes]], groups: list[list]) -> list[tuple[int, int, bytes]]:
-    """One group from the first to the last touched leaf, for the rare texts in which groups grew into each other."""
-    lo, hi, m = min(g[0] for g in groups), max(g[1] for g in groups), len(bounds) - 1
-    while True:
-        a, b = int(bounds[lo]), int(bounds[hi])
-        new = apply(data[a:b], a, edits)
-        if lo > 0 and not _safe(data[max(0, a - 3) : a], new or data[b : b + 1]):
-            lo -= 1
-        elif hi < m and not _safe(new or data[max(0, a - 3) : a], data[b : b + 1]):
-            hi += 1
+    for k, (a, b, _) in enumerate(edits):
+        lo = int(np.searchsorted(cuts, a)) - 1  # a cut is safe by the byte behind it and the three before it
+        hi = int(np.searchsorted(cuts, b + 3))
+        start, end = int(cuts[lo]) if lo >= 0 else 0, int(cuts[hi]) if hi < len(cuts) else len(data)
+        if out and start < out[-1][1]:
+            out[-1][1], out[-1][3] = max(end, out[-1][1]), k + 1
         else:
-            return [(lo, hi, new)]
+            out.append([start, end, k, k + 1])
+    return [(a, b, apply(data[a:b], a, edits[i:j])) for a, b, i, j in out]
+
+
+def leaves(data: np.ndarray, offsets: np.ndarray, coder: pieces.Encoder, leaf_bytes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each row's leaf ends and their token counts."""
+    if not len(data):
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in offsets[1:]]
+    cuts = np.flatnonzero(pieces.safe_cuts(data, offsets))
+    before = coder.encode(data, np.append(cuts, len(data)))[1]
+    row = np.searchsorted(offsets, cuts, side="right") - 1
+    group = (cuts - offsets[row]) // leaf_bytes
+    head = np.ones(len(cuts), bool)
+    head[1:] = (row[1:] != row[:-1]) | (group[1:] != group[:-1])
+    start, at = np.append(cuts[head], len(data)), np.append(before[:-1][head], before[-1])
+    edge = np.searchsorted(start, offsets)
+    return [(start[x + 1 : y + 1] - start[x], np.diff(at[x : y + 1])) if y > x else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for x, y in zip(edge[:-1], edge[1:])]
 
 
 def counts_of(texts: list[bytes], coder: pieces.Encoder) -> list[int]:
@@ -168,12 +128,14 @@ def counts_of(texts: list[bytes], coder: pieces.Encoder) -> list[int]:
     return np.diff(before[np.searchsorted(cuts, offsets)]).tolist()
 
 
-def rule_edits(text: str, rules: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
-    """Edits that replace the matches of patterns, the first pattern first; later matches that overlap earlier ones are left."""
+def rule_edits(text: str, rules: list[tuple]) -> list[tuple[int, int, str]]:
+    """Edits that replace the matches of patterns, the first pattern first; later matches that overlap earlier ones are left.
+
+    A rule is (pattern, replacement) or (pattern, replacement, needs): texts without the string ``needs`` are not searched."""
     out: list[tuple[int, int, str]] = []
     taken = bytearray(len(text))
-    for pattern, new in rules:
-        if "@" in pattern and "@" not in text:
+    for pattern, new, *needs in rules:
+        if needs and needs[0] not in text:
             continue
         for m in re.finditer(pattern, text):
             a, b = m.span()
@@ -184,48 +146,137 @@ def rule_edits(text: str, rules: list[tuple[str, str]]) -> list[tuple[int, int,
 
 
 _EDIT = "array<struct<start:int,end:int,text:string>>"
+_TREE = ("text", "leaf_ends", "tree")
+_INTS = pa.list_(pa.int32())
 
 
-def count(docs: DataFrame, tokenizer: str, edits: str | None = None, rules: list[tuple[str, str]] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns of ``keep`` with n_tokens of the text, n_edits, n_tokens_after them and n_bytes_again (encoded again).
+def _kept(df: DataFrame, keep: tuple[str, ...], results: tuple[str, ...]) -> tuple[list[str], str]:
+    names = [c for c in keep if c not in results]
+    return names, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*names).schema.fields)
 
-    Edits come from a column of arrays of (start, end, text), or from rules (pattern, replacement)."""
+
+def trees(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), leaf_bytes: int = 256) -> DataFrame:
+    """Columns of ``keep`` with text (null as empty), leaf_ends (bytes) and tree (token counts of the leaves and the sums
+    above them, in heap order: tree[1] is the document's)."""
+    names, kept = _kept(docs, keep, _TREE)
 
     def run(batches):
         coder = pieces.encoder(tokenizer)
         for batch in batches:
-            given = batch.column(batch.num_columns - 1).to_pylist() if edits else None
-            data, offsets = common.buffers(batch.column(batch.num_columns - 1 - bool(edits)))
+            data, offsets = common.buffers(batch.column(batch.num_columns - 1))
             for a, b in common.slices(offsets):
-                part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                cuts = np.append(np.flatnonzero(pieces.safe_cuts(part, local)), len(part)) if len(part) else np.zeros(1, np.int64)
-                before = coder.encode(part, cuts)[1]
-                edge = np.searchsorted(cuts, local)
-                n_before = (before[edge[1:]] - before[edge[:-1]]).tolist()
-                out, jobs, regions = [], [], []
-                for i in range(b - a):
-                    raw = part[local[i] : local[i + 1]].tobytes()
-                    if given:
-                        todo = [(e["start"], e["end"], e["text"] or "") for e in given[a + i] or []]
-                        text = raw.decode() if todo else ""
-                    else:
-                        text = raw.decode()
-                        todo = rule_edits(text, rules or [])
-                    out.append((n_before[i], len(todo), n_before[i], 0))
+                found = leaves(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], coder, leaf_bytes)
+                columns = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns)]
+                columns += [pa.array([x.astype(np.int32) for x, _ in found], _INTS), pa.array([SumTree(c).node.astype(np.int32) for _, c in found], _INTS)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *_TREE])
+
+    return docs.select(*names, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"{kept}text string, leaf_ends array<int>, tree array<int>")
+
+
+def edited(raw: bytes, ends: np.ndarray, todo: list[tuple[int, int, bytes]]):
+    """The strings to count again, and how the leaves change: (first leaf, last leaf, new length, numbers of the strings: new, old ones)."""
+    strings, changes = [], []
+    starts = np.append(0, ends[:-1])
+    for a, b, new in todo:
+        i = max(0, int(np.searchsorted(starts, a, side="right")) - 1)
+        j = max(i, int(np.searchsorted(starts, b, side="left")) - 1)
+        if i == j or not len(ends):
+            old = [raw[a:b]]
+        else:
+            old = [raw[a : int(ends[i])], raw[int(starts[j]) : b]]
+        changes.append((i, j, a, b, len(new), len(strings)))
+        strings += [new, *old]
+    return strings, changes
+
+
+def _changed(ends: np.ndarray, tree: SumTree, changes: list, counts: list[int]) -> np.ndarray:
+    """The leaf ends after the changes; the tree takes them too."""
+    size = np.diff(ends, prepend=0) if len(ends) else np.zeros(1, np.int64)
+    for i, j, a, b, n, k in changes:
+        if i == j:
+            tree.set(i, int(tree.node[tree.size + i]) + counts[k] - counts[k + 1])
+            size[i] += n - (b - a)
+            continue
+        tree.set(i, int(tree.node[tree.size + i]) + counts[k] - counts[k + 1])
+        for leaf in range(i + 1, j):
+            tree.set(leaf, 0)
+            size[leaf] = 0
+        tree.set(j, int(tree.node[tree.size + j]) - counts[k + 2])
+        size[i] += n - (int(ends[i]) - a)
+        size[j] -= b - int(ends[j - 1])
+    return np.cumsum(size)
+
+
+def edit(table: DataFrame, tokenizer: str, edits: str | None = None, rules: list[tuple] | None = None, keep: tuple[str, ...] = ("doc_id",), leaf_bytes: int = 256) -> DataFrame:
+    """A table of ``trees`` after edits, with n_tokens (before), n_edits, n_tokens_after and n_bytes_again (encoded again).
+
+    Edits come from a column of arrays of (start, end, text), or from rules, see ``rule_edits``."""
+    results = (*_TREE, "n_tokens", "n_edits", "n_tokens_after", "n_bytes_again")
+    names, kept = _kept(table, keep, results)
+
+    def run(batches):
+        coder = pieces.encoder(tokenizer)
+        for batch in batches:
+            m = len(names)
+            texts, given = batch.column(m), batch.column(m + 3).to_pylist() if edits else None
+            data, offsets = common.buffers(texts)
+            for a, b in common.slices(offsets):
+                out, jobs, strings = [], [], []
+                for i in range(a, b):
+                    text = texts[i].as_py()
+                    todo = [(e["start"], e["end"], e["text"] or "") for e in given[i] or []] if edits else rule_edits(text, rules or [])
+                    ends, tree = (np.asarray(batch.column(m + k)[i].values) for k in (1, 2))
+                    total = int(tree[1])
+                    out.append([text, ends, tree, total, len(todo), total, 0])
                     if todo:
-                        again = touched(raw, cuts[edge[i] : edge[i + 1] + 1] - local[i], byte_edits(text, todo))
-                        jobs.append((i, len(regions), again))
-                        regions += [new for _, _, new in again]
-                new_counts = counts_of(regions, coder) if regions else []
-                for i, first, again in jobs:
-                    tree = SumTree(np.diff(before[edge[i] : edge[i + 1] + 1]))
-                    tree.replace([(lo, hi, new_counts[first + k]) for k, (lo, hi, _) in enumerate(again)])
-                    out[i] = (out[i][0], out[i][1], tree.total(), sum(len(new) for _, _, new in again))
-                kept = [batch.column(k).slice(a, b - a) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([x[k] for x in out], pa.int64()) for k in range(4))], names=[*keep, "n_tokens", "n_edits", "n_tokens_after", "n_bytes_again"])
-
-    from pyspark.sql import functions as F
-
-    rows = docs.select(*keep, common.binary().alias("__text"), *([F.col(edits).cast(_EDIT).alias("__edits")] if edits else []))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{kept}n_tokens long, n_edits long, n_tokens_after long, n_bytes_again long")
+                        raw = text.encode()
+                        again = regions(raw, byte_edits(text, todo))
+                        more, changes = edited(raw, ends.astype(np.int64), again)
+                        jobs.append((len(out) - 1, raw, again, changes, len(strings)))
+                        strings += more
+                counts = counts_of(strings, coder) if strings else []
+                for at, raw, again, changes, first in jobs:
+                    row = out[at]
+                    tree = SumTree.stored(row[2])
+                    ends = _changed(row[1].astype(np.int64), tree, changes, counts[first:])
+                    new = apply(raw, 0, again)
+                    row[0], row[1], row[2], row[5], row[6] = new.decode(), ends, tree.node, tree.total(), sum(len(x) for _, _, x in again)
+                    size = np.diff(ends, prepend=0)
+                    if len(size) and size.max() > 8 * leaf_bytes:
+                        row[1], row[2] = _cut_anew(new, ends, tree, coder, leaf_bytes)
+                columns = [batch.column(k).slice(a, b - a) for k in range(m)]
+                columns += [pa.array([x[0] for x in out], pa.string()), *(pa.array([np.asarray(x[k], np.int32) for x in out], _INTS) for k in (1, 2)), *(pa.array([x[k] for x in out], pa.int64()) for k in (3, 4, 5, 6))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *results])
+
+    rows = table.select(*names, *_TREE, *([F.col(edits).cast(_EDIT).alias("__edits")] if edits else []))
+    return rows.mapInArrow(run, f"{kept}text string, leaf_ends array<int>, tree array<int>, n_tokens long, n_edits long, n_tokens_after long, n_bytes_again long")
+
+
+def _cut_anew(data: bytes, ends: np.ndarray, tree: SumTree, coder: pieces.Encoder, leaf_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf ends and tree with the too long leaves cut anew; the counts of all others stay."""
+    new_ends, new_counts, at = [], [], 0
+    for k, end in enumerate(ends.tolist()):
+        if end - at > 8 * leaf_bytes:
+            part = np.frombuffer(data[at:end], np.uint8)
+            ((e, c),) = leaves(part, np.array([0, len(part)], np.int64), coder, leaf_bytes)
+            new_ends += (e + at).tolist()
+            new_counts += c.tolist()
+        elif end > at:
+            new_ends.append(end)
+            new_counts.append(int(tree.node[tree.size + k]))
+        at = end
+    return np.array(new_ends, np.int64), SumTree(np.array(new_counts, np.int64)).node
+
+
+def count(docs: DataFrame, tokenizer: str, edits: str | None = None, rules: list[tuple] | None = None, keep: tuple[str, ...] = ("doc_id",), store: str | None = None) -> DataFrame:
+    """Columns of ``keep`` with n_tokens of the text, n_edits, n_tokens_after them and n_bytes_again (encoded again).
+
+    The trees are written to ``store`` (a new folder in the shared one where none is given), and the edits are made on what
+    is read from there."""
+    names, _ = _kept(docs, keep, ("n_tokens", "n_edits", "n_tokens_after", "n_bytes_again"))
+    inner = [f"__{k}" for k in range(len(names))]
+    renamed = docs.select("text", *(F.col(c).alias(x) for c, x in zip(names, inner)), *([F.col(edits).alias("__edits")] if edits else []))
+    store = store or common.shared_folder(docs.sparkSession, "token-trees")
+    trees(renamed, tokenizer, (*inner, *(("__edits",) if edits else ()))).write.parquet(store)
+    after = edit(docs.sparkSession.read.parquet(store), tokenizer, "__edits" if edits else None, rules, tuple(inner))
+    return after.select(*(F.col(x).alias(c) for c, x in zip(names, inner)), "n_tokens", "n_edits", "n_tokens_after", "n_bytes_again")

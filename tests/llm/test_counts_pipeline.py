@@ -40,6 +40,7 @@ def test_edits_against_encoding_again(spark):
         assert got[i].n_tokens == len(tk.encode(t or "").ids)
         assert got[i].n_tokens_after == len(tk.encode(edited(t or "", edits or [])).ids), (t, edits)
     assert got[902].n_bytes_again < 60
+    assert token_counts.count(df, BYTE, edits="edits", keep=("doc_id", "n_tokens", "text")).columns == ["doc_id", "text", "n_tokens", "n_edits", "n_tokens_after", "n_bytes_again"]
     by_rule = {r.doc_id: r for r in token_counts.count(spark.createDataFrame([(1, "mail a.b@c.example.com or +1 (555) 123-4567 now ***** ok"), (2, "none")], "doc_id long, text string"), BYTE, rules=COUNT_RULES).collect()}
     assert by_rule[1].n_edits == 3 and by_rule[1].n_tokens_after == len(tk.encode("mail <EMAIL> or <NUMBER> now * ok").ids) and by_rule[2].n_edits == 0
     assert token_counts.count(df.where("false"), BYTE).count() == 0
@@ -47,6 +48,34 @@ def test_edits_against_encoding_again(spark):
         token_counts.byte_edits("abc", [(0, 2, ""), (1, 3, "")])
 
 
+def test_a_stored_tree_takes_edits_again_and_again(spark, tmp_path):
+    """Three rounds of edits, each on the table that the round before has written; trees stay those of the new texts."""
+    rng = random.Random(10)
+    tk = Tokenizer.from_file(BYTE)
+    texts = {i: "".join(rng.choice("ab cD ,.!  \n' é日12s") for _ in range(rng.choice([0, 5, 80, 900, 3000]))) for i in range(60)}
+    texts[99] = "x" * 4000
+    now = token_counts.trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), BYTE, leaf_bytes=64)
+    for turn in range(3):
+        now.write.parquet(f"{tmp_path}/{turn}")
+        todo = {}
+        for i, t in texts.items():
+            marks = sorted(rng.sample(range(len(t) + 1), min(len(t) + 1, 2 * rng.randrange(4))))
+            todo[i] = [(a, b, rng.choice(["", "new words. ", " y, z" * 40, "é"])) for a, b in zip(marks[::2], marks[1::2]) if b - a < 400 or turn]
+        given = spark.createDataFrame(list(todo.items()), "doc_id long, e array<struct<start:int,end:int,text:string>>")
+        texts = {i: edited(t, todo[i]) for i, t in texts.items()}
+        now = token_counts.edit(spark.read.parquet(f"{tmp_path}/{turn}").join(given, "doc_id"), BYTE, edits="e", leaf_bytes=64)
+        rows = {r.doc_id: r for r in now.collect()}
+        assert {i: r.text for i, r in rows.items()} == texts and {i: r.n_tokens_after for i, r in rows.items()} == {i: len(tk.encode(t).ids) for i, t in texts.items()}
+        for i, r in rows.items():
+            raw, at, tree = r.text.encode(), 0, token_counts.SumTree.stored(r.tree)
+            for k, end in enumerate(r.leaf_ends):
+                assert tree.node[tree.size + k] == len(tk.encode(raw[at:end].decode()).ids)
+                assert tree.before(k) == len(tk.encode(raw[:at].decode()).ids)
+                at = end
+            assert at == len(raw)
+        now = now.select("doc_id", "text", "leaf_ends", "tree")
+
+
 def test_tree():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 7, 64):
@@ -89,7 +118,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             from pyspark.sql import functions as F
 
             uid = {r.doc_id: r.u for r in now.select("doc_id", F.xxhash64("text").alias("u")).collect()}
-            want = {i: (t, n) for i, t, n in test_line_dedup.brute([(r[0], r[1], uid[r[0]]) for r in rows], 2, 2, 3)}
+            want = {i: (t, n) for i, t, n in test_line_dedup.brute([(r[0], r[1], uid[r[0]]) for r in rows], 3, 50)}
             assert {r[0]: r[1] for r in got} == {i: t for i, (t, n) in want.items() if not n or t.strip()} and all(r[4] == len(r[1]) for r in got)
             assert any(n for _, n in want.values())
         elif name.startswith("n-gram"):
