@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CLASSES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS
+from .quality import CLASSES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS, PER_LANGUAGE
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -28,7 +28,8 @@ b AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words <
   list_append(c0, length(t) - list_sum(c0)) AS cc, list_transform(cl, lambda x: len(list_filter(lw, lambda y: y = x))) AS w0 FROM f),
 lf AS (SELECT doc_id, lang, n_words, base_failed, 'c' AS kind, unnest(cc)::DOUBLE AS v, generate_subscripts(cc, 1) AS i FROM b WHERE cl IS NOT NULL
   UNION ALL SELECT doc_id, lang, n_words, base_failed, 'w', unnest(list_append(w0, n_words - list_sum(w0)))::DOUBLE, unnest(range(1, len(w0) + 2)) FROM b WHERE cl IS NOT NULL),
-rf AS (SELECT lang, kind, i, sum(v) AS v FROM lf WHERE NOT base_failed AND n_words >= {MIN_WORDS} GROUP BY ALL),
+sm AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE lang IN ({', '.join(map(repr, COMMON_WORDS))}) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) WHERE k <= {PER_LANGUAGE}),
+rf AS (SELECT lang, kind, i, sum(v) AS v FROM lf WHERE NOT base_failed AND n_words >= {MIN_WORDS} AND doc_id IN (SELECT doc_id FROM sm) GROUP BY ALL),
 rq AS (SELECT lang, kind, i, v / sum(v) OVER (PARTITION BY lang, kind) AS q FROM rf),
 pq AS (SELECT doc_id, n_words, lf.kind, CASE WHEN sum(v) OVER (PARTITION BY doc_id, lf.kind) > 0 THEN v / sum(v) OVER (PARTITION BY doc_id, lf.kind) END AS p, q FROM lf JOIN rq ON rq.lang = lf.lang AND rq.kind = lf.kind AND rq.i = lf.i),
 js AS (SELECT doc_id, kind, any_value(n_words) AS n, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS d FROM pq WHERE p IS NOT NULL GROUP BY ALL),

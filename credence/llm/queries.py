@@ -27,7 +27,8 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(common.table(spark, sf_dir, "documents"))
+    docs = common.table(spark, sf_dir, "documents")
+    judged = quality.judge(docs, sample=quality.labelled(docs, common.table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

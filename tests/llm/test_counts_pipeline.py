@@ -106,13 +106,15 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, kinds).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
     d, now, seen = str(tmp_path), spark.createDataFrame(docs, kinds), []
     for name, stage in corpus_pipeline.STAGES:
         rows = sorted(tuple(r) for r in now.collect())
         out = stage(spark, now, d)
         got = sorted(tuple(r) for r in out.collect())
         if name == "quality rules":
-            kept = {r.doc_id for r in quality.judge(now).collect() if r.kept}
+            kept = {r.doc_id for r in quality.judge(now, sample=quality.labelled(now, labels)).collect() if r.kept}
             assert got == [r for r in rows if r[0] in kept] and 66 not in kept and 64 not in kept
         elif name == "line dedup":
             from pyspark.sql import functions as F
@@ -135,3 +137,29 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         now = spark.read.parquet(str(tmp_path / name.split()[0]))
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, d).collect()) == seen[-1]
     assert pieces.CACHE_PIECES > 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, clashing columns, long texts and empty tables, stage by stage."""
+    rng = random.Random(3)
+    long = " ".join(f"word{rng.randrange(5000)} the of" for _ in range(30_000))
+    good = [" ".join(f"word{rng.randrange(500)} the" for _ in range(60)) for _ in range(3)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, node string, spans int, n_tokens int, uid string, id int"
+    odd = [(1, good[0]), (1, good[0]), (1, good[1]), (None, good[2]), (None, None), (3, None), (4, ""), (5, long)]
+    rows = [(i, t, "en" if i != 5 else None, None, None, "x", 1, 2, "y", 3) for i, t in odd]
+    docs = spark.createDataFrame(rows, kinds)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, None), (1, ""), (2, " ".join(long.split()[100:120]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, None), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    left = {name: sorted((str(r.doc_id), len(r.text or "") if "text" in r else r.n_tokens) for r in stage(spark, docs, d).collect()) for name, stage in corpus_pipeline.STAGES}
+    n = sorted((str(i), len(t or "")) for i, t in odd)
+    assert left["quality rules"] == [x for x in n if x[1]]
+    assert left["line dedup"] == [x for x in n if x[0] != "None" or x[1] == 0 or x[1] == len(good[2])]
+    assert left["n-gram Jaccard join"] == n
+    assert left["benchmark decontamination"] == [x for x in n if x[0] != "5"]
+    assert len(left["BPE encoding and decoding"]) == len(odd)
+    assert len(corpus_pipeline.run(spark, d).collect()) == 4
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.where("false"), d)
+        assert out.count() == 0 and (out.columns == list(corpus_pipeline.COLUMNS) or stage is corpus_pipeline.encoding)
