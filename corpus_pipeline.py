@@ -1,7 +1,14 @@
 """A corpus pipeline: quality rules, line dedup, near-duplicate join, benchmark decontamination and BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. doc_id identifies a document.
+stage's docs. Rows are told apart by doc_id and text; columns beside those of documents are left out.
+
+Defined cases, for each stage: a document with null or empty text fails the base rules, so only the first stage meets
+one in run(); given to a later stage, it loses no lines and is dropped there only if it had lines to lose, is linked with
+nothing, has no hits and encodes to no ids. Rows equal in doc_id and text share each verdict; of such rows and of
+ties in a group of near duplicates, all with the group's smallest doc_id stay (a null doc_id stays if its group has no other).
+An empty table gives an empty result at each stage. Very long texts are rows like others. Columns of docs with the names
+that operators compute are not read.
 """
 
 from __future__ import annotations
@@ -16,9 +23,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the divergence rule go."""
+    """Documents that fail the base rules or the divergence rule go; the references are fitted on labelled documents."""
+    sample = quality.labelled(docs, common.table(spark, sf_dir, "labels"))
     keyed = docs.select(*COLUMNS).withColumn("uid", F.xxhash64("text"))
-    kept = quality.judge(keyed, keep_columns=("doc_id", "uid")).where("kept").select(F.col("doc_id").alias("id"), F.col("uid").alias("u")).distinct()
+    kept = quality.judge(keyed, keep_columns=("doc_id", "uid"), sample=sample).where("kept").select(F.col("doc_id").alias("id"), F.col("uid").alias("u")).distinct()
     return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("uid") == F.col("u")), "left_semi").select(*COLUMNS)
 
 
