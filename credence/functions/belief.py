@@ -52,8 +52,7 @@ def authority_rank(authority: Column) -> Column:
 
 
 def overlay_line(state: Column, kind: Column, claim: Column, authority: Column, last_turn: Column) -> Column:
-    short = F.substring(authority, 1, 1)
-    return F.format_string("[%s] %s :: %s (auth=%s, last=%d)", state, kind, F.substring(claim, 1, 80), short, last_turn)
+    return F.format_string("[%s] %s :: %s (auth=%s, last=%d)", state, kind, F.substring(claim, 1, 80), authority, last_turn)
 
 
 def decay_status(age: Column, half_life: Column) -> Column:

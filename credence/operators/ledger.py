@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import belief
 
-#: What a belief event makes of the belief, and the types that block actions.
-STATE_OF = {"born": "active", "refreshed": "active", "confirmed": "active", "weakened": "contradicted", "contradicted": "contradicted", "retired": "retired"}
+#: What a belief event makes of the belief, the types that block actions, those that rank as blockers, and the overlay's texts.
+STATE_OF = {"born": "active", "refreshed": "active", "confirmed": "active", "weakened": "contradicted", "contradicted": "contradicted", "superseded": "retired", "retired": "retired"}
 BLOCKERS = ("validation_pending", "user_approval_pending", "pipeline_failed")
+RANK_BLOCKERS = ("action_blocked", "validation_pending", "pipeline_failed", "pipeline_running", "user_approval_pending")
+HEADER = "# Operational belief overlay (budget: {budget} tokens, used: {used}, omitted: {omitted}, K={k})"
+BLOCKED_CLAIM = "action_blocked \u2014 "
 
 
 def state_of(kind: Column) -> Column:
@@ -87,7 +90,8 @@ def _effective(events: DataFrame) -> DataFrame:
 
 
 def state_at(beliefs: DataFrame, events: DataFrame, turn: int) -> DataFrame:
-    """Every belief that is visible at ``turn``, with its state, authority, warrant turns and last update.
+    """Every belief that is visible at ``turn``, with its state, authority, warrant turns and the turns at which its latest
+    event was observed (last_updated_turn) and took effect.
 
     beliefs: belief_id, session_id, belief_type, claim, created_turn; events: belief_event_id, belief_id, kind, at_turn,
     effective_turn, authority. One aggregation by belief, no look-up per belief."""
@@ -95,7 +99,8 @@ def state_at(beliefs: DataFrame, events: DataFrame, turn: int) -> DataFrame:
     warrants = F.when(F.col("kind").isin("born", "refreshed", "confirmed"), F.col("eff"))
     last = seen.groupBy("belief_id").agg(
         F.max_by("kind", _key()).alias("kind"),
-        F.max("eff").alias("last_updated_turn"),
+        F.max_by("at_turn", _key()).alias("last_updated_turn"),
+        F.max_by("eff", _key()).alias("effective_turn"),
         F.max_by("authority", belief.authority_rank(F.col("authority"))).alias("authority"),
         F.array_sort(F.collect_list(warrants)).alias("warrant_turns"),
     )
@@ -110,31 +115,42 @@ def intervals(events: DataFrame) -> DataFrame:
 
 
 def action_blocked(state: DataFrame, turn: int) -> DataFrame:
-    """One synthetic belief for each session that has an active blocker."""
+    """One synthetic belief for each session that has an active blocker; the blockers' types and warrants in order of
+    creation. A session's blockers are few."""
     b = state.where((F.col("state") == "active") & F.col("belief_type").isin(*BLOCKERS))
     warrants = F.when(F.size("warrant_turns") > 0, F.col("warrant_turns")).otherwise(F.array("last_updated_turn"))
-    return b.groupBy("session_id").agg(
-        F.concat(F.lit("synthetic:action_blocked:"), F.first("session_id").cast("string"), F.lit(f":{turn}")).alias("belief_id"),
-        F.lit("action_blocked").alias("belief_type"),
-        F.concat(F.lit("action_blocked: "), F.array_join(F.array_sort(F.collect_list("belief_type")), ", ")).alias("claim"),
-        F.lit("active").alias("state"),
-        F.max_by("authority", belief.authority_rank(F.col("authority"))).alias("authority"),
-        F.array_sort(F.flatten(F.collect_list(warrants))).alias("warrant_turns"),
-        F.min("created_turn").alias("created_turn"),
-        F.max("last_updated_turn").alias("last_updated_turn"),
+    of = F.array_sort(F.collect_list(F.struct("created_turn", "belief_id", "belief_type", warrants.alias("warrants"))))
+    out = b.groupBy("session_id").agg(
+        of.alias("of"), F.max_by("authority", belief.authority_rank(F.col("authority"))).alias("authority"), F.min("created_turn").alias("created_turn"), F.max("last_updated_turn").alias("last_updated_turn")
+    )
+    return out.select(
+        F.concat(F.lit("synthetic:action_blocked:"), F.col("session_id").cast("string"), F.lit(f":{turn}")).alias("belief_id"), "session_id", F.lit("action_blocked").alias("belief_type"),
+        F.concat(F.lit(BLOCKED_CLAIM), F.array_join(F.col("of.belief_type"), ", ")).alias("claim"), F.lit("active").alias("state"), "authority", F.flatten("of.warrants").alias("warrant_turns"), "created_turn", "last_updated_turn",
     )
 
 
+def full_state(beliefs: DataFrame, events: DataFrame, turn: int) -> DataFrame:
+    """The state at ``turn`` with the synthetic blocked beliefs; belief ids are strings."""
+    state = state_at(beliefs, events, turn)
+    columns = ["belief_id", "session_id", "belief_type", "claim", "state", "authority", "warrant_turns", "created_turn", "last_updated_turn"]
+    return state.withColumn("belief_id", F.col("belief_id").cast("string")).select(columns).unionByName(action_blocked(state, turn).select(columns))
+
+
+def state_counts(state: DataFrame) -> DataFrame:
+    """By session: active, retired and contradicted beliefs; synthetic ones count as active."""
+    return state.groupBy("session_id").agg(*(F.count_if(F.col("state") == x).alias(f"n_{x}") for x in ("active", "retired", "contradicted")))
+
+
 def out_of_window(turn: int, k: int) -> Column:
     """Born and last warranted at or before ``turn`` - ``k``."""
-    first = F.when(F.size("warrant_turns") > 0, F.array_min("warrant_turns")).otherwise(F.col("created_turn"))
-    last = F.when(F.size("warrant_turns") > 0, F.array_max("warrant_turns")).otherwise(F.col("created_turn"))
+    first = F.when(F.size("warrant_turns") > 0, F.get("warrant_turns", F.lit(0))).otherwise(F.col("created_turn"))
+    last = F.when(F.size("warrant_turns") > 0, F.element_at("warrant_turns", -1)).otherwise(F.col("created_turn"))
     return (first <= turn - k) & (last <= turn - k)
 
 
 def rank_overlay(state: DataFrame, turn: int, k: int = 20) -> DataFrame:
     """Active beliefs of each session in overlay order: out of the window first, blockers, the latest, the strongest, by id."""
-    tier = F.when(F.col("belief_type").isin(*BLOCKERS, "action_blocked"), 1).otherwise(5)
+    tier = F.when(F.col("belief_type").isin(*RANK_BLOCKERS), 1).otherwise(5)
     w = Window.partitionBy("session_id").orderBy(F.when(out_of_window(turn, k), 0).otherwise(1), tier, F.desc("last_updated_turn"), F.desc(belief.authority_rank(F.col("authority"))), "belief_id")
     return state.where("state = 'active'").withColumn("rank", F.row_number().over(w))
 
@@ -157,16 +173,40 @@ def pack(ranked: DataFrame, budget: int, cost: str, by: str = "session_id", item
     return items.select(by, F.aggregate("items", start, step).alias("p")).select(by, "p.used", "p.admitted", "p.omitted")
 
 
+def _by_type(items: Column) -> Column:
+    """The counts of belief types, as "type=count" parts in alphabetical order."""
+    types = F.transform(items, lambda x: x["belief_type"])
+    return F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.concat(t, F.lit("="), F.size(F.filter(types, lambda x: x == t)).cast("string")))
+
+
 def overlay(beliefs: DataFrame, events: DataFrame, turn: int, budget: int, k: int = 20) -> DataFrame:
-    """The rendered overlay of each session: a header, and the admitted lines in order, within ``budget`` tokens."""
-    state = state_at(beliefs, events, turn)
+    """The rendered overlay of each session within ``budget`` tokens: a header, the admitted lines in order, and the counts of
+    omitted types where they still fit; with the counts of admitted and omitted types."""
+    state = full_state(beliefs, events, turn)
     line = belief.overlay_line(F.col("state"), F.col("belief_type"), F.col("claim"), F.col("authority"), F.col("last_updated_turn"))
     ranked = rank_overlay(state, turn, k).withColumn("line", line).withColumn("cost", belief.approx_tokens(F.col("line")) + 1)
-    head = f"# Operational belief overlay (budget: {budget} tokens, used: 9999, omitted: 99, K={k})"
-    reserve = max(1, (len(head) + 3) // 4) + 1
-    packed = pack(ranked, max(0, budget - reserve), "cost", item="line")
-    top = F.format_string(f"# Operational belief overlay (budget: {budget} tokens, used: %d, omitted: %d, K={k})", F.col("used"), F.size("omitted"))
-    return packed.select("session_id", F.concat_ws("\n", top, F.array_join("admitted", "\n")).alias("text"), F.col("used").alias("body_tokens"), F.size("admitted").cast("long").alias("n_admitted"), F.size("omitted").cast("long").alias("n_omitted"))
+    reserve = max(1, (len(HEADER.format(budget=budget, used=9999, omitted=99, k=k)) + 3) // 4) + 1
+    packed = pack(ranked, max(0, budget - reserve), "cost")
+    items = ranked.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "belief_id", "belief_type", "line"))).alias("items"))
+    j = packed.join(items, "session_id")
+    inside = F.filter("items", lambda x: F.array_contains("admitted", x["belief_id"]))
+    outside = F.filter("items", lambda x: F.array_contains("omitted", x["belief_id"]))
+    top = F.format_string(HEADER.format(budget=budget, used="%d", omitted="%d", k=k), F.col("used"), F.size("omitted"))
+    body = F.concat_ws("\n", top, F.transform(inside, lambda x: x["line"]))
+    trial = F.concat(body, F.lit("\n# omitted: "), F.array_join(_by_type(outside), ", "))
+    text = F.when((F.size("omitted") > 0) & (belief.approx_tokens(trial) <= budget), trial).otherwise(body)
+    return j.select(
+        "session_id", text.alias("text"), F.col("used").alias("body_tokens"), belief.approx_tokens(text).alias("tokens_used"), F.size("admitted").cast("long").alias("n_admitted"), F.size("omitted").cast("long").alias("n_omitted"),
+        F.array_join(_by_type(inside), ",").alias("admitted_by_type"), F.array_join(_by_type(outside), ",").alias("omitted_by_type"),
+    )
+
+
+def rank_clusters(clustered: DataFrame) -> DataFrame:
+    """Clusters of each session in overlay order, weakened and contradicted ones behind blockers; the last key is the sha256 of
+    the representative. clustered: session_id, belief_type, state, last_updated_turn, authority_rank, all_outside, representative."""
+    tier = F.when(F.col("belief_type").isin(*RANK_BLOCKERS), 1).when(F.col("state").isin("weakened", "contradicted"), 2).otherwise(5)
+    w = Window.partitionBy("session_id").orderBy(F.when(F.col("all_outside"), 0).otherwise(1), tier, F.desc("last_updated_turn"), F.desc("authority_rank"), F.sha2(F.col("representative").cast("string").cast("binary"), 256))
+    return clustered.withColumn("rank", F.row_number().over(w))
 
 
 def clusters(beliefs: DataFrame) -> DataFrame:
@@ -174,7 +214,7 @@ def clusters(beliefs: DataFrame) -> DataFrame:
     the window, and the representative: the latest active one, else the latest."""
     best = F.struct((F.col("state") == "active").cast("int"), "last_updated_turn", "belief_id")
     return beliefs.groupBy("session_id", "belief_type", "claim").agg(
-        F.count("*").alias("n"), F.max("last_updated_turn").alias("last_updated_turn"), F.max(belief.authority_rank(F.col("authority"))).alias("authority_rank"), F.bool_and("outside").alias("all_outside"), F.max_by("belief_id", best).alias("representative")
+        F.count("*").alias("n"), F.max("last_updated_turn").alias("last_updated_turn"), F.max(belief.authority_rank(F.col("authority"))).alias("authority_rank"), F.bool_and("outside").alias("all_outside"), F.max_by("belief_id", best).alias("representative"), F.max_by("state", best).alias("state")
     )
 
 

@@ -30,24 +30,38 @@ def ledger_state_all_turns(spark, d):
     return ledger.intervals(tables(spark, d)[1])
 
 
-@query(f"""WITH {SQL_STATE.format(turn=TURN)}, bl AS (SELECT *, CASE WHEN len(warrants) > 0 THEN warrants ELSE [last_updated_turn] END AS w FROM st
-  WHERE state = 'active' AND belief_type IN ('validation_pending', 'user_approval_pending', 'pipeline_failed'))
-SELECT session_id, 'synthetic:action_blocked:' || session_id || ':{TURN}' AS belief_id, 'action_blocked: ' || string_agg(belief_type, ', ' ORDER BY belief_type) AS claim,
-  CASE max(rank_authority) WHEN 3 THEN 'tool' WHEN 2 THEN 'user' ELSE 'assistant' END AS authority, array_to_string(list_sort(flatten(list(w))), ',') AS warrants,
-  min(created_turn) AS created_turn, max(last_updated_turn) AS last_updated_turn FROM bl GROUP BY session_id""")
+SQL_FULL = SQL_STATE.format(turn=TURN) + f""", bl AS (SELECT *, CASE WHEN len(warrants) > 0 THEN warrants ELSE [last_updated_turn] END AS w FROM st
+  WHERE state = 'active' AND belief_type IN ('validation_pending', 'user_approval_pending', 'pipeline_failed')),
+ab AS (SELECT session_id, 'synthetic:action_blocked:' || session_id || ':{TURN}' AS belief_id, 'action_blocked \u2014 ' || string_agg(belief_type, ', ' ORDER BY created_turn, belief_id) AS claim, max(rank_authority) AS rank_authority,
+  CASE max(rank_authority) WHEN 3 THEN 'tool' WHEN 2 THEN 'user' ELSE 'assistant' END AS authority, flatten(list(w ORDER BY created_turn, belief_id)) AS warrants,
+  min(created_turn) AS created_turn, max(last_updated_turn) AS last_updated_turn FROM bl GROUP BY session_id),
+fu AS (SELECT belief_id::VARCHAR AS belief_id, session_id, belief_type, claim, state, authority, rank_authority, warrants, created_turn, last_updated_turn FROM st
+  UNION ALL BY NAME SELECT *, 'action_blocked' AS belief_type, 'active' AS state FROM ab)"""
+
+
+def _full(spark, d):
+    return ledger.full_state(*tables(spark, d), TURN)
+
+
+@query(f"WITH {SQL_FULL} SELECT session_id, belief_id, claim, authority, array_to_string(warrants, ',') AS warrants, created_turn, last_updated_turn FROM ab")
 def action_blocked(spark, d):
     out = ledger.action_blocked(_state(spark, d), TURN)
     return out.select("session_id", "belief_id", "claim", "authority", F.array_join(F.col("warrant_turns").cast("array<string>"), ",").alias("warrants"), "created_turn", "last_updated_turn")
 
 
-SQL_RANK = f"""WITH {SQL_STATE.format(turn=TURN)}, rk AS (SELECT *, '[' || state || '] ' || belief_type || ' :: ' || claim || ' (auth=' || authority[1] || ', last=' || last_updated_turn || ')' AS line, row_number() OVER (PARTITION BY session_id ORDER BY
-  CASE WHEN coalesce(list_min(warrants), created_turn) <= {TURN - 20} AND coalesce(list_max(warrants), created_turn) <= {TURN - 20} THEN 0 ELSE 1 END,
-  CASE WHEN belief_type IN ('validation_pending', 'user_approval_pending', 'pipeline_failed') THEN 1 ELSE 5 END, last_updated_turn DESC, rank_authority DESC, belief_id) AS rank FROM st WHERE state = 'active')"""
+@query(f"WITH {SQL_FULL} SELECT session_id, count(*) FILTER (state = 'active') AS n_active, count(*) FILTER (state = 'retired') AS n_retired, count(*) FILTER (state = 'contradicted') AS n_contradicted FROM fu GROUP BY 1")
+def state_counts(spark, d):
+    return ledger.state_counts(_full(spark, d))
+
+
+SQL_RANK = f"""WITH {SQL_FULL}, rk AS (SELECT *, '[' || state || '] ' || belief_type || ' :: ' || claim[:80] || ' (auth=' || authority || ', last=' || last_updated_turn || ')' AS line, row_number() OVER (PARTITION BY session_id ORDER BY
+  CASE WHEN coalesce(warrants[1], created_turn) <= {TURN - 20} AND coalesce(warrants[-1], created_turn) <= {TURN - 20} THEN 0 ELSE 1 END,
+  CASE WHEN belief_type IN ('action_blocked', 'validation_pending', 'user_approval_pending', 'pipeline_failed', 'pipeline_running') THEN 1 ELSE 5 END, last_updated_turn DESC, rank_authority DESC, belief_id) AS rank FROM fu WHERE state = 'active')"""
 
 
 @query(SQL_RANK + " SELECT session_id, belief_id, rank FROM rk")
 def overlay_rank(spark, d):
-    return ledger.rank_overlay(_state(spark, d), TURN).select("session_id", "belief_id", F.col("rank").cast("long").alias("rank"))
+    return ledger.rank_overlay(_full(spark, d), TURN).select("session_id", "belief_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH RECURSIVE {SQL_RANK[5:]}" + """, it AS (SELECT session_id, belief_id, rank, greatest(1, (length(line) + 3) // 4) + 1 AS cost FROM rk),
@@ -57,22 +71,47 @@ p AS (SELECT session_id, 0 AS i, 0 AS used, '' AS admitted, 0 AS omitted FROM (S
 SELECT session_id, cast(arg_max(used, i) AS BIGINT) AS used, arg_max(admitted, i) AS admitted, cast(arg_max(omitted, i) AS BIGINT) AS omitted FROM p GROUP BY 1""")
 def overlay_pack(spark, d):
     line = belief.overlay_line(F.col("state"), F.col("belief_type"), F.col("claim"), F.col("authority"), F.col("last_updated_turn"))
-    ranked = ledger.rank_overlay(_state(spark, d), TURN).withColumn("cost", belief.approx_tokens(line) + 1)
+    ranked = ledger.rank_overlay(_full(spark, d), TURN).withColumn("cost", belief.approx_tokens(line) + 1)
     out = ledger.pack(ranked, 45, "cost")
     return out.select("session_id", "used", F.concat(F.array_join("admitted", ","), F.when(F.size("admitted") > 0, ",").otherwise("")).alias("admitted"), F.size("omitted").cast("long").alias("omitted"))
 
 
-@query()
+SQL_OVERLAY = f"WITH RECURSIVE {SQL_RANK[5:]}" + """, it AS (SELECT session_id, belief_id, belief_type, line, rank, greatest(1, (length(line) + 3) // 4) + 1 AS cost FROM rk),
+p AS (SELECT session_id, 0 AS i, 0 AS used, []::VARCHAR[] AS yes FROM (SELECT DISTINCT session_id FROM it) UNION ALL
+  SELECT p.session_id, i + 1, CASE WHEN used + cost <= 78 THEN used + cost ELSE used END, CASE WHEN used + cost <= 78 THEN list_append(yes, it.belief_id) ELSE yes END FROM p JOIN it ON it.session_id = p.session_id AND it.rank = p.i + 1),
+e AS (SELECT session_id, arg_max(used, i) AS used, arg_max(yes, i) AS yes FROM p GROUP BY 1),
+m AS (SELECT it.*, used, list_contains(yes, belief_id) AS ok FROM it JOIN e USING (session_id)),
+ct AS (SELECT session_id, string_agg(belief_type || '=' || n, ',' ORDER BY belief_type) FILTER (ok) AS a, string_agg(belief_type || '=' || n, ',' ORDER BY belief_type) FILTER (NOT ok) AS o FROM (SELECT session_id, ok, belief_type, count(*) AS n FROM m GROUP BY ALL) GROUP BY 1),
+bd AS (SELECT session_id, max(used) AS used, count(*) FILTER (ok) AS n_admitted, count(*) FILTER (NOT ok) AS n_omitted,
+  '# Operational belief overlay (budget: 100 tokens, used: ' || max(used) || ', omitted: ' || count(*) FILTER (NOT ok) || ', K=20)' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY rank) FILTER (ok), '') AS body FROM m GROUP BY 1),
+tx AS (SELECT *, CASE WHEN n_omitted > 0 AND (length(body || chr(10) || '# omitted: ' || replace(o, ',', ', ')) + 3) // 4 <= 100 THEN body || chr(10) || '# omitted: ' || replace(o, ',', ', ') ELSE body END AS text FROM bd JOIN ct USING (session_id))
+SELECT session_id, text, cast(used AS BIGINT) AS body_tokens, (length(text) + 3) // 4 AS tokens_used, n_admitted, n_omitted, coalesce(a, '') AS admitted_by_type, coalesce(o, '') AS omitted_by_type FROM tx"""
+
+
+@query(SQL_OVERLAY)
 def overlay_text(spark, d):
     return ledger.overlay(*tables(spark, d), TURN, 100)
 
 
-@query(f"""WITH {SQL_STATE.format(turn=TURN)}, o AS (SELECT *, coalesce(list_min(warrants), created_turn) <= {TURN - 20} AND coalesce(list_max(warrants), created_turn) <= {TURN - 20} AS outside FROM st)
-SELECT session_id % 10 AS session_id, belief_type, count(*) AS n, max(last_updated_turn) AS last_updated_turn, max(rank_authority) AS authority_rank, bool_and(outside) AS all_outside,
-  arg_max(belief_id, {{'a': (state = 'active')::INT, 'b': last_updated_turn, 'c': belief_id}}) AS representative FROM o GROUP BY 1, 2""")
+SQL_CLUSTERS = f"""WITH {SQL_STATE.format(turn=TURN)}, o AS (SELECT *, 'claim ' || belief_id % 3 AS cl, coalesce(warrants[1], created_turn) <= {TURN - 20} AND coalesce(warrants[-1], created_turn) <= {TURN - 20} AS outside FROM st),
+cu AS (SELECT session_id % 10 AS session_id, belief_type, cl AS claim, count(*) AS n, max(last_updated_turn) AS last_updated_turn, max(rank_authority) AS authority_rank, bool_and(outside) AS all_outside,
+  arg_max(belief_id, {{'a': (state = 'active')::INT, 'b': last_updated_turn, 'c': belief_id}}) AS representative, arg_max(state, {{'a': (state = 'active')::INT, 'b': last_updated_turn, 'c': belief_id}}) AS state FROM o GROUP BY 1, 2, 3)"""
+
+
+def _clusters(spark, d):
+    s = _state(spark, d).withColumns({"outside": ledger.out_of_window(TURN, 20), "claim": F.concat(F.lit("claim "), (F.col("belief_id") % 3).cast("string")), "session_id": F.col("session_id") % 10})
+    return ledger.clusters(s)
+
+
+@query(SQL_CLUSTERS + " SELECT * FROM cu")
 def overlay_clusters(spark, d):
-    s = _state(spark, d).withColumns({"outside": ledger.out_of_window(TURN, 20), "claim": F.lit("one"), "session_id": F.col("session_id") % 10})
-    return ledger.clusters(s).drop("claim")
+    return _clusters(spark, d)
+
+
+@query(SQL_CLUSTERS + """ SELECT session_id, representative, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN all_outside THEN 0 ELSE 1 END,
+  CASE WHEN belief_type IN ('action_blocked', 'validation_pending', 'user_approval_pending', 'pipeline_failed', 'pipeline_running') THEN 1 WHEN state IN ('weakened', 'contradicted') THEN 2 ELSE 5 END, last_updated_turn DESC, authority_rank DESC, sha256(representative::VARCHAR)) AS rank FROM cu""")
+def cluster_rank(spark, d):
+    return ledger.rank_clusters(_clusters(spark, d)).select("session_id", "representative", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {SQL_SESSION}, l AS (SELECT session_id, event_id AS line, CASE WHEN kind <> 'view' THEN k % 6 END AS turn_id FROM se),
@@ -141,13 +180,19 @@ def hash_chain(spark, d):
     return ledger.hash_chain(lines)
 
 
-@query(f"""WITH {SQL_SESSION}, l AS (SELECT session_id, turn + 1 AS line FROM se WHERE NOT (session_id % 5 = 0 AND turn = 7)), c AS (SELECT session_id, count(*) AS n, max(line) AS top FROM l GROUP BY 1)
-SELECT session_id, 'line_count' AS "check", n = top AS ok, n AS detail FROM c UNION ALL SELECT session_id, x, true, 0 FROM c, (VALUES ('unrecognized'), ('contiguity'), ('hashes'), ('rule_failures')) v(x)""")
+@query(f"""WITH {SQL_SESSION}, g AS (SELECT * FROM se WHERE NOT (session_id % 5 = 0 AND turn = 7)), l AS (SELECT session_id, turn + 1 AS line, k = 13 AS unknown, k % 41 = 7 AS bad FROM g),
+c AS (SELECT session_id, count(*) AS n, max(line) AS top, count(*) FILTER (unknown) AS u, count(*) FILTER (bad) AS b FROM l GROUP BY 1),
+i AS (SELECT session_id, k AS turn, row_number() OVER (PARTITION BY session_id, k ORDER BY event_id) - 1 AS idx FROM g),
+t AS (SELECT session_id, count(*) AS n, count(DISTINCT idx) AS d, max(idx) AS top FROM i WHERE NOT (turn = 20 AND idx = 0) GROUP BY session_id, turn),
+y AS (SELECT session_id, count(*) FILTER (n <> d OR top <> n - 1) AS gaps FROM t GROUP BY 1), f AS (SELECT session_id, count(*) AS fails FROM g WHERE k = 30 GROUP BY 1)
+SELECT session_id, 'line_count' AS "check", n = top AS ok, n AS detail FROM c UNION ALL SELECT session_id, 'unrecognized', u = 0, u FROM c UNION ALL SELECT session_id, 'hashes', b = 0, b FROM c
+UNION ALL SELECT session_id, 'contiguity', coalesce(gaps, 0) = 0, coalesce(gaps, 0) FROM c LEFT JOIN y USING (session_id) UNION ALL SELECT session_id, 'rule_failures', coalesce(fails, 0) = 0, coalesce(fails, 0) FROM c LEFT JOIN f USING (session_id)""")
 def verify_checks(spark, d):
     e = session_events(spark, d).where("not (session_id % 5 = 0 and turn = 7)")
-    lines = e.select("session_id", (F.col("turn") + 1).alias("line"), F.col("props").alias("raw"), F.sha2(F.col("props").cast("binary"), 256).alias("sha"), F.lit("mapped").alias("status"))
-    indexed = ledger.event_index(e.select("session_id", F.col("k").alias("turn"), F.col("event_id").alias("line")))
-    return ledger.verify(lines, indexed)
+    sha = F.when(F.col("k") % 41 == 7, "damaged").otherwise(F.sha2(F.col("props").cast("binary"), 256))
+    lines = e.select("session_id", (F.col("turn") + 1).alias("line"), F.col("props").alias("raw"), sha.alias("sha"), F.when(F.col("k") == 13, "unrecognized").otherwise("mapped").alias("status"))
+    indexed = ledger.event_index(e.select("session_id", F.col("k").alias("turn"), F.col("event_id").alias("line"))).where("not (turn = 20 and event_idx = 0)")
+    return ledger.verify(lines, indexed, e.where("k = 30").select("session_id"))
 
 
 @query(f"WITH {SQL_SESSION} SELECT event_id, 'bel-' || substr(sha256(session_id || chr(10) || kind || chr(10) || event_id), 1, 12) AS belief_id FROM se")

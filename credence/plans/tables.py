@@ -60,7 +60,7 @@ b AS (SELECT belief_id, session_id, min(at_turn) AS created_turn,
   'claim ' || belief_id AS claim FROM be GROUP BY ALL)"""
 SQL_STATE = SQL_LEDGER + """,
 seen AS (SELECT * FROM be WHERE eff <= {turn}),
-last AS (SELECT belief_id, arg_max(kind, {{'a': eff, 'b': at_turn, 'c': belief_event_id}}) AS kind, max(eff) AS last_updated_turn,
+last AS (SELECT belief_id, arg_max(kind, {{'a': eff, 'b': at_turn, 'c': belief_event_id}}) AS kind, arg_max(at_turn, {{'a': eff, 'b': at_turn, 'c': belief_event_id}}) AS last_updated_turn,
   max(CASE authority WHEN 'tool' THEN 3 WHEN 'user' THEN 2 ELSE 1 END) AS rank_authority,
   list_sort(list(eff) FILTER (kind IN ('born', 'refreshed', 'confirmed'))) AS warrants FROM seen GROUP BY 1),
 st AS (SELECT b.*, last.last_updated_turn, CASE rank_authority WHEN 3 THEN 'tool' WHEN 2 THEN 'user' ELSE 'assistant' END AS authority, rank_authority,

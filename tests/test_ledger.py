@@ -29,7 +29,7 @@ def brute_state(turn):
         seen = sorted(((eff if eff is not None else at), at, i, kind, auth) for i, b, kind, at, eff, auth in EVENTS if b == belief and (eff if eff is not None else at) <= turn)
         if seen and created <= turn:
             rank = max(("assistant", "user", "tool").index(x[4]) for x in seen)
-            out[belief] = (ledger.STATE_OF[seen[-1][3]], ("assistant", "user", "tool")[rank], seen[-1][0], [x[0] for x in seen if x[3] in ("born", "refreshed", "confirmed")])
+            out[belief] = (ledger.STATE_OF[seen[-1][3]], ("assistant", "user", "tool")[rank], seen[-1][1], [x[0] for x in seen if x[3] in ("born", "refreshed", "confirmed")])
     return out
 
 
@@ -45,15 +45,37 @@ def test_state_at(spark, turn):
 def test_blocked_and_overlay(spark):
     b, e = tables(spark)
     r = ledger.action_blocked(ledger.state_at(b, e, 7), 7).where("session_id = 's'").first()
-    assert (r.claim, r.authority, r.warrant_turns, r.created_turn, r.last_updated_turn) == ("action_blocked: user_approval_pending, validation_pending", "tool", [2, 4, 5], 2, 5)
+    assert (r.claim, r.authority, r.warrant_turns, r.created_turn, r.last_updated_turn) == ("action_blocked \u2014 validation_pending, user_approval_pending", "tool", [2, 5, 4], 2, 5)
     assert ledger.action_blocked(ledger.state_at(b, e, 9), 9).where("session_id = 's'").count() == 0
     ranked = [x.belief_id for x in ledger.rank_overlay(ledger.state_at(b, e, 7), 7).where("session_id = 's'").orderBy("rank").collect()]
     assert ranked == ["b1", "b3", "b2"]
     far = [x.belief_id for x in ledger.rank_overlay(ledger.state_at(b, e, 12), 12, k=4).where("session_id = 's'").orderBy("rank").collect()]
     assert far[0] == "b2"  # out of the window comes first
     text = {x.session_id: x for x in ledger.overlay(b, e, 7, 60).collect()}["s"]
-    assert text.n_admitted + text.n_omitted == 3 and text.n_omitted > 0 and len(text.text) <= 60 * 4
-    assert ledger.overlay(b, e, 7, 500).where("session_id = 's'").first().n_admitted == 3
+    assert text.n_admitted + text.n_omitted == 4 and text.n_omitted > 0 and len(text.text) <= 60 * 4
+    whole = ledger.overlay(b, e, 7, 500).where("session_id = 's'").first()
+    used = sum((len(x) + 3) // 4 + 1 for x in whole.text.split("\n")[1:])
+    assert whole.body_tokens == used and whole.text.split("\n") == [
+        f"# Operational belief overlay (budget: 500 tokens, used: {used}, omitted: 0, K=20)",
+        "[active] validation_pending :: run the tests (auth=tool, last=5)",
+        "[active] action_blocked :: action_blocked \u2014 validation_pending, user_approval_pending (auth=tool, last=5)",
+        "[active] user_approval_pending :: may I deploy (auth=user, last=4)",
+        "[active] fix_attempted :: patched the parser (auth=user, last=7)",
+    ] and whole.n_admitted == 4
+    assert whole.admitted_by_type == "action_blocked=1,fix_attempted=1,user_approval_pending=1,validation_pending=1" and whole.omitted_by_type == ""
+    counts = {r.session_id: (r.n_active, r.n_retired, r.n_contradicted) for r in ledger.state_counts(ledger.full_state(b, e, 9)).collect()}
+    assert counts == {"s": (2, 1, 1), "t": (2, 0, 0)}
+
+
+def test_latest_event_gives_the_observed_turn(spark):
+    """A belief minted late (observed at 9, in effect from 4) was last updated at 9; superseded means retired; a running
+    pipeline ranks as a blocker."""
+    b = spark.createDataFrame([("r", "s", "pipeline_running", "running", 4), ("x", "s", "report_ready", "old report", 1), ("y", "s", "report_ready", "new report", 9)], "belief_id string, session_id string, belief_type string, claim string, created_turn int")
+    e = spark.createDataFrame([(1, "r", "born", 9, 4, "tool"), (2, "x", "born", 1, None, "assistant"), (3, "x", "superseded", 5, None, "assistant"), (4, "y", "born", 9, None, "user")], "belief_event_id int, belief_id string, kind string, at_turn int, effective_turn int, authority string")
+    got = {r.belief_id: (r.state, r.last_updated_turn, r.effective_turn) for r in ledger.state_at(b, e, 9).collect()}
+    assert got == {"r": ("active", 9, 4), "x": ("retired", 5, 5), "y": ("active", 9, 9)}
+    assert [r.belief_id for r in ledger.rank_overlay(ledger.full_state(b, e, 9), 9).orderBy("rank").collect()] == ["r", "y"]
+    assert ledger.action_blocked(ledger.state_at(b, e, 9), 9).count() == 0
 
 
 def test_pack_skips_what_does_not_fit(spark):
