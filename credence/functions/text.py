@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pattern banks, tried in order.
-APPROVAL_REQUEST = [r"(?i)\b(may|shall|should|can) i\b", r"(?i)\b(do you want|is it ok|okay) (me )?to\b", r"(?i)\bplease (confirm|approve)\b"]
-APPROVAL_GRANT = [r"(?i)^\s*(yes|ok|okay|approved|go ahead)\b"]
-APPROVAL_DENY = [r"(?i)^\s*(no|stop|do not|don't)\b"]
-REPORT_PATHS = [r"(?i)report[^/]*\.(md|html|pdf)$", r"(?i)/reports?/"]
-VALIDATION_TOOLS = ["pytest", "tox", "ruff", "mypy"]
-VALIDATION_COMMANDS = [r"^\s*(python -m )?pytest\b", r"^\s*(npm|yarn) (run )?test\b", r"^\s*make (test|check)\b", r"^\s*cargo test\b", r"^\s*go test\b"]
+#: Pattern banks, tried in order, tools that validate and edit, and the marks of a tool's success.
+APPROVAL_REQUEST = [
+    r"(?i)should I (proceed|continue|deploy|commit|push|run|delete|drop)", r"(?i)can I (proceed|continue|deploy|commit|push|run|delete|drop)", r"(?i)are you ok with",
+    r"(?i)do you want me to", r"(?i)shall I", r"(?i)awaiting (your )?approval",
+]
+APPROVAL_GRANT = [r"(?i)^(yes|sure|go ahead|approved|proceed|do it|ok|okay)\b", r"(?i)\bsounds good\b", r"(?i)\bplease (do|proceed|continue)\b"]
+APPROVAL_DENY = [r"(?i)^(no|stop|hold on|wait|don't|do not|cancel)\b", r"(?i)\b(reject|denied|refuse)\b"]
+REPORT_PATHS = [r"report\.html$", r"report\.pdf$", r"report\.md$", r"REPORT[_\-].*\.md$", r"/reports/", r"summary\.(md|html|pdf)$"]
+VALIDATION_TOOLS = ["pytest", "npm_test", "cargo_test", "go_test", "jest", "mocha", "lint", "typecheck", "mypy", "tsc", "eslint", "rubocop", "build", "make", "cargo_build", "go_build"]
+VALIDATION_COMMANDS = [
+    r"^pytest\b", r"^npm (run )?test\b", r"^cargo test\b", r"^go test\b", r"^npx jest\b", r"^mypy\b",
+    r"^npx tsc\b", r"^eslint\b", r"^npm (run )?build\b", r"^make\b", r"^cargo build\b", r"^go build\b",
+]
+EDIT_TOOLS = ["write_file", "edit_file", "apply_patch"]
+SUCCESS_MARKS = ["Patch applied", "Successfully applied", "Wrote file", "Created file", "Updated file", "Done."]
 
 
 def first_match(text: Column, bank: list[str]) -> Column:

@@ -26,7 +26,8 @@ class Session:
     turn: int = -1
 
     def step(self, e: dict) -> Iterator[tuple]:
-        """The rows that one event emits; an event: event_id, turn, kind, call_id, exit_code, signature, path, grants, denies."""
+        """The rows that one event emits; an event: event_id, turn, kind, call_id, exit_code, signature, path (several
+        as lines), grants, denies."""
         turn, now = int(e["turn"]), int(e["event_id"])
         if turn > self.turn:
             for call, (at, event, _) in self.calls.items():
@@ -78,8 +79,9 @@ class Session:
 
 
 def _overlap(a: str, b: str) -> bool:
-    a, b = a.rstrip("/"), b.rstrip("/")
-    return a == b or a.startswith(b + "/") or b.startswith(a + "/")
+    """Whether one of the paths of a (one a line) is one of b's or lies below or above it."""
+    pairs = [(x.rstrip("/"), y.rstrip("/")) for x in a.split("\n") for y in b.split("\n")]
+    return any(x == y or x.startswith(y + "/") or y.startswith(x + "/") for x, y in pairs)
 
 
 def emit(session: str, state: Session, rows: pd.DataFrame) -> list[tuple]:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 EVENT = "id string, timestamp string, text string, metadata map<string,string>, outcome string"
 EVENT_STRUCT = "struct<id:string,timestamp:string,text:string,metadata:map<string,string>,outcome:string>"
 TURN = "uuid string, parentUuid string, timestamp string, type string, cwd string, gitBranch string, isSidechain boolean, message struct<role:string,content:string>"
@@ -18,13 +20,20 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def instant(text) -> object:
+    """A timestamp without zone from ISO text; an offset is applied (the session's zone is taken as UTC), digits beyond
+    microseconds are dropped, bad text gives null."""
+    cut = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    return F.try_to_timestamp(cut).cast("timestamp_ntz")
+
+
 def load_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of JSON lines; blank lines and those that start with # are skipped, bad ones raise with their place."""
     lines = numbered_lines(spark, path).where((F.trim("raw") != "") & ~F.startswith(F.ltrim("raw"), F.lit("#")))
     e = F.from_json("raw", EVENT)
     fault = F.raise_error(F.concat(F.lit("bad event at "), "path", F.lit(":"), F.col("line").cast("string")))
     lines = lines.withColumn("e", F.when(e.isNotNull() & e["id"].isNotNull() & e["timestamp"].isNotNull(), e).otherwise(fault.cast(EVENT_STRUCT)))
-    ts = F.to_timestamp_ntz(F.regexp_replace(F.substring("e.timestamp", 1, 26), "Z$", ""))
+    ts = instant(F.col("e.timestamp"))
     empty = F.expr("cast(map() as map<string,string>)")
     return lines.select(F.col("e.id").alias("id"), ts.alias("timestamp"), F.coalesce("e.text", F.lit("")).alias("text"), F.coalesce("e.metadata", empty).alias("metadata"), F.col("e.outcome").alias("outcome"))
 
@@ -36,11 +45,48 @@ def session_id(path) -> object:
     return F.when(parent != "", F.concat(F.lit("subagent::"), F.substring(parent, 1, 8), F.lit("::"), stem)).otherwise(F.concat(F.lit("main::"), stem))
 
 
+def _summary(name, given):
+    """What is kept of a tool's input (JSON text): the command, the file, the pattern, else the whole, shortened."""
+    field = lambda k: F.get_json_object(given, f"$.{k}")
+    return (
+        F.when(given.isNull(), "")
+        .when(name == "Bash", text.shortened(F.coalesce(field("command"), F.lit("")), 400))
+        .when(name.isin("Edit", "Write", "MultiEdit", "Read"), F.concat(F.lit("file="), F.coalesce(field("file_path"), F.lit("?"))))
+        .when(name == "Grep", F.concat(F.lit("pattern="), F.substring(F.coalesce(field("pattern"), F.lit("?")), 1, 120)))
+        .when(name == "Glob", F.concat(F.lit("pattern="), F.coalesce(field("pattern"), F.lit("?"))))
+        .otherwise(text.shortened(given, 300))
+    )
+
+
+def parts_of(content) -> tuple:
+    """(text, tool_uses, tool_results) of a message's content, which is text or a JSON array of parts."""
+    listed = F.startswith(F.ltrim(content), F.lit("["))
+    items = F.coalesce(F.when(listed, F.from_json(content, "array<string>")), F.expr("cast(array() as array<string>)"))
+    get = lambda x, k: F.get_json_object(x, f"$.{k}")
+    of = lambda kind: F.filter(items, lambda x: get(x, "type") == kind)
+    said = F.array_join(F.filter(F.transform(items, lambda x: F.when(get(x, "type") == "text", get(x, "text")).when(get(x, "type").isNull(), x)), lambda x: x.isNotNull()), "\n")
+    uses = F.transform(of("tool_use"), lambda x: F.struct(get(x, "name").alias("name"), get(x, "id").alias("tool_use_id"), _summary(get(x, "name"), get(x, "input")).alias("input_summary")))
+
+    def output(x):
+        inner = get(x, "content")
+        blocks = F.from_json(inner, "array<string>")
+        joined = F.array_join(F.filter(F.transform(blocks, lambda y: F.when(get(y, "type") == "text", get(y, "text"))), lambda y: y.isNotNull()), "\n")
+        return text.shortened(F.coalesce(F.when(F.startswith(F.ltrim(inner), F.lit("[")), joined), inner, F.lit("")), 600)
+
+    results = F.transform(of("tool_result"), lambda x: F.struct(get(x, "tool_use_id").alias("tool_use_id"), output(x).alias("output_summary"), F.coalesce(get(x, "is_error") == "true", F.lit(False)).alias("is_error")))
+    return F.when(listed, said).otherwise(F.coalesce(content, F.lit(""))), uses, results
+
+
 def load_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """User and assistant turns of session logs; bad lines are skipped; turn_idx counts the kept ones of a file."""
+    """User and assistant turns of session logs with their tool uses and results; bad lines are skipped; turn_idx counts the kept
+    ones of a file."""
     t = numbered_lines(spark, path).withColumn("t", F.from_json("raw", TURN)).where(F.col("t.type").isin("user", "assistant"))
     idx = F.row_number().over(Window.partitionBy("path").orderBy("line")) - 1
-    return t.select(session_id(F.col("path")).alias("session_id"), idx.cast("long").alias("turn_idx"), F.col("t.uuid").alias("uuid"), F.col("t.parentUuid").alias("parent_uuid"), F.col("t.timestamp").alias("timestamp"), F.col("t.type").alias("role"), F.coalesce("t.message.content", F.lit("")).alias("text"))
+    said, uses, results = parts_of(F.get_json_object("raw", "$.message.content"))
+    return t.select(
+        session_id(F.col("path")).alias("session_id"), idx.cast("long").alias("turn_idx"), F.col("t.uuid").alias("uuid"), F.col("t.parentUuid").alias("parent_uuid"), F.col("t.timestamp").alias("timestamp"), F.col("t.type").alias("role"),
+        said.alias("text"), uses.alias("tool_uses"), results.alias("tool_results"), F.col("t.cwd").alias("cwd"), F.col("t.gitBranch").alias("git_branch"), F.coalesce("t.isSidechain", F.lit(False)).alias("is_sidechain"), text.is_meta(F.col("t.type"), said).alias("is_meta"),
+    )
 
 
 def load_rollout(spark: SparkSession, path: str) -> DataFrame:
@@ -67,10 +113,16 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"event_type": event, "status": status, "turn_id": F.get_json_object("raw", "$.payload.turn_id"), "call_id": F.get_json_object("raw", "$.payload.call_id")})
 
 
-def tool_outcome(output):
-    """struct(exit_code, outcome) of a tool's output text."""
+def tool_outcome(output, tool=None):
+    """struct(exit_code, outcome) of a tool's output text: by the exit code it names; without one, a shell call is unknown and
+    other tools have succeeded if a mark of success is there (exit code 0)."""
     code = F.nullif(F.regexp_extract(output, r"Process exited with code (\d+)", 1), F.lit("")).cast("int")
-    return F.struct(code.alias("exit_code"), F.when(code == 0, "success").when(code.isNotNull(), "failure").otherwise("unknown").alias("outcome"))
+    tool = F.lit("") if tool is None else F.coalesce(tool, F.lit(""))
+    marked = F.lit(False)
+    for mark in text.SUCCESS_MARKS:
+        marked = marked | F.coalesce(F.contains(output, F.lit(mark)), F.lit(False))
+    said = F.when(code == 0, "success").when(code.isNotNull(), "failure").when((tool != "exec_command") & marked, "success").otherwise("unknown")
+    return F.struct(F.coalesce(code, F.when(said == "success", 0)).alias("exit_code"), said.alias("outcome"))
 
 
 def first_command_word(commands: DataFrame, column: str = "command") -> DataFrame:
