@@ -14,24 +14,36 @@ def vector_sums(rows: DataFrame, by: list[str], vec: str) -> DataFrame:
     return each.groupBy(*by).agg(F.max("k").alias("k"), F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("total"))
 
 
-def windowed(events: DataFrame, days: int) -> DataFrame:
-    """Each actor's events copied to the days whose window [day - days, day] holds them, both ends included.
+def windowed(events: DataFrame, days: int, back: int = 0) -> DataFrame:
+    """Each actor's events copied to the days whose window [day - back - days, day - back] holds them, both ends included.
 
     A row becomes days + 1 rows at most, and only days on which its actor has an event stay."""
-    spread = events.withColumn("day", F.explode(F.sequence(F.col("date"), F.date_add("date", days))))
+    spread = events.withColumn("day", F.explode(F.sequence(F.date_add("date", back), F.date_add("date", back + days))))
     present = events.select("actor", F.col("date").alias("day")).distinct()
     return spread.join(present, ["actor", "day"])
 
 
-def dispersion_and_drift(events: DataFrame, days: int = 7) -> DataFrame:
+def dispersion_and_drift(events: DataFrame, days: int = 7, back: int = 7) -> DataFrame:
     """By actor and day: n, dispersion (1 - mean cosine between the window's members, by the closed form of unit vectors)
-    and drift (1 - cosine with the centroid of the actor's day before in the series). events: actor, date, embedding."""
+    and drift (1 - cosine with the centroid of the actor's window ``back`` days earlier, null if that is empty). events: actor,
+    date, embedding."""
     units = events.withColumn("u", vector.unit(F.col("embedding"))).where(vector.norm(F.col("embedding")) > 0)
     sums = vector_sums(windowed(units, days), ["actor", "day"], "u")
+    before = vector_sums(windowed(units, days, back), ["actor", "day"], "u").select("actor", "day", F.col("total").alias("before"))
     k = F.col("k")
     mean = F.when(k > 1, (vector.dot(F.col("total"), F.col("total")) - k) / (k * (k - 1)))
-    before = F.lag("total").over(Window.partitionBy("actor").orderBy("day"))
-    return sums.withColumn("dispersion", 1 - mean).withColumn("before", before).select("actor", "day", k.alias("n"), "dispersion", F.when(F.col("before").isNotNull(), 1 - vector.cosine(F.col("total"), F.col("before"))).alias("drift"))
+    out = sums.withColumn("dispersion", 1 - mean).join(before, ["actor", "day"], "left")
+    return out.select("actor", "day", k.alias("n"), "dispersion", F.when(F.col("before").isNotNull(), 1 - vector.cosine(F.col("total"), F.col("before"))).alias("drift"))
+
+
+def member_centroids(storms: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """storm_id, the number of members with an embedding and their mean embedding (null where there is none).
+
+    storms: storm_id, event_ids (array); embeddings: event_id, embedding."""
+    members = storms.select("storm_id", F.explode("event_ids").alias("event_id"))
+    sums = vector_sums(members.join(embeddings, "event_id"), ["storm_id"], "embedding")
+    out = storms.select("storm_id").join(sums, "storm_id", "left")
+    return out.select("storm_id", F.coalesce("k", F.lit(0)).alias("n"), F.transform("total", lambda x: x / F.col("k")).alias("centroid"))
 
 
 def density(events: DataFrame, days: int = 7, least: float = 0.3) -> DataFrame:
@@ -150,6 +162,79 @@ def grid_summary(daily: DataFrame) -> DataFrame:
     return daily.groupBy("x", "y").agg(F.avg("density").alias("density"), F.avg(F.when(F.col("density") > 0, F.col("pressure"))).alias("pressure"), F.sum("born").alias("born"), F.sum("retired").alias("retired"))
 
 
+def parent_flux(rows: DataFrame) -> DataFrame:
+    """By day and cell: births whose parent claims another cell that day come in (flux_in), and out of the parent's cell
+    (flux_out). rows: as_of, expectation_id, parent_id, direction, breadth."""
+    x, y = binned(F.col("direction"), [-1.01, -0.2, 0.2, 1.01]), binned(F.col("breadth"), [1, 4, 8, 101])
+    placed = rows.select("as_of", "expectation_id", "parent_id", x.alias("x"), y.alias("y")).where("x is not null and y is not null")
+    first = placed.groupBy("expectation_id").agg(F.min("as_of").alias("as_of"))
+    born = placed.join(first, ["expectation_id", "as_of"]).where("parent_id is not null")
+    parent = placed.select("as_of", F.col("expectation_id").alias("parent_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    moved = born.join(parent, ["as_of", "parent_id"]).where("x <> px or y <> py")
+    ends = F.explode(F.array(F.struct("x", "y", F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0).alias("i"), F.lit(1).alias("o"))))
+    return moved.select("as_of", ends.alias("e")).groupBy("as_of", "e.x", "e.y").agg(F.sum("e.i").alias("flux_in"), F.sum("e.o").alias("flux_out"))
+
+
+def mortality(rows: DataFrame, days: int = 7) -> DataFrame:
+    """By day: retirements of the last ``days`` days over the mean number of expectations of these days; rows: as_of,
+    expectation_id, event."""
+    daily = rows.groupBy("as_of").agg(F.count("*").alias("n"), F.count_if(F.col("event").isin("retired", "died")).alias("gone"))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.unix_date("as_of")).rangeBetween(-(days - 1), 0)  # one row a day
+    return daily.select("as_of", (F.sum("gone").over(w) / F.avg("n").over(w)).alias("mortality"))
+
+
+#: Limits of cohort reading, and the points of a question's pressure.
+GROUP, FRAGMENTED, COHERENT, EMERGING, REPEATING = 3, 0.33, 0.66, 0.5, 0.66
+POINTS = {"transitions": 10, "emerging": 15, "tension": 10}
+
+
+def cohort_groups(members: DataFrame) -> DataFrame:
+    """The classes of a question's members of at least GROUP: question_id, state_class, n, members (sorted), n_same (in it before
+    too), n_known, and how it reads: emerging, repeating or neither. members: question_id, actor, state_class, prior_class."""
+    same = F.col("prior_class") == F.col("state_class")
+    g = members.where("state_class is not null").groupBy("question_id", "state_class").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("actor")).alias("members"), F.count_if(same).alias("n_same"), F.count("prior_class").alias("n_known"))
+    any_known = F.max("n_known").over(Window.partitionBy("question_id")) > 0
+    share = F.col("n_same") / F.col("n")
+    reads = F.when(~any_known, None).when(share < EMERGING, "emerging").when(share >= REPEATING, "repeating")
+    return g.withColumn("reads", reads).where(F.col("n") >= GROUP)
+
+
+def cohort_state(cohorts: DataFrame, snapshot: DataFrame, prior: DataFrame, tension: list[str]) -> DataFrame:
+    """Each question's cohort as a whole: members seen and missing, classes, dominant class with its share, cohesion in words,
+    transitions, pressure and triggers. cohorts: question_id, cohort (array); snapshot: actor, state_class; prior: actor,
+    prior_class. A cohort is a list of a question, so its members are few."""
+    each = cohorts.select("question_id", F.explode(F.array_distinct("cohort")).alias("actor"))
+    seen = each.join(snapshot, "actor").join(prior, "actor", "left")
+    groups = cohort_groups(seen).groupBy("question_id").agg(
+        F.count("*").alias("n_groups"), F.count_if(F.col("reads") == "emerging").alias("n_emerging"), F.count_if(F.col("reads") == "repeating").alias("n_repeating"), F.count_if(F.col("state_class").isin(*tension)).alias("n_tension"),
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "state_class"))).alias("g"),
+    )
+    sizes = seen.where("state_class is not null").groupBy("question_id", "state_class").agg(F.count("*").alias("n"))
+    classes = sizes.groupBy("question_id").agg(F.count("*").alias("n_classes"), F.sum("n").alias("classified"), F.max("n").alias("top"), F.count_if(F.col("n") >= 2).alias("n_pairs"), F.min_by("state_class", F.struct(-F.col("n"), "state_class")).alias("dominant"))
+    actors = seen.groupBy("question_id").agg(F.array_sort(F.collect_list("actor")).alias("in_snapshot"), F.count_if(F.col("state_class") != F.col("prior_class")).alias("transitions"))
+    out = cohorts.join(actors, "question_id", "left").join(classes, "question_id", "left").join(groups, "question_id", "left")
+    none, zero = F.expr("cast(array() as array<string>)"), F.lit(0).cast("long")
+    out = out.withColumns({c: F.coalesce(c, zero) for c in ("n_classes", "n_pairs", "transitions", "n_groups", "n_emerging", "n_repeating", "n_tension")}).withColumn("in_snapshot", F.coalesce("in_snapshot", none))
+    share = F.coalesce(F.col("top") / F.col("classified"), F.lit(0.0))
+    name = lambda i: F.get("g", F.lit(i))["state_class"]
+    words = (
+        F.when(F.col("n_classes") == 0, "no cohort members found in current snapshot").when(share >= COHERENT, "cohort behaving as one coherent class")
+        .when(share <= FRAGMENTED, F.format_string("cohort fragmented across %d distinct read classes", F.col("n_classes")))
+        .when(F.col("n_groups") >= 2, F.concat(F.lit("cohort no longer one coherent class \u2014 "), name(0), F.lit(" and "), name(1), F.lit(" both visible"))).otherwise("cohort mixed; no single dominant pattern")
+    )
+    pressure = F.least(F.lit(100), POINTS["transitions"] * F.col("transitions") + POINTS["emerging"] * F.col("n_emerging") + POINTS["tension"] * F.col("n_tension"))
+    return out.select(
+        "question_id", "in_snapshot", F.array_sort(F.array_except("cohort", "in_snapshot")).alias("missing"), "n_classes", "dominant", F.round(share, 3).alias("share"), (share <= FRAGMENTED).alias("is_fragmented"), words.alias("cohesion"),
+        "transitions", "n_emerging", "n_repeating", "n_tension", pressure.cast("long").alias("pressure"), (F.col("n_groups") >= 2).alias("split_ready"), ((share <= FRAGMENTED) & (F.col("n_pairs") >= 3) & (F.size("in_snapshot") >= 6)).alias("too_broad"),
+    )
+
+
+def short_words(text: Column, most: int = 130) -> Column:
+    """A text in one line of at most ``most`` characters, cut before a word, with an ellipsis."""
+    flat = F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, most - 1), r" [^ ]*$", ""), F.lit("\u2026")))
+
+
 def cohort_split(states: DataFrame) -> DataFrame:
     """By question: members, shares of the state classes, the dominant class, cohesion (its share) and how it reads."""
     n = states.groupBy("question_id", "state_class").agg(F.count("*").alias("n"))

@@ -20,7 +20,9 @@ def _points(spark, d):
     return v.join(e.select(F.col("event_id").alias("vec_id"), F.to_date("ts").alias("date")), "vec_id").select(F.col("vec_id").alias("event_id"), F.col("label").alias("actor"), "date", "embedding")
 
 
-@query(f"""WITH {SQL_POINTS}, {SQL_WINDOW.format(days=7)}, {SQL_SUM.format(name='sm', of='wn')}, l AS (SELECT *, lag(s) OVER (PARTITION BY actor ORDER BY day) AS b FROM sm)
+@query(f"""WITH {SQL_POINTS}, {SQL_WINDOW.format(days=7)}, {SQL_SUM.format(name='sm', of='wn')},
+pw AS (SELECT DISTINCT p.actor, p.date AS day, u.event_id, u.u FROM (SELECT DISTINCT actor, date FROM un) p JOIN un u ON u.actor = p.actor AND u.date BETWEEN p.date - INTERVAL 14 DAY AND p.date - INTERVAL 7 DAY),
+{SQL_SUM.format(name='sp', of='pw')}, l AS (SELECT sm.*, sp.s AS b FROM sm LEFT JOIN sp USING (actor, day))
 SELECT actor, day, k AS n, round(CASE WHEN k > 1 THEN 1 - (list_dot_product(s, s) - k) / (k * (k - 1)) END, 4) AS dispersion, round(1 - {COS.format('s', 'b')}, 4) AS drift FROM l""")
 def field_dispersion_drift(spark, d):
     out = field.dispersion_and_drift(_points(spark, d), 7)
@@ -153,3 +155,76 @@ def lookback_state(spark, d):
 @query("SELECT user_id AS expectation_id, min(ts::DATE) AS born FROM events GROUP BY 1")
 def expectation_births(spark, d):
     return field.births(_expectations(spark, d))
+
+
+@query("""WITH m AS (SELECT label AS storm_id, vec_id FROM embeddings WHERE vec_id % 3 = 0), x AS (SELECT storm_id, i, avg(x) AS x, count(*) AS n FROM (SELECT storm_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM m JOIN embeddings USING (vec_id)) GROUP BY ALL)
+SELECT storm_id, max(n) AS n, round(sqrt(sum(x * x)), 5) AS norm FROM x GROUP BY 1""")
+def storm_centroids(spark, d):
+    v = read(spark, d, "embeddings")
+    storms = v.where("vec_id % 3 = 0").groupBy(F.col("label").alias("storm_id")).agg(F.collect_list("vec_id").alias("event_ids"))
+    out = field.member_centroids(storms, v.select(F.col("vec_id").alias("event_id"), "embedding"))
+    return out.select("storm_id", "n", F.round(F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x)), 5).alias("norm"))
+
+
+SQL_EXPECT = """xp AS (SELECT ts::DATE AS as_of, user_id AS expectation_id, CASE WHEN user_id % 4 > 0 THEN user_id - user_id % 4 END AS parent_id, (cast(json_extract_string(props, '$.k') AS INT) % 21 - 10) / 10 AS direction,
+  1 + cast(json_extract_string(props, '$.k') AS INT) % 12 AS breadth, CASE WHEN event_type = 'error' THEN 'retired' ELSE event_type END AS event, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS r FROM events),
+ex AS (SELECT * FROM xp WHERE r = 1)"""
+
+
+def _expectations(spark, d):
+    from pyspark.sql import Window
+
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = read(spark, d, "events").select(
+        F.to_date("ts").alias("as_of"), F.col("user_id").alias("expectation_id"), F.when(F.col("user_id") % 4 > 0, F.col("user_id") - F.col("user_id") % 4).alias("parent_id"), ((k % 21 - 10) / 10).alias("direction"), (1 + k % 12).alias("breadth"),
+        F.when(F.col("event_type") == "error", "retired").otherwise(F.col("event_type")).alias("event"), "event_id",
+    )
+    return e.withColumn("r", F.row_number().over(Window.partitionBy("expectation_id", "as_of").orderBy("event_id"))).where("r = 1")
+
+
+@query(f"""WITH {SQL_EXPECT}, pl AS (SELECT as_of, expectation_id, parent_id, CASE WHEN direction < -0.2 THEN 0 WHEN direction < 0.2 THEN 1 ELSE 2 END AS x, CASE WHEN breadth < 4 THEN 0 WHEN breadth < 8 THEN 1 ELSE 2 END AS y FROM ex),
+bn AS (SELECT * FROM pl WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY expectation_id ORDER BY as_of) = 1), mv AS (SELECT bn.as_of, bn.x, bn.y, pl.x AS px, pl.y AS py FROM bn JOIN pl ON pl.as_of = bn.as_of AND pl.expectation_id = bn.parent_id WHERE bn.x <> pl.x OR bn.y <> pl.y)
+SELECT as_of, x, y, cast(sum(i) AS BIGINT) AS flux_in, cast(sum(o) AS BIGINT) AS flux_out FROM (SELECT as_of, x, y, 1 AS i, 0 AS o FROM mv UNION ALL SELECT as_of, px, py, 0, 1 FROM mv) GROUP BY ALL""")
+def grid_flux(spark, d):
+    return field.parent_flux(_expectations(spark, d))
+
+
+@query(f"""WITH {SQL_EXPECT}, dy AS (SELECT as_of, count(*) AS n, count(*) FILTER (event = 'retired') AS g FROM ex GROUP BY 1)
+SELECT a.as_of, round(sum(b.g) / avg(b.n), 6) AS mortality FROM dy a JOIN dy b ON b.as_of BETWEEN a.as_of - 6 AND a.as_of GROUP BY 1""")
+def field_mortality(spark, d):
+    return field.mortality(_expectations(spark, d)).select("as_of", F.round("mortality", 6).alias("mortality"))
+
+
+SQL_COHORT = """ev AS (SELECT user_id AS actor, event_type AS c, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+sn AS (SELECT actor, c AS state_class FROM ev WHERE r = 1 AND actor % 9 <> 2), pr AS (SELECT actor, c AS prior_class FROM ev WHERE r = 6),
+mb AS (SELECT actor % 6 AS question_id, actor FROM (SELECT DISTINCT user_id AS actor FROM events)), se AS (SELECT question_id, actor, state_class, prior_class FROM mb JOIN sn USING (actor) LEFT JOIN pr USING (actor)),
+gr AS (SELECT question_id, state_class, count(*) AS n, count(*) FILTER (state_class = prior_class) AS same, count(prior_class) AS known, string_agg(actor::VARCHAR, ',' ORDER BY actor::VARCHAR) AS members FROM se GROUP BY ALL),
+gg AS (SELECT *, CASE WHEN max(known) OVER (PARTITION BY question_id) = 0 THEN NULL WHEN same / n < 0.5 THEN 'emerging' WHEN same / n >= 0.66 THEN 'repeating' END AS reads FROM gr), gb AS (SELECT * FROM gg WHERE n >= 3)"""
+
+
+def _cohorts(spark, d):
+    from pyspark.sql import Window
+
+    e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("actor"), F.col("user_id").alias("id"), "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).alias("r"))
+    cohorts = e.select("id", "actor").distinct().groupBy((F.col("id") % 6).alias("question_id")).agg(F.collect_list("actor").alias("cohort"))
+    snapshot = e.where("r = 1 and id % 9 <> 2").select("actor", F.col("event_type").alias("state_class"))
+    return cohorts, snapshot, e.where("r = 6").select("actor", F.col("event_type").alias("prior_class"))
+
+
+@query(f"WITH {SQL_COHORT} SELECT question_id, state_class, n, members, same AS n_same, known AS n_known, reads FROM gb")
+def cohort_groups(spark, d):
+    cohorts, snapshot, prior = _cohorts(spark, d)
+    seen = cohorts.select("question_id", F.explode("cohort").alias("actor")).join(snapshot, "actor").join(prior, "actor", "left")
+    return field.cohort_groups(seen).withColumn("members", F.array_join("members", ","))
+
+
+@query(f"""WITH {SQL_COHORT}, ac AS (SELECT question_id, string_agg(actor::VARCHAR, ',' ORDER BY actor::VARCHAR) AS in_snapshot, count(*) AS m, count(*) FILTER (state_class <> prior_class) AS transitions FROM se GROUP BY 1),
+ms AS (SELECT question_id, coalesce(string_agg(actor::VARCHAR, ',' ORDER BY actor::VARCHAR) FILTER (actor NOT IN (SELECT actor FROM sn)), '') AS missing FROM mb GROUP BY 1),
+cl AS (SELECT question_id, count(*) AS n_classes, sum(n) AS t, max(n) AS top, count(*) FILTER (n >= 2) AS pairs, arg_min(state_class, {{'a': -n, 'b': state_class}}) AS dominant FROM gr GROUP BY 1),
+gx AS (SELECT question_id, count(*) AS ng, count(*) FILTER (reads = 'emerging') AS em, count(*) FILTER (reads = 'repeating') AS rp, count(*) FILTER (state_class = 'error') AS te, list(state_class ORDER BY n DESC, state_class) AS g FROM gb GROUP BY 1)
+SELECT question_id, in_snapshot, missing, n_classes, dominant, round(top / t, 3) AS share, top / t <= 0.33 AS is_fragmented, CASE WHEN top / t >= 0.66 THEN 'cohort behaving as one coherent class' WHEN top / t <= 0.33 THEN 'cohort fragmented across ' || n_classes || ' distinct read classes'
+  WHEN coalesce(ng, 0) >= 2 THEN 'cohort no longer one coherent class \u2014 ' || g[1] || ' and ' || g[2] || ' both visible' ELSE 'cohort mixed; no single dominant pattern' END AS cohesion, transitions, coalesce(em, 0) AS n_emerging, coalesce(rp, 0) AS n_repeating, coalesce(te, 0) AS n_tension,
+  least(100, 10 * transitions + 15 * coalesce(em, 0) + 10 * coalesce(te, 0)) AS pressure, coalesce(ng, 0) >= 2 AS split_ready, top / t <= 0.33 AND pairs >= 3 AND m >= 6 AS too_broad FROM ac JOIN ms USING (question_id) JOIN cl USING (question_id) LEFT JOIN gx USING (question_id)""")
+def cohort_state(spark, d):
+    out = field.cohort_state(*_cohorts(spark, d), ["error"])
+    return out.withColumns({"in_snapshot": F.array_join("in_snapshot", ","), "missing": F.array_join("missing", ",")})
