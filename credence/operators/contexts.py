@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +52,6 @@ def candidates(beliefs: DataFrame, turn: int, k: int = 20) -> DataFrame:
 def cut_tokens(rows: DataFrame, column: str, cap: int, encode, decode) -> DataFrame:
     """``column`` held at ``cap`` tokens, with a note of how many went, and whether it was cut. ``encode`` and ``decode`` are a
     tokenizer's functions of text and of ids; they run in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("text string, was_cut boolean")
     def cut(s: pd.Series) -> pd.DataFrame:
         def one(t):
