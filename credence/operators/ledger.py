@@ -40,10 +40,13 @@ def event_index(events: DataFrame) -> DataFrame:
 
 
 def parents(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Each result with the latest earlier call of its (session_id, call_id): parent_id, null if there is none."""
-    c = calls.select("session_id", "call_id", F.col("event_id").alias("parent_id"))
-    j = results.join(c, ["session_id", "call_id"], "left").withColumn("parent_id", F.when(F.col("parent_id") < F.col("event_id"), F.col("parent_id")))
-    return j.groupBy("session_id", "call_id", "event_id").agg(F.max("parent_id").alias("parent_id"))
+    """Each result with the latest earlier call of its (session_id, call_id): parent_id, null if there is none.
+
+    Calls and results meet in one ordered window, not in a join of all with all."""
+    at = ["session_id", "call_id", F.col("event_id").cast("long").alias("event_id")]
+    both = calls.select(*at, F.col("event_id").cast("long").alias("of")).unionByName(results.select(*at).distinct().withColumn("of", F.lit(None).cast("long")))
+    w = Window.partitionBy("session_id", "call_id").orderBy("event_id").rangeBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("parent_id", F.max("of").over(w)).where("of is null").drop("of")
 
 
 def running_calls(calls: DataFrame, results: DataFrame, turns: DataFrame, wait: int = 3) -> DataFrame:
@@ -52,9 +55,12 @@ def running_calls(calls: DataFrame, results: DataFrame, turns: DataFrame, wait:
     calls: session_id, call_id, turn; results: session_id, call_id, turn; turns: session_id, turn. Gives effective_turn
     (of the call) and at_turn (when it was noticed)."""
     done = results.groupBy("session_id", "call_id").agg(F.min("turn").alias("result_turn"))
-    later = turns.select("session_id", F.col("turn").alias("t")).distinct()
-    seen = calls.join(later, "session_id").where(F.col("t") >= F.col("turn") + wait).groupBy("session_id", "call_id", "turn").agg(F.min("t").alias("at_turn"))
-    out = seen.join(done, ["session_id", "call_id"], "left")
+    asked = calls.select("session_id", "call_id", "turn").distinct().select("session_id", (F.col("turn") + wait).cast("long").alias("t"), "call_id", "turn")
+    seen = turns.select("session_id", F.col("turn").cast("long").alias("t")).distinct()
+    both = asked.unionByName(seen, allowMissingColumns=True)
+    w = Window.partitionBy("session_id").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("at_turn", F.min(F.when(F.col("turn").isNull(), F.col("t"))).over(w)).where("turn is not null and at_turn is not null")
+    out = found.join(done, ["session_id", "call_id"], "left")
     return out.where(F.col("result_turn").isNull() | (F.col("result_turn") >= F.col("at_turn"))).select("session_id", "call_id", F.col("turn").alias("effective_turn"), "at_turn")
 
 
@@ -68,10 +74,11 @@ def approvals(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """The first later answer to each request: retired by a grant (which wins), contradicted by a denial.
 
     requests: session_id, turn; answers: session_id, turn, grants, denies (booleans)."""
-    a = answers.where("grants or denies").select("session_id", F.col("turn").alias("answer_turn"), "grants")
-    j = requests.join(a, "session_id", "left").where(F.col("answer_turn").isNull() | (F.col("answer_turn") > F.col("turn")))
-    first = j.groupBy("session_id", "turn").agg(F.min(F.struct("answer_turn", (~F.col("grants")).alias("no"))).alias("a"))
-    out = requests.select("session_id", "turn").distinct().join(first, ["session_id", "turn"], "left")
+    t = F.col("turn").cast("long").alias("t")
+    a = answers.where("grants or denies").select("session_id", t, F.struct(F.col("turn").alias("answer_turn"), (~F.col("grants")).alias("no")).alias("said"))
+    both = requests.select("session_id", t, "turn").distinct().unionByName(a, allowMissingColumns=True)
+    w = Window.partitionBy("session_id").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1)  # later turns
+    out = both.withColumn("a", F.min("said").over(w)).where("turn is not null").drop("t", "said")
     end = F.when(F.col("a.answer_turn").isNull(), "active").when(F.col("a.no"), "contradicted").otherwise("retired")
     return out.select("session_id", "turn", F.col("a.answer_turn").alias("answer_turn"), end.alias("state"))
 

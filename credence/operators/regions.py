@@ -23,15 +23,17 @@ def date_range(events: DataFrame, start: str | None = None, end: str | None = No
 def split_point(events: DataFrame, share: float = 0.7, ts: str = "ts") -> DataFrame:
     """One row, split_at: the order statistic at floor(share * n) of the timestamps.
 
-    Timestamps are counted by value first, so that the ordered step sees one row for each distinct value of a coarse grain
-    (hours), and then the values of one hour."""
-    hours = events.where(F.col(ts).isNotNull()).groupBy(F.date_trunc("hour", ts).alias("h")).count()
-    total = hours.agg(F.floor(F.sum("count") * share).alias("k"))
-    upto = hours.withColumn("upto", F.sum("count").over(Window.orderBy("h"))).crossJoin(F.broadcast(total))
-    hour = upto.where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("count") <= F.col("k"))).select("h", (F.col("k") - F.col("upto") + F.col("count") + 1).alias("nth"))
-    inside = events.withColumn("h", F.date_trunc("hour", ts)).join(F.broadcast(hour), "h")
-    ranked = inside.select(F.col(ts).alias("split_at"), "nth", F.row_number().over(Window.partitionBy("h").orderBy(ts)).alias("r"))
-    return ranked.where("r = nth").select("split_at")
+    The hour, the minute and the second that hold it are found one after the other by counts, and then the value by the counts
+    of the values of that second; no step sorts rows, only counts of at most as many grains as lie in the one before."""
+    rows = events.where(F.col(ts).isNotNull()).select(F.col(ts).alias("split_at"))
+    k = rows.agg(F.floor(F.count("*") * share).alias("k"))
+    for grain in ("hour", "minute", "second", None):
+        rows = rows.withColumn("g", F.date_trunc(grain, "split_at") if grain else F.col("split_at"))
+        n = rows.groupBy("g").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("g")))
+        at = n.join(F.broadcast(k), (F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))).select("g", (F.col("k") - F.col("upto") + F.col("n")).alias("k"))
+        if grain is None:
+            return at.select(F.col("g").alias("split_at"))
+        rows, k = rows.join(F.broadcast(at.select("g")), "g").drop("g"), at.select("k")
 
 
 def outcome_distribution(train: DataFrame, order: str) -> DataFrame:
@@ -121,11 +123,16 @@ MOST_CENTROIDS = 10_000
 def nearest_centroid(points: DataFrame, regions: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """The region with the closest centroid (Euclidean, ties by region_id); regions: region_id, centroid.
 
-    Regions are few by design (k of a clustering); beyond MOST_CENTROIDS they are not broadcast."""
-    few = regions.limit(MOST_CENTROIDS + 1).count() <= MOST_CENTROIDS
-    pairs = points.select(key, vec).crossJoin(F.broadcast(regions) if few else regions)
-    d = vector.squared_distance(F.col(vec), F.col("centroid"))
-    return pairs.groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col("region_id"))).alias("m")).select(key, "m.region_id", F.sqrt("m.d").alias("distance"))
+    Regions are few by design (k of a clustering). They are taken as one row in blocks of MOST_CENTROIDS; a point is compared
+    with a block inside its row, so only with more than one block are there rows to aggregate."""
+    n = regions.count()
+    blocks = max(1, -(-n // MOST_CENTROIDS))
+    block = F.pmod(F.xxhash64("region_id"), F.lit(blocks))
+    held = regions.groupBy(block.alias("block")).agg(F.collect_list(F.struct("region_id", "centroid")).alias("held")).drop("block")
+    nearest = F.array_min(F.transform("held", lambda r: F.struct(vector.squared_distance(F.col(vec), r["centroid"]).alias("d"), r["region_id"].alias("region_id"))))
+    each = points.select(key, vec).join(F.broadcast(held) if blocks == 1 else held).select(key, nearest.alias("m"))  # one row a block
+    best = each if blocks == 1 else each.groupBy(key).agg(F.min("m").alias("m"))
+    return best.select(key, "m.region_id", F.sqrt("m.d").alias("distance"))
 
 
 def fit_regions(points: DataFrame, k: int, seed: int = 0, vec: str = "embedding", clusterer=None) -> tuple[DataFrame, DataFrame]:

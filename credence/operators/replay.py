@@ -67,9 +67,13 @@ def active_as_of(points: DataFrame, timelines: DataFrame) -> DataFrame:
 
     timelines: session_id, belief_name, event, ts (births, refreshes, retirements); a belief is alive if it was born and its
     last event is no retirement."""
-    seen = points.join(timelines.withColumnRenamed("ts", "at"), "session_id").where(F.col("at") <= F.col("ts"))
-    last = seen.groupBy("session_id", "ts", "belief_name").agg(F.max_by("event", "at").alias("event"), F.max(F.when(F.col("event").isin("born", "refreshed"), F.col("at"))).alias("last_refresh"))
-    return last.where("event in ('born', 'refreshed')").drop("event")
+    names = timelines.select("session_id", "belief_name").distinct()
+    asked = points.select("session_id", "ts").distinct().join(names, "session_id")
+    both = asked.unionByName(timelines.select("session_id", "belief_name", "ts", "event"), allowMissingColumns=True)
+    w = Window.partitionBy("session_id", "belief_name").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    refresh = F.max(F.when(F.col("event").isin("born", "refreshed"), F.col("ts"))).over(w)
+    last = both.withColumns({"now": F.max(F.when(F.col("event").isNotNull(), F.struct("ts", "event"))).over(w)["event"], "last_refresh": refresh})
+    return last.where("event is null and now in ('born', 'refreshed')").select("session_id", "ts", "belief_name", "last_refresh")
 
 
 def stale_verdicts(points: DataFrame, alive: DataFrame, max_age_seconds: int) -> DataFrame:

@@ -50,18 +50,35 @@ def rank_beliefs(beliefs: DataFrame, cutoff: str, by: str, stale_first: bool = F
 
 
 def theme_expansion(beliefs: DataFrame, themes: DataFrame, actor: str, most: int = 50) -> DataFrame:
-    """Beliefs of other actors that share a theme with the actor's, at most ``most`` of each actor's, by belief_id."""
-    own = beliefs.join(themes, "belief_id")
+    """Beliefs of other actors that share a theme with the actor's, at most ``most`` of each actor's, by belief_id.
+
+    Of a theme, an actor's first ``most`` beliefs and of these the first 2 * ``most`` can be among an asker's first ones (of
+    which up to ``most`` are its own), so no more of a theme meet its askers."""
+    own = beliefs.join(themes, "belief_id").select("theme", actor, "belief_id").distinct()
     mine = own.select("theme", F.col(actor).alias("asker")).distinct()
-    other = mine.join(own, "theme").where(F.col(actor) != F.col("asker")).select("asker", "belief_id").distinct()
+    first = own.withColumn("__r", F.row_number().over(Window.partitionBy("theme", actor).orderBy("belief_id"))).where(F.col("__r") <= most)
+    first = first.withColumn("__r", F.row_number().over(Window.partitionBy("theme").orderBy("belief_id"))).where(F.col("__r") <= 2 * most).drop("__r")
+    other = mine.join(first, "theme").where(F.col(actor) != F.col("asker")).select("asker", "belief_id").distinct()
     return other.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy("belief_id"))).where(F.col("rank") <= most)
 
 
+QUERY_BLOCK = 2000
+
+
 def top_then_cutoff(queries: DataFrame, chunks: DataFrame, top: int, keep: Column) -> DataFrame:
-    """The ``top`` most similar chunks of each query first, then those of them that pass ``keep``; queries (few): query_id, q."""
-    pairs = chunks.crossJoin(F.broadcast(queries)).withColumn("sim", vector.cosine(F.col("embedding"), F.col("q")))
+    """The ``top`` most similar chunks of each query first, then those of them that pass ``keep``; queries: query_id, q.
+
+    Queries are a stated set; they meet all chunks in blocks of about QUERY_BLOCK, each broadcast. A task keeps its own first
+    ``top`` of each query before the shuffle."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).where(keep)
+    out = None
+    for k in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        pairs = chunks.join(F.broadcast(block)).withColumn("sim", vector.cosine(F.col("embedding"), F.col("q")))
+        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).where(keep)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def label_rates(labels: DataFrame, by: list[str]) -> DataFrame:

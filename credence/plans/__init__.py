@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Registers a function of (spark, sf_dir) under its name."""
 
     def wrap(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = sql

@@ -166,12 +166,12 @@ def storm_centroids(spark, d):
     return out.select("storm_id", "n", F.round(F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x)), 5).alias("norm"))
 
 
-SQL_EXPECT = """xp AS (SELECT ts::DATE AS as_of, user_id AS expectation_id, CASE WHEN user_id % 4 > 0 THEN user_id - user_id % 4 END AS parent_id, (cast(json_extract_string(props, '$.k') AS INT) % 21 - 10) / 10 AS direction,
+SQL_LINEAGE = """xp AS (SELECT ts::DATE AS as_of, user_id AS expectation_id, CASE WHEN user_id % 4 > 0 THEN user_id - user_id % 4 END AS parent_id, (cast(json_extract_string(props, '$.k') AS INT) % 21 - 10) / 10 AS direction,
   1 + cast(json_extract_string(props, '$.k') AS INT) % 12 AS breadth, CASE WHEN event_type = 'error' THEN 'retired' ELSE event_type END AS event, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS r FROM events),
 ex AS (SELECT * FROM xp WHERE r = 1)"""
 
 
-def _expectations(spark, d):
+def _lineage(spark, d):
     from pyspark.sql import Window
 
     k = F.get_json_object("props", "$.k").cast("int")
@@ -182,17 +182,17 @@ def _expectations(spark, d):
     return e.withColumn("r", F.row_number().over(Window.partitionBy("expectation_id", "as_of").orderBy("event_id"))).where("r = 1")
 
 
-@query(f"""WITH {SQL_EXPECT}, pl AS (SELECT as_of, expectation_id, parent_id, CASE WHEN direction < -0.2 THEN 0 WHEN direction < 0.2 THEN 1 ELSE 2 END AS x, CASE WHEN breadth < 4 THEN 0 WHEN breadth < 8 THEN 1 ELSE 2 END AS y FROM ex),
+@query(f"""WITH {SQL_LINEAGE}, pl AS (SELECT as_of, expectation_id, parent_id, CASE WHEN direction < -0.2 THEN 0 WHEN direction < 0.2 THEN 1 ELSE 2 END AS x, CASE WHEN breadth < 4 THEN 0 WHEN breadth < 8 THEN 1 ELSE 2 END AS y FROM ex),
 bn AS (SELECT * FROM pl WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY expectation_id ORDER BY as_of) = 1), mv AS (SELECT bn.as_of, bn.x, bn.y, pl.x AS px, pl.y AS py FROM bn JOIN pl ON pl.as_of = bn.as_of AND pl.expectation_id = bn.parent_id WHERE bn.x <> pl.x OR bn.y <> pl.y)
 SELECT as_of, x, y, cast(sum(i) AS BIGINT) AS flux_in, cast(sum(o) AS BIGINT) AS flux_out FROM (SELECT as_of, x, y, 1 AS i, 0 AS o FROM mv UNION ALL SELECT as_of, px, py, 0, 1 FROM mv) GROUP BY ALL""")
 def grid_flux(spark, d):
-    return field.parent_flux(_expectations(spark, d))
+    return field.parent_flux(_lineage(spark, d))
 
 
-@query(f"""WITH {SQL_EXPECT}, dy AS (SELECT as_of, count(*) AS n, count(*) FILTER (event = 'retired') AS g FROM ex GROUP BY 1)
+@query(f"""WITH {SQL_LINEAGE}, dy AS (SELECT as_of, count(*) AS n, count(*) FILTER (event = 'retired') AS g FROM ex GROUP BY 1)
 SELECT a.as_of, round(sum(b.g) / avg(b.n), 6) AS mortality FROM dy a JOIN dy b ON b.as_of BETWEEN a.as_of - 6 AND a.as_of GROUP BY 1""")
 def field_mortality(spark, d):
-    return field.mortality(_expectations(spark, d)).select("as_of", F.round("mortality", 6).alias("mortality"))
+    return field.mortality(_lineage(spark, d)).select("as_of", F.round("mortality", 6).alias("mortality"))
 
 
 SQL_COHORT = """ev AS (SELECT user_id AS actor, event_type AS c, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),

@@ -161,15 +161,8 @@ def turn_predicates(spark, d):
     return c.select(F.col("conv_id").alias("session_id"), "turn", text.matches_any(F.col("text"), text.APPROVAL_REQUEST).alias("asks"), text.is_meta(F.col("role"), F.col("text")).alias("meta"), text.shortened(F.col("text"), 40).alias("summary"))
 
 
-@query("""SELECT doc_id, substr(lower(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 300), '\\d{4}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d(:\\d\\d)?(\\.\\d+)?Z?', '<ts>', 'g'), '(/[^/\\s:]+)+((/[^/\\s:]+){3})', '<path>\\2', 'g'), ':\\d+(:\\d+)?', ':<line>', 'g')), 1, 200) AS signature FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, substr(lower(regexp_replace(regexp_replace(regexp_replace(text, '\\d{4}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d(:\\d\\d)?(\\.\\d+)?Z?', '<ts>', 'g'), '(/[^/\\s:]+)+((/[^/\\s:]+){3})', '<path>\\2', 'g'), ':\\d+(:\\d+)?', ':<line>', 'g')), 1, 200) AS signature FROM documents""")
 def normalized_signatures(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", belief.normalized_signature(F.substring("text", 1, 300)).alias("signature"))
-
-
-@query()
-def normalized_signatures_whole(spark, d):
-    """All documents and whole texts; normalized_signatures has the English ones' first 300 characters, as its SQL has."""
     return read(spark, d, "documents").select("doc_id", belief.normalized_signature(F.col("text")).alias("signature"))
 
 

@@ -33,9 +33,9 @@ def session_inventory(spark, d):
     return replay.inventory(_turns(spark, d))
 
 
-@query("""WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY sha256(event_id || ':7'), event_id) AS k FROM events) SELECT event_id FROM r WHERE k <= 20""")
+@query("""WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY sha256(event_id || ':7'), event_id) AS k FROM events) SELECT event_id FROM r WHERE k <= 200""")
 def stratified_sample(spark, d):
-    return replay.sample(read(spark, d, "events"), "user_id", "event_id", 20, 7).select("event_id")
+    return replay.sample(read(spark, d, "events"), "user_id", "event_id", 200, 7).select("event_id")
 
 
 @query(f"""WITH {SQL_SESSION}, f AS (SELECT session_id, turn, k % 3 AS signature FROM se WHERE kind = 'error'),

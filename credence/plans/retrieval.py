@@ -19,10 +19,10 @@ def _beliefs(spark, d):
 
 
 @query(f"""WITH {SQL_BELIEFS}, j AS (SELECT belief_id, event_id, ts::DATE AS date, row_number() OVER (PARTITION BY belief_id ORDER BY ts::DATE DESC, event_id DESC) AS rank
-  FROM bl JOIN events ON user_id = actor AND ts::DATE BETWEEN first_seen - 7 AND last_seen) SELECT belief_id, event_id, rank FROM j WHERE rank <= 15""")
+  FROM bl JOIN events ON user_id = actor AND ts::DATE BETWEEN first_seen - 7 AND last_seen) SELECT belief_id, event_id, rank FROM j WHERE rank <= 50""")
 def evidence_range_join(spark, d):
     e = read(spark, d, "events").select("event_id", F.col("user_id").alias("actor"), F.to_date("ts").alias("date"))
-    return retrieval.evidence(_beliefs(spark, d), e, 7, 15).select("belief_id", "event_id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.evidence(_beliefs(spark, d), e, 7, 50).select("belief_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS support, count(DISTINCT cast(json_extract_string(props, '$.k') AS INT) % 9) AS refs FROM events GROUP BY 1)
@@ -53,18 +53,18 @@ def belief_rank_cutoff(spark, d):
 
 @query(f"""WITH {SQL_BELIEFS}, t AS (SELECT belief_id, actor, belief_id % 50 AS theme FROM bl), m AS (SELECT DISTINCT theme, actor AS asker FROM t),
 o AS (SELECT DISTINCT asker, belief_id FROM m JOIN t USING (theme) WHERE actor <> asker)
-SELECT asker, belief_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY asker ORDER BY belief_id) AS rank FROM o) WHERE rank <= 5""")
+SELECT asker, belief_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY asker ORDER BY belief_id) AS rank FROM o) WHERE rank <= 50""")
 def theme_expansion(spark, d):
     b = _beliefs(spark, d)
-    out = retrieval.theme_expansion(b, b.select("belief_id", (F.col("belief_id") % 50).alias("theme")), "actor", 5)
+    out = retrieval.theme_expansion(b, b.select("belief_id", (F.col("belief_id") % 50).alias("theme")), "actor", 50)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id AS chunk_id, label, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS sim FROM embeddings, q),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, rank FROM r WHERE rank <= 50 AND label < 5""")
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, label, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS sim FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, rank FROM r WHERE rank <= 150 AND label < 5""")
 def chunk_topk_cutoff(spark, d):
     v = read(spark, d, "embeddings")
-    out = retrieval.top_then_cutoff(v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.withColumnRenamed("vec_id", "chunk_id"), 50, F.col("label") < 5)
+    out = retrieval.top_then_cutoff(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.withColumnRenamed("vec_id", "chunk_id"), 150, F.col("label") < 5)
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 

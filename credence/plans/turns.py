@@ -60,7 +60,7 @@ def most_failing_sessions(spark, d):
 
 @query(f"""WITH {SQL_TURNS} SELECT session_id, turn_idx, bad AS has_error, kind IN ('click', 'purchase') AS is_change, coalesce(cmd LIKE 'pytest%', false) AS is_validation, CASE WHEN cmd LIKE 'pytest%' AND has_result THEN 'PASS' END AS validation_status,
   coalesce(cmd LIKE 'git push%', false) AS is_deploy, kind = 'purchase' AS is_report FROM tn""")
-def turn_predicates(spark, d):
+def turn_tool_predicates(spark, d):
     p = turns.predicates()
     return session_turns(spark, d).select("session_id", "turn_idx", *(p[c].alias(c) for c in ("has_error", "is_change", "is_validation", "validation_status", "is_deploy", "is_report")))
 

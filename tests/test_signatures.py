@@ -18,6 +18,6 @@ def test_whole_texts_of_all_languages(spark, tmp_path):
     texts = [("en", f"Error in {path}/a.py:12:3 at 2024-01-02T03:04:05.6Z then " + "Word " * 60), ("de", "Fehler:7 é"), (None, "2024-01-02 03:04 " * 40), ("en", None), ("fr", "")]
     rows = [(i, lang, t) for i, (lang, t) in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.signature for r in plans.QUERIES["normalized_signatures_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.signature for r in plans.QUERIES["normalized_signatures"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, _, t in rows}
     assert len(got[0]) == 200 and got[0] != brute(texts[0][1][:300])
