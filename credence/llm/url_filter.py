@@ -1,17 +1,18 @@
 """URL filters by a sort-merge range join.
 
 A rule is a host and a path prefix. It fits its host and all subdomains if the url's path starts with the rule's. The
-canonical key of a (host, path) is the reversed host, a zero byte and the path, so that a rule is the interval of the
-keys that start with its own key. A url is looked up once for each parent of its host (label by label). Keys of urls
-and rules are range-partitioned together and sorted; one sweep through a partition keeps the stack of the rules whose
-intervals are open, and the top of the stack is the longest rule of that host. The rules that are open where a partition
-begins are prefixes of its first key; they are found by an equi-join on these prefixes.
+canonical key of a host is its labels in reverse order, each with a dot behind it, so that a rule's host is the interval of
+the keys that start with its own key, and hosts nest. Distinct urls and rules are range-partitioned together by (key,
+path) and sorted; one sweep through a partition keeps the stack of the hosts with rules whose intervals are open, and each
+open host's rules by path. A url is one row: it is looked up in the open hosts, the longest path prefix first. A host with
+very many urls is spread over partitions by path. The rules that are open where a partition begins belong to parents of its
+first key; they are found by an equi-join on these parents and sent to that partition, so no rule passes the driver.
 
 The longest rule wins: by characters of host and path together, then by host. If a rule is given with both verdicts,
 block wins. Defined cases: a null url or one without ``://`` has an empty host and path and fits no rule; a rule with
-a null host, path or verdict is ignored; repeated urls and rules each give the same answer; without rules every url gets
-the default verdict; other columns are passed through, but for those named host, path, rule and verdict, which are
-replaced.
+a null host, path or verdict is ignored; repeated urls and rules each give the same answer, also if a third of all rows
+have one url; very long urls are rows like others; without rules or urls every row gets the default verdict; other
+columns are passed through, but for those named host, path, rule and verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,71 +36,63 @@ def host_and_path(url: str = "url"):
     return F.translate(host, _UPPER, _LOWER), path
 
 
-def _key(labels, path):
-    return F.concat(F.array_join(F.reverse(labels), "."), F.lit("\0"), path).cast("binary")
-
-
-def _sweep(heads: dict[int, list[tuple[bytes, str, str, str]]]):
-    """The stack sweep over sorted rows (key, is_url, host, path, verdict); heads: the rules open at a partition's start."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        stack = sorted(heads.get(TaskContext.get().partitionId(), []), key=lambda x: len(x[0]))
-        for batch in batches:
-            out = []
-            for key, is_url, host, path, verdict in zip(*(c.to_pylist() for c in batch.columns)):
-                while stack and not key.startswith(stack[-1][0]):
-                    stack.pop()
-                if not is_url:
-                    stack.append((key, host, path, verdict))
-                elif stack:
-                    out.append((host, path, *stack[-1][1:]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(5)], names=["host", "path", "rule_host", "rule_path", "verdict"])
-
-    return run
+def _key(host):
+    """com.example.www. for www.example.com"""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
+
+
+_HEAD, _RULE, _URL = 0, 1, 2
+_FOUND = "host string, path string, rule string, verdict string"
+
+
+def _sweep(batches):
+    """The stack sweep over rows (part, key, kind, path, host, verdict) in this order; each part starts with its open rules."""
+    part, stack = None, []  # open hosts: (key, host, verdicts by path, lengths of the paths)
+    for batch in batches:
+        out = []
+        for now, key, kind, path, host, verdict in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != part:
+                part, stack = now, []
+            while stack and not key.startswith(stack[-1][0]):
+                stack.pop()
+            if kind != _URL:
+                if not stack or stack[-1][0] != key:
+                    stack.append((key, host, {}, set()))
+                stack[-1][2][path] = verdict
+                stack[-1][3].add(len(path))
+                continue
+            best = (-1, -1, None, None)
+            for _, of, verdicts, lengths in stack:
+                for n in sorted((n for n in lengths if n <= len(path)), reverse=True):
+                    if path[:n] in verdicts:
+                        best = max(best, (len(of) + n, len(of), of + path[:n], verdicts[path[:n]]))
+                        break
+            out.append((host, path, best[2], best[3]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(4)], names=["host", "path", "rule", "verdict"])
 
 
 def matches(urls: DataFrame, rules: DataFrame, parts: int) -> DataFrame:
-    """The longest fitting rule of each distinct (host, path) that has one: host, path, rule_host, rule_path, verdict."""
+    """Each distinct (host, path) with a host, with its winning rule and verdict, null if none fits."""
     rules = rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    rules = common.cut(rules.withColumn("key", _key(F.split("host", r"\."), F.col("path"))))
-    longest = rules.agg(F.max(F.length("key"))).first()[0]
-    labels = F.split("host", r"\.")
-    parent = F.slice(labels, F.col("k"), F.size(labels) - F.col("k") + 1)
-    asked = urls.select("host", "path").where("host <> ''").distinct()
-    if longest is None:
-        return asked.where("false").select("host", "path", *(F.lit("").alias(c) for c in ("rule_host", "rule_path", "verdict")))
-    asked = asked.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(labels)))).select(_key(parent, F.col("path")).alias("key"), F.lit(True).alias("is_url"), "host", "path", F.lit("").alias("verdict"))
-    both = asked.unionByName(rules.select("key", F.lit(False).alias("is_url"), "host", "path", "verdict"))
-    ordered = common.cut(both.repartitionByRange(parts, "key").sortWithinPartitions("key", "is_url"))
-
-    def head(batches):
-        from pyspark import TaskContext
-
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), batch.column(0).slice(0, 1)], names=["part", "first"])
-                return
-
-    # at most one key for each partition, and as many open rules as its first key has prefixes
-    first = ordered.select("key").mapInArrow(head, "part int, first binary")
-    prefixes = first.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.length("first"), F.lit(longest))))).select("part", F.substring("first", 1, F.col("n")).alias("key"))
-    heads: dict[int, list] = {}
-    for r in prefixes.join(rules, "key").collect():
-        heads.setdefault(r.part, []).append((bytes(r.key), r.host, r.path, r.verdict))
-    # a partition's own first rows hold its rules again; the same rule twice on the stack does no harm
-    found = ordered.mapInArrow(_sweep(heads), "host string, path string, rule_host string, rule_path string, verdict string")
-    exact = ((F.col("host") == F.col("rule_host")) | F.endswith("host", F.concat(F.lit("."), F.col("rule_host")))) & F.startswith("path", F.col("rule_path"))
-    size = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))
-    best = found.where(exact).groupBy("host", "path").agg(F.max_by(F.struct("rule_host", "rule_path", "verdict"), size).alias("r"))
-    return best.select("host", "path", "r.*")
+    rules = common.cut(rules.select(_key(F.col("host")).alias("key"), F.lit(_RULE).alias("kind"), "path", "host", "verdict"))
+    asked = urls.select("host", "path").where("host <> ''").distinct().select(_key(F.col("host")).alias("key"), F.lit(_URL).alias("kind"), "path", "host", F.lit("").alias("verdict"))
+    order = ("key", "kind", "path")
+    ordered = common.cut(asked.unionByName(rules).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    first = ordered.groupBy("part").agg(F.min("key").alias("first"))
+    labels = F.split(F.regexp_replace("first", r"\.$", ""), r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))
+    heads = first.select("part", F.explode(parents).alias("key")).join(rules.drop("kind"), "key").withColumn("kind", F.lit(_HEAD))
+    whole = ordered.unionByName(heads).select("part", "key", "kind", "path", "host", "verdict")
+    return whole.repartition(parts, "part").sortWithinPartitions("part", *order).mapInArrow(_sweep, _FOUND)
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", parts: int | None = None) -> DataFrame:
     """``pages`` with host, path, rule (host and path of the winning rule, else null) and verdict."""
+    parts = parts or common.shuffle_parts(pages.sparkSession)
     host, path = host_and_path(url)
     known = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict")
-    best = matches(known, rules, parts or common.shuffle_parts(pages.sparkSession))
-    best = best.select("host", "path", F.concat("rule_host", "rule_path").alias("rule"), "verdict")
-    return known.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    best = common.cut(matches(known, rules, parts))
+    found = common.spread_join(known.where("host <> ''"), best, ["host", "path"], parts).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    names = [*known.columns, "rule", "verdict"]
+    without = known.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    return found.select(*names).unionByName(without.select(*names))

@@ -169,7 +169,8 @@ def test_url_rules_against_brute_force(spark):
     paths = ["/", "/en/", "/en/7", "/en/77/x", "/e", "", "/de/8"]
     urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/en/7', '#t'])}" for _ in range(200)]
     urls += [None, "", "no scheme", "HTTP://A.COM/en/7", "x://", "://b.A.com?x/en/", "a://é.com/en/日"] + ["http://a.com/en/7"] * 50
-    rules = [("com", "/en/", "block"), ("a.com", "/en/7", "allow"), ("a.com", "/en/7", "block"), ("net", "", "block"), ("x.net", "/e", "allow"), ("b.a.com", "/", "allow"), (None, "/", "block"), ("com", "/en/7", "allow")]
+    rules = [("com", "/en/", "block"), ("a.com", "/en/7", "allow"), ("a.com", "/en/7", "block"), ("net", "", "block"), ("x.net", "/e", "allow"), ("b.a.com", "/", "allow"), (None, "/", "block"), ("com", "/en/7", "allow"), ("", "/", "block"), ("m.net", "", "allow")]
+    urls += [f"http://{'www.' * (i % 3)}a.com/en/{i}" for i in range(60)] + ["http://com./x", "http://.com/en/"]
 
     def brute(u):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
