@@ -62,7 +62,7 @@ def invoking_turn(results: DataFrame, uses: DataFrame) -> DataFrame:
 def next_after(births: DataFrame, later: DataFrame) -> DataFrame:
     """The first later turn of the session after each birth turn; null if none. Both: session_id, turn."""
     both = births.select("session_id", "turn", F.lit(None).cast("long").alias("t")).unionByName(later.select("session_id", "turn", F.col("turn").cast("long").alias("t")))
-    w = Window.partitionBy("session_id").orderBy("turn").rangeBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("session_id").orderBy(F.desc("turn")).rangeBetween(Window.unboundedPreceding, -1)  # later turns, in a frame that only grows
     return both.withColumn("next_turn", F.min("t").over(w)).where("t is null").select("session_id", "turn", "next_turn")
 
 
@@ -75,15 +75,28 @@ def as_of_trail(beliefs: DataFrame, turn: int) -> DataFrame:
     return out.withColumns({"state": F.when(F.size(seen) > 0, last["new_state"]).otherwise("active"), "last_warrant": F.coalesce(F.array_max(warrants), F.col("birth_turn"))})
 
 
+def covering(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """n_begun (intervals that have begun) and n_open (those that cover it) for each point (session_id, turn).
+
+    intervals: session_id, from_turn, to_turn (exclusive, null while open). Ends and points meet in one ordered window with
+    running sums, not in a join of all with all."""
+    kinds = [F.col("session_id"), F.col("from_turn").cast("long").alias("turn"), F.lit(1).alias("b"), F.lit(1).alias("o"), F.lit(False).alias("p")]
+    begin = intervals.select(*kinds)
+    end = intervals.where("to_turn is not null").select("session_id", F.col("to_turn").cast("long").alias("turn"), F.lit(0).alias("b"), F.lit(-1).alias("o"), F.lit(False).alias("p"))
+    at = points.select("session_id", F.col("turn").cast("long").alias("turn")).distinct().withColumns({"b": F.lit(0), "o": F.lit(0), "p": F.lit(True)})
+    w = Window.partitionBy("session_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = at.unionByName(begin).unionByName(end)
+    return both.withColumns({"n_begun": F.sum("b").over(w), "n_open": F.sum("o").over(w)}).where("p").select("session_id", "turn", "n_begun", "n_open")
+
+
 def actions(points: DataFrame, blockers: DataFrame, window: int = 5) -> DataFrame:
     """Whether an action was proposed in the last ``window`` turns and, if so, whether it is ready or blocked.
 
     points: session_id, turn, proposes; blockers: session_id, from_turn, to_turn (null while active)."""
     w = Window.partitionBy("session_id").orderBy("turn").rangeBetween(-(window - 1), 0)
     p = points.withColumn("proposed", F.max(F.col("proposes").cast("int")).over(w) == 1)
-    on = p.join(blockers.withColumnRenamed("session_id", "s"), (F.col("session_id") == F.col("s")) & (F.col("from_turn") <= F.col("turn")) & (F.col("to_turn").isNull() | (F.col("turn") < F.col("to_turn"))), "left_semi")
-    out = p.join(on.select("session_id", "turn", F.lit(True).alias("blocked")).distinct(), ["session_id", "turn"], "left")
-    return out.select("session_id", "turn", F.when(~F.col("proposed"), "none").when(F.coalesce("blocked", F.lit(False)), "blocked").otherwise("ready").alias("action"))
+    out = p.withColumn("turn", F.col("turn").cast("long")).join(covering(points, blockers), ["session_id", "turn"])
+    return out.select("session_id", "turn", F.when(~F.col("proposed"), "none").when(F.col("n_open") > 0, "blocked").otherwise("ready").alias("action"))
 
 
 def audit_points(turns: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 10) -> DataFrame:
@@ -137,11 +150,11 @@ def oracle(points: DataFrame, beliefs: DataFrame, belief_type: str, positive_sta
     """Whether a question about a belief type applies at each point (a belief of the type was born by then) and the answer.
 
     beliefs: session_id, belief_type, state, from_turn, to_turn."""
-    b = beliefs.where(F.col("belief_type") == belief_type).select(F.col("session_id").alias("s"), "state", "from_turn", "to_turn")
-    j = points.join(b, (F.col("session_id") == F.col("s")) & (F.col("from_turn") <= F.col("turn")), "left")
-    now = F.col("to_turn").isNull() | (F.col("turn") < F.col("to_turn"))
-    got = j.groupBy("session_id", "turn").agg(F.count("s").alias("n"), F.max((now & (F.col("state") == positive_state)).cast("int")).alias("yes"))
-    return got.select("session_id", "turn", F.when(F.col("n") == 0, "NA").otherwise("APPLICABLE").alias("applies"), F.when(F.col("n") == 0, None).when(F.col("yes") == 1, "POSITIVE").otherwise("NEGATIVE").alias("answer"))
+    b = beliefs.where(F.col("belief_type") == belief_type)
+    born = covering(points, b.select("session_id", "from_turn", "to_turn")).select("session_id", "turn", F.col("n_begun").alias("n"))
+    yes = covering(points, b.where(F.col("state") == positive_state).select("session_id", "from_turn", "to_turn")).select("session_id", "turn", F.col("n_open").alias("yes"))
+    got = born.join(yes, ["session_id", "turn"])
+    return got.select("session_id", "turn", F.when(F.col("n") == 0, "NA").otherwise("APPLICABLE").alias("applies"), F.when(F.col("n") == 0, None).when(F.col("yes") > 0, "POSITIVE").otherwise("NEGATIVE").alias("answer"))
 
 
 def sliding_counts(events: DataFrame, length: str, step: str, ts: str = "ts") -> DataFrame:
