@@ -25,4 +25,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import field, ledger, library, operational, replay, retrieval, studies, turns  # noqa: F401
+    from . import field, ledger, library, operational, oracles, replay, retrieval, studies, turns  # noqa: F401
