@@ -75,9 +75,11 @@ def spread_join(rows: DataFrame, side: DataFrame, on: list[str], parts: int | No
         counts = cut(rows.groupBy(*on).agg(F.count("*").alias("__n")))
     if total is None:
         total = counts.agg(F.sum("__n")).first()[0] or 0
-    hot = cut(hot_keys(counts, on, total, parts))
-    if hot.limit(1).count() == 0:
+    found = hot_keys(counts, on, total, parts)
+    few = found.collect()  # 2 * parts rows at most
+    if not few:
         return rows.join(side, on)
+    hot = rows.sparkSession.createDataFrame(few, found.schema)
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__ways").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("__ways"))).cast("int")).drop("__ways")
     copied = side.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__ways"), F.lit(1)) - 1))).drop("__ways")
     return dealt.join(copied, [*on, "__salt"]).drop("__salt")
