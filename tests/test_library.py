@@ -117,3 +117,23 @@ def test_report(spark):
     page = regions.report_html(rows, "R & D")
     assert page.index("Region 1") < page.index("Region 2") and "a&lt;b" in page and "R &amp; D" in page
     assert isinstance(rows.toPandas(), pd.DataFrame)
+
+
+def test_projection_is_the_principal_plane(spark):
+    import numpy as np
+
+    from credence.operators import operational
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)) * np.array([9, 4, 1, 0.5, 0.1])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, embedding array<double>")
+    got = np.array([r.pca for r in operational.projection(df, 2).orderBy("id").collect()])
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(got), np.abs(x @ axes.T), atol=1e-6)
+
+
+def test_synthetic_events_are_the_same_each_time(spark):
+    from credence.operators import operational
+
+    a, b = (operational.synthetic_events(spark, 10).orderBy("timestamp", "id").collect() for _ in range(2))
+    assert a == b and len(a) == 80 and len({r.metadata["tag"] for r in a}) == 8 and {r.outcome for r in a} == {"high", "moderate", "quiet"}
