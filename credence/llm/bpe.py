@@ -197,6 +197,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",),
     with output "digest", n_tokens and the sha256 of both."""
     if not is_plain(tokenizer):
         raise ValueError("this is for vocabularies that fold case and have no decoder step")
+    common.small_batches(docs.sparkSession)
     digest = output == "digest"
 
     def run(batches):

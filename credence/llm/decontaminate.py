@@ -190,6 +190,7 @@ def _pass(rows: DataFrame, items: list[tuple[str, str | None]], window: int) ->
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 32 << 20) -> DataFrame:
     """Columns of ``keep`` with n_words, spans (hit word ranges [start, end)) and items (ids of items that occur, sorted)."""
+    common.small_batches(docs.sparkSession)
     names = [c for c in keep if c not in _OUT]
     rows = docs.select(*names, common.binary().alias("__text"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()

@@ -153,6 +153,7 @@ def _join_up(batches):
 
 def removed_spans(keyed: DataFrame, gram: int = 2, window: int = 2, min_words: int | None = None) -> DataFrame:
     """id, uid and the line spans [start, end) to delete, for documents that lose lines; keyed: id, uid, text."""
+    common.small_batches(keyed.sparkSession)
     min_lines, parts = gram + window - 1, common.shuffle_parts(keyed.sparkSession)
     kind = "id long, uid long, lines array<long>, others array<long>, numbers array<int>, words array<int>, prints array<long>, places array<int>"
     lines = common.cut(keyed.select("id", "uid", common.binary().alias("text")).mapInArrow(_lines(gram, window, min_words), kind))

@@ -282,6 +282,7 @@ def _apply(length: int, digest: bool):
 def dedup(docs: DataFrame, length: int = 400, gram: int | None = None, output: str = "kept", parts: int | None = None, bucket_bytes: int = BUCKET_BYTES, bucket_most: int = BUCKET_MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed and, with output "kept", spans (removed byte ranges) and kept (binary, the rest), with output
     "digest", n_spans and kept_sha256."""
+    common.small_batches(docs.sparkSession)
     gram = gram or max(1, min(GRAM, length // 2))
     parts = parts or common.shuffle_parts(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64("text").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), common.binary().alias("text"))

@@ -158,6 +158,7 @@ def _kept(df: DataFrame, keep: tuple[str, ...], results: tuple[str, ...]) -> tup
 def trees(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), leaf_bytes: int = 256) -> DataFrame:
     """Columns of ``keep`` with text (null as empty), leaf_ends (bytes) and tree (token counts of the leaves and the sums
     above them, in heap order: tree[1] is the document's)."""
+    common.small_batches(docs.sparkSession)
     names, kept = _kept(docs, keep, _TREE)
 
     def run(batches):
@@ -212,6 +213,7 @@ def edit(table: DataFrame, tokenizer: str, edits: str | None = None, rules: list
 
     Edits come from a column of arrays of (start, end, text), or from rules, see ``rule_edits``."""
     results = (*_TREE, "n_tokens", "n_edits", "n_tokens_after", "n_bytes_again")
+    common.small_batches(table.sparkSession)
     names, kept = _kept(table, keep, results)
 
     def run(batches):

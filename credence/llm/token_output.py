@@ -164,6 +164,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, parts:
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [count], "n_tokens": [total]})
 
+    common.small_batches(docs.sparkSession)
     n = parts or common.shuffle_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.binary().alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
