@@ -14,10 +14,14 @@ TURN = "uuid string, parentUuid string, timestamp string, type string, cwd strin
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 1) and raw of all lines of files, each file read by one task."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n").alias("lines"))
-    out = files.select("path", F.posexplode("lines").alias("n", "raw")).select("path", (F.col("n") + 1).cast("long").alias("line"), F.regexp_replace("raw", "\r$", "").alias("raw"))
-    return out
+    """path, line (from 1) and raw of all lines of files. A file of any size is read split by split: lines are numbered inside
+    a split, and the counts of the splits before it are added."""
+    m = "_metadata.file_path", "_metadata.file_block_start"
+    rows = spark.read.text(path, lineSep="\n").select(F.col(m[0]).alias("path"), F.col(m[1]).alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = counts.select("path", "block", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = rows.withColumn("k", F.row_number().over(Window.partitionBy("path", "block").orderBy("id")))
+    return inside.join(before, ["path", "block"]).select("path", (F.col("k") + F.col("before")).cast("long").alias("line"), F.regexp_replace("value", "\r$", "").alias("raw"))
 
 
 def instant(text) -> object:

@@ -86,3 +86,19 @@ def test_offsets_and_tools_of_sessions(spark, tmp_path):
     assert a.text == "look" and [x.name for x in a.tool_uses] == ["Bash", "Edit", "Odd"]
     assert a.tool_uses[0].input_summary.endswith("… [+110 chars]") and a.tool_uses[1].input_summary == "file=/a.py" and a.tool_uses[2].input_summary == '{"k":1}'
     assert [tuple(x) for x in u.tool_results] == [("u1", "boom\ntwice", True), ("u2", "fine", False)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 70) if i % 9 else "" for i in range(3000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("one\r\ntwo")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {}
+        for r in jsonl.numbered_lines(spark, str(tmp_path)).collect():
+            got.setdefault(r.path[-7:], {})[r.line] = r.raw
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {"a.jsonl": {i + 1: x for i, x in enumerate(lines)}, "b.jsonl": {1: "one", 2: "two"}}
