@@ -60,3 +60,61 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+#: The damage by a CRC of the key bit by bit, and the cheapest edits by recursion over the turns; a state is its cost (nine digits) and audit.
+OP13_SQL = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::UBIGINT)), lambda h, b:
+    list_reduce(list_prepend(xor(h, b), list_transform(range(8), lambda z: 0::UBIGINT)), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)),
+    4294967295::UBIGINT) % 20 AS d FROM src),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN d = 0 THEN 0 WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth,
+    right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last_char, left(role, 1) AS i FROM ordered),
+marked AS (
+  SELECT conv_id, turn, role, text, pos, i, CASE WHEN last_char = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n FROM marked GROUP BY conv_id),
+fold(conv_id, pos, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM counts
+  UNION ALL
+  SELECT conv_id, pos, c0, least(d1, CASE WHEN keeps AND i = 's' THEN p0 END), least(d2, CASE WHEN keeps AND i = 'u' THEN pu END, CASE WHEN stays THEN ru END), least(d3, CASE WHEN keeps AND i = 'a' THEN pa END, CASE WHEN stays THEN ra END)
+  FROM (
+    SELECT conv_id, pos, i, stays, stays AS keeps, lpad((left(z0, 9)::INT + 4)::VARCHAR, 9, '0') || substr(z0, 10) || 'D' AS c0, lpad((left(z1, 9)::INT + 4)::VARCHAR, 9, '0') || substr(z1, 10) || 'D' AS d1,
+      lpad((left(z2, 9)::INT + 4)::VARCHAR, 9, '0') || substr(z2, 10) || 'D' AS d2, lpad((left(z3, 9)::INT + 4)::VARCHAR, 9, '0') || substr(z3, 10) || 'D' AS d3,
+      lpad((left(z0, 9)::INT + t)::VARCHAR, 9, '0') || substr(z0, 10) || 'K' AS p0, lpad((left(zu, 9)::INT + t)::VARCHAR, 9, '0') || substr(zu, 10) || 'K' AS pu, lpad((left(z2, 9)::INT + t)::VARCHAR, 9, '0') || substr(z2, 10) || 'K' AS pa,
+      lpad((left(zu, 9)::INT + t + 3)::VARCHAR, 9, '0') || substr(zu, 10) || 'R' AS ru, lpad((left(z2, 9)::INT + t + 3)::VARCHAR, 9, '0') || substr(z2, 10) || 'R' AS ra
+    FROM (
+      SELECT y.*, m.i, m.pos, m.fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN m.fault = 'truncated' THEN 3 ELSE 0 END AS t, s0 AS z0, s1 AS z1, y2 AS z2, y3 AS z3, least(s0, s1, y3) AS zu
+      FROM (
+        SELECT conv_id, pos AS before, s0, s1, least(x2, lpad((left(least(s0, s1, x3), 9)::INT + 3)::VARCHAR, 9, '0') || substr(least(s0, s1, x3), 10) || 'I') AS y2, least(x3, lpad((left(x2, 9)::INT + 3)::VARCHAR, 9, '0') || substr(x2, 10) || 'I') AS y3
+        FROM (SELECT conv_id, pos, s0, s1, least(s2, lpad((left(least(s0, s1, s3), 9)::INT + 3)::VARCHAR, 9, '0') || substr(least(s0, s1, s3), 10) || 'I') AS x2,
+          least(s3, lpad((left(s2, 9)::INT + 3)::VARCHAR, 9, '0') || substr(s2, 10) || 'I') AS x3 FROM fold)) y
+      JOIN marked m ON m.conv_id IS NOT DISTINCT FROM y.conv_id AND m.pos = y.before + 1))),
+ended AS (
+  SELECT f.conv_id, least(s0, s3, lpad((left(s2, 9)::INT + 3)::VARCHAR, 9, '0') || substr(s2, 10) || 'I', lpad((left(s1, 9)::INT + 6)::VARCHAR, 9, '0') || substr(s1, 10) || 'II') AS best
+  FROM fold f JOIN counts c ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.n = f.pos),
+tokens AS (
+  SELECT conv_id, length(replace(substr(best, 10), 'D', '')) % 2 AS lead, unnest(regexp_extract_all(substr(best, 10), 'I*[KRD]|I+$')) AS token,
+    generate_subscripts(regexp_extract_all(substr(best, 10), 'I*[KRD]|I+$'), 1) AS pos FROM ended),
+letters AS (
+  SELECT conv_id, lead, pos, unnest(string_split(token, '')) AS letter, generate_subscripts(string_split(token, ''), 1) AS nth FROM tokens),
+stay AS (
+  SELECT l.conv_id, l.pos, l.nth, CASE WHEN letter = 'K' THEN m.role WHEN (row_number() OVER (PARTITION BY l.conv_id ORDER BY l.pos, l.nth) - 1 - lead) % 2 = 0 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE m.text END AS line
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.pos = l.pos WHERE letter <> 'D'),
+digests AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY pos, nth)) AS digest FROM stay GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(left(best, 9)::BIGINT, 0) AS cost, coalesce(substr(best, 10), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM ids i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
