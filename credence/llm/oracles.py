@@ -118,3 +118,26 @@ SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(left(best, 9)::BIGINT, 0) AS cost, coalesce(substr(best, 10), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
 FROM ids i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM i.conv_id
 """
+
+
+#: All phrases of up to three words are counted plainly.
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, j.j AS cut, array_to_string(w[1:j.j], ' ') AS lp, array_to_string(w[j.j + 1:], ' ') AS rp FROM cand c, (VALUES (1), (2)) AS j(j) WHERE j.j < c.k),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, u.cut, l.a AS l, r.a AS r, ((1000000::HUGEINT * u.a * u.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts u JOIN f l ON l.lang = u.lang AND l.phrase = u.lp JOIN f r ON r.lang = u.lang AND r.phrase = u.rp),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+cover AS (SELECT lang, phrase, max(a) AS a FROM (
+  SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM cand WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM least_cut c LEFT JOIN cover v ON v.lang = c.lang AND v.phrase = c.phrase WHERE v.a IS NULL OR 100 * v.a < 50 * c.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t ON t.lang = r.lang WHERE r.rank <= 2000
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, html_extract, jaccard, line_dedup, oracles, quality, suffix_dedup, token_counts, token_output, turn_repair, url_filter
+from . import bpe, common, decontaminate, html_extract, jaccard, line_dedup, oracles, phrases, quality, suffix_dedup, token_counts, token_output, turn_repair, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,6 +72,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(common.table(spark, sf_dir, "pages"), least=html_extract.PAGES, whole=True).select("page_id", "url", "text", "n_chars")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(common.table(spark, sf_dir, "documents"), most_words=3, least=10, keep=2000, covered=50)
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = common.table(spark, sf_dir, "conversations")
     return turn_repair.report(conversations, turn_repair.damage(conversations))
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op12_phrases": op12_phrases,
     "op13_turn_repair": op13_turn_repair,
 }
-SQL: dict[str, str] = {"op3_quality_rules": oracles.OP3_SQL, "op5_ngram_jaccard": oracles.OP5_SQL, "op6_decontaminate": oracles.OP6_SQL, "op9_url_filter": OP9_SQL, "op13_turn_repair": oracles.OP13_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": oracles.OP3_SQL, "op5_ngram_jaccard": oracles.OP5_SQL, "op6_decontaminate": oracles.OP6_SQL, "op9_url_filter": OP9_SQL, "op12_phrases": oracles.OP12_SQL, "op13_turn_repair": oracles.OP13_SQL}
