@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, html_extract, jaccard, line_dedup, oracles, phrases, quality, suffix_dedup, token_counts, token_output, turn_repair, url_filter
+from . import bpe, common, decontaminate, html_extract, jaccard, line_crf, line_dedup, oracles, phrases, quality, suffix_dedup, token_counts, token_output, turn_repair, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,6 +72,12 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(common.table(spark, sf_dir, "pages"), least=html_extract.PAGES, whole=True).select("page_id", "url", "text", "n_chars")
 
 
+def op11_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    scored = line_crf.score(docs, line_crf.train(docs, common.table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(common.table(spark, sf_dir, "documents"), most_words=3, least=10, keep=2000, covered=50)
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op11_line_crf": op11_line_crf,
     "op12_phrases": op12_phrases,
     "op13_turn_repair": op13_turn_repair,
 }
