@@ -24,15 +24,12 @@ def _content() -> Column:
     return F.when(listed, F.array_join(F.filter(F.transform(F.from_json(content, "array<string>"), part), lambda x: x.isNotNull()), "\n")).otherwise(F.coalesce(content, F.lit("")))
 
 
-def normalise(lines: DataFrame) -> DataFrame:
-    """Events of classified raw lines (session_id, line, raw): event_id (the line), turn, event_type, call_id, parent_id,
-    tool_name, command, paths, content, output, exit_code and outcome.
-
-    A result takes tool, command and paths from the latest earlier event with its call id."""
-    t = jsonl.classify_lines(ledger.resolve_turns(lines.withColumn("turn_id", F.get_json_object("raw", "$.payload.turn_id"))).drop("turn_id")).where("status = 'mapped'")
+def parsed(lines: DataFrame) -> DataFrame:
+    """Raw lines with what can be told from each line alone: status, event_type, turn_id, call_id, tool_name, command, paths, content and output."""
+    t = jsonl.classify_lines(lines)
     given, name = _json("$.payload.arguments"), _json("$.payload.name")
     arg = lambda k: F.get_json_object(given, f"$.{k}")
-    call = F.col("event_type") == "tool_call"
+    call = F.coalesce(F.col("event_type") == "tool_call", F.lit(False))
     shell = call & (name == "exec_command")
     patch = F.regexp_extract_all(F.coalesce(arg("input"), arg("patch"), F.lit("")), F.lit(r"(?m)^\*\*\* (?:Add File|Update File|Delete File|Move to): (.+)$"), F.lit(1))
     every = F.concat(F.array_compact(F.array(arg("path"), arg("file_path"))), F.coalesce(F.from_json(arg("paths"), "array<string>"), F.expr(_NONE)), F.when(name == "apply_patch", F.transform(patch, F.trim)).otherwise(F.expr(_NONE)))
@@ -41,7 +38,16 @@ def normalise(lines: DataFrame) -> DataFrame:
         "paths": F.when(call, F.array_distinct(F.filter(every, lambda p: p != ""))), "output": F.when(F.col("event_type") == "tool_result", F.coalesce(_json("$.payload.output"), F.lit(""))), "__name": name, "__shell": shell,
     })
     t = jsonl.first_command_word(t, "command")
-    t = t.withColumn("tool_name", F.when(F.col("__shell"), F.coalesce("tool_name", F.lit("exec_command"))).when(call, F.col("__name")))
+    return t.withColumn("tool_name", F.when(F.col("__shell"), F.coalesce("tool_name", F.lit("exec_command"))).when(call, F.col("__name"))).drop("__name", "__shell")
+
+
+def normalise(lines: DataFrame) -> DataFrame:
+    """Events of classified raw lines (session_id, line, raw): event_id (the line), turn, event_type, call_id, parent_id,
+    tool_name, command, paths, content, output, exit_code and outcome.
+
+    A result takes tool, command and paths from the latest earlier event with its call id."""
+    t = ledger.resolve_turns(parsed(lines)).where("status = 'mapped'")
+    call = F.col("event_type") == "tool_call"
     w = Window.partitionBy("session_id", "call_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     known = lambda c: F.when((F.col("event_type") == "tool_result") & F.col("call_id").isNotNull(), F.last(F.when(call, F.col(c)), ignorenulls=True).over(w)).otherwise(F.col(c))
     t = t.withColumns({"parent_id": F.when((F.col("event_type") == "tool_result") & F.col("call_id").isNotNull(), F.last("line").over(w)), **{c: known(c) for c in ("tool_name", "command", "paths")}})
@@ -61,22 +67,30 @@ def validation_parents(results: DataFrame, calls: DataFrame) -> DataFrame:
     return direct.unionByName(results.where("parent_id is null").join(last, ["session_id", "tool_name", "command"]).select("event_id", "parent_event"))
 
 
+def marks(events: DataFrame) -> DataFrame:
+    """Events with what the rules ask of tool, command, paths and content: checks, edits, report (the first report path), asks, grants, denies."""
+    said = lambda kind, bank: F.coalesce(F.col("event_type") == kind, F.lit(False)) & text.matches_any(F.col("content"), bank)
+    return events.withColumns({
+        "checks": text.is_validation(F.col("tool_name"), F.col("command")), "edits": F.coalesce(F.col("tool_name").isin(*text.EDIT_TOOLS), F.lit(False)),
+        "report": F.get(F.filter("paths", lambda p: text.matches_any(p, text.REPORT_PATHS)), F.lit(0)), "asks": said("assistant_message", text.APPROVAL_REQUEST),
+        "grants": said("user_message", text.APPROVAL_GRANT), "denies": said("user_message", text.APPROVAL_DENY),
+    })
+
+
 def rule_rows(events: DataFrame) -> DataFrame:
-    """The rows that the rules fold reads, in order; an edit is a tool call too, a report's write is a result too."""
+    """The rows that the rules fold reads, in order; an edit is a tool call too, a report's write is a result too, and an event
+    without rules advances the turn."""
     kind, call, result = F.col("event_type"), F.col("event_type") == "tool_call", F.col("event_type") == "tool_result"
-    validation = text.is_validation(F.col("tool_name"), F.col("command"))
-    granted, denied = text.matches_any(F.col("content"), text.APPROVAL_GRANT), text.matches_any(F.col("content"), text.APPROVAL_DENY)
+    events = marks(events)
     kinds = F.array_compact(F.array(
-        F.when(call & validation, "validation_call").when(call, "tool_call"), F.when(call & F.col("tool_name").isin(*text.EDIT_TOOLS), "edit"),
-        F.when(result, "tool_result"), F.when(result & (F.col("outcome") == "success") & text.has_report_path(F.col("paths")), "report_write"),
-        F.when((kind == "assistant_message") & text.matches_any(F.col("content"), text.APPROVAL_REQUEST), "approval_request"), F.when((kind == "user_message") & (granted | denied), "user_message"),
+        F.when(call & F.col("checks"), "validation_call").when(call, "tool_call").when(result, "tool_result").when(F.col("asks"), "approval_request").when(F.col("grants") | F.col("denies"), "user_message").otherwise("turn"),
+        F.when(call & F.col("edits"), "edit"), F.when(result & (F.col("exit_code") == 0) & F.col("edits") & F.col("report").isNotNull(), "report_write"),
     ))
-    report = F.element_at(F.filter("paths", lambda p: text.matches_any(p, text.REPORT_PATHS)), 1)
     rows = events.select("*", F.posexplode(kinds).alias("k", "kind"))
     return rows.select(
-        "session_id", (F.col("event_id") * 2 + F.col("k")).alias("event_id"), "turn", "kind", "call_id", F.col("exit_code").cast("long").alias("exit_code"),
-        F.when((F.col("kind") == "tool_result") & validation & (F.col("exit_code") != 0), text.failure_signature(F.col("exit_code"), F.col("output"))).alias("signature"),
-        F.when(F.col("kind") == "report_write", report).otherwise(F.nullif(F.array_join("paths", "\n"), F.lit(""))).alias("path"), granted.alias("grants"), denied.alias("denies"),
+        "session_id", (F.col("event_id") * 2 + F.col("k")).alias("event_id"), "turn", "kind", "call_id", F.col("tool_name").alias("tool"), "command", F.col("exit_code").cast("long").alias("exit_code"),
+        F.when((F.col("kind") == "tool_result") & (F.col("exit_code") != 0), text.failure_signature(F.col("exit_code"), F.col("output"))).alias("signature"),
+        F.when(F.col("kind") == "report_write", F.col("report")).otherwise(F.nullif(F.array_join("paths", "\n"), F.lit(""))).alias("path"), "grants", "denies",
     )
 
 
@@ -123,5 +137,5 @@ def envelopes(rows: DataFrame) -> DataFrame:
 
 
 def dead_letters(folded: DataFrame) -> DataFrame:
-    """The audit rows of rule failures: session_id, source_event, rule_name, exception_class, exception_message."""
-    return folded.where("fault is not null").select("session_id", "source_event", F.col("fault.rule").alias("rule_name"), F.col("fault.kind").alias("exception_class"), F.col("fault.message").alias("exception_message"))
+    """The audit rows of rule failures, of what rules.fold_with_faults returns: session_id, event_id, rule_name, exception_class, exception_message."""
+    return folded.where("fault is not null").select("session_id", F.floor(F.col("source_event") / 2).alias("event_id"), F.col("fault.rule").alias("rule_name"), F.col("fault.kind").alias("exception_class"), F.col("fault.message").alias("exception_message"))

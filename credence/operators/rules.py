@@ -1,81 +1,136 @@
 """Beliefs derived from a session's events by an ordered fold.
 
-The fold is one small state machine, used by sessions in batch (grouped by session) and in a stream (state by session).
+The fold is one small state machine, used by sessions in batch (grouped by session) and in a stream (state by session, see
+streaming.live). An event whose rules raise leaves no trace; it gives one dead letter, and the session waits for it:
+later events of the session are not applied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EMITTED = "session_id string, belief_id string, belief_type string, kind string, at_turn long, effective_turn long, source_event long"
-KINDS = ("validation_call", "tool_result", "edit", "approval_request", "user_message", "report_write", "tool_call")
+FOLDED = EMITTED + ", fault struct<rule:string,kind:string,message:string>"
+
+
+class RuleFault(Exception):
+    """An exception of a rule, with the rule's name."""
+
+    def __init__(self, rule: str, cause: Exception):
+        super().__init__(str(cause))
+        self.rule, self.cause = rule, cause
 
 
 @dataclass
 class Session:
-    """What the rules know of a session; ``active`` maps a belief to its type and detail."""
+    """What the rules know of a session; ``active`` maps a belief to its type and detail.
 
-    active: dict[str, tuple[str, str]] = field(default_factory=dict)
+    A result belongs to the call of its id. One without an id, or with an id that no call has, belongs to the pending
+    validations of its tool and command, and to the latest call of these if that is a validation; as tool and command decide
+    that, ``validations`` holds one entry for each such pair, however often it was called."""
+
+    active: dict[str, tuple[str, object]] = field(default_factory=dict)
     calls: dict[str, tuple[int, int, bool]] = field(default_factory=dict)  # call id: (turn, event, is a validation)
+    validations: set[tuple[str, str]] = field(default_factory=set)
     signatures: dict[str, str] = field(default_factory=dict)
     noticed: set[str] = field(default_factory=set)
     turn: int = -1
 
+    #: The rules of each kind of event, in order.
+    RULES = {
+        "validation_call": ("call", "pending"), "tool_call": ("call",), "tool_result": ("outcome", "failure"), "edit": ("superseded", "fix"),
+        "report_write": ("report",), "approval_request": ("approval",), "user_message": ("answer",),
+    }
+
     def step(self, e: dict) -> Iterator[tuple]:
-        """The rows that one event emits; an event: event_id, turn, kind, call_id, exit_code, signature, path (several
-        as lines), grants, denies."""
-        turn, now = int(e["turn"]), int(e["event_id"])
+        """The rules that one event emits; an event: event_id, turn, kind, call_id, tool, command, exit_code, signature, path
+        (several as lines), grants, denies. Kinds without rules only advance the turn."""
+        for name in ("running", *self.RULES.get(e["kind"], ())):
+            try:
+                yield from getattr(self, name)(int(e["turn"]), int(e["event_id"]), e)
+            except Exception as cause:
+                raise RuleFault(name, cause) from cause
+
+    def _born(self, kind, key, turn, now, detail=""):
+        self.active[key] = (kind, detail)
+        return kind, key, "born", turn, turn, now
+
+    def _end(self, key, what, turn, now):
+        return self.active.pop(key)[0], key, what, turn, turn, now
+
+    def _of(self, kind):
+        return [(k, d) for k, (t, d) in self.active.items() if t == kind]
+
+    def running(self, turn, now, e):
         if turn > self.turn:
             for call, (at, event, _) in self.calls.items():
                 if call not in self.noticed and turn >= at + 3:
                     self.noticed.add(call)
                     yield ("pipeline_running", f"running:{call}", "born", turn, at, event)
             self.turn = turn
-        born = lambda kind, key, detail="": (self.active.__setitem__(key, (kind, detail)), (kind, key, "born", turn, turn, now))[1]
-
-        def end(key, kind):
-            return (self.active.pop(key)[0], key, kind, turn, turn, now)
-
-        kind, call, path = e["kind"], e.get("call_id") or "", e.get("path") or ""
-        if kind in ("validation_call", "tool_call"):
-            self.calls[call] = (turn, now, kind == "validation_call")
-            if kind == "validation_call":
-                yield born("validation_pending", f"pending:{call}:{now}", call)
-        elif kind == "tool_result":
-            _, _, validation = self.calls.pop(call, (0, 0, False))
-            ok = e.get("exit_code") == 0
-            if validation:
-                for key in [k for k, (t, d) in self.active.items() if t == "validation_pending" and d == call]:
-                    yield end(key, "retired" if ok else "contradicted")
-                if ok:
-                    yield born("validation_complete", f"complete:{now}")
-                    for key in [k for k, (t, d) in self.active.items() if t == "fix_attempted" and (not path or _overlap(d, path))]:
-                        yield end(key, "retired")
-            if not ok and e.get("signature"):
-                known = self.signatures.get(e["signature"])
-                if known is None:
-                    self.signatures[e["signature"]] = f"failed:{now}"
-                    yield born("pipeline_failed", f"failed:{now}")
-                else:
-                    yield ("pipeline_failed", known, "refreshed", turn, turn, now)
-        elif kind == "edit":
-            for key in [k for k, (t, d) in self.active.items() if t == "fix_attempted" and path and _overlap(d, path)]:
-                yield end(key, "retired")
-            if any(t in ("pipeline_failed", "validation_pending", "validation_complete") for t, _ in self.active.values()):
-                yield born("fix_attempted", f"fix:{now}", path)
-        elif kind == "report_write" and e.get("exit_code") == 0:
-            for key in [k for k, (t, d) in self.active.items() if t == "report_ready" and d == path]:
-                yield end(key, "retired")
-            yield born("report_ready", f"report:{now}", path)
-        elif kind == "approval_request":
-            yield born("user_approval_pending", f"approval:{now}")
-        elif kind == "user_message" and (e.get("grants") or e.get("denies")):
-            for key in [k for k, (t, _) in self.active.items() if t == "user_approval_pending"]:
-                yield end(key, "retired" if e.get("grants") else "contradicted")
+
+    def call(self, turn, now, e):
+        checks = e["kind"] == "validation_call"
+        self.calls[e.get("call_id") or f"@{now}"] = (turn, now, checks)
+        if checks and e.get("tool") is not None and e.get("command") is not None:
+            self.validations.add((e["tool"], e["command"]))
+        yield from ()
+
+    def pending(self, turn, now, e):
+        call = e.get("call_id") or f"@{now}"
+        yield self._born("validation_pending", f"pending:{call}:{now}", turn, now, (call, e.get("tool"), e.get("command")))
+
+    def outcome(self, turn, now, e):
+        code, pair = e.get("exit_code"), (e.get("tool"), e.get("command"))
+        known = self.calls.pop(e.get("call_id") or "", None)
+        if known is not None:
+            validation, mine = known[2], [k for k, d in self._of("validation_pending") if d[0] == e["call_id"]]
+        else:
+            validation, mine = pair in self.validations, [k for k, d in self._of("validation_pending") if None not in pair and d[1:] == pair]
+        if code is not None:
+            for key in mine:
+                yield self._end(key, "contradicted" if code else "retired", turn, now)
+        if validation and code == 0:
+            yield self._born("validation_complete", f"complete:{now}", turn, now)
+            path = e.get("path")
+            for key in [k for k, d in self._of("fix_attempted") if not path or _overlap(d, path)]:
+                yield self._end(key, "retired", turn, now)
+
+    def failure(self, turn, now, e):
+        if e.get("exit_code") != 0 and e.get("signature"):
+            known = self.signatures.get(e["signature"])
+            if known is None:
+                self.signatures[e["signature"]] = f"failed:{now}"
+                yield self._born("pipeline_failed", f"failed:{now}", turn, now)
+            else:
+                yield ("pipeline_failed", known, "refreshed", turn, turn, now)
+
+    def superseded(self, turn, now, e):
+        for key in [k for k, d in self._of("fix_attempted") if e.get("path") and _overlap(d, e["path"])]:
+            yield self._end(key, "retired", turn, now)
+
+    def fix(self, turn, now, e):
+        if e.get("path") and any(t in ("pipeline_failed", "validation_pending", "validation_complete") for t, _ in self.active.values()):
+            yield self._born("fix_attempted", f"fix:{now}", turn, now, e["path"])
+
+    def report(self, turn, now, e):
+        if e.get("exit_code") == 0:
+            for key in [k for k, d in self._of("report_ready") if d == (e.get("path") or "")]:
+                yield self._end(key, "retired", turn, now)
+            yield self._born("report_ready", f"report:{now}", turn, now, e.get("path") or "")
+
+    def approval(self, turn, now, e):
+        yield self._born("user_approval_pending", f"approval:{now}", turn, now)
+
+    def answer(self, turn, now, e):
+        if e.get("grants") or e.get("denies"):
+            for key, _ in self._of("user_approval_pending"):
+                yield self._end(key, "retired" if e.get("grants") else "contradicted", turn, now)
 
 
 def _overlap(a: str, b: str) -> bool:
@@ -84,28 +139,37 @@ def _overlap(a: str, b: str) -> bool:
     return any(x == y or x.startswith(y + "/") or y.startswith(x + "/") for x, y in pairs)
 
 
-def emit(session: str, state: Session, rows: pd.DataFrame) -> list[tuple]:
-    out = []
-    for e in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-        out += [(session, f"belief:{session}:{key}", kind, what, at, eff, src) for kind, key, what, at, eff, src in state.step(e)]
-    return out
+def named(session: str, rows: list[tuple]) -> list[tuple]:
+    return [(session, f"belief:{session}:{key}", kind, what, at, eff, src) for kind, key, what, at, eff, src in rows]
 
 
-COLUMNS = ["session_id", "belief_id", "belief_type", "kind", "at_turn", "effective_turn", "source_event"]
+COLUMNS = ["session_id", "belief_id", "belief_type", "kind", "at_turn", "effective_turn", "source_event", "fault"]
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """All belief events of all sessions. A session's rows are read in batches in order, never as one frame."""
+def fold_with_faults(events: DataFrame, session: Callable[[], Session] = Session) -> DataFrame:
+    """All belief events of all sessions, and for each session whose rules raised one row with the fault (and nothing of its events from
+    there on). A session's rows are read in batches in order, never as one frame."""
 
     def run(frames):
-        now, state = None, Session()
+        now, state, failed = None, session(), False
         for f in frames:
             out = []
-            for session, rows in f.groupby("session_id", sort=False):
-                if session != now:
-                    now, state = session, Session()
-                out += emit(session, state, rows)
+            for e in f.astype(object).where(f.notna(), None).to_dict("records"):
+                if e["session_id"] != now:
+                    now, state, failed = e["session_id"], session(), False
+                if failed:
+                    continue
+                try:
+                    out += [(*x, None) for x in named(now, list(state.step(e)))]
+                except RuleFault as fault:
+                    failed = True
+                    out.append((now, None, None, None, e["turn"], None, e["event_id"], {"rule": fault.rule, "kind": type(fault.cause).__name__, "message": str(fault)}))
             yield pd.DataFrame(out, columns=COLUMNS)
 
     e = events.withColumn("session_id", events["session_id"].cast("string"))
-    return e.repartition("session_id").sortWithinPartitions("session_id", "event_id").mapInPandas(run, EMITTED)
+    return e.repartition("session_id").sortWithinPartitions("session_id", "event_id").mapInPandas(run, FOLDED)
+
+
+def fold(events: DataFrame, session: Callable[[], Session] = Session) -> DataFrame:
+    """All belief events of all sessions."""
+    return fold_with_faults(events, session).where(F.col("fault").isNull()).drop("fault")

@@ -77,8 +77,9 @@ def overlay_pack(spark, d):
 
 
 SQL_OVERLAY = f"WITH RECURSIVE {SQL_RANK[5:]}" + """, it AS (SELECT session_id, belief_id, belief_type, line, rank, greatest(1, (length(line) + 3) // 4) + 1 AS cost FROM rk),
+room AS (SELECT 100 - greatest(1, (length('# Operational belief overlay (budget: 100 tokens, used: 9999, omitted: 99, K=20)') + 3) // 4) - 1 AS most),
 p AS (SELECT session_id, 0 AS i, 0 AS used, []::VARCHAR[] AS yes FROM (SELECT DISTINCT session_id FROM it) UNION ALL
-  SELECT p.session_id, i + 1, CASE WHEN used + cost <= 78 THEN used + cost ELSE used END, CASE WHEN used + cost <= 78 THEN list_append(yes, it.belief_id) ELSE yes END FROM p JOIN it ON it.session_id = p.session_id AND it.rank = p.i + 1),
+  SELECT p.session_id, i + 1, CASE WHEN used + cost <= most THEN used + cost ELSE used END, CASE WHEN used + cost <= most THEN list_append(yes, it.belief_id) ELSE yes END FROM p JOIN it ON it.session_id = p.session_id AND it.rank = p.i + 1 CROSS JOIN room),
 e AS (SELECT session_id, arg_max(used, i) AS used, arg_max(yes, i) AS yes FROM p GROUP BY 1),
 m AS (SELECT it.*, used, list_contains(yes, belief_id) AS ok FROM it JOIN e USING (session_id)),
 ct AS (SELECT session_id, string_agg(belief_type || '=' || n, ',' ORDER BY belief_type) FILTER (ok) AS a, string_agg(belief_type || '=' || n, ',' ORDER BY belief_type) FILTER (NOT ok) AS o FROM (SELECT session_id, ok, belief_type, count(*) AS n FROM m GROUP BY ALL) GROUP BY 1),
@@ -201,6 +202,21 @@ def content_ids(spark, d):
     return s.select("event_id", belief.content_id("bel-", *(F.col(c).cast("string") for c in ("session_id", "kind", "event_id")), length=12).alias("belief_id"))
 
 
+@query()
+def rule_fold_lost_ids(spark, d):
+    """Rules over sessions in which every fourth result has lost the id of its call, but not its tool and command."""
+    e = session_events(spark, d)
+    command = F.when(F.col("k") % 3 == 0, "pytest -q").when(F.col("k") % 3 == 1, "make all").otherwise("ls")
+    kind, check = F.col("kind"), F.col("k") % 3 < 2
+    names = F.when(kind.isin("view", "signup"), F.when(check, "validation_call").otherwise("tool_call")).when(kind == "click", "edit").when(kind == "purchase", "report_write").otherwise("tool_result")
+    call = F.when((kind == "error") & (F.col("k") % 4 == 0), F.lit(None)).otherwise(F.concat(F.lit("c"), (F.col("k") % 5).cast("string")))
+    rows = e.select(
+        F.col("session_id").cast("string").alias("session_id"), "event_id", "turn", names.alias("kind"), call.alias("call_id"), F.element_at(F.split(command, " "), 1).alias("tool"), command.alias("command"), (F.col("k") % 2).cast("long").alias("exit_code"),
+        F.when(F.col("k") % 2 == 1, F.concat(F.lit("1:s"), (F.col("k") % 4).cast("string"))).alias("signature"), F.concat(F.lit("/p/"), (F.col("k") % 3).cast("string")).alias("path"), F.lit(False).alias("grants"), F.lit(False).alias("denies"),
+    )
+    return rules.fold(rows)
+
+
 @query()
 def rule_fold_beliefs(spark, d):
     e = session_events(spark, d)

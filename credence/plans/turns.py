@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import capture, contexts, turns
+from ..operators import capture, contexts, rules, turns
 from . import query
 from .tables import SQL_SESSION, read, session_events
 
@@ -178,25 +178,55 @@ def validation_parents(spark, d):
     return capture.validation_parents(results, calls)
 
 
-def _raw_lines(spark, d):
-    """Conversations as rollout lines."""
-    c = read(spark, d, "conversations")
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
-    turn = F.concat(F.lit("t"), F.col("turn").cast("string"))
-    user = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("user_message").alias("type"), turn.alias("turn_id"), F.col("text").alias("message")).alias("payload")))
-    other = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), turn.alias("turn_id"), F.lit("assistant").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("payload")))
-    return c.select(F.col("conv_id").cast("string").alias("session_id"), n.alias("line"), F.when(F.col("role") == "user", user).otherwise(other).alias("raw"))
-
-
-@query("""WITH n AS (SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS event_id, role, coalesce(text, '') AS content FROM conversations)
-SELECT session_id, event_id, event_id - 1 AS turn, CASE role WHEN 'user' THEN 'user_message' ELSE 'assistant_message' END AS event_type, md5(content) AS content FROM n""")
+def raw_lines(spark, d):
+    """Events as rollout lines: views are shell calls, errors results of the latest of them, clicks patches and purchases reports
+    with their results, signups questions and answers."""
+    e = session_events(spark, d)
+    k, kind, turn = F.col("k"), F.col("kind"), F.concat(F.lit("t"), F.col("turn").cast("string"))
+    w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    own, last = F.concat(F.lit("c"), F.col("event_id").cast("string")), F.concat(F.lit("c"), F.last(F.when(kind == "view", F.col("event_id")), ignorenulls=True).over(w).cast("string"))
+    line = lambda top, sub, **more: F.to_json(F.struct(F.lit(top).alias("type"), F.struct(F.lit(sub).alias("type"), turn.alias("turn_id"), *(v.alias(n) for n, v in more.items())).alias("payload")))
+    call = lambda name, given: line("response_item", "function_call", call_id=own, name=F.lit(name), arguments=given)
+    result = lambda id_, output: line("response_item", "function_call_output", call_id=id_, output=output)
+    shell = F.when(k % 4 == 0, F.concat(F.lit("pytest -q t"), (k % 3).cast("string"), F.lit(".py"))).when(k % 4 == 1, "git push").when(k % 4 == 2, "make all").otherwise("ls")
+    patch = F.to_json(F.struct(F.concat(F.lit("*** Begin Patch\n*** Update File: /src/F"), (k % 5).cast("string"), F.lit(".py\n")).alias("input")))
+    report = F.to_json(F.struct(F.concat(F.lit("/out/report"), (k % 2).cast("string"), F.lit("/summary.md")).alias("path")))
+    ran = F.concat(F.lit("ran\nError "), (k % 4).cast("string"), F.lit("\nProcess exited with code "), (k % 2).cast("string"))
+    asked = line("response_item", "message", role=F.lit("assistant"), content=F.array(F.struct(F.lit("text").alias("type"), F.lit("Shall I proceed?").alias("text"))))
+    said = line("event_msg", "user_message", message=F.when(k % 3 == 0, "no, wait").otherwise("yes, go on"))
+    lines = (
+        F.when(kind == "view", F.array(call("exec_command", F.to_json(F.struct(shell.alias("cmd")))))).when(kind == "error", F.array(result(last, ran)))
+        .when(kind == "click", F.array(call("apply_patch", patch), result(own, F.lit("Done.")))).when(kind == "purchase", F.array(call("write_file", report), result(own, F.lit("Wrote file")))).otherwise(F.array(F.when(k % 2 == 0, asked).otherwise(said)))
+    )
+    each = e.withColumn("lines", lines).select("session_id", "turn", F.posexplode("lines").alias("p", "raw"))
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "p")).cast("long")
+    return each.select(F.col("session_id").cast("string").alias("session_id"), number.alias("line"), "raw")
+
+
+@query("WITH " + SQL_SESSION + """,
+ln AS (SELECT *, 'c' || event_id AS own, 'c' || last_value(CASE WHEN kind = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS latest,
+  CASE k % 4 WHEN 0 THEN 'pytest -q t' || k % 3 || '.py' WHEN 1 THEN 'git push' WHEN 2 THEN 'make all' ELSE 'ls' END AS shell FROM se),
+vw AS (SELECT session_id, event_id, shell FROM ln WHERE kind = 'view'),
+ev AS (
+  SELECT session_id, turn, 0 AS p, 'tool_call' AS event_type, own AS call_id, string_split(shell, ' ')[1] AS tool_name, shell AS command, '' AS paths, NULL AS outcome, NULL AS exit_code FROM ln WHERE kind = 'view'
+  UNION ALL SELECT l.session_id, turn, 0, 'tool_result', latest, string_split(v.shell, ' ')[1], v.shell, CASE WHEN v.shell IS NULL THEN NULL ELSE '' END, CASE WHEN k % 2 = 0 THEN 'success' ELSE 'failure' END, k % 2 FROM ln l LEFT JOIN vw v ON v.session_id = l.session_id AND 'c' || v.event_id = l.latest WHERE kind = 'error'
+  UNION ALL SELECT session_id, turn, q.p, CASE q.p WHEN 0 THEN 'tool_call' ELSE 'tool_result' END, own, CASE kind WHEN 'click' THEN 'apply_patch' ELSE 'write_file' END, '', CASE kind WHEN 'click' THEN '/src/F' || k % 5 || '.py' ELSE '/out/report' || k % 2 || '/summary.md' END,
+    CASE q.p WHEN 1 THEN 'success' END, CASE q.p WHEN 1 THEN 0 END FROM ln, (VALUES (0), (1)) AS q(p) WHERE kind IN ('click', 'purchase')
+  UNION ALL SELECT session_id, turn, 0, CASE k % 2 WHEN 0 THEN 'assistant_message' ELSE 'user_message' END, NULL, NULL, NULL, NULL, NULL, NULL FROM ln WHERE kind = 'signup')
+SELECT session_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn, p) AS event_id, turn, event_type, call_id, tool_name, command, paths, outcome, exit_code::BIGINT AS exit_code FROM ev""")
 def captured_events(spark, d):
-    return capture.normalise(_raw_lines(spark, d)).select("session_id", "event_id", "turn", "event_type", F.md5(F.col("content").cast("binary")).alias("content"))
+    e = capture.normalise(raw_lines(spark, d))
+    return e.select("session_id", "event_id", "turn", "event_type", "call_id", "tool_name", "command", F.array_join("paths", ",").alias("paths"), "outcome", F.col("exit_code").cast("long").alias("exit_code"))
 
 
 @query()
 def capture_overlay(spark, d):
-    return capture.capture_overlay(_raw_lines(spark, d), 1000, 200)
+    return capture.capture_overlay(raw_lines(spark, d), 1000, 200)
+
+
+@query()
+def captured_beliefs(spark, d):
+    return rules.fold(capture.rule_rows(capture.normalise(raw_lines(spark, d))))
 
 
 @query("SELECT doc_id::VARCHAR AS session_id, doc_id + 1 AS line, CASE WHEN text IS NULL THEN 'envelope missing required keys: raw_line' END AS fault FROM documents")
