@@ -14,7 +14,7 @@ def test_regions_in_order(spark):
         (("user", "<system-reminder>deploy it</system-reminder>", True, [], []), ("UNCLASSIFIED", "system_reminder")),
         (("user", "ship it!", False, [], bad), ("deploy_readiness", "user_deploy_intent")), (("user", "that is wrong", False, [], bad), ("failure_diagnosis", "user_correction")),
         (("user", "go", False, [], bad), ("failure_diagnosis", "tool_error_in_result")), (("user", None, None, None, None), ("UNCLASSIFIED", "user_default")),
-        (("assistant", "debugging", False, [use("Bash", "curl x"), use("WebFetch")], []), ("data_fetch", "tool_name=WebFetch")), (("assistant", "", False, [use("Bash", "ls"), use("Bash", "curl x && git push")], []), ("deploy_readiness", "bash_pattern=deploy_readiness")),
+        (("assistant", "debugging", False, [use("Bash", "curl x"), use("WebFetch")], []), ("data_fetch", "tool_name=WebFetch")), (("assistant", "", False, [use("Bash", "ls"), use("Bash", "curl x && git push")], []), ("deploy_readiness", r"bash_pattern=deploy_readiness:\bgit push\b")),
         (("assistant", "error", False, [use("Write", "file=/Report.md")], []), ("report_generation", "write_report_artifact")), (("assistant", "Let me check", False, [use("Read", "file=x")], []), ("failure_diagnosis", "assistant_diagnosis_text")),
         (("assistant", "ok", False, [use("Read", "file=x"), use("Read", "file=y")], []), ("validation", "read_only_inspection")), (("assistant", "ok", False, [use("Read", "file=x"), use("Edit", "file=y.py")], []), ("UNCLASSIFIED", "assistant_default")),
     ]
