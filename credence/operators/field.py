@@ -14,13 +14,19 @@ def vector_sums(rows: DataFrame, by: list[str], vec: str) -> DataFrame:
     return each.groupBy(*by).agg(F.max("k").alias("k"), F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("total"))
 
 
-def windowed(events: DataFrame, days: int, back: int = 0) -> DataFrame:
-    """Each actor's events copied to the days whose window [day - back - days, day - back] holds them, both ends included.
+def window_totals(units: DataFrame, frames: dict[str, tuple[int, int]], vec: str = "u") -> DataFrame:
+    """By actor and day with an event: for each name k_<name> and the sum of vectors <name> (null if empty) of its events from day + low to
+    day + high, for frames name: (low, high).
 
-    A row becomes days + 1 rows at most, and only days on which its actor has an event stay."""
-    spread = events.withColumn("day", F.explode(F.sequence(F.date_add("date", back), F.date_add("date", back + days))))
-    present = events.select("actor", F.col("date").alias("day")).distinct()
-    return spread.join(present, ["actor", "day"])
+    Events are summed by actor, day and dimension first, whatever the number and length of the windows; these are range
+    frames over one partitioning."""
+    day = F.unix_date("date").alias("d")
+    daily = units.select("actor", day, F.posexplode(vec).alias("i", "x")).groupBy("actor", "d", "i").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("*").alias("k"))
+    each = Window.partitionBy("actor", "i").orderBy("d")
+    over = daily.withColumns({f"{c}_{n}": F.sum(c).over(each.rangeBetween(*f)) for n, f in frames.items() for c in ("x", "k")})
+    joined = lambda n: F.array_sort(F.collect_list(F.when(F.col(f"x_{n}").isNotNull(), F.struct("i", F.col(f"x_{n}").alias("x")))))
+    out = over.groupBy("actor", "d").agg(*(c for n in frames for c in (F.max(f"k_{n}").alias(f"k_{n}"), joined(n).alias(n))))
+    return out.select("actor", F.date_from_unix_date("d").alias("day"), *(c for n in frames for c in (f"k_{n}", F.when(F.size(n) > 0, F.transform(n, lambda s: s["x"])).alias(n))))
 
 
 def dispersion_and_drift(events: DataFrame, days: int = 7, back: int = 7) -> DataFrame:
@@ -28,12 +34,21 @@ def dispersion_and_drift(events: DataFrame, days: int = 7, back: int = 7) -> Dat
     and drift (1 - cosine with the centroid of the actor's window ``back`` days earlier, null if that is empty). events: actor,
     date, embedding."""
     units = events.withColumn("u", vector.unit(F.col("embedding"))).where(vector.norm(F.col("embedding")) > 0)
-    sums = vector_sums(windowed(units, days), ["actor", "day"], "u")
-    before = vector_sums(windowed(units, days, back), ["actor", "day"], "u").select("actor", "day", F.col("total").alias("before"))
-    k = F.col("k")
-    mean = F.when(k > 1, (vector.dot(F.col("total"), F.col("total")) - k) / (k * (k - 1)))
-    out = sums.withColumn("dispersion", 1 - mean).join(before, ["actor", "day"], "left")
-    return out.select("actor", "day", k.alias("n"), "dispersion", F.when(F.col("before").isNotNull(), 1 - vector.cosine(F.col("total"), F.col("before"))).alias("drift"))
+    sums = window_totals(units, {"now": (-days, 0), "before": (-days - back, -back)})
+    k = F.col("k_now")
+    mean = F.when(k > 1, (vector.dot(F.col("now"), F.col("now")) - k) / (k * (k - 1)))
+    return sums.select("actor", "day", k.alias("n"), (1 - mean).alias("dispersion"), F.when(F.col("before").isNotNull(), 1 - vector.cosine(F.col("now"), F.col("before"))).alias("drift"))
+
+
+def neighbour_actors(totals: DataFrame, name: str, top: int = 3) -> DataFrame:
+    """The ``top`` other actors whose window centroids of a day are closest to an actor's; totals: as ``window_totals`` gives them.
+
+    Centroids meet by day, so the pairs are those of the actors that have events on a day."""
+    a = totals.select("day", "actor", F.col(name).alias("u"))
+    pairs = a.join(a.select("day", F.col("actor").alias("other"), F.col("u").alias("v")), "day").where("actor <> other")
+    w = Window.partitionBy("day", "actor").orderBy(F.desc("sim"), "other")
+    ranked = pairs.withColumn("sim", vector.cosine(F.col("u"), F.col("v"))).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= top).select("actor", "day", F.col("rank").cast("long").alias("rank"), "other", "sim")
 
 
 def member_centroids(storms: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -46,31 +61,39 @@ def member_centroids(storms: DataFrame, embeddings: DataFrame) -> DataFrame:
     return out.select("storm_id", F.coalesce("k", F.lit(0)).alias("n"), F.transform("total", lambda x: x / F.col("k")).alias("centroid"))
 
 
-def density(events: DataFrame, days: int = 7, least: float = 0.3) -> DataFrame:
-    """By actor and day: the mean, over the actor's events in the window, of the similarities above ``least`` to the other
-    actors' events of the window, over the size of the whole field.
+def density(events: DataFrame, days: int = 7, least: float = 0.3, weight: str | None = None) -> DataFrame:
+    """By actor and day with an event: n, the density and, with a weight column, the weighted density.
 
-    The join is by day; a day's field meets a day's actor events only."""
-    units = events.withColumn("u", vector.unit(F.col("embedding"))).select("event_id", "actor", "date", "u")
-    spread = units.withColumn("day", F.explode(F.sequence(F.col("date"), F.date_add("date", days))))
-    own = windowed(units, days).select("actor", "day", "event_id", "u")
-    field = spread.select("day", F.col("actor").alias("other"), F.col("u").alias("v"))
-    size = field.groupBy("day").agg(F.count("*").alias("field_n"))
+    The density of an event is the sum of its similarities above ``least`` to other actors' events of the window, over the size
+    of the whole field of the window; an actor's is the mean over its events of the window. Two events are compared once,
+    not once a day: they stand together in the windows of the days from the later one to ``days`` after the earlier one, so
+    their similarity is added at the first of these days and taken off after the last, and running sums give each day's."""
+    unit = events.withColumn("u", vector.unit(F.col("embedding"))).where(vector.norm(F.col("embedding")) > 0)
+    units = unit.select("actor", F.unix_date("date").alias("d"), "u", (F.lit(0.0) if weight is None else F.greatest(F.col(weight).cast("double"), F.lit(0.0))).alias("w"))
+    span = days + 1
+    own = units.select("actor", "d", "u", F.floor(F.col("d") / span).alias("b"))
+    field = units.select(F.col("actor").alias("other"), F.col("d").alias("e"), F.col("u").alias("v"), "w", F.explode(F.array(*(F.floor(F.col("d") / span) + k for k in (-1, 0, 1)))).alias("b"))
     sim = vector.dot(F.col("u"), F.col("v"))
-    pairs = own.join(field, "day").where(F.col("actor") != F.col("other")).withColumn("sim", sim).where(F.col("sim") > least)
-    sums = pairs.groupBy("actor", "day").agg(F.sum("sim").alias("sim"))
-    counts = own.groupBy("actor", "day").agg(F.count("*").alias("n"))
-    out = counts.join(sums, ["actor", "day"], "left").join(size, "day")
-    return out.select("actor", "day", "n", (F.coalesce("sim", F.lit(0.0)) / F.col("n") / F.col("field_n")).alias("density"))
+    pairs = own.join(field, "b").where((F.col("actor") != F.col("other")) & (F.abs(F.col("d") - F.col("e")) <= days)).withColumn("sim", sim).where(F.col("sim") > least)
+    both = pairs.groupBy("actor", F.greatest("d", "e").alias("first"), (F.least("d", "e") + days).alias("last")).agg(F.sum("sim").alias("s"), F.sum(F.col("sim") * F.col("w")).alias("ws"))
+    ends = F.explode(F.array(F.struct(F.col("first").alias("d"), F.col("s"), F.col("ws")), F.struct((F.col("last") + 1).alias("d"), (-F.col("s")).alias("s"), (-F.col("ws")).alias("ws"))))
+    changes = both.select("actor", ends.alias("x")).select("actor", "x.*")
+    own_days = units.groupBy("actor", "d").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("actor").orderBy("d")
+    run = lambda c, frame: F.sum(c).over(frame)
+    till_now, inside = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(-days, 0)
+    rows = own_days.unionByName(changes, allowMissingColumns=True).select("actor", "d", F.col("k").isNotNull().alias("own"), run("k", inside).alias("n"), run("s", till_now).alias("s"), run("ws", till_now).alias("ws")).where("own")
+    sizes = units.groupBy("d").agg(F.count("*").alias("m"))
+    sizes = sizes.select("d", F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy("d").rangeBetween(-days, 0)).alias("m"))  # one row a day
+    value = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("n") / F.col("m")
+    out = rows.join(F.broadcast(sizes), "d").select("actor", F.date_from_unix_date("d").alias("day"), "n", value("s").alias("density"), value("ws").alias("weighted"))
+    return out if weight is not None else out.drop("weighted")
 
 
 def novelty(events: DataFrame, days: int = 30) -> DataFrame:
     """By actor and day: 1 - cosine between the day's centroid and that of the window before it."""
-    units = events.withColumn("u", vector.unit(F.col("embedding")))
-    today = vector_sums(units.withColumnRenamed("date", "day"), ["actor", "day"], "u").select("actor", "day", F.col("total").alias("now"))
-    past = windowed(units, days).where(F.col("date") < F.col("day"))
-    before = vector_sums(past, ["actor", "day"], "u").select("actor", "day", F.col("total").alias("then"))
-    return today.join(before, ["actor", "day"], "left").select("actor", "day", (1 - vector.cosine(F.col("now"), F.col("then"))).alias("novelty"))
+    sums = window_totals(events.withColumn("u", vector.unit(F.col("embedding"))), {"now": (0, 0), "then": (-days, -1)})
+    return sums.select("actor", "day", (1 - vector.cosine(F.col("now"), F.col("then"))).alias("novelty"))
 
 
 def neighbours(points: DataFrame, groups: DataFrame, key: str, top: int = 3) -> DataFrame:
@@ -176,11 +199,88 @@ def parent_flux(rows: DataFrame) -> DataFrame:
 
 
 def mortality(rows: DataFrame, days: int = 7) -> DataFrame:
-    """By day: retirements of the last ``days`` days over the mean number of expectations of these days; rows: as_of,
-    expectation_id, event."""
-    daily = rows.groupBy("as_of").agg(F.count("*").alias("n"), F.count_if(F.col("event").isin("retired", "died")).alias("gone"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.unix_date("as_of")).rangeBetween(-(days - 1), 0)  # one row a day
-    return daily.select("as_of", (F.sum("gone").over(w) / F.avg("n").over(w)).alias("mortality"))
+    """By day: the number of retirements on it and on the ``days`` days before; rows: as_of, event."""
+    daily = rows.groupBy("as_of").agg(F.count_if(F.col("event").isin("retired", "died")).alias("gone"))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.unix_date("as_of")).rangeBetween(-days, 0)  # one row a day
+    return daily.select("as_of", F.sum("gone").over(w).alias("mortality"))
+
+
+#: Statuses in which an expectation stands in the field.
+STANDING = ("active", "weakening")
+
+
+def age_bucket(days: Column) -> Column:
+    """The ages by which expectations are counted."""
+    return F.when(days <= 7, "0_7d").when(days <= 30, "8_30d").otherwise("31_plus")
+
+
+def snapshot_counts(rows: DataFrame) -> DataFrame:
+    """By day: the number of standing expectations of each kind, family, status and age, as (as_of, of, value, n)."""
+    of = F.explode(F.array(*(F.struct(F.lit(name).alias("of"), F.coalesce(c.cast("string"), F.lit(none)).alias("value")) for name, c, none in (
+        ("kind", F.col("kind"), "unknown"), ("family", F.col("family"), "?"), ("status", F.col("status"), "unknown"), ("age", age_bucket(F.col("days_alive")), "?")))))
+    return rows.where(F.col("status").isin(*STANDING)).select("as_of", of.alias("x")).groupBy("as_of", "x.of", "x.value").agg(F.count("*").alias("n"))
+
+
+def scope_metrics(rows: DataFrame, days: int = 7) -> DataFrame:
+    """By day: breadth, concentration of families, alignment (mean share), refinement (share of children), stress (share of
+    weakening ones), mortality (deaths of the day and the ``days`` before) and drift of the standing set.
+
+    rows: as_of, expectation_id, parent_id, family, status, event, share; deaths count whatever the status."""
+    standing = rows.where(F.col("status").isin(*STANDING))
+    n = F.count("*")
+    base = standing.groupBy("as_of").agg(n.alias("breadth"), F.avg("share").alias("alignment"), (F.count("parent_id") / n).alias("refinement"), (F.count_if(F.col("status") == "weakening") / n).alias("stress"))
+    sizes = standing.groupBy("as_of", "family").agg(n.alias("k"))
+    hhi = sizes.withColumn("p", F.col("k") / F.sum("k").over(Window.partitionBy("as_of"))).groupBy("as_of").agg(F.sum(F.col("p") * F.col("p")).alias("concentration"))
+    return base.join(hhi, "as_of").join(mortality(rows, days), "as_of").join(set_change(standing).select("as_of", "drift"), "as_of", "left")
+
+
+def claims(rows: DataFrame) -> DataFrame:
+    """Standing rows with the cell (x, y) that the expectation claimed at birth, kept for life, and whether it is born that day.
+
+    rows: as_of, expectation_id, parent_id, status, event, direction, breadth (one a day of an expectation)."""
+    life = Window.partitionBy("expectation_id")
+    first = F.min_by(F.struct("as_of", "direction", "breadth"), "as_of").over(life)
+    placed = rows.where(F.col("status").isin(*STANDING)).withColumn("f", first)
+    return placed.select("as_of", "expectation_id", "parent_id", "status", binned(F.col("f.direction"), [-1.01, -0.2, 0.2, 1.01]).alias("x"), binned(F.col("f.breadth"), [1, 4, 8, 101]).alias("y"), (F.col("as_of") == F.col("f.as_of")).alias("born"))
+
+
+def claim_grid(rows: DataFrame) -> DataFrame:
+    """By day and cell, empty ones included: density, weakening, pressure (share of weakening), born, retired, flux_in and flux_out
+    (births whose parent claims another cell). Deaths count for the cell that was claimed, on days on which the field stands."""
+    placed = claims(rows)
+    homes = placed.where("born").select("expectation_id", F.col("as_of").alias("birth"), "x", "y")
+    died = rows.where("event = 'died'").select("as_of", "expectation_id").distinct().join(homes, "expectation_id").where("birth <= as_of").select("as_of", "x", "y", F.lit("retired").alias("what"))
+    parents = homes.select(F.col("expectation_id").alias("parent_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    moved = placed.where("born and parent_id is not null").join(parents, "parent_id").where("x <> px or y <> py")
+    flux = moved.select("as_of", F.explode(F.array(F.struct("x", "y", F.lit("flux_in").alias("what")), F.struct(F.col("px").alias("x"), F.col("py").alias("y"), F.lit("flux_out").alias("what")))).alias("e")).select("as_of", "e.x", "e.y", "e.what")
+    kinds = F.array_compact(F.array(F.lit("density"), F.when(F.col("status") == "weakening", "weakening"), F.when(F.col("born"), "born")))
+    each = placed.select("as_of", "x", "y", F.explode(kinds).alias("what")).unionByName(died).unionByName(flux)
+    names = ("density", "weakening", "born", "retired", "flux_in", "flux_out")
+    counts = each.groupBy("as_of", "x", "y").agg(*(F.count_if(F.col("what") == c).alias(c) for c in names))
+    ends = F.sequence(F.lit(0), F.lit(2))
+    spine = placed.select("as_of").distinct().select("as_of", F.explode(ends).alias("x")).select("as_of", "x", F.explode(ends).alias("y"))
+    out = spine.join(counts, ["as_of", "x", "y"], "left").na.fill(0, names)
+    return out.withColumn("pressure", F.coalesce(F.try_divide(F.col("weakening"), F.col("density")), F.lit(0.0)))
+
+
+def claim_summary(daily: DataFrame) -> DataFrame:
+    """By cell: mean density over all days, days occupied, mean pressure when occupied, and totals."""
+    total = lambda c: F.sum(c).alias(c)
+    return daily.groupBy("x", "y").agg(F.avg("density").alias("density"), F.count_if(F.col("density") > 0).alias("days_occupied"), F.coalesce(F.avg(F.when(F.col("density") > 0, F.col("pressure"))), F.lit(0.0)).alias("pressure"), *map(total, ("born", "retired", "flux_in", "flux_out")))
+
+
+def occupants(rows: DataFrame) -> DataFrame:
+    """Who stood in which cell: days_in_cell, stays (runs of days of the field without a gap), the longest of them, born_at, last status and outcome (retired if it ever
+    died, else weakening or durable)."""
+    placed = claims(rows)
+    days = placed.select("as_of").distinct().select("as_of", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("as_of")).alias("day"))  # one row a day
+    order = Window.partitionBy("expectation_id", "x", "y").orderBy("as_of")
+    runs = placed.join(F.broadcast(days), "as_of").withColumn("run", F.col("day") - F.row_number().over(order))
+    by_run = runs.groupBy("expectation_id", "x", "y", "run").agg(F.count("*").alias("n"), F.max(F.struct("as_of", "status")).alias("last"), F.min("as_of").alias("first"))
+    each = by_run.groupBy("expectation_id", "x", "y").agg(F.sum("n").alias("days_in_cell"), F.count("*").alias("stays"), F.max("n").alias("longest"), F.min("first").alias("born_at"), F.max("last")["status"].alias("last_status"))
+    died = rows.where("event = 'died'").select("expectation_id", F.lit(True).alias("died")).distinct()
+    outcome = F.when(F.col("died"), "retired").when(F.col("last_status") == "weakening", "weakening").otherwise("durable")
+    return each.join(died, "expectation_id", "left").withColumn("outcome", outcome).drop("died")
 
 
 #: Limits of cohort reading, and the points of a question's pressure.

@@ -29,12 +29,37 @@ def field_dispersion_drift(spark, d):
     return out.select("actor", "day", "n", F.round("dispersion", 4).alias("dispersion"), F.round("drift", 4).alias("drift"))
 
 
-@query(f"""WITH {SQL_POINTS}, {SQL_WINDOW.format(days=7)}, sp AS (SELECT actor, u, unnest(generate_series(date, date + INTERVAL 7 DAY, INTERVAL 1 DAY))::DATE AS day FROM un),
-sz AS (SELECT day, count(*) AS n FROM sp GROUP BY 1), pr AS (SELECT wn.actor, wn.day, list_dot_product(wn.u, sp.u) AS sim FROM wn JOIN sp ON sp.day = wn.day AND sp.actor <> wn.actor),
-ct AS (SELECT actor, day, count(*) AS n FROM wn GROUP BY ALL), s AS (SELECT actor, day, sum(sim) AS sim FROM pr WHERE sim > 0.05 GROUP BY ALL)
-SELECT ct.actor, ct.day, ct.n, round(coalesce(sim, 0) / ct.n / sz.n, 4) AS density FROM ct LEFT JOIN s USING (actor, day) JOIN sz USING (day)""")
+def _sql_density(days: int, least: float) -> str:
+    """The similarities of each window summed plainly, day by day."""
+    return f"""WITH {SQL_POINTS}, {SQL_WINDOW.format(days=days)}, rl AS (SELECT vec_id AS event_id, vec_id % 4 AS r FROM embeddings), sp AS (SELECT event_id, actor, u, r, unnest(generate_series(date, date + INTERVAL {days} DAY, INTERVAL 1 DAY))::DATE AS day FROM un JOIN rl USING (event_id)),
+sz AS (SELECT day, count(*) AS n FROM sp GROUP BY 1), pr AS (SELECT wn.actor, wn.day, r, list_dot_product(wn.u, sp.u) AS sim FROM wn JOIN sp ON sp.day = wn.day AND sp.actor <> wn.actor),
+ct AS (SELECT actor, day, count(*) AS n FROM wn GROUP BY ALL), s AS (SELECT actor, day, sum(sim) AS sim, sum(sim * r) AS wsim FROM pr WHERE sim > {least} GROUP BY ALL)
+SELECT ct.actor, ct.day, ct.n, round(coalesce(sim, 0) / ct.n / sz.n, 4) AS density, round(coalesce(wsim, 0) / ct.n / sz.n, 4) AS weighted FROM ct LEFT JOIN s USING (actor, day) JOIN sz USING (day)"""
+
+
+def _density(spark, d, days: int, least: float):
+    out = field.density(_points(spark, d).withColumn("r", F.col("event_id") % 4), days, least, "r")
+    return out.select("actor", "day", "n", F.round("density", 4).alias("density"), F.round("weighted", 4).alias("weighted"))
+
+
+@query(_sql_density(7, 0.05))
 def field_density(spark, d):
-    return field.density(_points(spark, d), 7, 0.05).select("actor", "day", "n", F.round("density", 4).alias("density"))
+    return _density(spark, d, 7, 0.05)
+
+
+@query(_sql_density(30, 0.3))
+def field_density_30d(spark, d):
+    return _density(spark, d, 30, 0.3)
+
+
+@query(f"""WITH {SQL_POINTS}, {SQL_WINDOW.format(days=7)}, {SQL_SUM.format(name='sm', of='wn')}, pr AS (SELECT a.actor, a.day, b.actor AS other, {COS.format('a.s', 'b.s')} AS sim FROM sm a JOIN sm b ON a.day = b.day AND a.actor <> b.actor)
+SELECT actor, day, rank, other, round(sim, 4) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY actor, day ORDER BY sim DESC, other) AS rank FROM pr) WHERE rank <= 3""")
+def field_neighbour_actors(spark, d):
+    from ..functions import vector
+
+    units = _points(spark, d).withColumn("u", vector.unit(F.col("embedding"))).where(vector.norm(F.col("embedding")) > 0)
+    out = field.neighbour_actors(field.window_totals(units, {"now": (-7, 0)}), "now")
+    return out.withColumn("sim", F.round("sim", 4))
 
 
 @query(f"""WITH {SQL_POINTS}, {SQL_WINDOW.format(days=30)}, td AS (SELECT actor, date AS day, u FROM un), bf AS (SELECT * FROM wn WHERE date < day),
@@ -189,10 +214,75 @@ def grid_flux(spark, d):
     return field.parent_flux(_lineage(spark, d))
 
 
-@query(f"""WITH {SQL_LINEAGE}, dy AS (SELECT as_of, count(*) AS n, count(*) FILTER (event = 'retired') AS g FROM ex GROUP BY 1)
-SELECT a.as_of, round(sum(b.g) / avg(b.n), 6) AS mortality FROM dy a JOIN dy b ON b.as_of BETWEEN a.as_of - 6 AND a.as_of GROUP BY 1""")
+@query(f"""WITH {SQL_LINEAGE}, dy AS (SELECT as_of, count(*) FILTER (event = 'retired') AS g FROM ex GROUP BY 1)
+SELECT a.as_of, cast(sum(b.g) AS BIGINT) AS mortality FROM dy a JOIN dy b ON b.as_of BETWEEN a.as_of - 7 AND a.as_of GROUP BY 1""")
 def field_mortality(spark, d):
-    return field.mortality(_lineage(spark, d)).select("as_of", F.round("mortality", 6).alias("mortality"))
+    return field.mortality(_lineage(spark, d))
+
+
+#: Expectations with families, statuses, deaths and shares.
+SQL_STANDING = SQL_LINEAGE + """,
+st AS (SELECT as_of, expectation_id, parent_id, direction, breadth, event AS kind, 'f' || expectation_id % 6 AS family, CASE WHEN event = 'view' THEN 'weakening' WHEN event = 'signup' AND expectation_id % 3 = 0 THEN 'dormant' ELSE 'active' END AS status,
+  CASE WHEN event = 'retired' AND expectation_id % 2 = 0 THEN 'died' ELSE 'stable' END AS event, breadth / 12 AS share, as_of - min(as_of) OVER (PARTITION BY expectation_id) AS days_alive FROM ex),
+sd AS (SELECT * FROM st WHERE status IN ('active', 'weakening'))"""
+
+
+def _standing(spark, d):
+    from pyspark.sql import Window
+
+    x, kind, id_ = _lineage(spark, d), F.col("event"), F.col("expectation_id")
+    return x.select(
+        "as_of", "expectation_id", "parent_id", "direction", "breadth", kind.alias("kind"), F.concat(F.lit("f"), (id_ % 6).cast("string")).alias("family"), F.when(kind == "view", "weakening").when((kind == "signup") & (id_ % 3 == 0), "dormant").otherwise("active").alias("status"),
+        F.when((kind == "retired") & (id_ % 2 == 0), "died").otherwise("stable").alias("event"), (F.col("breadth") / 12).alias("share"), F.datediff("as_of", F.min("as_of").over(Window.partitionBy("expectation_id"))).alias("days_alive"),
+    )
+
+
+@query(f"""WITH {SQL_STANDING}, u AS (SELECT as_of, unnest([{{'o': 'kind', 'v': kind}}, {{'o': 'family', 'v': family}}, {{'o': 'status', 'v': status}}, {{'o': 'age', 'v': CASE WHEN days_alive <= 7 THEN '0_7d' WHEN days_alive <= 30 THEN '8_30d' ELSE '31_plus' END}}]) AS x FROM sd)
+SELECT as_of, x.o AS of, x.v AS value, count(*) AS n FROM u GROUP BY ALL""")
+def expectation_counts(spark, d):
+    return field.snapshot_counts(_standing(spark, d))
+
+
+@query(f"""WITH {SQL_STANDING}, b AS (SELECT as_of, count(*) AS breadth, avg(share) AS alignment, count(parent_id) / count(*) AS refinement, count(*) FILTER (status = 'weakening') / count(*) AS stress FROM sd GROUP BY 1),
+h AS (SELECT as_of, sum(p * p) AS concentration FROM (SELECT as_of, count(*) / sum(count(*)) OVER (PARTITION BY as_of) AS p FROM sd GROUP BY as_of, family) GROUP BY 1),
+g AS (SELECT as_of, count(*) FILTER (event = 'died') AS g FROM st GROUP BY 1), m AS (SELECT a.as_of, cast(sum(b.g) AS BIGINT) AS mortality FROM g a JOIN g b ON b.as_of BETWEEN a.as_of - 7 AND a.as_of GROUP BY 1),
+dy AS (SELECT as_of, lag(as_of) OVER (ORDER BY as_of) AS prev FROM b), bo AS (SELECT dy.as_of, count(*) AS c FROM dy JOIN sd x ON x.as_of = dy.as_of JOIN sd y ON y.as_of = dy.prev AND y.expectation_id = x.expectation_id GROUP BY 1)
+SELECT b.as_of, b.breadth, round(b.alignment, 4) AS alignment, round(b.refinement, 4) AS refinement, round(b.stress, 4) AS stress, round(concentration, 4) AS concentration, mortality,
+  round(CASE WHEN q.breadth IS NOT NULL THEN 1 - coalesce(c, 0) / (b.breadth + q.breadth - coalesce(c, 0)) END, 4) AS drift FROM b JOIN h USING (as_of) JOIN m USING (as_of) JOIN dy USING (as_of) LEFT JOIN b q ON q.as_of = dy.prev LEFT JOIN bo ON bo.as_of = b.as_of""")
+def field_scope_metrics(spark, d):
+    out = field.scope_metrics(_standing(spark, d))
+    return out.withColumns({c: F.round(c, 4) for c in ("alignment", "refinement", "stress", "concentration", "drift")})
+
+
+SQL_CLAIMS = SQL_STANDING + """,
+ho AS (SELECT expectation_id, as_of AS birth, parent_id, CASE WHEN direction < -0.2 THEN 0 WHEN direction < 0.2 THEN 1 ELSE 2 END AS x, CASE WHEN breadth < 4 THEN 0 WHEN breadth < 8 THEN 1 ELSE 2 END AS y FROM sd QUALIFY row_number() OVER (PARTITION BY expectation_id ORDER BY as_of) = 1),
+cl AS (SELECT sd.as_of, sd.expectation_id, sd.status, ho.x, ho.y, sd.as_of = birth AS born FROM sd JOIN ho USING (expectation_id)), days AS (SELECT as_of, row_number() OVER (ORDER BY as_of) AS day FROM (SELECT DISTINCT as_of FROM sd)),
+mv AS (SELECT a.birth AS as_of, a.x, a.y, b.x AS px, b.y AS py FROM ho a JOIN ho b ON b.expectation_id = a.parent_id WHERE a.x <> b.x OR a.y <> b.y),
+dd AS (SELECT DISTINCT as_of, expectation_id, x, y FROM st JOIN ho USING (expectation_id) WHERE event = 'died' AND birth <= as_of),
+dg AS (SELECT d.as_of, a.v AS x, b.v AS y, (SELECT count(*) FROM cl c WHERE c.as_of = d.as_of AND c.x = a.v AND c.y = b.v) AS density, (SELECT count(*) FROM cl c WHERE c.as_of = d.as_of AND c.x = a.v AND c.y = b.v AND status = 'weakening') AS weakening,
+  (SELECT count(*) FROM cl c WHERE c.as_of = d.as_of AND c.x = a.v AND c.y = b.v AND born) AS born, (SELECT count(*) FROM dd c WHERE c.as_of = d.as_of AND c.x = a.v AND c.y = b.v) AS retired,
+  (SELECT count(*) FROM mv c WHERE c.as_of = d.as_of AND c.x = a.v AND c.y = b.v) AS flux_in, (SELECT count(*) FROM mv c WHERE c.as_of = d.as_of AND c.px = a.v AND c.py = b.v) AS flux_out
+  FROM days d, (VALUES (0), (1), (2)) a(v), (VALUES (0), (1), (2)) b(v)),
+gd AS (SELECT *, CASE WHEN density > 0 THEN weakening / density ELSE 0 END AS pressure FROM dg)"""
+
+
+@query(f"WITH {SQL_CLAIMS} SELECT as_of, x, y, density, weakening, born, retired, flux_in, flux_out, round(pressure, 4) AS pressure FROM gd")
+def claim_grid(spark, d):
+    return field.claim_grid(_standing(spark, d)).withColumn("pressure", F.round("pressure", 4))
+
+
+@query(f"""WITH {SQL_CLAIMS} SELECT x, y, round(avg(density), 4) AS density, count(*) FILTER (density > 0) AS days_occupied, round(coalesce(avg(pressure) FILTER (density > 0), 0), 4) AS pressure, sum(born)::BIGINT AS born, sum(retired)::BIGINT AS retired, sum(flux_in)::BIGINT AS flux_in, sum(flux_out)::BIGINT AS flux_out FROM gd GROUP BY ALL""")
+def claim_summary(spark, d):
+    out = field.claim_summary(field.claim_grid(_standing(spark, d)))
+    return out.withColumns({"density": F.round("density", 4), "pressure": F.round("pressure", 4)})
+
+
+@query(f"""WITH {SQL_CLAIMS}, rn AS (SELECT cl.*, day - row_number() OVER (PARTITION BY expectation_id ORDER BY cl.as_of) AS run FROM cl JOIN days USING (as_of)), br AS (SELECT expectation_id, x, y, run, count(*) AS n FROM rn GROUP BY ALL),
+lt AS (SELECT expectation_id, arg_max(status, as_of) AS last_status, min(as_of) AS born_at FROM cl GROUP BY 1)
+SELECT expectation_id, x, y, sum(n)::BIGINT AS days_in_cell, count(*) AS stays, max(n) AS longest, any_value(born_at) AS born_at, any_value(last_status) AS last_status,
+  CASE WHEN count(dead) > 0 THEN 'retired' WHEN any_value(last_status) = 'weakening' THEN 'weakening' ELSE 'durable' END AS outcome FROM br JOIN lt USING (expectation_id) LEFT JOIN (SELECT DISTINCT expectation_id, 1 AS dead FROM st WHERE event = 'died') USING (expectation_id) GROUP BY expectation_id, x, y""")
+def claim_occupants(spark, d):
+    return field.occupants(_standing(spark, d))
 
 
 SQL_COHORT = """ev AS (SELECT user_id AS actor, event_type AS c, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
