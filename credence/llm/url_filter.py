@@ -3,8 +3,10 @@
 A rule is a host and a path prefix. It fits its host and all subdomains if the url's path starts with the rule's. The
 canonical key of a host is its labels in reverse order, each with a dot behind it, so that a rule's host is the interval of
 the keys that start with its own key, and hosts nest. Distinct urls and rules are range-partitioned together by (key,
-path) and sorted; one sweep through a partition keeps the stack of the hosts with rules whose intervals are open, and each
-open host's rules by path. A url is one row: it is looked up in the open hosts, the longest path prefix first. A host with
+path) and sorted; one sweep through a partition keeps the stack of the hosts with rules whose intervals are open. The path prefixes
+of a host are intervals of its paths, which nest in the same way: as a host's rules come in order, each learns which one it
+stands in. A url is one row: in each open host, the rule that sorts last before its path and those it stands in are
+the only ones that may fit, and the innermost that does wins. A host with
 very many urls is spread over partitions by path. The rules that are open where a partition begins belong to parents of its
 first key; they are found by an equi-join on these parents and sent to that partition, so no rule passes the driver.
 
@@ -17,6 +19,8 @@ columns are passed through, but for those named host, path, rule and verdict, wh
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,28 +49,52 @@ _HEAD, _RULE, _URL = 0, 1, 2
 _FOUND = "host string, path string, rule string, verdict string"
 
 
+class _Host:
+    """An open host: its rules in the order of paths, each with the number of the rule whose interval it stands in (-1: none)."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host, self.paths, self.verdicts, self.outer, self.known = key, host, [], [], [], set()
+
+    def add(self, path: str, verdict: str) -> None:
+        if path in self.known:  # all rules of a host were sent to this part as open ones, too
+            return
+        self.known.add(path)
+        at = len(self.paths) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        self.paths.append(path)
+        self.verdicts.append(verdict)
+        self.outer.append(at)
+
+    def find(self, path: str) -> int:
+        """The innermost rule whose interval holds a path, or -1."""
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        return at
+
+
 def _sweep(batches):
     """The stack sweep over rows (part, key, kind, path, host, verdict) in this order; each part starts with its open rules."""
-    part, stack = None, []  # open hosts: (key, host, verdicts by path, lengths of the paths)
+    part, stack = None, []
     for batch in batches:
         out = []
         for now, key, kind, path, host, verdict in zip(*(c.to_pylist() for c in batch.columns)):
             if now != part:
                 part, stack = now, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if kind != _URL:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, host, {}, set()))
-                stack[-1][2][path] = verdict
-                stack[-1][3].add(len(path))
+                if not stack or stack[-1].key != key:
+                    stack.append(_Host(key, host))
+                stack[-1].add(path, verdict)
                 continue
             best = (-1, -1, None, None)
-            for _, of, verdicts, lengths in stack:
-                for n in sorted((n for n in lengths if n <= len(path)), reverse=True):
-                    if path[:n] in verdicts:
-                        best = max(best, (len(of) + n, len(of), of + path[:n], verdicts[path[:n]]))
-                        break
+            for of in stack:
+                at = of.find(path)
+                if at >= 0:
+                    found = of.paths[at]
+                    best = max(best, (len(of.host) + len(found), len(of.host), of.host + found, of.verdicts[at]))
             out.append((host, path, best[2], best[3]))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(4)], names=["host", "path", "rule", "verdict"])
 
