@@ -167,7 +167,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, parts:
     common.small_batches(docs.sparkSession)
     n = parts or common.shuffle_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.binary().alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    order = ("doc_id", F.xxhash64("text"))  # rows that share an id are spread too
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return common.cut(ordered.mapInArrow(store, MANIFEST))
 
 
