@@ -222,10 +222,11 @@ def encode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",),
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids binary, decoded string"
     results = [x.split()[0] for x in more.split(", ")]
     keep = tuple(c for c in keep if c not in results)
-    names = [*keep, *results]
-    rows = docs.select(*keep, common.binary().alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, {more}" if kept else more)
+    inner = [f"__{k}" for k in range(len(keep))]
+    names = [*inner, *results]
+    rows = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, inner)), common.binary().alias("__text"))
+    kept = ", ".join(f"{x} {f.dataType.simpleString()}" for x, f in zip(inner, rows.schema.fields[:-1]))
+    return rows.mapInArrow(run, f"{kept}, {more}" if kept else more).select(*(F.col(x).alias(c) for c, x in zip(keep, inner)), *results)
 
 
 def digest_columns(encoded: DataFrame) -> DataFrame:
