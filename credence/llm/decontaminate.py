@@ -8,7 +8,8 @@ at (or hashes) the words it skips. Where the shift is zero, the hash of the suff
 the words picks the patterns to test, and a direct comparison of the words decides.
 
 The benchmark is a stated query set. Its distinct items are dealt by hash to blocks of about ``block_bytes`` of text; one
-block at a time is read and sent to the tasks while all documents stream past. With one block (the common case)
+block at a time is read and sent to the tasks while all documents stream past. A worker holds a block as its words and four
+numbers a pattern, some ten times its text, and twice that while it is compiled. With one block (the common case)
 there is no shuffle at all; with more, documents get a row key first, each block's hits are written to the shared folder,
 and they are put together by that key, so the rows are the same for any number of blocks.
 
@@ -42,8 +43,12 @@ class Patterns:
     length: int
     shift: np.ndarray  # by block hash, modulo the table's size
     suffix: np.ndarray  # sorted suffix-block hashes
-    hashes: np.ndarray  # sorted hashes of whole patterns
-    words: list[list[tuple[bytes, list[str]]]]  # by position in hashes: (the words, items that have them)
+    hashes: np.ndarray  # sorted distinct hashes of whole patterns
+    bounds: np.ndarray  # of each hash, its patterns in the arrays below
+    at: np.ndarray  # the first word of each pattern in the block's words
+    item: np.ndarray  # the place of each pattern's item in the block
+    block: Words  # the words of all items of the block
+    names: list[str]  # their ids
 
 
 class Words:
@@ -78,26 +83,22 @@ def compile_patterns(items: list[tuple[str, str | None]], window: int = 10) -> l
     """Pattern tables by length, from (item_id, text)."""
     data, offsets = common.buffers(pa.array([t or "" for _, t in items], pa.string()))
     w = Words(data, offsets)
-    first = w.first
-    by_length: dict[int, list[tuple[int, str]]] = {}
-    for k, (item, _) in enumerate(items):
-        n = int(first[k + 1] - first[k])
-        m = min(n, window)
-        if m:
-            by_length.setdefault(m, []).extend((int(first[k]) + j, item) for j in range(n - m + 1))
-    out = []
-    for m, found in sorted(by_length.items()):
-        at = np.array([p for p, _ in found], np.int64)
+    sizes = np.diff(w.first)
+    lengths, names, out = np.minimum(sizes, window), [item for item, _ in items], []
+    for m in np.unique(lengths[lengths > 0]).tolist():
+        own = np.flatnonzero(lengths == m)
+        many = sizes[own] - m + 1  # windows of each item
+        item = np.repeat(own, many)
+        at = np.repeat(w.first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         b, size = min(2, m), 1 << min(24, max(12, int(8 * len(at)).bit_length()))
         shift = np.full(size, m - b + 1, np.uint8 if m < 256 else np.int64)
         for k in range(m - 1, b - 2, -1):  # the block that ends k words into a pattern allows a move of m - 1 - k
             np.minimum.at(shift, (w.block(at + k, m) & np.uint64(size - 1)).astype(np.int64), m - 1 - k)
         whole = w.run(at, m)
-        tests: dict[int, dict[bytes, set[str]]] = {}
-        for (p, item), x in zip(found, whole.tolist()):
-            tests.setdefault(x, {}).setdefault(w.text(p, m), set()).add(item)
-        keys = sorted(tests)
-        out.append(Patterns(m, shift, np.unique(w.block(at + m - 1, m)), np.array(keys, np.uint64), [[(t, sorted(i)) for t, i in tests[x].items()] for x in keys]))
+        order = np.argsort(whole, kind="stable")
+        keys, begin = np.unique(whole[order], return_index=True)
+        out.append(Patterns(m, shift, np.unique(w.block(at + m - 1, m)), keys, np.append(begin, len(order)), at[order], item[order].astype(np.int32), w, names))
+    w.prefix = None  # from here on words are only compared
     return out
 
 
@@ -145,11 +146,11 @@ def search(data: np.ndarray, offsets: np.ndarray, patterns: list[Patterns]) -> t
         test, ok = _in_sorted(p.hashes, w.run(end - m + 1, m))
         for e, r, t in zip(end[ok].tolist(), row[ok].tolist(), test[ok].tolist()):
             text = w.text(e - m + 1, m)
-            for known, of in p.words[t]:
-                if known == text:
-                    hit[e - m + 1] += 1
-                    hit[e + 1] -= 1
-                    items[r].update(of)
+            same = [p.names[p.item[j]] for j in range(p.bounds[t], p.bounds[t + 1]) if p.block.text(p.at[j], m) == text]
+            if same:
+                hit[e - m + 1] += 1
+                hit[e + 1] -= 1
+                items[r].update(same)
     return w.first, np.cumsum(hit)[:-1] > 0, items
 
 
@@ -166,9 +167,9 @@ _compiled: dict[str, list[Patterns]] = {}
 
 
 def _pass(rows: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    """All columns of ``rows`` but the last one, __text, with the hits of these items."""
+    """All columns of ``rows`` but the last one, the text, as __0, __1 and so on, with the hits of these items."""
     sent, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
-    names = rows.columns[:-1]
+    names = [f"__{k}" for k in range(len(rows.columns) - 1)]
 
     def run(batches):
         if name not in _compiled:  # a worker serves many tasks
@@ -184,25 +185,27 @@ def _pass(rows: DataFrame, items: list[tuple[str, str | None]], window: int) ->
                 out += [pa.array(np.diff(first)), pa.array([_spans(x) if x.any() else [] for x in part], _SPAN), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(out, names=[*names, *_OUT])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    kept = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, rows.schema.fields[:-1]))
     return rows.mapInArrow(run, f"{kept}n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 32 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 8 << 20) -> DataFrame:
     """Columns of ``keep`` with n_words, spans (hit word ranges [start, end)) and items (ids of items that occur, sorted)."""
     common.small_batches(docs.sparkSession)
     names = [c for c in keep if c not in _OUT]
-    rows = docs.select(*names, common.binary().alias("__text"))
+    inner = [f"__{k}" for k in range(len(names))]
+    rows = docs.select(*(F.col(c).alias(x) for c, x in zip(names, inner)), common.binary().alias("__text"))
+    shown = [F.col(x).alias(c) for c, x in zip(names, inner)]
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // block_bytes))
     block = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()]
     if count == 1:
-        return _pass(rows, block(0), window)
-    rows = common.cut(rows.select(*names, F.monotonically_increasing_id().alias("__row"), "__text"))
+        return _pass(rows, block(0), window).select(*shown, *_OUT)
+    rows = common.cut(rows.select(*inner, F.monotonically_increasing_id().alias("__row"), "__text"))
     found = []
     for k in range(count):
-        part = _pass(rows.select("__row", "__text") if k else rows, block(k), window)
+        part = _pass(rows.select("__row", "__text") if k else rows, block(k), window).withColumnRenamed("__0" if k else f"__{len(inner)}", "__row")
         found.append(common.cut(part.where(F.size("spans") > 0).select("__row", "spans", "items") if k else part))
     hits = found[0].where(F.size("spans") > 0).select("__row", "spans", "items")
     for more in found[1:]:
@@ -215,7 +218,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
     )
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
     out = found[0].drop("spans", "items").join(every.withColumn("spans", merged), "__row", "left")
-    return out.select(*names, "n_words", F.coalesce("spans", none("struct<start:long,end:long>")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
+    return out.select(*shown, "n_words", F.coalesce("spans", none("struct<start:long,end:long>")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
 
 
 def n_hit(spans: str = "spans"):
