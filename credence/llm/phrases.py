@@ -37,7 +37,7 @@ BITS = (16, 29)
 #: Buckets that one row of counts stands for.
 SEGMENT = 1 << 16
 #: Bytes of text that a task counts together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -133,9 +133,8 @@ def count_slice(data: np.ndarray, offsets: np.ndarray, own: int, langs: pa.Dicti
     starts, ends, first = common.words(data, offsets, _GAP)
     if not len(starts):
         return
-    breaks = np.concatenate((np.zeros(1, np.int64), np.cumsum(_BREAK[data])))
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    piece = breaks[starts] + row  # differs between words of different pieces or rows
+    piece = np.searchsorted(np.flatnonzero(_BREAK[data]), starts) + row  # differs between words of different pieces or rows
     codes, words = word_codes(data, starts, ends)
     lang, names = langs.indices.to_numpy().astype(np.int64)[row], langs.dictionary
     key = lang * len(words) + codes
@@ -274,6 +273,7 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
             parts = counts.where("size > 0").select("lang", "phrase").mapInArrow(_bit_rows(bits), "segment int, at binary, many binary")
             frequent = spark.sparkContext.broadcast(bitmap(parts, bits, 1))
             bucket = spark.sparkContext.broadcast(bitmap(raw.where("segment is not null"), bits, least))
+        common.remove(spark, f"{folder}/raw")
     return out
 
 

@@ -190,3 +190,45 @@ def test_url_rules_against_brute_force(spark):
 
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_kept_columns_of_any_name(spark):
+    """Columns with the names of inner ones pass through bpe, decontamination, quality and repeated ids through token files."""
+    from credence.llm import quality
+
+    df = spark.createDataFrame([(1, "one two three", "x", 3, "r", "en"), (2, None, "y", 4, "s", "xx")], "doc_id long, text string, __text string, __row int, class_reference string, lang string")
+    extra = ("doc_id", "__text", "__row", "class_reference")
+    kept = lambda out: sorted(tuple(r[c] for c in extra) for r in out.collect())
+    want = [(1, "x", 3, "r"), (2, "y", 4, "s")]
+    assert kept(bpe.encode(df, WORD, keep=extra, output="digest")) == want
+    bench = spark.createDataFrame([(i, f"two three {i}") for i in range(9)] + [(9, "two three")], "item_id long, text string")
+    for size in (1 << 20, 40):
+        out = decontaminate.find(df, bench, window=2, keep=extra, block_bytes=size)
+        assert kept(out) == want and [r["items"] for r in out.orderBy("doc_id").collect()] == [[str(i) for i in range(10)], []]
+    assert kept(quality.judge(df, keep_columns=extra)) == want
+
+
+def test_rows_that_share_an_id_are_spread(spark, tmp_path):
+    rows = [(7, f"text number {i}") for i in range(400)] + [(None, f"null {i}") for i in range(100)]
+    manifest = token_output.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ids"), BYTE, parts=4)
+    files = manifest.collect()
+    assert len(files) == 4 and max(f.n_docs for f in files) < 300
+    got = token_output.read(manifest).collect()
+    assert sorted((r.doc_id is not None, r.n_tokens) for r in got) == sorted((i is not None, len(Tokenizer.from_file(BYTE).encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert sorted(r.start for r in got)[0] == 0
+
+
+def test_nested_paths_of_many_rules(spark):
+    """Paths nest in paths, on hosts that nest in hosts, with rules sent to parts as open ones."""
+    rng = random.Random(8)
+    part = lambda n: "/" + "/".join(rng.choice("ab") for _ in range(rng.randrange(n)))
+    hosts = ["com", "x.com", "y.x.com", "z.y.x.com"]
+    rules = list({(rng.choice(hosts), part(5)): rng.choice(["allow", "block"]) for _ in range(60)}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    urls = [f"http://{rng.choice(['', 'w.', 'q.'])}{rng.choice(hosts)}{part(8)}" for _ in range(400)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df, spark.createDataFrame(rules, "host string, path string, verdict string"), parts=5).collect()}
+    for i, u in enumerate(urls):
+        host, path = re.match(r"http://([^/]*)(.*)", u).groups()
+        fits = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow")), u
