@@ -116,15 +116,36 @@ def last_turns(turns: DataFrame, points: DataFrame, k: int, most_chars: int = 20
     return j.groupBy("session_id", F.col("at").alias("turn")).agg(F.count("*").alias("n_turns"), body.alias("context")).withColumn("tokens", belief.approx_tokens(F.col("context")))
 
 
-def sweep(turns: DataFrame, points: DataFrame, ks: tuple[int, ...], caps: tuple[int, ...]) -> DataFrame:
-    """Context sizes over all (k, cap): mean tokens, and how many contexts lose text by the cap."""
-    params = turns.sparkSession.createDataFrame([(k, c) for k in ks for c in caps], "k int, cap int")
-    p = points.select("session_id", F.col("turn").alias("at")).crossJoin(F.broadcast(params))
-    most = max(ks)
-    near = turns.select("session_id", "turn", F.length("text").alias("chars")).withColumn("at", F.explode(F.sequence(F.col("turn"), F.col("turn") + most - 1)))
-    j = p.join(near, ["session_id", "at"]).where(F.col("turn") > F.col("at") - F.col("k"))
-    each = j.groupBy("k", "cap", "session_id", "at").agg(F.sum(F.least("chars", "cap")).alias("chars"), F.max((F.col("chars") > F.col("cap")).cast("int")).alias("cut"))
-    return each.groupBy("k", "cap").agg(F.count("*").alias("n"), F.avg(F.floor((F.col("chars") + 3) / 4)).alias("mean_tokens"), F.avg("cut").alias("cut_rate"))
+def sweep(turns: DataFrame, points: DataFrame, ks: tuple[int, ...], caps: tuple[int, ...], budget: int = 6000) -> DataFrame:
+    """Context sizes over all (k, cap): n points, tokens (mean, median, p90, max), how many overflow the budget, the share of contexts and of
+    turns that lose text by the cap, and what share of the session's supporting and failed turns so far the window covers.
+
+    turns: session_id, turn, text, supports, is_error. A window's sum is the difference of two running sums of the session, up to the
+    point and up to k turns before, so no turn is copied for a window it stands in; only points leave the session's window."""
+    chars = F.length("text")
+    w = Window.partitionBy("session_id").orderBy("turn")
+    upto = lambda x, k: F.coalesce(F.sum(x).over(w.rangeBetween(Window.unboundedPreceding, -k)), F.lit(0))
+    inside = lambda x, k: upto(x, 0) - upto(x, k)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    one, supports, failed = F.lit(1), flag(F.col("supports")), flag(F.col("is_error"))
+    cells = F.array(*(
+        F.struct(F.lit(k).alias("k"), F.lit(c).alias("cap"), inside(F.least(chars, F.lit(c)), k).alias("chars"), inside(flag(chars > c), k).alias("cut"), inside(one, k).alias("seen"), F.try_divide(inside(supports, k), upto(supports, 0)).alias("support"), F.try_divide(inside(failed, k), upto(failed, 0)).alias("failed"))
+        for k in ks for c in caps
+    ))
+    asked = points.select("session_id", "turn", F.lit(True).alias("asked")).distinct()
+    each = turns.join(asked, ["session_id", "turn"], "left").withColumn("cells", cells).where("asked").select(F.explode("cells").alias("x")).select("x.*")
+    each = each.withColumn("tokens", F.floor((F.col("chars") + 3) / 4))
+    # exact order statistics from the counts of equal sizes, which are few next to the points
+    sizes = each.groupBy("k", "cap", "tokens").agg(F.count("*").alias("m"))
+    order = Window.partitionBy("k", "cap").orderBy("tokens")
+    sizes = sizes.withColumns({"upto": F.sum("m").over(order), "n": F.sum("m").over(Window.partitionBy("k", "cap"))})
+    at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("tokens")))
+    ranks = sizes.groupBy("k", "cap").agg(at(0.5).alias("median"), at(0.9).alias("p90"), F.max("tokens").alias("most"))
+    out = each.groupBy("k", "cap").agg(
+        F.count("*").alias("n"), F.avg("tokens").alias("mean_tokens"), F.avg((F.col("cut") > 0).cast("int")).alias("cut_rate"), F.try_divide(F.sum("cut"), F.sum("seen")).alias("truncation"),
+        F.count_if(F.col("tokens") > budget).alias("overflow"), F.avg("support").alias("support_coverage"), F.count("support").alias("n_support"), F.avg("failed").alias("error_coverage"), F.count("failed").alias("n_failed"),
+    )
+    return out.join(ranks, ["k", "cap"])
 
 
 def narrative(beliefs: DataFrame, as_of: str, most: int = 3, recent_days: int = 30) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import belief, text
-from ..operators import ledger, operational
+from ..operators import curation, ledger, operational
 from . import query
 from .tables import SQL_LEDGER, SQL_SESSION, k_of, read, session_events
 from .tables import ledger as tables
@@ -27,6 +28,51 @@ def session_export(spark, d):
     return operational.session_export(session_events(spark, d), beliefs, ledger.intervals(events))
 
 
+@query(f"""WITH {SQL_INTERVALS}, a AS (SELECT iv.*, session_id, created_turn, belief_type, claim FROM iv JOIN b USING (belief_id) WHERE state <> 'retired'),
+j AS (SELECT se.event_id, a.state, '{{"belief_id":"' || belief_id || '","belief_type":"' || belief_type || '","claim":"' || claim || '","created_turn":' || created_turn || ',"state":"' || a.state || '"}}' AS x, belief_id::VARCHAR AS bid
+  FROM se JOIN a ON a.session_id = se.session_id AND se.turn >= greatest(from_turn, created_turn) AND (to_turn IS NULL OR se.turn < to_turn)),
+l AS (SELECT event_id, string_agg(x, ',' ORDER BY bid, x) AS xs FROM j GROUP BY 1), c AS (SELECT event_id, string_agg('"' || state || '":' || n, ',' ORDER BY state) AS cs FROM (SELECT event_id, state, count(*) AS n FROM j GROUP BY ALL) GROUP BY 1)
+SELECT se.session_id, turn, se.event_id, md5('{{"active_belief_counts":{{' || coalesce(cs, '') || '}},"active_beliefs_at_turn":[' || coalesce(xs, '') || '],"call_id":null,"event_idx":0,"event_type":"' || kind || '","outcome_status":null,"payload":{{"k":' || k || ',"src":{{"a":[1,2],"b":"' || kind || '"}}}},"session_id":' || se.session_id
+  || ',"source_event_id":"e' || se.event_id || '","source_line_number":' || (turn + 1) || ',"timestamp":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","turn_idx":' || turn || '}}') AS json FROM se LEFT JOIN l USING (event_id) LEFT JOIN c USING (event_id)""")
+def session_records(spark, d):
+    from ..sources import exports
+
+    beliefs, events = tables(spark, d)
+    e = session_events(spark, d)
+    payload = F.concat(F.lit('{"src": {"b": "'), F.col("kind"), F.lit('", "a": [1, 2]}, "k": '), F.col("k").cast("string"), F.lit("}"))
+    rows = e.select("session_id", "turn", F.lit(0).alias("event_idx"), (F.col("turn") + 1).alias("line"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("source_event_id"), F.col("kind").alias("event_type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("outcome"), payload.alias("payload"))
+    out = exports.records(rows, beliefs, ledger.intervals(events))
+    return out.join(e.select("session_id", "turn", "event_id"), ["session_id", "turn"]).select("session_id", "turn", "event_id", F.md5(F.col("json").cast("binary")).alias("json"))
+
+
+QUOTAS = curation.Quotas(("view", "click", "purchase", "error", "signup"))
+
+
+def question_pool(spark, d):
+    """Events as candidates: answers by value, positions by the turn's share of the session."""
+    w = Window.partitionBy("session_id")
+    e = session_events(spark, d).withColumn("n", F.count("*").over(w))
+    return e.select("session_id", "turn", F.col("kind").alias("category"), F.when(F.col("value") < 40, "POSITIVE").otherwise("NEGATIVE").alias("answer"), belief.position_bucket(F.col("turn"), F.col("n")).alias("position"))
+
+
+@query()
+def curated_questions(spark, d):
+    return curation.curate(question_pool(spark, d), QUOTAS)
+
+
+@query("""WITH o AS (SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line, md5(coalesce(text, '')) AS raw FROM conversations),
+s AS (SELECT session_id, CASE WHEN line % 4 = 0 THEN line + 1 ELSE line END AS line, raw FROM o UNION ALL SELECT session_id, line, raw FROM o WHERE line = 1 UNION ALL SELECT session_id, line, raw || 'x' FROM o WHERE line = 2),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY line) AS k, row_number() OVER (PARTITION BY session_id, line ORDER BY raw) AS nth, min(raw) OVER (PARTITION BY session_id, line) AS kept FROM s)
+SELECT session_id, line, raw, CASE WHEN session_id::BIGINT % 7 = 0 THEN 'finalized' WHEN k <> line THEN 'out_of_order' WHEN nth = 1 THEN 'accepted' WHEN raw = kept THEN 'replayed' ELSE 'mutated' END AS status FROM r""")
+def admitted_lines(spark, d):
+    from ..sources import exports
+
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
+    o = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), n.alias("line"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("raw"))
+    sent = o.withColumn("line", F.when(F.col("line") % 4 == 0, F.col("line") + 1).otherwise(F.col("line"))).unionByName(o.where("line = 1")).unionByName(o.where("line = 2").withColumn("raw", F.concat("raw", F.lit("x"))))
+    return exports.admit(sent, o.where("cast(session_id as bigint) % 7 = 0").select("session_id"))
+
+
 UNIVERSE = ["src1", "src2", "src3", "src4"]
 SQL_CHUNKS = "ch AS (SELECT doc_id % 700 AS event_id, DATE '2024-01-01' + (doc_id % 60)::INT AS date, source, doc_id AS ord FROM documents)"
 
@@ -113,13 +159,18 @@ def raw_context(spark, d):
     return operational.last_turns(c, points, 3, 80)
 
 
-@query(f"""WITH {SQL_CONV}, p AS (SELECT session_id, turn AS pos, k, cap FROM cv, (VALUES (1), (3)) a(k), (VALUES (50), (400)) b(cap) WHERE turn = top),
-e AS (SELECT k, cap, p.session_id, pos, sum(least(length(text), cap)) AS chars, max((length(text) > cap)::INT) AS cut FROM p JOIN cv ON cv.session_id = p.session_id AND cv.turn > pos - k AND cv.turn <= pos GROUP BY ALL)
-SELECT k, cap, count(*) AS n, round(avg(floor((chars + 3) / 4)), 6) AS mean_tokens, round(avg(cut), 6) AS cut_rate FROM e GROUP BY ALL""")
+@query(f"""WITH {SQL_CONV}, f AS (SELECT *, length(text) % 3 = 0 AS sup, length(text) % 5 = 0 AS err FROM cv), p AS (SELECT session_id, turn AS pos, k, cap FROM cv, (VALUES (1), (3)) a(k), (VALUES (50), (400)) b(cap) WHERE turn = top OR turn = 1),
+e AS (SELECT k, cap, p.session_id, pos, sum(least(length(text), cap)) FILTER (turn > pos - k) AS chars, count(*) FILTER (turn > pos - k AND length(text) > cap) AS cut, count(*) FILTER (turn > pos - k) AS seen,
+  count(*) FILTER (sup AND turn > pos - k) / nullif(count(*) FILTER (sup), 0) AS su, count(*) FILTER (err AND turn > pos - k) / nullif(count(*) FILTER (err), 0) AS er FROM p JOIN f ON f.session_id = p.session_id AND f.turn <= pos GROUP BY ALL),
+t AS (SELECT *, cast(floor((chars + 3) / 4) AS BIGINT) AS tokens FROM e), l AS (SELECT k, cap, list_sort(list(tokens)) AS a FROM t GROUP BY ALL)
+SELECT k, cap, count(*) AS n, round(avg(tokens), 6) AS mean_tokens, round(avg((cut > 0)::INT), 6) AS cut_rate, round(sum(cut) / sum(seen), 6) AS truncation, count(*) FILTER (tokens > 150) AS overflow, round(avg(su), 6) AS support_coverage, count(su) AS n_support, round(avg(er), 6) AS error_coverage, count(er) AS n_failed,
+  any_value(a[cast(floor(len(a) * 0.5) AS BIGINT) + 1]) AS median, any_value(a[cast(floor(len(a) * 0.9) AS BIGINT) + 1]) AS p90, any_value(a[-1]) AS most FROM t JOIN l USING (k, cap) GROUP BY ALL""")
 def context_sweep(spark, d):
-    c = read(spark, d, "conversations").withColumnRenamed("conv_id", "session_id")
-    out = operational.sweep(c, c.groupBy("session_id").agg(F.max("turn").alias("turn")), (1, 3), (50, 400))
-    return out.withColumns({"mean_tokens": F.round("mean_tokens", 6), "cut_rate": F.round("cut_rate", 6)})
+    size = F.length("text")
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "text", (size % 3 == 0).alias("supports"), (size % 5 == 0).alias("is_error"))
+    points = c.groupBy("session_id").agg(F.max("turn").alias("turn")).unionByName(c.where("turn = 1").select("session_id", "turn"))
+    out = operational.sweep(c, points, (1, 3), (50, 400), 150)
+    return out.withColumns({x: F.round(x, 6) for x in ("mean_tokens", "cut_rate", "truncation", "support_coverage", "error_coverage")})
 
 
 @query("""WITH b AS (SELECT user_id % 20 AS actor, user_id * 10 + event_id % 3 AS belief_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS kind, max(ts::DATE) AS last_seen, count(*) AS support FROM events GROUP BY ALL),
