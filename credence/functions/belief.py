@@ -120,6 +120,33 @@ def decision(state: Column, label: Column, top1: Column, n_test: Column, t: Deci
     )
 
 
+#: What is advised for each decision.
+ADVICE = {
+    "RETIRE": "stop scoring this region; reassess if evidence returns", "INVERT": "flip the prior; reality is the inverse of what we thought", "ESCALATE": "raise to senior approver; human review required",
+    "INTERVENE": "collect more outcomes before any automated action", "RECLUSTER": "region is incoherent; refit clusters or increase k", "PROMOTE": "treat as trusted region; route automatic decisions through it",
+    "WATCH": "watch; do not promote until calibration improves", "REVISIT": "watch; revisit after more test observations accumulate",
+}
+
+
+def decision_record(state: Column, state_reason: Column, label: Column, top1: Column, n_test: Column, t: DecisionThresholds = DecisionThresholds()) -> Column:
+    """struct(decision, reasons, action): the decision, what speaks for it in order, and what is advised."""
+    made = decision(state, label, top1, n_test, t)
+    two, low = lambda c: F.format_string("%.2f", c), (top1 < t.monitor_top1)
+    life = F.when(state.isNotNull(), F.concat(F.lit("lifecycle: "), state, F.lit(" ("), F.coalesce(state_reason, F.lit("")), F.lit(")")))
+    own = (
+        F.when(made == "RETIRE", F.concat(F.lit("n_test="), n_test.cast("string"))).when(made == "INVERT", None).when(made == "ESCALATE", F.concat(F.lit("label '"), label, F.lit("' is high-severity")))
+        .when(made == "INTERVENE", "no labeled test data available").otherwise(F.concat(F.lit("top1="), two(top1), F.lit(", n_test="), n_test.cast("string")))
+    )
+    last = (
+        F.when(made == "RECLUSTER", F.concat(F.lit("top1 "), two(top1), F.lit(f" below recluster floor {t.recluster_top1:.2f}"))).when(made == "PROMOTE", "meets promote thresholds")
+        .when((made == "MONITOR") & ~low, "does not yet clear promote thresholds")
+    )
+    advice = F.when((made == "MONITOR") & low, ADVICE["WATCH"]).when(made == "MONITOR", ADVICE["REVISIT"])
+    for name, words in ADVICE.items():
+        advice = advice.when(made == name, words)
+    return F.struct(made.alias("decision"), F.array_compact(F.array(life, own, last)).alias("reasons"), advice.alias("action"))
+
+
 def outcome_label(verdict: Column, problem: Column) -> Column:
     """TP, FP, FN or TN of a suppress/allow verdict against what followed; UNCERTAIN if unknown."""
     return (
@@ -140,9 +167,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
-def signature_matches(tool_a: Column, tool_b: Column, error_a: Column, error_b: Column, tokens_a: Column, tokens_b: Column, least: float = 0.5) -> Column:
-    """The same tool and error, or token sets of a Jaccard similarity of ``least``."""
-    return (tool_a == tool_b) & (error_a == error_b) | F.coalesce(jaccard(tokens_a, tokens_b) >= least, F.lit(False))
+def signature_matches(a: Column, b: Column) -> Column:
+    """Whether two turns' signatures (operators.turns.signature) are of one failure: a common tool and the same error, or a
+    common file and a common command."""
+    common = lambda name: F.coalesce(F.arrays_overlap(a[name], b[name]), F.lit(False))
+    return common("tools") & F.coalesce(a["error_kw"] == b["error_kw"], F.lit(False)) | common("file_paths") & common("cmd_tokens")
+
+
+def near_signature_matches(a: Column, b: Column, least: float = 0.5) -> Column:
+    """The wider form: a common tool and error words of a Jaccard similarity of ``least``, a common file and command, or a common
+    exception class. a, b: struct(tools, error_words, file_paths, cmd_tokens, exception_classes)."""
+    common = lambda name: F.coalesce(F.arrays_overlap(a[name], b[name]), F.lit(False))
+    near = F.coalesce(jaccard(a["error_words"], b["error_words"]) >= least, F.lit(False))
+    return common("tools") & near | common("file_paths") & common("cmd_tokens") | common("exception_classes")
 
 
 def path_overlap(a: Column, b: Column) -> Column:

@@ -148,14 +148,31 @@ def sweep(turns: DataFrame, points: DataFrame, ks: tuple[int, ...], caps: tuple[
     return out.join(ranks, ["k", "cap"])
 
 
-def narrative(beliefs: DataFrame, as_of: str, most: int = 3, recent_days: int = 30) -> DataFrame:
-    """By actor and section (active, attention, recently retired, older): how many, and the top claims by support."""
+#: How many active and recently closed beliefs are listed, examples of a month, and the days that count as recent.
+ACTIVE_CAP, RECENT_CAP, EXAMPLES, RECENT_DAYS = 12, 8, 3, 30
+
+
+def narrative(beliefs: DataFrame, as_of: str) -> DataFrame:
+    """By actor, section (active, attention, recently retired, older) and, of older ones, month of closing: how many there are, what is
+    shown, and how many are not.
+
+    Shown are the latest updated ones, up to the section's cap (all that need attention); of a month, the examples with the most support.
+    beliefs: belief_id, actor, state, last_seen, support, claim."""
     age = F.datediff(F.lit(as_of).cast("date"), F.col("last_seen"))
-    section = F.when(F.col("state") == "active", "active").when(F.col("state") == "contradicted", "attention").when(age <= recent_days, "recently retired").otherwise("older")
-    w = Window.partitionBy("actor", "section").orderBy(F.desc("support"), "belief_id")
-    r = beliefs.withColumn("section", section).withColumn("r", F.row_number().over(w))
-    top = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.struct("r", "claim")))), lambda x: x["claim"])
-    return r.groupBy("actor", "section").agg(F.count("*").alias("n"), F.array_join(top, "; ").alias("top_claims"))
+    section = F.when(F.col("state").isin("weakened", "contradicted"), "attention").when(F.col("state") != "retired", "active").when(age <= RECENT_DAYS, "recently retired").otherwise("older")
+    b = beliefs.withColumn("section", section).withColumn("month", F.when(F.col("section") == "older", F.date_format("last_seen", "yyyy-MM")).otherwise(""))
+    older = F.col("section") == "older"
+    first = F.when(older, -F.col("support")).otherwise(-F.unix_date("last_seen"))
+    w = Window.partitionBy("actor", "section", "month").orderBy(first, "belief_id")
+    cap = F.when(F.col("section") == "active", ACTIVE_CAP).when(F.col("section") == "recently retired", RECENT_CAP).when(older, EXAMPLES)
+    r = b.withColumn("r", F.row_number().over(w)).withColumn("shown", cap.isNull() | (F.col("r") <= cap))
+    claims = F.transform(F.array_sort(F.collect_list(F.when(F.col("shown"), F.struct("r", "claim")))), lambda x: x["claim"])
+    return r.groupBy("actor", "section", "month").agg(F.count("*").alias("n"), F.array_join(claims, "; ").alias("shown"), F.count_if(~F.col("shown")).alias("omitted"))
+
+
+def audit(points: DataFrame, scores: DataFrame) -> DataFrame:
+    """Counts of oracle scores at the audit points by share of the session, category, applicability and class."""
+    return points.join(scores, ["session_id", "turn"]).groupBy("share", "category", "applicability", "oracle_class").agg(F.count("*").alias("n"))
 
 
 QUESTIONS = ["Is the fix at turn {turn} still trusted?", "What blocks the next action at turn {turn}?", "Which belief changed last before turn {turn}?"]

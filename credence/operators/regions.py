@@ -111,6 +111,20 @@ def label_mode(members: DataFrame, keys: list[str], order: str) -> DataFrame:
     return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select("region_id", "label", "n")
 
 
+def label_by(members: DataFrame, order: str, label_fn) -> DataFrame:
+    """region_id and the label that ``label_fn(region_id, members)`` gives, members as a pandas frame in order.
+
+    For regions that fit a task; of larger ones, pass the rows that the label is made of (``label_mode`` needs no such bound)."""
+    import pandas as pd
+
+    kind = dict(members.dtypes)["region_id"]
+
+    def run(key, rows):
+        return pd.DataFrame([(key[0], label_fn(key[0], rows.sort_values(order, kind="stable")))], columns=["region_id", "label"])
+
+    return members.groupBy("region_id").applyInPandas(run, f"region_id {kind}, label string")
+
+
 def centroids(points: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
     """The mean vector of each group, one aggregate a dimension."""
     each = points.select(by, F.posexplode(vec).alias("d", "x")).groupBy(by, "d").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -31,6 +31,25 @@ def evidence(beliefs: DataFrame, events: DataFrame, days_before: int = 7, most:
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("belief_id", "event_id", "date", "rank")
 
 
+def counter_evidence(setbacks: DataFrame, events: DataFrame, days: int = 3) -> DataFrame:
+    """Each belief's events of its actor within ``days`` days of a day on which it was contradicted or weakened: belief_id and
+    event_ids (sorted, each once). setbacks: belief_id, actor, date; events: event_id, actor, date."""
+    width = 2 * days + 1
+    slot = lambda c: F.floor(F.unix_date(c) / width)
+    s = setbacks.select("belief_id", "actor", F.col("date").alias("day")).distinct()
+    s = s.withColumn("slot", F.explode(F.array_distinct(F.array(slot(F.date_sub("day", days)), slot(F.date_add("day", days))))))
+    j = s.join(events.withColumn("slot", slot(F.col("date"))), ["actor", "slot"]).where(F.abs(F.datediff("date", "day")) <= days)
+    return j.groupBy("belief_id").agg(F.array_sort(F.collect_set("event_id")).alias("event_ids"))
+
+
+def loaded(rows: DataFrame, least: int = 30) -> DataFrame:
+    """A corpus of files in order (file_rank, line, event_id, timestamp, title, text): the first row of each id, with the length of title
+    and text and whether that is too short to say anything."""
+    first = first_wins(rows.where("timestamp is not null"), "event_id", ["file_rank", "line"])
+    size = F.length(F.trim(F.concat_ws(" ", "title", "text")))
+    return first.withColumns({"combined_len": size, "degenerate": size < least})
+
+
 def at_cutoff(beliefs: DataFrame, refs: DataFrame, chunks: DataFrame, cutoff: str) -> DataFrame:
     """Beliefs known at the cutoff, with the references that were there by then and their sources.
 
@@ -81,6 +100,16 @@ def top_then_cutoff(queries: DataFrame, chunks: DataFrame, top: int, keep: Colum
     return out
 
 
+def packed(ranked: DataFrame, budget: int = 6000, by: str = "query_id", item: str = "chunk_id", cost: str = "tokens") -> DataFrame:
+    """The retrieved items of each query that fit a budget of tokens, in order of rank, skipping those that do not fit: item, rank and the
+    tokens used up to it. A query's items are the first of a ranking, so they are few."""
+    from .ledger import pack
+
+    kept = pack(ranked, budget, cost, by, item).select(by, F.explode("admitted").alias("__item"))
+    chosen = ranked.join(kept, (ranked[by] == kept[by]) & (ranked[item].cast("string") == F.col("__item")), "left_semi")
+    return chosen.withColumn("used", F.sum(cost).over(Window.partitionBy(by).orderBy("rank")))
+
+
 def label_rates(labels: DataFrame, by: list[str]) -> DataFrame:
     """Share of YES among labels that apply, in long form (by, label)."""
     applies = F.col("label") != "NA"

@@ -82,6 +82,19 @@ def region_decision(spark, d):
     return regions.decide(rows, belief.DecisionThresholds(escalate_labels=("r3",))).select("region_id", "decision")
 
 
+@query(SQL_TWO + """ , d AS (SELECT *, CASE WHEN to_state = 'retired' THEN 'RETIRE' WHEN to_state = 'inverted' THEN 'INVERT' WHEN region_id = 3 THEN 'ESCALATE' WHEN top1 IS NULL OR n_test = 0 THEN 'INTERVENE'
+  WHEN top1 < 0.2 THEN 'RECLUSTER' WHEN top1 < 0.5 THEN 'MONITOR' WHEN top1 >= 0.75 AND n_test >= 10 THEN 'PROMOTE' ELSE 'MONITOR' END AS decision FROM l)
+SELECT region_id, decision, 'lifecycle: ' || to_state || CASE WHEN decision = 'RETIRE' THEN '; n_test=' || n_test WHEN decision = 'INVERT' THEN '' WHEN decision = 'ESCALATE' THEN '; label ''r3'' is high-severity' WHEN decision = 'INTERVENE' THEN '; no labeled test data available' ELSE '; top1=' || printf('%.2f', top1) || ', n_test=' || n_test END
+  || CASE WHEN decision = 'RECLUSTER' THEN '; top1 ' || printf('%.2f', top1) || ' below recluster floor 0.20' WHEN decision = 'PROMOTE' THEN '; meets promote thresholds' WHEN decision = 'MONITOR' AND top1 >= 0.5 THEN '; does not yet clear promote thresholds' ELSE '' END AS reasons,
+  CASE decision WHEN 'RETIRE' THEN 'stop scoring this region; reassess if evidence returns' WHEN 'INVERT' THEN 'flip the prior; reality is the inverse of what we thought' WHEN 'ESCALATE' THEN 'raise to senior approver; human review required' WHEN 'INTERVENE' THEN 'collect more outcomes before any automated action'
+   WHEN 'RECLUSTER' THEN 'region is incoherent; refit clusters or increase k' WHEN 'PROMOTE' THEN 'treat as trusted region; route automatic decisions through it' ELSE CASE WHEN top1 < 0.5 THEN 'watch; do not promote until calibration improves' ELSE 'watch; revisit after more test observations accumulate' END END AS action FROM d""")
+def region_decision_record(spark, d):
+    rows = regions.two_passes(evidence(spark, d), A, B, "ord").withColumn("label", F.concat(F.lit("r"), F.col("region_id").cast("string")))
+    x = belief.decision_record(F.col("to_state"), F.col("reason"), F.col("label"), F.col("top1"), F.col("n_test"), belief.DecisionThresholds(escalate_labels=("r3",)))
+    said = F.transform(x["reasons"], lambda r: F.regexp_replace(r, r" \(.*\)$", ""))  # the life cycle's own reason is told by its own query
+    return rows.select("region_id", x["decision"].alias("decision"), F.array_join(said, "; ").alias("reasons"), x["action"].alias("action"))
+
+
 @query("""WITH v AS (SELECT source AS region_id, doc_id, lang AS label FROM documents), c AS (SELECT region_id, label, count(*) AS n, min(doc_id) AS f FROM v GROUP BY ALL)
 SELECT region_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY n DESC, f, label) AS r FROM c) WHERE r = 1""")
 def region_label_mode(spark, d):

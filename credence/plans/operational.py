@@ -173,15 +173,18 @@ def context_sweep(spark, d):
     return out.withColumns({x: F.round(x, 6) for x in ("mean_tokens", "cut_rate", "truncation", "support_coverage", "error_coverage")})
 
 
-@query("""WITH b AS (SELECT user_id % 20 AS actor, user_id * 10 + event_id % 3 AS belief_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS kind, max(ts::DATE) AS last_seen, count(*) AS support FROM events GROUP BY ALL),
-s AS (SELECT *, CASE WHEN kind IN ('view', 'signup', 'click') THEN 'active' WHEN kind = 'error' THEN 'attention' WHEN date_diff('day', last_seen, DATE '2024-02-28') <= 30 THEN 'recently retired' ELSE 'older' END AS section FROM b),
-r AS (SELECT *, row_number() OVER (PARTITION BY actor, section ORDER BY support DESC, belief_id) AS r FROM s)
-SELECT actor, section, count(*) AS n, string_agg('c' || belief_id, '; ' ORDER BY r) FILTER (r <= 3) AS top_claims FROM r GROUP BY ALL""")
+@query("""WITH b AS (SELECT user_id % 20 AS actor, user_id * 10 + event_id % 3 AS belief_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS kind, max(ts::DATE) - CASE WHEN user_id % 3 = 0 THEN 40 ELSE 0 END AS last_seen, count(*) AS support FROM events GROUP BY user_id, user_id * 10 + event_id % 3),
+s AS (SELECT *, CASE WHEN kind = 'error' THEN 'attention' WHEN kind <> 'purchase' THEN 'active' WHEN date_diff('day', last_seen, DATE '2024-02-08') <= 30 THEN 'recently retired' ELSE 'older' END AS section FROM b),
+m AS (SELECT *, CASE WHEN section = 'older' THEN strftime(last_seen, '%Y-%m') ELSE '' END AS month FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY actor, section, month ORDER BY CASE WHEN section = 'older' THEN -support ELSE -date_diff('day', DATE '1970-01-01', last_seen) END, belief_id) AS r FROM m),
+c AS (SELECT *, CASE section WHEN 'active' THEN r <= 12 WHEN 'recently retired' THEN r <= 8 WHEN 'older' THEN r <= 3 ELSE true END AS ok FROM r)
+SELECT actor, section, month, count(*) AS n, string_agg('c' || belief_id, '; ' ORDER BY r) FILTER (ok) AS shown, count(*) FILTER (NOT ok) AS omitted FROM c GROUP BY ALL""")
 def narrative_sections(spark, d):
     e = read(spark, d, "events")
-    b = e.groupBy((F.col("user_id") % 20).alias("actor"), (F.col("user_id") * 10 + F.col("event_id") % 3).alias("belief_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"), F.max(F.to_date("ts")).alias("last_seen"), F.count("*").alias("support"))
-    state = F.when(F.col("kind").isin("view", "signup", "click"), "active").when(F.col("kind") == "error", "contradicted").otherwise("retired")
-    return operational.narrative(b.withColumns({"state": state, "claim": F.concat(F.lit("c"), F.col("belief_id").cast("string"))}), "2024-02-28")
+    b = e.groupBy("user_id", (F.col("user_id") * 10 + F.col("event_id") % 3).alias("belief_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"), F.max(F.to_date("ts")).alias("last"), F.count("*").alias("support"))
+    state = F.when(F.col("kind") == "error", "contradicted").when(F.col("kind") == "purchase", "retired").otherwise("active")
+    last = F.when(F.col("user_id") % 3 == 0, F.date_sub("last", 40)).otherwise(F.col("last"))
+    return operational.narrative(b.select((F.col("user_id") % 20).alias("actor"), "belief_id", state.alias("state"), last.alias("last_seen"), "support", F.concat(F.lit("c"), F.col("belief_id").cast("string")).alias("claim")), "2024-02-08")
 
 
 _Q = ", ".join("'" + q + "'" for q in operational.QUESTIONS)

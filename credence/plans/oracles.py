@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import oracles
+from ..operators import operational, oracles
 from . import query
 from .tables import SQL_SESSION, session_events
 
@@ -39,6 +39,14 @@ def oracle_scores(spark, d):
     return oracles.score(e.where("turn % 3 = 0"), b, turns).drop("metric")
 
 
+@query(f"""WITH {SQL_ORACLE}, n AS (SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM se),
+p AS (SELECT session_id, turn, s.share FROM n, (VALUES (0.25), (0.5), (0.75)) AS s(share) WHERE n >= 10 AND i = floor(n * s.share))
+SELECT share::DOUBLE AS share, category, CASE WHEN oracle_class IS NULL THEN 'NA' ELSE 'APPLICABLE' END AS applicability, oracle_class, count(*) AS n FROM p JOIN sc USING (session_id, turn) GROUP BY ALL""")
+def oracle_audit(spark, d):
+    points = operational.audit_points(session_events(spark, d))
+    return operational.audit(points, oracle_scores(spark, d))
+
+
 SQL_RULES = SQL_SESSION + """,
 x AS (SELECT session_id, turn, kind = 'purchase' AS dep, kind = 'click' AS chk, kind = 'error' AS er, CASE WHEN k % 5 = 0 THEN 'FAIL' END AS vs, k % 2 = 0 AS da, k % 3 > 0 AS aa, k % 4 = 0 AS fa, k % 7 > 1 AS pa, CASE WHEN k % 11 > 0 THEN (k % 11) / 11 END AS w, (k % 60) * 60 AS age FROM se),
 r AS (SELECT session_id, turn, 'stale_deploy_prior' AS rule, CASE WHEN dep THEN CASE WHEN da AND aa AND coalesce(w >= 0.7, false) THEN 'SUPPRESS' ELSE 'ALLOW' END END AS verdict FROM x

@@ -68,6 +68,36 @@ def chunk_topk_cutoff(spark, d):
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("""WITH RECURSIVE q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, label, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS sim FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s), k AS (SELECT query_id, chunk_id, rank, greatest(1, (length(coalesce(text, '')) + 3) // 4) AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 150 AND label < 5),
+p AS (SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, NULL::BIGINT AS chunk_id FROM q UNION ALL SELECT p.query_id, k.i, CASE WHEN used + tokens <= 6000 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 6000 THEN k.chunk_id END FROM p JOIN k ON k.query_id = p.query_id AND k.i = p.i + 1)
+SELECT p.query_id, p.chunk_id, k.rank, k.tokens, p.used FROM p JOIN k ON k.query_id = p.query_id AND k.i = p.i WHERE p.chunk_id IS NOT NULL""")
+def chunk_pack(spark, d):
+    v = read(spark, d, "embeddings")
+    top = retrieval.top_then_cutoff(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.withColumnRenamed("vec_id", "chunk_id"), 150, F.col("label") < 5)
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), belief.approx_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    ranked = top.join(texts, "chunk_id").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "tokens")
+    return retrieval.packed(ranked)
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id * 10 + event_id % 3 AS belief_id, user_id AS actor, ts::DATE AS day FROM events WHERE event_type = 'error')
+SELECT belief_id, count(DISTINCT event_id) AS n, md5(string_agg(DISTINCT event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR)) AS ids FROM s JOIN events ON user_id = actor AND abs(date_diff('day', day, ts::DATE)) <= 3 GROUP BY 1""")
+def counter_evidence(spark, d):
+    e = read(spark, d, "events").select("event_id", F.col("user_id").alias("actor"), F.to_date("ts").alias("date"), "event_type")
+    setbacks = e.where("event_type = 'error'").select((F.col("actor") * 10 + F.col("event_id") % 3).alias("belief_id"), "actor", "date")
+    out = retrieval.counter_evidence(setbacks, e.select("event_id", "actor", "date"))
+    ids = F.array_join(F.array_sort(F.transform("event_ids", lambda x: x.cast("string"))), ",")
+    return out.select("belief_id", F.size("event_ids").cast("long").alias("n"), F.md5(ids.cast("binary")).alias("ids"))
+
+
+@query("""WITH c AS (SELECT doc_id % 700 AS event_id, doc_id % 3 AS file_rank, doc_id AS line, source AS title, text FROM documents WHERE doc_id % 11 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY file_rank, line) AS r FROM c)
+SELECT event_id, line, length(trim(title || coalesce(' ' || text, ''))) AS combined_len, length(trim(title || coalesce(' ' || text, ''))) < 30 AS degenerate FROM r WHERE r = 1""")
+def corpus_loaded(spark, d):
+    docs = read(spark, d, "documents")
+    rows = docs.select((F.col("doc_id") % 700).alias("event_id"), (F.col("doc_id") % 3).alias("file_rank"), F.col("doc_id").alias("line"), F.when(F.col("doc_id") % 11 != 0, F.lit("2024-01-01")).alias("timestamp"), F.col("source").alias("title"), "text")
+    return retrieval.loaded(rows).select("event_id", "line", F.col("combined_len").cast("long").alias("combined_len"), "degenerate")
+
+
 SQL_LABELS = "lb AS (SELECT doc_id, doc_id % 3 AS arm, CASE WHEN doc_id % 7 = 0 THEN 'NA' WHEN quality = 1 THEN 'YES' ELSE 'NO' END AS label FROM labels)"
 
 

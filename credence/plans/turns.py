@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import belief
 from ..operators import capture, contexts, rules, turns
+from ..sources import grouped
 from . import query
 from .tables import SQL_SESSION, read, session_events
 
@@ -178,6 +180,50 @@ def validation_parents(spark, d):
     return capture.validation_parents(results, calls)
 
 
+#: Turns of every branch of the region classifier, by k modulo 17: role, text, is_meta, commands and tools, failed result.
+REGION_TURNS = [
+    ("user", "<command-message>x</command-message><command-name>/evening</command-name>", True, [], False), ("user", "/add-actor ABC", True, [], False), ("user", "/unheard of", True, [], False), ("user", "<system-reminder>be brief</system-reminder>", True, [], False),
+    ("user", "please ship it now", False, [], False), ("user", "no, that is wrong", False, [], False), ("user", "thanks", False, [], True), ("user", "thanks", False, [], False), ("assistant", "", False, [("WebSearch", "q")], False), ("assistant", "", False, [("Bash", "ls"), ("Bash", "curl -s x && git push")], False),
+    ("assistant", "", False, [("Bash", "openssl ts -query")], False), ("assistant", "", False, [("Bash", "python build_risk_report.py")], False), ("assistant", "", False, [("Bash", "python scripts/run_pipeline.py --check")], False), ("assistant", "", False, [("Edit", "file=/a/page.html")], False),
+    ("assistant", "Let me check what failed", False, [("Bash", "ls")], False), ("assistant", "fine", False, [("Read", "file=/a"), ("Read", "file=/b")], False), ("assistant", "fine", False, [("Read", "file=/a"), ("Edit", "file=/b")], False),
+]
+
+
+@query(f"""WITH {SQL_SESSION}, t AS (SELECT session_id, turn, k % 17 AS c FROM se)
+SELECT session_id, turn AS turn_idx, CASE WHEN c IN (0, 12) THEN 'pipeline_run' WHEN c IN (1, 8) THEN 'data_fetch' WHEN c IN (4, 9) THEN 'deploy_readiness' WHEN c IN (5, 6, 14) THEN 'failure_diagnosis' WHEN c = 10 THEN 'evidence_sealing' WHEN c IN (11, 13) THEN 'report_generation' WHEN c = 15 THEN 'validation' ELSE 'UNCLASSIFIED' END AS region,
+  CASE c WHEN 0 THEN 'slash_command=/evening' WHEN 1 THEN 'slash_command=/add-actor' WHEN 2 THEN 'unknown_slash_command=/unheard' WHEN 3 THEN 'system_reminder' WHEN 4 THEN 'user_deploy_intent' WHEN 5 THEN 'user_correction' WHEN 6 THEN 'tool_error_in_result' WHEN 7 THEN 'user_default' WHEN 8 THEN 'tool_name=WebSearch'
+  WHEN 9 THEN 'bash_pattern=deploy_readiness:\\bgit push\\b' WHEN 10 THEN 'bash_pattern=evidence_sealing:openssl ts' WHEN 11 THEN 'bash_pattern=report_generation:build_.*report\\.py' WHEN 12 THEN 'bash_pattern=pipeline_run:scripts/run_pipeline\\.py' WHEN 13 THEN 'write_report_artifact' WHEN 14 THEN 'assistant_diagnosis_text' WHEN 15 THEN 'read_only_inspection' ELSE 'assistant_default' END AS reason FROM t""")
+def turn_region_branches(spark, d):
+    e = session_events(spark, d)
+    kinds = spark.createDataFrame([(i, r, t, m, [(n, "u", x) for n, x in uses], [("u", "out", True)] if bad else []) for i, (r, t, m, uses, bad) in enumerate(REGION_TURNS)], "c int, role string, text string, is_meta boolean, tool_uses array<struct<name:string,tool_use_id:string,input_summary:string>>, tool_results array<struct<tool_use_id:string,output_summary:string,is_error:boolean>>")
+    t = e.select("session_id", F.col("turn").alias("turn_idx"), (F.col("k") % 17).cast("int").alias("c")).join(F.broadcast(kinds), "c")
+    x = turns.region()
+    return t.select("session_id", "turn_idx", x["region"].alias("region"), x["reason"].alias("reason"))
+
+
+@query(f"""WITH {SQL_TURNS}, g AS (SELECT session_id, turn_idx, CASE WHEN cmd IS NOT NULL THEN 'Bash' WHEN kind = 'click' THEN 'Edit' WHEN kind = 'purchase' THEN 'Write' END AS tool, CASE WHEN bad THEN 'boom ' || k % 4 END AS err,
+  CASE WHEN cmd LIKE 'pytest%' THEN 't' || k % 3 || '.py' ELSE lower(substr(file, 6)) END AS path, split_part(cmd, ' ', 1) AS word FROM tn), p AS (SELECT a.session_id, a.turn_idx, coalesce(a.tool = b.tool, false) AS st, coalesce(a.err = b.err, false) AS se, coalesce(a.path = b.path, false) AS sp, coalesce(a.word = b.word, false) AS sw FROM g a JOIN g b ON a.session_id = b.session_id AND b.turn_idx = a.turn_idx - 4)
+SELECT session_id, turn_idx, st AND se OR sp AND sw AS same FROM p""")
+def signature_repeats(spark, d):
+    """Whether a turn's signature matches that of the turn four before."""
+    w = Window.partitionBy("session_id").orderBy("turn_idx")
+    t = session_turns(spark, d).select("session_id", "turn_idx", turns.signature().alias("s"))
+    t = t.withColumn("b", F.lag("s", 4).over(w)).where("b is not null")
+    return t.select("session_id", "turn_idx", belief.signature_matches(F.col("s"), F.col("b")).alias("same"))
+
+
+@query("""WITH c AS (SELECT conv_id AS session_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1), e AS (SELECT user_id AS session_id, count(*) AS n_events, count(DISTINCT event_type) AS n_names FROM events GROUP BY 1)
+SELECT session_id, n_turns, last_turn, n_events, n_names FROM c JOIN e USING (session_id)""")
+def grouped_sessions(spark, d):
+    """Turns and timelines of sessions from tables bucketed by session: counts and join without a shuffle."""
+    name = "".join(x if x.isalnum() else "_" for x in d)[-80:]
+    t = grouped.save(read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text"), f"turns{name}", ("turn",))
+    e = grouped.save(read(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), "ts", "event_id", F.col("event_type").alias("name")), f"timelines{name}", ("ts", "event_id"))
+    a = t.groupBy("session_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"))
+    b = e.groupBy("session_id").agg(F.count("*").alias("n_events"), F.size(F.collect_set("name")).cast("long").alias("n_names"))
+    return a.hint("merge").join(b, "session_id")
+
+
 def raw_lines(spark, d):
     """Events as rollout lines: views are shell calls, errors results of the latest of them, clicks patches and purchases reports
     with their results, signups questions and answers."""
