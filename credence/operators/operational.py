@@ -99,6 +99,47 @@ def actions(points: DataFrame, blockers: DataFrame, window: int = 5) -> DataFram
     return out.select("session_id", "turn", F.when(~F.col("proposed"), "none").when(F.col("n_open") > 0, "blocked").otherwise("ready").alias("action"))
 
 
+#: Half lives of derived beliefs in turns.
+DERIVED_HALF_LIFE = {"validation_complete": 60, "action_ready": 5, "action_blocked": 5, "failure_signature_active": 10}
+
+
+def derived_beliefs(turns: DataFrame, pending: DataFrame, fixes: DataFrame, blockers: DataFrame, window: int = 20, least: int = 3) -> DataFrame:
+    """Beliefs that follow from turns and others: session_id, belief_type, turn_first_seen, turn_last_updated, lifecycle_state,
+    decay_status, trigger.
+
+    * validation_complete: a validation succeeds while one is pending; contradicted by the next fix.
+    * action_ready, action_blocked: an action is proposed, with no or some blocker open at that turn.
+    * failure_signature_active: a signature stands ``least`` times in the last ``window`` turns and did not a turn before; retired
+      ``window`` turns after its last appearance in a row of such turns, if the session goes on so long.
+
+    turns: session_id, turn, validated (success), proposes, signature (null unless failed); pending, blockers: session_id, from_turn,
+    to_turn (exclusive, null while open); fixes: session_id, turn."""
+    ends = turns.groupBy("session_id").agg(F.max("turn").alias("end"))
+    open_at = lambda points, intervals: covering(points.select("session_id", "turn"), intervals).where("n_open > 0").select("session_id", "turn")
+    done = turns.where("validated").select("session_id", "turn")
+    done = done.join(open_at(done, pending), ["session_id", "turn"], "left_semi")
+    after = next_after(done, fixes.select("session_id", "turn").distinct())
+    complete = after.select("session_id", F.lit("validation_complete").alias("belief_type"), F.col("turn").alias("first"), F.coalesce("next_turn", "turn").alias("last"), F.when(F.col("next_turn").isNotNull(), "contradicted").otherwise("active").alias("state"), F.when(F.col("next_turn").isNotNull(), "new_fix_attempted").otherwise("validation_tool_success").alias("trigger"))
+    asked = turns.where("proposes").select("session_id", "turn")
+    stopped = open_at(asked, blockers).withColumn("blocked", F.lit(True))
+    acts = asked.join(stopped, ["session_id", "turn"], "left")
+    act = acts.select("session_id", F.when(F.col("blocked"), "action_blocked").otherwise("action_ready").alias("belief_type"), F.col("turn").alias("first"), F.col("turn").alias("last"), F.lit("active").alias("state"), F.lit("action_proposal").alias("trigger"))
+    same = Window.partitionBy("session_id", "signature").orderBy("turn")
+    seen = turns.where("signature is not null").withColumn("n", F.count("*").over(same.rangeBetween(-(window - 1), 0))).where(F.col("n") >= least)
+    gap = F.col("turn") - F.lag("turn").over(same)
+    runs = seen.withColumn("run", F.sum(F.coalesce(gap > window, F.lit(True)).cast("int")).over(same))
+    loops = runs.groupBy("session_id", "signature", "run").agg(F.min("turn").alias("first"), F.max("turn").alias("seen")).join(ends, "session_id")
+    aged = F.col("seen") + window <= F.col("end")
+    loop = loops.select("session_id", F.lit("failure_signature_active").alias("belief_type"), "first", F.when(aged, F.col("seen") + window).otherwise(F.col("seen")).alias("last"), F.when(aged, "retired").otherwise("active").alias("state"), F.when(aged, "signature_aged_out").otherwise("recurrence").alias("trigger"))
+    every = complete.unionByName(act).unionByName(loop).join(ends, "session_id")
+    half = F.lit(None).cast("int")
+    for name, turns_ in DERIVED_HALF_LIFE.items():
+        half = F.when(F.col("belief_type") == name, turns_).otherwise(half)
+    # only what is still open ages until the session ends; actions are judged at their own turn
+    age = F.when((F.col("state") == "active") & ~F.col("belief_type").startswith("action"), F.col("end") - F.col("last")).otherwise(0)
+    return every.select("session_id", "belief_type", F.col("first").alias("turn_first_seen"), F.col("last").alias("turn_last_updated"), F.col("state").alias("lifecycle_state"), belief.decay_status(age, half).alias("decay_status"), "trigger")
+
+
 def audit_points(turns: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 10) -> DataFrame:
     """The turns at given shares of each session of at least ``least`` turns."""
     w = Window.partitionBy("session_id")

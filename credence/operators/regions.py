@@ -23,17 +23,19 @@ def date_range(events: DataFrame, start: str | None = None, end: str | None = No
 def split_point(events: DataFrame, share: float = 0.7, ts: str = "ts") -> DataFrame:
     """One row, split_at: the order statistic at floor(share * n) of the timestamps.
 
-    The hour, the minute and the second that hold it are found one after the other by counts, and then the value by the counts
-    of the values of that second; no step sorts rows, only counts of at most as many grains as lie in the one before."""
+    Rows are counted once, by second. Running counts inside each hour and over the hours (few rows) find the second that holds
+    it; then only that second's rows are looked at again. No step sorts rows, and no window but that of the hours is in one task."""
     rows = events.where(F.col(ts).isNotNull()).select(F.col(ts).alias("split_at"))
-    k = rows.agg(F.floor(F.count("*") * share).alias("k"))
-    for grain in ("hour", "minute", "second", None):
-        rows = rows.withColumn("g", F.date_trunc(grain, "split_at") if grain else F.col("split_at"))
-        n = rows.groupBy("g").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("g")))
-        at = n.join(F.broadcast(k), (F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))).select("g", (F.col("k") - F.col("upto") + F.col("n")).alias("k"))
-        if grain is None:
-            return at.select(F.col("g").alias("split_at"))
-        rows, k = rows.join(F.broadcast(at.select("g")), "g").drop("g"), at.select("k")
+    second = F.date_trunc("second", "split_at")
+    counts = rows.groupBy(second.alias("s")).agg(F.count("*").alias("n")).withColumn("hour", F.date_trunc("hour", "s"))
+    hours = counts.groupBy("hour").agg(F.sum("n").alias("m"))
+    hours = hours.select("hour", (F.sum("m").over(Window.orderBy("hour")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("total"))
+    inside = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("hour").orderBy("s"))).join(hours, "hour")
+    k = F.floor(F.col("total") * share) - F.col("before")
+    at = inside.where((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)).select("s", (k - F.col("upto") + F.col("n")).alias("k"))
+    values = rows.join(F.broadcast(at), second == F.col("s")).groupBy("split_at").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+    last = values.withColumn("upto", F.sum("n").over(Window.orderBy("split_at")))
+    return last.where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))).select("split_at")
 
 
 def outcome_distribution(train: DataFrame, order: str) -> DataFrame:

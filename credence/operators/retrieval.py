@@ -135,6 +135,67 @@ def arm_class(rates: DataFrame, arm: str, rate: str, by: list[str], near: float
     return p.withColumn("outcome", F.when(d.isNull(), "incomplete").when(d >= ahead, "better").when(d <= -ahead, "worse").when(F.abs(d) <= near, "equal").otherwise("unclear"))
 
 
+#: Points of percent that count as an effect, and below which two arms are equal; the outcomes' names.
+EFFECT, NOISE = 3.0, 2.0
+LADDER = {
+    6: "A_wins_overall_audit_needed", 1: "clean_ladder_E_gt_D_gt_C_gt_B_gt_A", 2: "discipline_wins_compression_alone_does_not", 3: "warrants_do_not_add_over_lifecycle",
+    4: "structure_alone_is_load_bearing", 5: "lifecycle_warrant_discipline_no_add_over_summary", 0: "unclassified_ladder_shape",
+}
+MODEL = {1: "full_replication", 2: "partial_replication", 5: "reversal", 3: "compression_equivalent", 4: "no_effect", 0: "unclassified"}
+COMPRESSED = {"near_A": "compression_of_raw_log_does_not_help", "near_B_or_C": "compression_alone_explains_lift", "below_B": "substrate_transformation_does_meaningful_work", "between": "partial_substrate_contribution"}
+
+
+def pivoted(rates: DataFrame, arms: tuple[str, ...], by: list[str], arm: str = "arm", rate: str = "rate") -> DataFrame:
+    """The arms' rates in points of percent side by side."""
+    return rates.groupBy(*by).agg(*(F.max(F.when(F.col(arm) == x, 100 * F.col(rate))).alias(x) for x in arms))
+
+
+def _first(cases: list[tuple[int, Column]], names: dict[int, str]) -> Column:
+    """struct(class, label) of the first case that holds, else of class 0."""
+    made = lambda k: F.struct(F.lit(k).alias("class"), F.lit(names[k]).alias("label"))
+    return F.coalesce(*(F.when(c, made(k)) for k, c in cases), made(0))
+
+
+def ladder_class() -> Column:
+    """struct(class, label) of the shape of arms A to E (columns, in points of percent)."""
+    step = lambda x, y: F.col(x) - F.col(y)
+    up, level = lambda x, y: step(x, y) >= EFFECT, lambda x, y: F.abs(step(x, y)) < NOISE
+    return _first([
+        (6, F.col("A") > F.greatest("B", "C", "D", "E") + EFFECT), (1, up("B", "A") & up("C", "B") & up("D", "C") & up("E", "D")), (2, up("C", "B") & up("D", "C") & up("E", "D") & level("B", "A")),
+        (3, level("E", "D") & up("D", "C") & up("C", "B") & up("B", "A")), (4, level("E", "D") & level("D", "C") & up("C", "B") & up("B", "A")), (5, level("E", "B")),
+    ], LADDER)
+
+
+def compressed_class(p: str = "P") -> Column:
+    """The label of the arm of compressed raw context (column ``p``) next to A, B and C; null where one is missing."""
+    x, near = F.col(p), lambda other: F.abs(F.col(p) - F.col(other)) < NOISE
+    known = x.isNotNull() & F.col("A").isNotNull() & F.col("B").isNotNull() & F.col("C").isNotNull()
+    label = F.when(near("A"), COMPRESSED["near_A"]).when(near("B") | near("C"), COMPRESSED["near_B_or_C"]).when(x - F.col("B") <= -EFFECT, COMPRESSED["below_B"]).otherwise(COMPRESSED["between"])
+    return F.when(known, label)
+
+
+def model_class(p: str = "P") -> Column:
+    """struct(class, label) of one model's arms A, B, C and ``p``; class null and label incomplete where one is missing."""
+    over = lambda x, y: F.col(x) - F.col(y) >= EFFECT
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) < NOISE
+    b, c = over("B", "A") & over("B", p), over("C", "A") & over("C", p)
+    beaten = over("A", "B") | over("A", "C") | over(p, "B") | over(p, "C")
+    known = F.col(p).isNotNull() & F.col("A").isNotNull() & F.col("B").isNotNull() & F.col("C").isNotNull()
+    found = _first([(1, b & c), (2, b != c), (5, beaten), (3, (near("B", p) | near("C", p)) & over(p, "A")), (4, near("B", "A") & near("C", "A"))], MODEL)
+    return F.when(known, found).otherwise(F.struct(F.lit(None).cast("int").alias("class"), F.lit("incomplete").alias("label")))
+
+
+def across_models(classes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n, the counts of the classes and the outcome over all models; classes: class, a row a model."""
+    has = lambda k: F.count_if(F.col("class") == k)
+    n = F.count("*")
+    outcome = (
+        F.when(has(5) > 0, "reversal_halt_and_audit").when(has(4) > 0, "thesis_fails_on_at_least_one_model").when(has(3) > 0, "compression_finding_does_not_generalize")
+        .when(has(1) == n, "full_cross_model_replication").when((has(1) == n - 1) & (has(2) == 1), "mostly_full_plus_one_partial").otherwise("mixed")
+    )
+    return classes.groupBy(*(by or [])).agg(n.alias("n"), *(has(k).alias(f"class_{k}") for k in range(6)), outcome.alias("outcome"))
+
+
 def paired(answers: DataFrame, arms: tuple[str, str]) -> DataFrame:
     """Answers of two arms to the same question side by side."""
     side = lambda a: answers.where(F.col("arm") == a).select("question_id", F.col("answer").alias(f"answer_{a.lower()}"))

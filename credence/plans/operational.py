@@ -45,6 +45,25 @@ def session_records(spark, d):
     return out.join(e.select("session_id", "turn", "event_id"), ["session_id", "turn"]).select("session_id", "turn", "event_id", F.md5(F.col("json").cast("binary")).alias("json"))
 
 
+@query(f"""WITH {SQL_SESSION}, en AS (SELECT session_id, max(turn) AS e FROM se GROUP BY 1), pn AS (SELECT session_id, turn AS f, turn + k % 9 AS t FROM se WHERE kind = 'view'), bk AS (SELECT session_id, turn AS f, CASE WHEN k % 5 > 0 THEN turn + k % 7 END AS t FROM se WHERE kind = 'error'),
+vc AS (SELECT s.session_id, s.turn, (SELECT min(x.turn) FROM se x WHERE x.session_id = s.session_id AND x.kind = 'click' AND x.turn > s.turn) AS nx FROM se s WHERE kind = 'signup' AND EXISTS (SELECT 1 FROM pn WHERE pn.session_id = s.session_id AND f <= s.turn AND s.turn < t)),
+ac AS (SELECT s.session_id, s.turn, EXISTS (SELECT 1 FROM bk WHERE bk.session_id = s.session_id AND f <= s.turn AND (t IS NULL OR s.turn < t)) AS b FROM se s WHERE kind = 'purchase'),
+sg AS (SELECT session_id, turn, k % 6 AS g FROM se WHERE kind = 'error'), sn AS (SELECT a.session_id, a.turn, a.g FROM sg a JOIN sg b ON a.session_id = b.session_id AND a.g = b.g AND b.turn BETWEEN a.turn - 19 AND a.turn GROUP BY ALL HAVING count(*) >= 3),
+rn AS (SELECT *, coalesce(turn - lag(turn) OVER (PARTITION BY session_id, g ORDER BY turn) > 20, true) AS nw FROM sn), rr AS (SELECT *, sum(nw::INT) OVER (PARTITION BY session_id, g ORDER BY turn) AS r FROM rn),
+lp AS (SELECT session_id, min(turn) AS f, max(turn) AS s FROM rr GROUP BY session_id, g, r),
+al AS (SELECT session_id, 'validation_complete' AS belief_type, turn AS f, coalesce(nx, turn) AS l, CASE WHEN nx IS NULL THEN 'active' ELSE 'contradicted' END AS st, CASE WHEN nx IS NULL THEN 'validation_tool_success' ELSE 'new_fix_attempted' END AS tr, 60 AS h, true AS ages FROM vc
+  UNION ALL SELECT session_id, CASE WHEN b THEN 'action_blocked' ELSE 'action_ready' END, turn, turn, 'active', 'action_proposal', 5, false FROM ac
+  UNION ALL SELECT session_id, 'failure_signature_active', f, CASE WHEN s + 20 <= e THEN s + 20 ELSE s END, CASE WHEN s + 20 <= e THEN 'retired' ELSE 'active' END, CASE WHEN s + 20 <= e THEN 'signature_aged_out' ELSE 'recurrence' END, 10, true FROM lp JOIN en USING (session_id))
+SELECT session_id, belief_type, f AS turn_first_seen, l AS turn_last_updated, st AS lifecycle_state, CASE WHEN (CASE WHEN st = 'active' AND ages THEN e - l ELSE 0 END) / h < 0.5 THEN 'fresh' WHEN (CASE WHEN st = 'active' AND ages THEN e - l ELSE 0 END) / h < 1 THEN 'decaying' ELSE 'stale' END AS decay_status, tr AS trigger FROM al JOIN en USING (session_id)""")
+def derived_beliefs(spark, d):
+    e = session_events(spark, d)
+    kind, k, t = F.col("kind"), F.col("k"), F.col("turn")
+    turns = e.select("session_id", "turn", (kind == "signup").alias("validated"), (kind == "purchase").alias("proposes"), F.when(kind == "error", k % 6).alias("signature"))
+    pending = e.where("kind = 'view'").select("session_id", t.alias("from_turn"), (t + k % 9).alias("to_turn"))
+    blockers = e.where("kind = 'error'").select("session_id", t.alias("from_turn"), F.when(k % 5 > 0, t + k % 7).alias("to_turn"))
+    return operational.derived_beliefs(turns, pending, e.where("kind = 'click'"), blockers)
+
+
 QUOTAS = curation.Quotas(("view", "click", "purchase", "error", "signup"))
 
 

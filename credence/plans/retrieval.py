@@ -137,6 +137,36 @@ def arm_outcome_class(spark, d):
     return retrieval.arm_class(rates, "arm", "rate", ["model"]).select("model", "outcome")
 
 
+SQL_ARMS = """r AS (SELECT doc_id % 40 AS model, doc_id // 40 % 6 AS arm, avg((quality = 1)::INT) * 100 AS rate FROM labels GROUP BY ALL),
+p AS (SELECT model, max(rate) FILTER (arm = 0) AS A, max(rate) FILTER (arm = 1) AS B, max(rate) FILTER (arm = 2) AS C, max(rate) FILTER (arm = 3) AS D, max(rate) FILTER (arm = 4) AS E, max(rate) FILTER (arm = 5) AS P FROM r GROUP BY 1),
+m AS (SELECT model, CASE WHEN A IS NULL OR B IS NULL OR C IS NULL OR P IS NULL THEN NULL WHEN B - A >= 3 AND C - A >= 3 AND B - P >= 3 AND C - P >= 3 THEN 1 WHEN (B - A >= 3 AND B - P >= 3) <> (C - A >= 3 AND C - P >= 3) THEN 2
+  WHEN A - B >= 3 OR A - C >= 3 OR P - B >= 3 OR P - C >= 3 THEN 5 WHEN (abs(B - P) < 2 OR abs(C - P) < 2) AND P - A >= 3 THEN 3 WHEN abs(B - A) < 2 AND abs(C - A) < 2 THEN 4 ELSE 0 END AS k FROM p)"""
+
+
+def _arms(spark, d):
+    l = read(spark, d, "labels")  # noqa: E741
+    arm = F.element_at(F.array(*map(F.lit, "ABCDEP")), (F.expr("doc_id div 40") % 6).cast("int") + 1)
+    rates = l.groupBy((F.col("doc_id") % 40).alias("model"), arm.alias("arm")).agg(F.avg((F.col("quality") == 1).cast("int")).alias("rate"))
+    return retrieval.pivoted(rates, tuple("ABCDEP"), ["model"])
+
+
+@query(f"""WITH {SQL_ARMS} SELECT model, k AS class, CASE WHEN k IS NULL THEN 'incomplete' ELSE ['unclassified', 'full_replication', 'partial_replication', 'compression_equivalent', 'no_effect', 'reversal'][k + 1] END AS label,
+  CASE WHEN A > greatest(B, C, D, E) + 3 THEN 6 WHEN B - A >= 3 AND C - B >= 3 AND D - C >= 3 AND E - D >= 3 THEN 1 WHEN C - B >= 3 AND D - C >= 3 AND E - D >= 3 AND abs(B - A) < 2 THEN 2 WHEN abs(E - D) < 2 AND D - C >= 3 AND C - B >= 3 AND B - A >= 3 THEN 3
+   WHEN abs(E - D) < 2 AND abs(D - C) < 2 AND C - B >= 3 AND B - A >= 3 THEN 4 WHEN abs(E - B) < 2 THEN 5 ELSE 0 END AS ladder,
+  CASE WHEN k IS NULL THEN NULL WHEN abs(P - A) < 2 THEN 'compression_of_raw_log_does_not_help' WHEN abs(P - B) < 2 OR abs(P - C) < 2 THEN 'compression_alone_explains_lift' WHEN P - B <= -3 THEN 'substrate_transformation_does_meaningful_work' ELSE 'partial_substrate_contribution' END AS compressed FROM p JOIN m USING (model)""")
+def model_outcomes(spark, d):
+    x = retrieval.model_class()
+    return _arms(spark, d).select("model", x["class"].alias("class"), x["label"].alias("label"), retrieval.ladder_class()["class"].alias("ladder"), retrieval.compressed_class().alias("compressed"))
+
+
+@query(f"""WITH {SQL_ARMS} SELECT model % 8 AS family, count(*) AS n, count(*) FILTER (k = 0) AS class_0, count(*) FILTER (k = 1) AS class_1, count(*) FILTER (k = 2) AS class_2, count(*) FILTER (k = 3) AS class_3, count(*) FILTER (k = 4) AS class_4, count(*) FILTER (k = 5) AS class_5,
+  CASE WHEN count(*) FILTER (k = 5) > 0 THEN 'reversal_halt_and_audit' WHEN count(*) FILTER (k = 4) > 0 THEN 'thesis_fails_on_at_least_one_model' WHEN count(*) FILTER (k = 3) > 0 THEN 'compression_finding_does_not_generalize' WHEN count(*) FILTER (k = 1) = count(*) THEN 'full_cross_model_replication'
+   WHEN count(*) FILTER (k = 1) = count(*) - 1 AND count(*) FILTER (k = 2) = 1 THEN 'mostly_full_plus_one_partial' ELSE 'mixed' END AS outcome FROM m GROUP BY 1""")
+def cross_model_outcome(spark, d):
+    classes = _arms(spark, d).select((F.col("model") % 8).alias("family"), retrieval.model_class()["class"].alias("class"))
+    return retrieval.across_models(classes, ["family"])
+
+
 @query("SELECT a.doc_id // 3 AS question_id, a.quality AS answer_a, b.quality AS answer_b FROM labels a JOIN labels b ON a.doc_id // 3 = b.doc_id // 3 WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 = 1")
 def paired_answers(spark, d):
     l = read(spark, d, "labels").select(F.expr("doc_id div 3").alias("question_id"), F.when(F.col("doc_id") % 3 == 0, "A").when(F.col("doc_id") % 3 == 1, "B").alias("arm"), F.col("quality").alias("answer"))  # noqa: E741

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import belief
-from ..operators import capture, contexts, rules, turns
+from ..operators import capture, contexts, rules, timelines, turns
 from ..sources import grouped
 from . import query
 from .tables import SQL_SESSION, read, session_events
@@ -212,6 +212,13 @@ def signature_repeats(spark, d):
     return t.select("session_id", "turn_idx", belief.signature_matches(F.col("s"), F.col("b")).alias("same"))
 
 
+@query()
+def belief_timelines(spark, d):
+    """Eight beliefs of all sessions, with decay."""
+    t = session_turns(spark, d)
+    return timelines.instances(timelines.timelines(t.withColumn("region", turns.region()["region"])))
+
+
 @query("""WITH c AS (SELECT conv_id AS session_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1), e AS (SELECT user_id AS session_id, count(*) AS n_events, count(DISTINCT event_type) AS n_names FROM events GROUP BY 1)
 SELECT session_id, n_turns, last_turn, n_events, n_names FROM c JOIN e USING (session_id)""")
 def grouped_sessions(spark, d):
