@@ -69,6 +69,7 @@ def position_bucket(turn: Column, total: Column) -> Column:
     return F.when(share < 0.25, "early").when(share < 0.75, "middle").otherwise("late")
 
 
+#: The defaults of both sets of thresholds.
 @dataclass(frozen=True)
 class LifecycleThresholds:
     inverted_corr: float = -0.30

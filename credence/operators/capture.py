@@ -124,6 +124,7 @@ def envelopes(rows: DataFrame) -> DataFrame:
     names = ("session_id", "source_line_number", "raw_line")
     missing = F.array_compact(F.array(*(F.when(kind(k).isNull(), k) for k in names)))
     number = get("source_line_number").try_cast("long")
+    # fixed values: the texts of the faults
     fault = (
         F.when(body.isNull() | ~F.startswith(F.expr("schema_of_variant(try_parse_json(value))"), F.lit("OBJECT")), "envelope must be a JSON object")
         .when(F.size(missing) > 0, F.concat(F.lit("envelope missing required keys: "), F.array_join(missing, ", ")))

@@ -127,6 +127,7 @@ def warrant_from_json(json: Column) -> Column:
     null or zero; a missing support is 0, a missing coverage UNCLASSIFIED, a missing status UNKNOWN."""
     d = F.from_json(json, WARRANT)
     decaying = d["warrant_type"] == "decaying"
+    # fixed values: the texts of the faults
     fault = (
         F.when(d["schema_version"].isNull() | (d["schema_version"] != WARRANT_VERSION), F.concat(F.lit("unsupported schema_version: "), F.coalesce(d["schema_version"], F.lit("none"))))
         .when(d["warrant_type"].isNull() | ~d["warrant_type"].isin("decaying", "invariant"), F.concat(F.lit("invalid warrant_type: "), F.coalesce(d["warrant_type"], F.lit("none"))))

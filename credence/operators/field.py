@@ -317,6 +317,7 @@ def cohort_state(cohorts: DataFrame, snapshot: DataFrame, prior: DataFrame, tens
     out = out.withColumns({c: F.coalesce(c, zero) for c in ("n_classes", "n_pairs", "transitions", "n_groups", "n_emerging", "n_repeating", "n_tension")}).withColumn("in_snapshot", F.coalesce("in_snapshot", none))
     share = F.coalesce(F.col("top") / F.col("classified"), F.lit(0.0))
     name = lambda i: F.get("g", F.lit(i))["state_class"]
+    # fixed values: how cohesion is worded
     words = (
         F.when(F.col("n_classes") == 0, "no cohort members found in current snapshot").when(share >= COHERENT, "cohort behaving as one coherent class")
         .when(share <= FRAGMENTED, F.format_string("cohort fragmented across %d distinct read classes", F.col("n_classes")))

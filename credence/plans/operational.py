@@ -15,9 +15,15 @@ SQL_INTERVALS = SQL_LEDGER + """, iv AS (SELECT belief_id, CASE WHEN kind IN ('b
   lead(eff) OVER (PARTITION BY belief_id ORDER BY eff, at_turn, belief_event_id) AS to_turn FROM be)"""
 
 
-@query()
+@query("""WITH t AS (SELECT printf('e%03d', event_id) AS id, date_trunc('second', ts) AS timestamp, event_type AS outcome FROM events WHERE event_id % 3 <> 1),
+y AS (SELECT printf('e%03d', i) AS id, TIMESTAMP '2026-02-01 09:00:00' + to_days(cast(i % 10 * 9 + i // 10 % 3 AS INT)) AS timestamp, ['high', 'moderate', 'quiet'][(i // 10 + i % 10) % 3 + 1] AS outcome FROM range(80) AS r(i))
+SELECT * FROM t UNION ALL SELECT * FROM y WHERE id NOT IN (SELECT id FROM t)""")
 def synthetic_events(spark, d):
-    return operational.synthetic_events(spark)
+    """The table's events, with the fixture's put in where their ids are not taken; done twice."""
+    e = read(spark, d, "events").where("event_id % 3 <> 1")
+    have = e.select(F.format_string("e%03d", "event_id").alias("id"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("timestamp"), F.col("event_type").alias("outcome"))
+    more = operational.synthetic_events(spark).select("id", "timestamp", "outcome")
+    return operational.insert_missing(operational.insert_missing(have, more, ["id"]), more, ["id"])
 
 
 @query(f"""WITH {SQL_INTERVALS}, a AS (SELECT iv.*, session_id, created_turn FROM iv JOIN b USING (belief_id) WHERE state = 'active' AND (to_turn IS NULL OR from_turn < to_turn)),

@@ -9,7 +9,8 @@ from ..functions import belief
 from ..operators import capture, contexts, rules, timelines, turns
 from ..sources import grouped
 from . import query
-from .tables import SQL_SESSION, read, session_events
+from .tables import SQL_LEDGER, SQL_SESSION, read, session_events
+from .tables import ledger as ledger_tables
 
 #: Events as turns: clicks and views are an assistant's edits and commands, errors a user's turn with a failed result.
 SQL_TURNS = SQL_SESSION + """,
@@ -164,10 +165,14 @@ def warrant_round_trip(spark, d):
     return back.select("id", "w.warrant_type", "w.initial_confidence", "w.half_life_seconds", "w.validation_status")
 
 
-@query("SELECT event_id FROM events UNION ALL SELECT doc_id FROM documents UNION ALL SELECT vec_id FROM embeddings")
+@query("WITH " + SQL_LEDGER + """ SELECT session_id, belief_type, created_turn AS turn FROM b UNION ALL SELECT session_id, 'action_proposed', turn FROM se WHERE kind = 'purchase' UNION ALL SELECT session_id, 'validation_complete', turn FROM se WHERE kind = 'signup'""")
 def belief_bag(spark, d):
-    parts = [read(spark, d, t).select(F.col(c).alias("event_id")) for t, c in (("events", "event_id"), ("documents", "doc_id"), ("embeddings", "vec_id"))]
-    return contexts.bag(*parts)
+    """The ledger's beliefs and two kinds of derived ones in one bag; nothing is merged."""
+    beliefs, _ = ledger_tables(spark, d)
+    e = session_events(spark, d)
+    own = beliefs.select("session_id", "belief_type", F.col("created_turn").alias("turn"))
+    of = lambda kind, name: e.where(F.col("kind") == kind).select("session_id", F.lit(name).alias("belief_type"), "turn")
+    return contexts.bag(own, of("purchase", "action_proposed"), of("signup", "validation_complete"))
 
 
 @query(f"""WITH {SQL_SESSION}, c AS (SELECT session_id, turn AS event_id, 'v' || k % 3 AS tool, CASE k % 2 WHEN 0 THEN 'pytest' ELSE 'ls' END AS command FROM se WHERE kind = 'view'), r AS (SELECT session_id, turn + 100000 * session_id AS event_id, 'v' || k % 3 AS tool, CASE k % 2 WHEN 0 THEN 'pytest' ELSE 'ls' END AS command FROM se WHERE kind = 'click'),
