@@ -195,3 +195,31 @@ def normalized_signature(text: Column, most: int = 200) -> Column:
     text = F.regexp_replace(text, r"(/[^/\s:]+)+((/[^/\s:]+){3})", "<path>$2")
     text = F.regexp_replace(text, r":\d+(:\d+)?", ":<line>")
     return F.substring(F.lower(text), 1, most)
+
+
+#: What looks like a path, a line number and a time in messages and arguments, and argument keys that change from call to call.
+PATH, LINE_NUMBER, ISO_TIME = r"(?U)(?:/[\w\.-]+)+/?", r":\d+:", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+VOLATILE_KEYS = ["timestamp", "request_id", "uuid", "run_id", "id", "trace_id"]
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def normalized_arguments(text: Column) -> Column:
+    """Arguments with paths cut to their last three parts, volatile keys dropped and white space collapsed."""
+    text = _spaced(text)
+    parts = lambda p: F.filter(F.split(p, "/"), lambda x: x != "")
+    short = lambda p: F.when(F.size(parts(p)) > 3, F.concat(F.lit(".../"), F.array_join(F.slice(parts(p), -3, 3), "/"))).otherwise(F.array_join(parts(p), "/"))
+    between, paths = F.split(text, PATH), F.transform(F.regexp_extract_all(text, F.lit(PATH), F.lit(0)), short)
+    text = F.array_join(F.zip_with(between, paths, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    for key in VOLATILE_KEYS:
+        text = F.regexp_replace(text, rf"(?iU)\b{key}\s*[=:]\s*[\"']?[\w\-]+[\"']?", "")
+    return _spaced(text)
+
+
+def normalized_error(text: Column, most: int = 200) -> Column:
+    """A message in lower case with line numbers, paths and times masked and white space collapsed, cut at ``most``."""
+    text = F.regexp_replace(F.lower(text), LINE_NUMBER, ":LINE:")
+    text = F.regexp_replace(F.regexp_replace(text, PATH, "<PATH>/"), ISO_TIME, "<TS>")
+    return F.substring(_spaced(text), 1, most)

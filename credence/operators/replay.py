@@ -76,6 +76,35 @@ def active_as_of(points: DataFrame, timelines: DataFrame) -> DataFrame:
     return last.where("event is null and now in ('born', 'refreshed')").select("session_id", "ts", "belief_name", "last_refresh")
 
 
+def states_at(points: DataFrame, events: DataFrame, half_lives: dict[str, int], stale_below: float = 0.3) -> DataFrame:
+    """Every belief that is born by each point (session_id, ts): belief_name, anchor, birth_ts, last_refresh, n_events, weight and
+    status (active, stale or retired_before).
+
+    events: session_id, belief_name, anchor, event, ts. A session's points meet its beliefs in one ordered window a belief."""
+    key = ["session_id", "belief_name", "anchor"]
+    asked = points.select("session_id", "ts").distinct().join(events.select(*key).distinct(), "session_id")
+    w = Window.partitionBy(*key).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    is_ = lambda *names: F.col("event").isin(*names)
+    rows = asked.unionByName(events.select(*key, "ts", "event"), allowMissingColumns=True).withColumns({
+        "birth_ts": F.min(F.when(is_("born"), F.col("ts"))).over(w), "last_refresh": F.max(F.when(is_("born", "refreshed"), F.col("ts"))).over(w),
+        "ended": F.max(is_("retired", "contradicted").cast("int")).over(w), "n_events": F.count("event").over(w),
+    })
+    half = F.lit(None).cast("double")
+    for name, seconds in half_lives.items():
+        half = F.when(F.col("belief_name") == name, float(seconds)).otherwise(half)
+    age = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last_refresh").cast("timestamp"))) / 1e6
+    weight = F.when(F.col("ended") == 1, 0.0).when(age <= 0, 1.0).otherwise(F.exp(-belief.LN2 * age / half))
+    rows = rows.where("event is null and birth_ts is not null").withColumn("weight", weight)
+    status = F.when(F.col("ended") == 1, "retired_before").when(F.col("weight") < stale_below, "stale").otherwise("active")
+    return rows.select("session_id", "ts", "belief_name", "anchor", "birth_ts", "last_refresh", "n_events", "weight", status.alias("status"))
+
+
+def latest_at(states: DataFrame, statuses: tuple[str, ...] = ("active",)) -> DataFrame:
+    """Of ``states_at``, the belief of each point and name with the latest refresh among the given statuses."""
+    w = Window.partitionBy("session_id", "ts", "belief_name").orderBy(F.desc("last_refresh"), "anchor")
+    return states.where(F.col("status").isin(*statuses)).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
 def stale_verdicts(points: DataFrame, alive: DataFrame, max_age_seconds: int) -> DataFrame:
     """SUPPRESS where the named belief is alive but older than allowed, ALLOW where it is fresh, else NOT_APPLICABLE."""
     j = points.join(alive, ["session_id", "ts"], "left")

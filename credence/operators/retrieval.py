@@ -51,12 +51,15 @@ def loaded(rows: DataFrame, least: int = 30) -> DataFrame:
 
 
 def at_cutoff(beliefs: DataFrame, refs: DataFrame, chunks: DataFrame, cutoff: str) -> DataFrame:
-    """Beliefs known at the cutoff, with the references that were there by then and their sources.
+    """Beliefs known at the cutoff, with the references that were there by then, their sources and how many
+    there are of each, the most first.
 
     beliefs: belief_id, last_updated; refs: belief_id, chunk_id; chunks: chunk_id, ts, source."""
     known = beliefs.where(F.col("last_updated") <= F.lit(cutoff).cast("date"))
-    r = refs.join(chunks.where(F.col("ts") <= F.lit(cutoff).cast("date")), "chunk_id").groupBy("belief_id").agg(F.count("*").alias("n_refs"), F.count_distinct("source").alias("n_sources"))
-    return known.join(r, "belief_id", "left").na.fill(0, ["n_refs", "n_sources"])
+    by_source = refs.join(chunks.where(F.col("ts") <= F.lit(cutoff).cast("date")), "chunk_id").groupBy("belief_id", "source").agg(F.count("*").alias("n"))
+    mix = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "source"))), lambda x: F.concat_ws(":", x["source"], -x["n"]))
+    r = by_source.groupBy("belief_id").agg(F.sum("n").alias("n_refs"), F.count("source").alias("n_sources"), F.array_join(mix, ", ").alias("source_mix"))
+    return known.join(r, "belief_id", "left").na.fill(0, ["n_refs", "n_sources"]).na.fill("", ["source_mix"])
 
 
 def rank_beliefs(beliefs: DataFrame, cutoff: str, by: str, stale_first: bool = False) -> DataFrame:

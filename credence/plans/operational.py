@@ -245,6 +245,13 @@ def normalized_signatures(spark, d):
     return read(spark, d, "documents").select("doc_id", belief.normalized_signature(F.col("text")).alias("signature"))
 
 
+@query()
+def normalized_arguments(spark, d):
+    """Texts as arguments and as messages, in the two normal forms by which failures are compared."""
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", F.md5(belief.normalized_arguments(F.col("text")).cast("binary")).alias("arguments"), belief.normalized_error(F.col("text")).alias("error"))
+
+
 @query("""WITH p AS (SELECT event_id, '/r/' || (k // 10) || CASE WHEN k % 2 = 0 THEN '/' || (k % 10) ELSE '/' END AS a, '/r/' || (k % 10) AS b FROM (SELECT event_id, cast(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
 n AS (SELECT event_id, rtrim(a, '/') AS a, rtrim(b, '/') AS b FROM p) SELECT event_id, a = b OR starts_with(a, b || '/') OR starts_with(b, a || '/') AS overlaps FROM n""")
 def path_overlaps(spark, d):

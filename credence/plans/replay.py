@@ -95,3 +95,24 @@ def decaying_tracker(spark, d):
     kinds = F.create_map(*map(F.lit, ["signup", "born", "view", "refreshed", "purchase", "retired", "error", "contradicted"]))
     rows = e.select("session_id", (F.col("k") % 2).alias("name"), "ts", kinds[F.col("kind")].alias("kind"))
     return replay.track(rows, 40000.0).select("session_id", "name", "episode", "birth_ts", "n_refreshes", "ended_by")
+
+
+@query(f"""WITH {SQL_SESSION}, ev AS (SELECT session_id, CASE k % 2 WHEN 0 THEN 'pipeline_running' ELSE 'report_ready' END AS belief_name, k % 5 AS anchor, ts, CASE kind WHEN 'signup' THEN 'born' WHEN 'view' THEN 'refreshed' WHEN 'error' THEN 'retired' END AS event FROM se WHERE kind IN ('signup', 'view', 'error')),
+pt AS (SELECT session_id, ts FROM se WHERE kind = 'purchase' AND k % 4 = 0),
+st AS (SELECT p.session_id, p.ts, belief_name, anchor, min(e.ts) FILTER (event = 'born') AS birth_ts, max(e.ts) FILTER (event IN ('born', 'refreshed')) AS last_refresh, count(*) AS n_events, max((event = 'retired')::INT) AS ended FROM pt p JOIN ev e ON e.session_id = p.session_id AND e.ts <= p.ts GROUP BY ALL HAVING min(e.ts) FILTER (event = 'born') IS NOT NULL),
+wt AS (SELECT *, CASE WHEN ended = 1 THEN 0 ELSE exp(-0.6931471805599453 * (epoch_us(ts) - epoch_us(last_refresh)) / 1e6 / CASE belief_name WHEN 'pipeline_running' THEN 1800 ELSE 14400 END) END AS weight FROM st),
+ss AS (SELECT *, CASE WHEN ended = 1 THEN 'retired_before' WHEN weight < 0.3 THEN 'stale' ELSE 'active' END AS status FROM wt)
+SELECT session_id, ts, belief_name, anchor, n_events, round(weight, 6) AS weight, status, row_number() OVER (PARTITION BY session_id, ts, belief_name, status ORDER BY last_refresh DESC, anchor) = 1 AS latest FROM ss""")
+def belief_states(spark, d):
+    from ..operators.timelines import HALF_LIFE
+
+    e = session_events(spark, d)
+    k, kinds = F.col("k"), F.create_map(*map(F.lit, ["signup", "born", "view", "refreshed", "error", "retired"]))
+    events = e.where("kind in ('signup', 'view', 'error')").select("session_id", F.when(k % 2 == 0, "pipeline_running").otherwise("report_ready").alias("belief_name"), (k % 5).alias("anchor"), kinds[F.col("kind")].alias("event"), "ts")
+    states = replay.states_at(e.where("kind = 'purchase' and k % 4 = 0"), events, HALF_LIFE)
+    every = None
+    for status in ("active", "stale", "retired_before"):
+        own, last = states.where(F.col("status") == status), replay.latest_at(states, (status,)).select("session_id", "ts", "belief_name", "anchor", F.lit(True).alias("latest"))
+        part = own.join(last, ["session_id", "ts", "belief_name", "anchor"], "left").withColumn("latest", F.coalesce("latest", F.lit(False)))
+        every = part if every is None else every.unionByName(part)
+    return every.select("session_id", "ts", "belief_name", "anchor", "n_events", F.round("weight", 6).alias("weight"), "status", "latest")

@@ -37,9 +37,9 @@ CUT = "2024-01-18"
 
 @query(f"""WITH {SQL_BELIEFS}, kn AS (SELECT *, last_seen AS last_updated FROM bl WHERE last_seen <= DATE '{CUT}'),
 rf AS (SELECT user_id * 10 + event_id % 3 AS belief_id, event_id AS chunk_id, ts::DATE AS ts, event_type AS source FROM events WHERE ts::DATE <= DATE '{CUT}'),
-r AS (SELECT belief_id, count(*) AS n_refs, count(DISTINCT source) AS n_sources FROM rf GROUP BY 1),
-x AS (SELECT kn.*, coalesce(n_refs, 0) AS n_refs, coalesce(n_sources, 0) AS n_sources FROM kn LEFT JOIN r USING (belief_id))
-SELECT belief_id, n_refs, n_sources, row_number() OVER (PARTITION BY actor ORDER BY belief_id % 2, CASE WHEN n_refs >= 20 THEN 0 WHEN n_refs >= 10 THEN 1 ELSE 2 END, date_diff('day', last_updated, DATE '{CUT}'), -(n_refs * 0.5), belief_id) AS rank FROM x""")
+bs AS (SELECT belief_id, source, count(*) AS n FROM rf GROUP BY ALL), r AS (SELECT belief_id, sum(n)::BIGINT AS n_refs, count(*) AS n_sources, string_agg(source || ':' || n, ', ' ORDER BY n DESC, source) AS source_mix FROM bs GROUP BY 1),
+x AS (SELECT kn.*, coalesce(n_refs, 0) AS n_refs, coalesce(n_sources, 0) AS n_sources, coalesce(source_mix, '') AS source_mix FROM kn LEFT JOIN r USING (belief_id))
+SELECT belief_id, n_refs, n_sources, source_mix, row_number() OVER (PARTITION BY actor ORDER BY belief_id % 2, CASE WHEN n_refs >= 20 THEN 0 WHEN n_refs >= 10 THEN 1 ELSE 2 END, date_diff('day', last_updated, DATE '{CUT}'), -(n_refs * 0.5), belief_id) AS rank FROM x""")
 def belief_rank_cutoff(spark, d):
     b = _beliefs(spark, d).withColumn("last_updated", F.col("last_seen"))
     e = read(spark, d, "events")
@@ -48,7 +48,7 @@ def belief_rank_cutoff(spark, d):
     x = retrieval.at_cutoff(b, refs, chunks, CUT)
     cover = F.when(F.col("n_refs") >= 20, "covered").when(F.col("n_refs") >= 10, "partial").otherwise("sparse")
     x = x.withColumns({"match_type": F.col("belief_id") % 2, "coverage": cover, "state": F.lit("active"), "support": F.col("n_refs"), "confidence": F.lit(0.5)})
-    return retrieval.rank_beliefs(x, CUT, "actor").select("belief_id", "n_refs", "n_sources", F.col("rank").cast("long").alias("rank"))
+    return retrieval.rank_beliefs(x, CUT, "actor").select("belief_id", "n_refs", "n_sources", "source_mix", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {SQL_BELIEFS}, t AS (SELECT belief_id, actor, belief_id % 50 AS theme FROM bl), m AS (SELECT DISTINCT theme, actor AS asker FROM t),

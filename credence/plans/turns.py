@@ -194,10 +194,13 @@ REGION_TURNS = [
 ]
 
 
-@query(f"""WITH {SQL_SESSION}, t AS (SELECT session_id, turn, k % 17 AS c FROM se)
+SQL_BRANCHES = f"""WITH {SQL_SESSION}, t AS (SELECT session_id, turn, k % 17 AS c FROM se)
 SELECT session_id, turn AS turn_idx, CASE WHEN c IN (0, 12) THEN 'pipeline_run' WHEN c IN (1, 8) THEN 'data_fetch' WHEN c IN (4, 9) THEN 'deploy_readiness' WHEN c IN (5, 6, 14) THEN 'failure_diagnosis' WHEN c = 10 THEN 'evidence_sealing' WHEN c IN (11, 13) THEN 'report_generation' WHEN c = 15 THEN 'validation' ELSE 'UNCLASSIFIED' END AS region,
   CASE c WHEN 0 THEN 'slash_command=/evening' WHEN 1 THEN 'slash_command=/add-actor' WHEN 2 THEN 'unknown_slash_command=/unheard' WHEN 3 THEN 'system_reminder' WHEN 4 THEN 'user_deploy_intent' WHEN 5 THEN 'user_correction' WHEN 6 THEN 'tool_error_in_result' WHEN 7 THEN 'user_default' WHEN 8 THEN 'tool_name=WebSearch'
-  WHEN 9 THEN 'bash_pattern=deploy_readiness:\\bgit push\\b' WHEN 10 THEN 'bash_pattern=evidence_sealing:openssl ts' WHEN 11 THEN 'bash_pattern=report_generation:build_.*report\\.py' WHEN 12 THEN 'bash_pattern=pipeline_run:scripts/run_pipeline\\.py' WHEN 13 THEN 'write_report_artifact' WHEN 14 THEN 'assistant_diagnosis_text' WHEN 15 THEN 'read_only_inspection' ELSE 'assistant_default' END AS reason FROM t""")
+  WHEN 9 THEN 'bash_pattern=deploy_readiness:\\bgit push\\b' WHEN 10 THEN 'bash_pattern=evidence_sealing:openssl ts' WHEN 11 THEN 'bash_pattern=report_generation:build_.*report\\.py' WHEN 12 THEN 'bash_pattern=pipeline_run:scripts/run_pipeline\\.py' WHEN 13 THEN 'write_report_artifact' WHEN 14 THEN 'assistant_diagnosis_text' WHEN 15 THEN 'read_only_inspection' ELSE 'assistant_default' END AS reason FROM t"""
+
+
+@query(SQL_BRANCHES)
 def turn_region_branches(spark, d):
     e = session_events(spark, d)
     kinds = spark.createDataFrame([(i, r, t, m, [(n, "u", x) for n, x in uses], [("u", "out", True)] if bad else []) for i, (r, t, m, uses, bad) in enumerate(REGION_TURNS)], "c int, role string, text string, is_meta boolean, tool_uses array<struct<name:string,tool_use_id:string,input_summary:string>>, tool_results array<struct<tool_use_id:string,output_summary:string,is_error:boolean>>")
@@ -206,6 +209,12 @@ def turn_region_branches(spark, d):
     return t.select("session_id", "turn_idx", x["region"].alias("region"), x["reason"].alias("reason"))
 
 
+@query(f"""WITH b AS ({SQL_BRANCHES}), u AS (SELECT 'region' AS of, region AS value, region FROM b UNION ALL SELECT 'reason', reason, region FROM b UNION ALL SELECT 'session', session_id::VARCHAR, region FROM b), n AS (SELECT of, value, region, count(*) AS n FROM u GROUP BY ALL)
+SELECT *, round(100 * n / CASE WHEN of = 'session' THEN sum(n) OVER (PARTITION BY of, value) ELSE sum(n) OVER (PARTITION BY of) END, 2) AS pct FROM n""")
+def region_reasons(spark, d):
+    return turns.region_reasons(turn_region_branches(spark, d))
+
+
 @query(f"""WITH {SQL_TURNS}, g AS (SELECT session_id, turn_idx, CASE WHEN cmd IS NOT NULL THEN 'Bash' WHEN kind = 'click' THEN 'Edit' WHEN kind = 'purchase' THEN 'Write' END AS tool, CASE WHEN bad THEN 'boom ' || k % 4 END AS err,
   CASE WHEN cmd LIKE 'pytest%' THEN 't' || k % 3 || '.py' ELSE lower(substr(file, 6)) END AS path, split_part(cmd, ' ', 1) AS word FROM tn), p AS (SELECT a.session_id, a.turn_idx, coalesce(a.tool = b.tool, false) AS st, coalesce(a.err = b.err, false) AS se, coalesce(a.path = b.path, false) AS sp, coalesce(a.word = b.word, false) AS sw FROM g a JOIN g b ON a.session_id = b.session_id AND b.turn_idx = a.turn_idx - 4)
 SELECT session_id, turn_idx, st AND se OR sp AND sw AS same FROM p""")
