@@ -185,6 +185,7 @@ def expectation_births(spark, d):
 @query("""WITH m AS (SELECT label AS storm_id, vec_id FROM embeddings WHERE vec_id % 3 = 0), x AS (SELECT storm_id, i, avg(x) AS x, count(*) AS n FROM (SELECT storm_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM m JOIN embeddings USING (vec_id)) GROUP BY ALL)
 SELECT storm_id, max(n) AS n, round(sqrt(sum(x * x)), 5) AS norm FROM x GROUP BY 1""")
 def storm_centroids(spark, d):
+    """Storms are a fixture: of each label, every third vector is a member; vectors are joined whole."""
     v = read(spark, d, "embeddings")
     storms = v.where("vec_id % 3 = 0").groupBy(F.col("label").alias("storm_id")).agg(F.collect_list("vec_id").alias("event_ids"))
     out = field.member_centroids(storms, v.select(F.col("vec_id").alias("event_id"), "embedding"))

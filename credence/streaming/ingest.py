@@ -4,7 +4,8 @@ State by session: the next line and the hash of the last. A line that was seen w
 with another hash it is a mutation and rejected; a line after a gap is rejected; others are accepted and chained. Rejected
 lines come out with their status and change nothing. A row that is marked final closes its session: it comes out with the
 number of accepted lines and the chain, the hashes of the lines are dropped from the state, and whatever comes later is
-rejected as finalized. Envelopes that are no lines are told apart before (operators.capture.envelopes).
+rejected as finalized. A micro-batch's lines of one session are sorted in one frame, so the trigger's limits (files or
+offsets a trigger) bound it; the hashes of an open session's lines are in the state store, on disk. Envelopes that are no lines are told apart before (operators.capture.envelopes).
 """
 
 from __future__ import annotations

@@ -6,6 +6,9 @@ result; and the rules' session (operators.rules). A line's rules are all applied
 accepted, the session is read again from the store and the lines accepted in this micro-batch are applied to it again, so
 nothing of the failed line stays but its dead letter, and the same line may be sent again.
 
+A micro-batch's lines of one session are sorted in one frame, so the trigger's limits bound it; hashes, turn ids and calls of
+an open session are in the state store, on disk.
+
 Rows that come out: one for each line with its status (as in streaming.ingest, or rule_failed with the fault), and one for
 each belief event, with status null. Belief rows are those of operators.rules.fold over the accepted lines.
 """
