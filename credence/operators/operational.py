@@ -149,10 +149,14 @@ def audit_points(turns: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75)
 
 
 def last_turns(turns: DataFrame, points: DataFrame, k: int, most_chars: int = 200) -> DataFrame:
-    """The last ``k`` turns up to each point, rendered and joined by blank lines, and their approximate tokens."""
+    """The last ``k`` turns up to each point, rendered and joined by blank lines, and their approximate tokens.
+
+    Turns lie in slots of ``k``; a point asks two slots at most, so points are copied, not turns."""
     line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), F.col("role"), F.lit(": "), text.shortened(F.col("text"), most_chars))
-    near = turns.withColumn("line", line).withColumn("at", F.explode(F.sequence(F.col("turn"), F.col("turn") + k - 1)))
-    j = near.join(points.select("session_id", F.col("turn").alias("at")), ["session_id", "at"])
+    slot = lambda c: F.floor(c / k)
+    asked = points.select("session_id", F.col("turn").alias("at")).distinct()
+    asked = asked.withColumn("slot", F.explode(F.array_distinct(F.array(slot(F.col("at") - k + 1), slot(F.col("at"))))))
+    j = turns.withColumn("slot", slot(F.col("turn"))).join(asked, ["session_id", "slot"]).where((F.col("turn") <= F.col("at")) & (F.col("turn") > F.col("at") - k)).withColumn("line", line)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n\n")
     return j.groupBy("session_id", F.col("at").alias("turn")).agg(F.count("*").alias("n_turns"), body.alias("context")).withColumn("tokens", belief.approx_tokens(F.col("context")))
 

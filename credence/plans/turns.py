@@ -237,7 +237,7 @@ def belief_timelines(spark, d):
 SELECT session_id, n_turns, last_turn, n_events, n_names FROM c JOIN e USING (session_id)""")
 def grouped_sessions(spark, d):
     """Turns and timelines of sessions from tables bucketed by session: counts and join without a shuffle."""
-    name = "".join(x if x.isalnum() else "_" for x in d)[-80:]
+    name = "".join(x if x.isalnum() else "_" for x in f"{d}_{spark.sparkContext.applicationId}".lower())[-100:]  # a warehouse outlives the session's catalog
     t = grouped.save(read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text"), f"turns{name}", ("turn",))
     e = grouped.save(read(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), "ts", "event_id", F.col("event_type").alias("name")), f"timelines{name}", ("ts", "event_id"))
     a = t.groupBy("session_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"))
