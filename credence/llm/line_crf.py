@@ -82,7 +82,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     for k, table in enumerate((_DIGIT, _SYMBOL, _SHOUT, _POINT, _HIGH & _START | _of(bytes(range(192, 256))), _SPACE), 1):
         out[:, k] = _sums(table[data], starts, ends) / size
     w, e, _ = common.words(data, offsets, _SPACE)
-    at = np.searchsorted(starts, w, side="right") - 1  # an empty line shares its start with none that has words
+    at = np.searchsorted(starts, w, side="right") - 1  # where empty texts share a start with the text behind them, the last has the words
     words = np.bincount(at, minlength=n)
     most = np.maximum(words, 1)
     of = lambda mask: np.bincount(at, mask, minlength=n) / most
