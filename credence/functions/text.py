@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ EDIT_TOOLS = ["write_file", "edit_file", "apply_patch"]
 SUCCESS_MARKS = ["Patch applied", "Successfully applied", "Wrote file", "Created file", "Updated file", "Done."]
 
 
+#: A word's edge: between [0-9A-Za-z_] and anything else. The JVM's own \b counts the letters of every script as a word's.
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def plain_words(pattern: str) -> str:
+    """The pattern with edges of ASCII words in place of \\b and, where it ignores case, the signs that fold to k and s."""
+    fold = {"k": "[k\u212a]", "s": "[s\u017f]"} if pattern.startswith("(?i)") else {}
+    return re.sub(r"\\.|\[[^\]]*\]|\(\?\w+\)|[ks]", lambda m: _EDGE if m[0] == r"\b" else fold.get(m[0], m[0]), pattern)
+
+
 def first_match(text: Column, bank: list[str]) -> Column:
     """The text that the first matching pattern matches, or null."""
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in bank))

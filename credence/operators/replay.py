@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import belief
+from ..functions import text as texts
 
 #: Ordered rules for user and assistant turns: region, pattern. The first that matches names the region.
 USER_RULES = [("approval", r"(?i)\b(yes|ok|go ahead|approved?)\b"), ("correction", r"(?i)\b(no|wrong|instead|undo)\b"), ("request", r"(?i)\?|\b(please|can you|could you)\b")]
@@ -13,13 +14,13 @@ ASSISTANT_RULES = [("blocked", r"(?i)\b(cannot|can't|unable|blocked)\b"), ("vali
 
 
 def classify_turn(role: Column, text: Column, user_rules=USER_RULES, assistant_rules=ASSISTANT_RULES) -> Column:
-    """struct(region, reason) of a turn, by ordered patterns for its role."""
+    """struct(region, reason) of a turn, by ordered patterns for its role; their words end where ASCII words do."""
     pick = lambda name, why: F.struct(F.lit(name).alias("region"), F.lit(why).alias("reason"))
 
     def chain(rules):
         out = None
         for name, pattern in rules:
-            hit = text.rlike(pattern)
+            hit = text.rlike(texts.plain_words(pattern))
             out = F.when(hit, pick(name, f"text matches {name}")) if out is None else out.when(hit, pick(name, f"text matches {name}"))
         return out.otherwise(pick("other", "no pattern"))
 

@@ -58,3 +58,20 @@ def test_cohort_in_words(spark):
     assert got[3].cohesion == "cohort behaving as one coherent class" and got[3].n_emerging == 1
     s = spark.createDataFrame([("word " * 40,), ("a\nb",), (None,)], "t string").select(field.short_words(F.col("t"))).collect()
     assert len(s[0][0]) <= 130 and s[0][0].endswith("word…") and s[1][0] == "a b" and s[2][0] == ""
+
+
+def test_regions_end_words_as_the_sql_does(spark):
+    """Letters of other scripts stand beside a word, and the signs that fold to k and s are these letters."""
+    import duckdb
+
+    from credence.operators import replay
+    from credence.plans.replay import SQL_REGION
+
+    texts = ["noé l", "éyes", "OK", "yeſ", "oKé", "oKa", "I can't", "cannót", "cannot́", "teſtü", "测test测", "tests_", "please", "pleaſeß", "checK", "dıd", "fİx", "what?", "", None]
+    rows = [(i, role, t) for i, (role, t) in enumerate((r, t) for r in ("user", "assistant", "system", None) for t in texts)]
+    d = spark.createDataFrame(rows, "id int, role string, text string")
+    got = {r.id: r.region for r in d.select("id", replay.classify_turn(F.col("role"), F.col("text"))["region"].alias("region")).collect()}
+    c = duckdb.connect()
+    c.sql("CREATE TABLE t (id INT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    assert got == dict(c.sql(f"SELECT id, {SQL_REGION} FROM t").fetchall())
