@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,72 @@ def member_centroids(storms: DataFrame, embeddings: DataFrame) -> DataFrame:
     return out.select("storm_id", F.coalesce("k", F.lit(0)).alias("n"), F.transform("total", lambda x: x / F.col("k")).alias("centroid"))
 
 
+#: Events that a task holds while those of their windows pass by, events from which on a slot is cut, its least cuts then, and similarities held at once.
+BLOCK, SMALL, CUTS, CELLS = 16_384, 512, 8, 1 << 21
+
+
+def _compared(days: int, least: float):
+    """Sums of similarities of the rows (slot, block, side, d, actor, u, w): those of side 0 are held and compared with those of side 1."""
+
+    def run(batches):
+        now, held, own = None, [], None
+        for batch in batches:
+            slot, block, side, d, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 6))
+            u = batch.column(5)
+            vectors = u.flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1)
+            actor = batch.column(4).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.diff(slot) | np.diff(block) | np.diff(side) | np.diff(d)) + 1
+            out = []
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
+                if (slot[a], block[a]) != now:
+                    now, held, own = (slot[a], block[a]), [], None
+                if side[a] == 0:
+                    held.append((d[a:b].copy(), actor[a:b].copy(), vectors[a:b].copy()))
+                elif held:
+                    if own is None:
+                        own = tuple(map(np.concatenate, zip(*held)))  # sorted by day and actor
+                    lo, hi = np.searchsorted(own[0], [d[a] - days, d[a] + days + 1])
+                    if lo < hi:
+                        out += _sums(own[0][lo:hi], own[1][lo:hi], own[2][lo:hi], actor[a:b], vectors[a:b], w[a:b], int(d[a]), least)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in map(np.concatenate, zip(*out))], names=["actor", "d", "e", "s", "ws"])
+
+    return run
+
+
+def _sums(d, actor, u, others, v, w, e: int, least: float):
+    """(actor, d, e, s, ws) of some events' similarities above ``least`` to other actors' events of the day ``e``."""
+    head = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (actor[1:] != actor[:-1]))))
+    step = max(1, CELLS // len(d))
+    s, ws = np.zeros(len(d)), np.zeros(len(d))
+    for k in range(0, len(others), step):
+        sim = u @ v[k : k + step].T
+        sim *= (sim > least) & (actor[:, None] != others[None, k : k + step])
+        s += sim.sum(axis=1)
+        ws += sim @ w[k : k + step]
+    return [(actor[head], d[head], np.full(len(head), e, d.dtype), np.add.reduceat(s, head), np.add.reduceat(ws, head))]
+
+
+def similar_sums(units: DataFrame, days: int, least: float) -> DataFrame:
+    """By actor, its day d and a day e at most ``days`` away: s, the sum of the similarities above ``least`` of its events of d to other
+    actors' events of e, and ws, that weighted by theirs. units: actor, d, u (of one length), w.
+
+    Events lie in slots of days + 1 days, and a slot's in blocks of about BLOCK by their hash. A task holds one block, and the
+    events of its slot and the two beside it pass by day by day, compared by matrix products; so a task's memory is bounded
+    and events are copied once a block, not once a pair."""
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = units.schema["actor"].dataType.simpleString()
+    rows = units.where("actor is not null").withColumn("slot", F.floor(F.col("d") / (days + 1)))
+    n = F.count("*")
+    cuts = rows.groupBy("slot").agg(F.greatest(F.ceil(n / BLOCK), F.least(F.lit(CUTS), F.ceil(n / SMALL))).cast("int").alias("cuts"))  # a row a slot
+    plain = lambda slot, block, side: (slot.alias("slot"), block.cast("int").alias("block"), F.lit(side).alias("side"), F.col("d"), F.col("actor"), F.col("u"), F.col("w"))
+    own = rows.join(F.broadcast(cuts), "slot").select(*plain(F.col("slot"), F.pmod(F.xxhash64("d", "u", "actor"), F.col("cuts")), 0))
+    near = rows.withColumn("slot", F.explode(F.array(*(F.col("slot") + k for k in (-1, 0, 1))))).join(F.broadcast(cuts), "slot")
+    field = near.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(*plain(F.col("slot"), F.col("block"), 1))
+    every = own.unionByName(field).repartition(parts, "slot", "block").sortWithinPartitions("slot", "block", "side", "d", "actor")
+    return every.mapInArrow(_compared(days, least), f"actor {kind}, d int, e int, s double, ws double")
+
+
 def density(events: DataFrame, days: int = 7, least: float = 0.3, weight: str | None = None) -> DataFrame:
     """By actor and day with an event: n, the density and, with a weight column, the weighted density.
 
@@ -70,12 +138,8 @@ def density(events: DataFrame, days: int = 7, least: float = 0.3, weight: str |
     their similarity is added at the first of these days and taken off after the last, and running sums give each day's."""
     unit = events.withColumn("u", vector.unit(F.col("embedding"))).where(vector.norm(F.col("embedding")) > 0)
     units = unit.select("actor", F.unix_date("date").alias("d"), "u", (F.lit(0.0) if weight is None else F.greatest(F.col(weight).cast("double"), F.lit(0.0))).alias("w"))
-    span = days + 1
-    own = units.select("actor", "d", "u", F.floor(F.col("d") / span).alias("b"))
-    field = units.select(F.col("actor").alias("other"), F.col("d").alias("e"), F.col("u").alias("v"), "w", F.explode(F.array(*(F.floor(F.col("d") / span) + k for k in (-1, 0, 1)))).alias("b"))
-    sim = vector.dot(F.col("u"), F.col("v"))
-    pairs = own.join(field, "b").where((F.col("actor") != F.col("other")) & (F.abs(F.col("d") - F.col("e")) <= days)).withColumn("sim", sim).where(F.col("sim") > least)
-    both = pairs.groupBy("actor", F.greatest("d", "e").alias("first"), (F.least("d", "e") + days).alias("last")).agg(F.sum("sim").alias("s"), F.sum(F.col("sim") * F.col("w")).alias("ws"))
+    pairs = similar_sums(units, days, least)
+    both = pairs.groupBy("actor", F.greatest("d", "e").alias("first"), (F.least("d", "e") + days).alias("last")).agg(F.sum("s").alias("s"), F.sum("ws").alias("ws"))
     ends = F.explode(F.array(F.struct(F.col("first").alias("d"), F.col("s"), F.col("ws")), F.struct((F.col("last") + 1).alias("d"), (-F.col("s")).alias("s"), (-F.col("ws")).alias("ws"))))
     changes = both.select("actor", ends.alias("x")).select("actor", "x.*")
     own_days = units.groupBy("actor", "d").agg(F.count("*").alias("k"))

@@ -75,3 +75,28 @@ def test_regions_end_words_as_the_sql_does(spark):
     c.sql("CREATE TABLE t (id INT, role VARCHAR, text VARCHAR)")
     c.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
     assert got == dict(c.sql(f"SELECT id, {SQL_REGION} FROM t").fetchall())
+
+
+def test_density_compares_blocks_and_joins_no_pairs(spark, monkeypatch):
+    """Windows over several slots and blocks, against plain sums; events meet in blocks, not as rows of a join."""
+    import datetime as dt
+    import random
+
+    monkeypatch.setattr(field, "BLOCK", 3)
+    rng, start = random.Random(3), dt.date(2024, 1, 1)
+    rows = [(rng.choice("abc"), start + dt.timedelta(rng.choice([0, 1, 2, 5, 6, 7, 11, 30])), [rng.gauss(0, 1) for _ in range(4)], rng.randrange(3)) for _ in range(60)]
+    rows += [("a", start, [0.0] * 4, 1), rows[0]]
+    days, least = 3, 0.2
+    out = field.density(spark.createDataFrame(rows, "actor string, date date, embedding array<float>, r int"), days, least, "r")
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with(u" not in plan
+    units = [(a, d, [x / sum(y * y for y in v) ** 0.5 for x in v], r) for a, d, v, r in rows if any(v)]
+    want = {}
+    for actor, day in {(a, d) for a, d, _, _ in units}:
+        field_ = [x for x in units if 0 <= (day - x[1]).days <= days]
+        own = [x for x in field_ if x[0] == actor]
+        sims = [(sum(p * q for p, q in zip(x[2], y[2])), y[3]) for x in own for y in field_ if y[0] != actor]
+        s, ws = sum(v for v, _ in sims if v > least), sum(v * r for v, r in sims if v > least)
+        want[actor, day] = (len(own), s / len(own) / len(field_), ws / len(own) / len(field_))
+    got = {(r.actor, r.day): (r.n, r.density, r.weighted) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and all(abs(x - y) < 1e-5 for x, y in zip(got[k][1:], want[k][1:])) for k in want)
