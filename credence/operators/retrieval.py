@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector
-
 
 def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in the given order; rows without a key go."""
@@ -84,23 +84,124 @@ def theme_expansion(beliefs: DataFrame, themes: DataFrame, actor: str, most: int
     return other.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy("belief_id"))).where(F.col("rank") <= most)
 
 
-QUERY_BLOCK = 2000
+#: Queries and chunks that one task compares, chunks' cuts at least, and similarities held at once.
+QUERY_BLOCK, CHUNK_BLOCK, CUTS, CELLS = 2000, 50_000, 8, 1 << 21
+#: How far a product of matrices may be from the similarity that decides.
+NEAR = 1e-9
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of two equally long arrays, summed in order; a zero vector's is -inf, after all others."""
+    total = lambda x, y: np.add.reduce([x[:, k] * y[:, k] for k in range(x.shape[1])], axis=0) if x.shape[1] else np.zeros(len(x))
+    lengths = np.sqrt(total(a, a)) * np.sqrt(total(b, b))
+    return np.where(lengths > 0, total(a, b) / np.where(lengths > 0, lengths, 1.0), -np.inf)
+
+
+def _leading(query: np.ndarray, chunk: np.ndarray, sim: np.ndarray, keep: np.ndarray, top: int):
+    """Each query's first ``top`` rows, in order."""
+    order = np.lexsort((chunk, -sim, query))
+    query = query[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    order = order[place < top]
+    return query[place < top], chunk[order], sim[order], keep[order]
+
+
+def _best(top: int):
+    """Each query's first ``top`` chunks of the rows (part, side, id, keep, vector): queries are side 0, chunks side 1."""
+
+    def compare(ids, q, unit, least, held, chunk, keep, v):
+        # equal vectors have one similarity, so the first of them by id are enough
+        order = np.argsort(chunk, kind="stable")
+        chunk, keep, v = chunk[order], keep[order], v[order]
+        _, first, copy = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+        copy = copy.ravel()
+        members = np.argsort(copy, kind="stable")
+        starts = np.searchsorted(copy[members], np.arange(len(first)))
+        sizes = np.minimum(np.diff(np.append(starts, len(members))), top)
+        v = v[first]
+        length = np.sqrt((v * v).sum(axis=1))
+        w = np.where(length[:, None] > 0, v / np.where(length > 0, length, 1.0)[:, None], 0.0)
+        step = max(1, CELLS // len(v))
+        for k in range(0, len(ids), step):
+            about = unit[k : k + step] @ w.T
+            about[:, length == 0] = -np.inf
+            about[(q[k : k + step] == 0).all(axis=1)] = -np.inf
+            if about.shape[1] > top:
+                least[k : k + step] = np.maximum(least[k : k + step], np.partition(about, -top, axis=1)[:, -top] - NEAR)
+            row, at = np.nonzero(about >= least[k : k + step, None])
+            for j in range(0, len(row), CELLS // 32):
+                r, x = row[j : j + CELLS // 32] + k, at[j : j + CELLS // 32]
+                sim = _cosines(q[r], v[x])
+                many = sizes[x]
+                each = np.repeat(np.arange(len(x)), many)
+                member = members[np.repeat(starts[x], many) + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)]
+                held.append((r[each], chunk[member], sim[each], keep[member]))
+                if sum(len(h[0]) for h in held) > CELLS:
+                    held[:] = [_leading(*map(np.concatenate, zip(*held)), top)]
+        if held:
+            held[:] = [_leading(*map(np.concatenate, zip(*held)), top)]
+            query, _, sim, _ = held[0]
+            n = np.bincount(query, minlength=len(ids))
+            full = np.flatnonzero(n >= top)
+            least[full] = np.maximum(least[full], sim[np.cumsum(n)[full] - 1] - NEAR)
+
+    def run(batches):
+        now, asked, state, held = None, [], None, []
+
+        def done():
+            if held:
+                query, chunk, sim, keep = held[0]
+                for k in range(0, len(query), 50_000):
+                    part = slice(k, k + 50_000)
+                    bare = ~np.isfinite(sim[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(state[0][query[part]]), pa.array(chunk[part]), pa.array(keep[part]), pa.array(sim[part], mask=bare)], names=["query_id", "chunk_id", "keep", "sim"])
+
+        for batch in batches:
+            part, side, id_ = (batch.column(k).to_numpy() for k in range(3))
+            keep = batch.column(3).to_numpy(zero_copy_only=False)
+            v = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            edge = np.flatnonzero(np.diff(part) | np.diff(side)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
+                if part[a] != now:
+                    yield from done()
+                    now, asked, state, held = part[a], [], None, []
+                if side[a] == 0:
+                    asked.append((id_[a:b].copy(), v[a:b].copy()))
+                elif asked:
+                    if state is None:
+                        ids, q = map(np.concatenate, zip(*asked))
+                        length = np.sqrt((q * q).sum(axis=1))
+                        state = ids, q, q / np.where(length > 0, length, 1.0)[:, None], np.full(len(ids), -np.inf)
+                    for k in range(a, b, CELLS // 512):
+                        to = min(b, k + CELLS // 512)
+                        compare(*state, held, id_[k:to], keep[k:to], v[k:to])
+        yield from done()
+
+    return run
 
 
 def top_then_cutoff(queries: DataFrame, chunks: DataFrame, top: int, keep: Column) -> DataFrame:
-    """The ``top`` most similar chunks of each query first, then those of them that pass ``keep``; queries: query_id, q.
-
-    Queries are a stated set; they meet all chunks in blocks of about QUERY_BLOCK, each broadcast. A task keeps its own first
-    ``top`` of each query before the shuffle."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    """The ``top`` most similar chunks of each query first, then those of them that pass ``keep``: query_id, chunk_id, sim and rank.
+    queries: query_id, q; chunks: chunk_id, embedding (of one length); ids are whole numbers, and a query's id stands once.
+
+    Queries in blocks of about QUERY_BLOCK and chunks in parts of about CHUNK_BLOCK meet in one task each. Products of matrices
+    leave a few more chunks than ``top`` of each query, of which the similarities summed in order choose; a task sends ``top`` rows
+    a query. Null and zero vectors have no similarity and come last."""
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).cast("int").alias("qs")).join(chunks.agg(F.greatest(F.ceil(F.count("*") / CHUNK_BLOCK), F.lit(CUTS)).cast("int").alias("cs")))  # one row
+    whole = lambda x: F.transform(x, lambda y: y.cast("double"))
+    zero = lambda x: F.when(x.isNull() | F.exists(x, lambda y: y.isNull()), F.transform(F.sequence(F.lit(1), F.col("n")), lambda y: F.lit(0.0))).otherwise(whole(x))
+    length = chunks.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("n"))
+    sizes = sizes.join(length)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = queries.join(F.broadcast(sizes)).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qs"))).withColumn("cb", every("cs"))
+    asked = asked.select((F.col("qb") * F.col("cs") + F.col("cb")).cast("long").alias("part"), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), F.lit(False).alias("keep"), zero(F.col("q")).alias("v"))
+    met = chunks.join(F.broadcast(sizes)).withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("cs"))).withColumn("qb", every("qs"))
+    met = met.select((F.col("qb") * F.col("cs") + F.col("cb")).cast("long").alias("part"), F.lit(1).alias("side"), F.col("chunk_id").cast("long").alias("id"), F.coalesce(keep, F.lit(False)).alias("keep"), zero(F.col("embedding")).alias("v"))
+    rows = asked.unionByName(met).repartition(parts, "part").sortWithinPartitions("part", "side")
+    best = rows.mapInArrow(_best(top), "query_id long, chunk_id long, keep boolean, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
-    out = None
-    for k in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        pairs = chunks.join(F.broadcast(block)).withColumn("sim", vector.cosine(F.col("embedding"), F.col("q")))
-        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).where(keep)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return best.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= top) & F.col("keep")).drop("keep")
 
 
 def packed(ranked: DataFrame, budget: int = 6000, by: str = "query_id", item: str = "chunk_id", cost: str = "tokens") -> DataFrame:

@@ -137,3 +137,36 @@ def test_synthetic_events_are_the_same_each_time(spark):
 
     a, b = (operational.synthetic_events(spark, 10).orderBy("timestamp", "id").collect() for _ in range(2))
     assert a == b and len(a) == 80 and len({r.metadata["tag"] for r in a}) == 8 and {r.outcome for r in a} == {"high", "moderate", "quiet"}
+
+
+def test_top_chunks_meet_in_blocks(spark, monkeypatch):
+    """Several blocks, equal vectors, zero and null ones, against plain cosines; queries and chunks are not joined as rows."""
+    import random
+
+    import numpy as np
+
+    from credence.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 20)
+    rng = random.Random(7)
+    v = [(i, [rng.gauss(0, 1) for _ in range(5)], i % 4) for i in range(150)]
+    v += [(i, v[i % 3][1], i % 4) for i in range(150, 230)] + [(230, [0.0] * 5, 0), (231, None, 0)]
+    chunks = spark.createDataFrame(v, "chunk_id long, embedding array<float>, label int").repartition(3)
+    asked = chunks.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    out = retrieval.top_then_cutoff(asked, chunks, 40, F.col("label") < 2)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    single = {i: None if x is None else np.float32(x).astype(float) for i, x, _ in v}
+
+    def cosine(a, b):
+        if a is None or b is None or not a.any() or not b.any():
+            return None
+        total = lambda x, y: float(np.add.accumulate(x * y)[-1])
+        return total(a, b) / (total(a, a) ** 0.5 * total(b, b) ** 0.5)
+
+    want = set()
+    for q in range(0, 232, 10):
+        sims = [(i, label, cosine(single[q], single[i])) for i, _, label in v]
+        order = sorted(sims, key=lambda x: (x[2] is None, -(x[2] or 0), x[0]))[:40]
+        want |= {(q, i, k + 1) for k, (i, label, _) in enumerate(order) if label < 2}
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in out.collect()} == want
