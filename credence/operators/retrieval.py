@@ -71,17 +71,31 @@ def rank_beliefs(beliefs: DataFrame, cutoff: str, by: str, stale_first: bool = F
     return beliefs.withColumn("rank", F.row_number().over(w))
 
 
+#: Askers of a theme that one task meets, about.
+ASKERS = 10_000
+
+
 def theme_expansion(beliefs: DataFrame, themes: DataFrame, actor: str, most: int = 50) -> DataFrame:
     """Beliefs of other actors that share a theme with the actor's, at most ``most`` of each actor's, by belief_id.
 
     Of a theme, an actor's first ``most`` beliefs and of these the first 2 * ``most`` can be among an asker's first ones (of
-    which up to ``most`` are its own), so no more of a theme meet its askers."""
-    own = beliefs.join(themes, "belief_id").select("theme", actor, "belief_id").distinct()
-    mine = own.select("theme", F.col(actor).alias("asker")).distinct()
-    first = own.withColumn("__r", F.row_number().over(Window.partitionBy("theme", actor).orderBy("belief_id"))).where(F.col("__r") <= most)
-    first = first.withColumn("__r", F.row_number().over(Window.partitionBy("theme").orderBy("belief_id"))).where(F.col("__r") <= 2 * most).drop("__r")
-    other = mine.join(first, "theme").where(F.col(actor) != F.col("asker")).select("asker", "belief_id").distinct()
-    return other.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy("belief_id"))).where(F.col("rank") <= most)
+    which up to ``most`` are its own), so a theme is one short list, of which each asker takes the first ``most`` of others. The
+    askers of a theme with many of them are dealt to several tasks; such themes are one in ASKERS rows at most."""
+    own = beliefs.join(themes, "belief_id").select("theme", F.col(actor).alias("actor"), "belief_id").distinct()
+    mine = own.select("theme", F.col("actor").alias("asker")).distinct()
+    first = own.withColumn("__r", F.row_number().over(Window.partitionBy("theme", "actor").orderBy("belief_id"))).where(F.col("__r") <= most)
+    first = first.withColumn("__r", F.row_number().over(Window.partitionBy("theme").orderBy("belief_id"))).where(F.col("__r") <= 2 * most)
+    lists = first.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("belief_id", "actor"))).alias("list"))
+    hot = F.broadcast(mine.groupBy("theme").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("ways")).where("ways > 1"))
+    ways = F.coalesce("ways", F.lit(1))
+    dealt = mine.join(hot, "theme", "left").withColumn("salt", F.pmod(F.xxhash64("asker"), ways).cast("int"))
+    copied = lists.join(hot, "theme", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    others = F.slice(F.filter("list", lambda x: x["actor"] != F.col("asker")), 1, most)
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright: the lists are short beside what they become
+    each = dealt.join(copied, ["theme", "salt"]).select("asker", F.pmod(F.xxhash64("theme"), F.lit(64)).alias("some"), others["belief_id"].alias("ids")).repartition(parts, "asker")
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids")
+    chosen = each.groupBy("asker", "some").agg(merged).groupBy("asker").agg(merged)
+    return chosen.select("asker", F.posexplode("ids").alias("rank", "belief_id")).select("asker", "belief_id", (F.col("rank") + 1).alias("rank"))
 
 
 #: Queries and chunks that one task compares, chunks' cuts at least, and similarities held at once.

@@ -170,3 +170,21 @@ def test_top_chunks_meet_in_blocks(spark, monkeypatch):
         order = sorted(sims, key=lambda x: (x[2] is None, -(x[2] or 0), x[0]))[:40]
         want |= {(q, i, k + 1) for k, (i, label, _) in enumerate(order) if label < 2}
     assert {(r.query_id, r.chunk_id, r["rank"]) for r in out.collect()} == want
+
+
+def test_askers_of_a_theme_are_dealt_to_tasks(spark, monkeypatch):
+    """A theme that all share, and beliefs of several themes, against plain sets; no row a pair of asker and belief is made before the lists are cut."""
+    from credence.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "ASKERS", 4)
+    rows = [(i, i * 7 % 23, [0, i % 5, 5 + i % 3]) for i in range(120)] + [(200 + i, 3, [0, 9]) for i in range(30)]
+    beliefs = spark.createDataFrame([(i, a) for i, a, _ in rows], "belief_id long, actor long")
+    themes = spark.createDataFrame([(i, t) for i, _, ts in rows for t in ts], "belief_id long, theme long")
+    out = retrieval.theme_expansion(beliefs, themes, "actor", 10)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan and "slice(filter(list" in plan
+    want = set()
+    for asker in {a for _, a, _ in rows}:
+        mine = {t for _, a, ts in rows if a == asker for t in ts}
+        want |= {(asker, i, k + 1) for k, i in enumerate(sorted(i for i, a, ts in rows if a != asker and mine & set(ts))[:10])}
+    assert {tuple(r) for r in out.select("asker", "belief_id", "rank").collect()} == want
