@@ -263,10 +263,11 @@ def parent_flux(rows: DataFrame) -> DataFrame:
 
 
 def mortality(rows: DataFrame, days: int = 7) -> DataFrame:
-    """By day: the number of retirements on it and on the ``days`` days before; rows: as_of, event."""
-    daily = rows.groupBy("as_of").agg(F.count_if(F.col("event").isin("retired", "died")).alias("gone"))
+    """By day: the number of retirements on it and on the ``days`` days before, and their rate to the mean number of rows of these days; rows:
+    as_of, event."""
+    daily = rows.groupBy("as_of").agg(F.count_if(F.col("event").isin("retired", "died")).alias("gone"), F.count("*").alias("n"))
     w = Window.partitionBy(F.lit(1)).orderBy(F.unix_date("as_of")).rangeBetween(-days, 0)  # one row a day
-    return daily.select("as_of", F.sum("gone").over(w).alias("mortality"))
+    return daily.select("as_of", F.sum("gone").over(w).alias("mortality"), (F.sum("gone").over(w) / F.avg("n").over(w)).alias("rate"))
 
 
 #: Statuses in which an expectation stands in the field.
@@ -295,7 +296,7 @@ def scope_metrics(rows: DataFrame, days: int = 7) -> DataFrame:
     base = standing.groupBy("as_of").agg(n.alias("breadth"), F.avg("share").alias("alignment"), (F.count("parent_id") / n).alias("refinement"), (F.count_if(F.col("status") == "weakening") / n).alias("stress"))
     sizes = standing.groupBy("as_of", "family").agg(n.alias("k"))
     hhi = sizes.withColumn("p", F.col("k") / F.sum("k").over(Window.partitionBy("as_of"))).groupBy("as_of").agg(F.sum(F.col("p") * F.col("p")).alias("concentration"))
-    return base.join(hhi, "as_of").join(mortality(rows, days), "as_of").join(set_change(standing).select("as_of", "drift"), "as_of", "left")
+    return base.join(hhi, "as_of").join(mortality(rows, days).drop("rate"), "as_of").join(set_change(standing).select("as_of", "drift"), "as_of", "left")
 
 
 def claims(rows: DataFrame) -> DataFrame:

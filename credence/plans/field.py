@@ -197,15 +197,19 @@ SQL_LINEAGE = """xp AS (SELECT ts::DATE AS as_of, user_id AS expectation_id, CAS
 ex AS (SELECT * FROM xp WHERE r = 1)"""
 
 
-def _lineage(spark, d):
-    from pyspark.sql import Window
-
+def _lineage_rows(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
-    e = read(spark, d, "events").select(
+    return read(spark, d, "events").select(
         F.to_date("ts").alias("as_of"), F.col("user_id").alias("expectation_id"), F.when(F.col("user_id") % 4 > 0, F.col("user_id") - F.col("user_id") % 4).alias("parent_id"), ((k % 21 - 10) / 10).alias("direction"), (1 + k % 12).alias("breadth"),
         F.when(F.col("event_type") == "error", "retired").otherwise(F.col("event_type")).alias("event"), "event_id",
     )
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("expectation_id", "as_of").orderBy("event_id"))).where("r = 1")
+
+
+def _lineage(spark, d):
+    """One row a day of an expectation."""
+    from pyspark.sql import Window
+
+    return _lineage_rows(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("expectation_id", "as_of").orderBy("event_id"))).where("r = 1")
 
 
 @query(f"""WITH {SQL_LINEAGE}, pl AS (SELECT as_of, expectation_id, parent_id, CASE WHEN direction < -0.2 THEN 0 WHEN direction < 0.2 THEN 1 ELSE 2 END AS x, CASE WHEN breadth < 4 THEN 0 WHEN breadth < 8 THEN 1 ELSE 2 END AS y FROM ex),
@@ -215,10 +219,11 @@ def grid_flux(spark, d):
     return field.parent_flux(_lineage(spark, d))
 
 
-@query(f"""WITH {SQL_LINEAGE}, dy AS (SELECT as_of, count(*) FILTER (event = 'retired') AS g FROM ex GROUP BY 1)
-SELECT a.as_of, cast(sum(b.g) AS BIGINT) AS mortality FROM dy a JOIN dy b ON b.as_of BETWEEN a.as_of - 7 AND a.as_of GROUP BY 1""")
+@query(f"""WITH {SQL_LINEAGE}, dy AS (SELECT as_of, count(*) AS n, count(*) FILTER (event = 'retired') AS g FROM xp GROUP BY 1)
+SELECT a.as_of, cast(sum(b.g) AS BIGINT) AS mortality, round(sum(b.g) / avg(b.n), 6) AS rate FROM dy a JOIN dy b ON b.as_of BETWEEN a.as_of - 7 AND a.as_of GROUP BY 1""")
 def field_mortality(spark, d):
-    return field.mortality(_lineage(spark, d))
+    """Every retirement counts, whatever else happens to the expectation that day."""
+    return field.mortality(_lineage_rows(spark, d)).withColumn("rate", F.round("rate", 6))
 
 
 #: Expectations with families, statuses, deaths and shares.

@@ -100,3 +100,15 @@ def test_density_compares_blocks_and_joins_no_pairs(spark, monkeypatch):
         want[actor, day] = (len(own), s / len(own) / len(field_), ws / len(own) / len(field_))
     got = {(r.actor, r.day): (r.n, r.density, r.weighted) for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and all(abs(x - y) < 1e-5 for x, y in zip(got[k][1:], want[k][1:])) for k in want)
+
+
+def test_every_retirement_of_a_day_counts(spark, tmp_path):
+    """Two retirements of one expectation on a day are two, and the days' rows give the rate."""
+    import datetime as dt
+
+    from credence.plans.field import field_mortality
+
+    rows = [(i, dt.datetime(2024, 1, day, 1), 1, kind, 1.0, '{"k": 1}') for i, (day, kind) in enumerate([(1, "view"), (1, "error"), (1, "error"), (2, "view"), (8, "error"), (9, "click")])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.as_of.day: (r.mortality, r.rate) for r in field_mortality(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 0.666667), 2: (2, 1.0), 8: (3, 1.8), 9: (1, 1.0)}
