@@ -23,8 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the divergence rule go; the references are fitted on labelled documents."""
-    sample = quality.labelled(docs, common.table(spark, sf_dir, "labels"))
+    """Documents that fail the base rules or the divergence rule go; the references are fitted on all documents labelled as good."""
+    sample = quality.labelled(docs, common.table(spark, sf_dir, "labels"), per_language=None)
     keyed = docs.select(*COLUMNS).withColumn("uid", F.xxhash64("text"))
     kept = quality.judge(keyed, keep_columns=("doc_id", "uid"), sample=sample).where("kept").select(F.col("doc_id").alias("id"), F.col("uid").alias("u")).distinct()
     return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("uid") == F.col("u")), "left_semi").select(*COLUMNS)

@@ -104,3 +104,17 @@ def test_clean_documents_stay(spark):
     good = [r.kept for r in out if r.quality == 1]
     bad = [r.kept for r in out if r.quality == 0]
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.3
+
+
+def test_the_pipeline_fits_on_all_labelled_documents(spark, tmp_path, monkeypatch):
+    """More labelled documents than PER_LANGUAGE: the later ones count too."""
+    import corpus_pipeline
+
+    asked = []
+    real = quality.judge
+    monkeypatch.setattr(quality, "judge", lambda docs, **kw: asked.append(kw["sample"].count()) or real(docs, **kw))
+    text = " ".join(f"the word{i} of" for i in range(30))
+    docs = spark.range(quality.PER_LANGUAGE + 7).selectExpr("id as doc_id", f"'{text}' as text", "'en' as lang", "'x' as source", "1L as n_chars")
+    docs.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert asked == [quality.PER_LANGUAGE + 7]
