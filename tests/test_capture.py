@@ -102,3 +102,11 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {"a.jsonl": {i + 1: x for i, x in enumerate(lines)}, "b.jsonl": {1: "one", 2: "two"}}
+
+
+def test_lines_are_folded_once(spark):
+    """The overlay reads what the rules gave from one store, and no second run of the rules is planned."""
+    out = capture.capture_overlay(frame(spark), 6, 500)
+    plan = out._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and plan.replace("InMemoryRelation", "").count("MapInArrow run") == plan.count("InMemoryRelation")
+    spark.catalog.clearCache()
