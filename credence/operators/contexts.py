@@ -124,8 +124,11 @@ def warrant_to_json(w: Column) -> Column:
 
 def warrant_from_json(json: Column) -> Column:
     """The warrant of a JSON text, or an error: the first confidence of a decaying one is its confidence, or 1.0 where that is
-    null or zero; a missing support is 0, a missing coverage UNCLASSIFIED, a missing status UNKNOWN."""
-    d = F.from_json(json, WARRANT)
+    null or zero; a missing support is 0, a missing coverage UNCLASSIFIED, a missing status UNKNOWN. The text is parsed once."""
+    return F.get(F.transform(F.array(F.from_json(json, WARRANT)), _warrant), F.lit(0))
+
+
+def _warrant(d: Column) -> Column:
     decaying = d["warrant_type"] == "decaying"
     # fixed values: the texts of the faults
     fault = (

@@ -112,3 +112,9 @@ def test_every_retirement_of_a_day_counts(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.as_of.day: (r.mortality, r.rate) for r in field_mortality(spark, str(tmp_path)).collect()}
     assert got == {1: (2, 0.666667), 2: (2, 1.0), 8: (3, 1.8), 9: (1, 1.0)}
+
+
+def test_a_warrant_is_parsed_once(spark):
+    d = spark.createDataFrame([('{"schema_version":"warrant-v0.1","warrant_type":"invariant"}',)], "j string").select(contexts.warrant_from_json(F.col("j")).alias("w")).select("w.warrant_type", "w.validation_status", "w.initial_confidence")
+    assert tuple(d.first()) == ("invariant", "UNKNOWN", None)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
