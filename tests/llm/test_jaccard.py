@@ -112,3 +112,26 @@ def test_shingles_do_not_cross_rows():
     off = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
     _, bounds = jaccard.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), off, 3)
     assert np.diff(bounds).tolist() == [2, 1, 0, 1]
+
+
+def test_frequent_shingles_change_no_link(spark, monkeypatch):
+    """Components are the same whichever shingles count as frequent: none, all, or every other one."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(80)] + "one common line that all of these texts have".split()
+        rows.append((3 * i, " ".join(words)))
+        rows.append((3 * i + 1, " ".join([*words[:-1], "end"])))
+        rows.append((3 * i + 2, " ".join([*words[:40], "x", "y", "z", *words[40:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real, found = jaccard.frequent_shingles, []
+    for choose in (lambda every: every[:0], lambda every: every, lambda every: every[::2]):
+        def frequent(r, n, k, choose=choose):
+            data = " ".join(t for _, t in rows).encode()
+            every, _ = jaccard.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), k)
+            return choose(np.sort(every))
+
+        monkeypatch.setattr(jaccard, "frequent_shingles", frequent)
+        found.append({r.doc_id: r.component_id for r in jaccard.link_components(docs).collect()})
+    monkeypatch.setattr(jaccard, "frequent_shingles", real)
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) < len(rows)
