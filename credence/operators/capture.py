@@ -92,13 +92,12 @@ def rule_rows(events: DataFrame) -> DataFrame:
         "session_id", (F.col("event_id") * 2 + F.col("k")).alias("event_id"), "turn", "kind", "call_id", F.col("tool_name").alias("tool"), "command", F.col("exit_code").cast("long").alias("exit_code"),
         F.when((F.col("kind") == "tool_result") & (F.col("exit_code") != 0), text.failure_signature(F.col("exit_code"), F.col("output"))).alias("signature"),
         F.when(F.col("kind") == "report_write", F.col("report")).otherwise(F.nullif(F.array_join("paths", "\n"), F.lit(""))).alias("path"), "grants", "denies",
-        F.when(F.col("event_type") == "tool_result", "tool").when(F.col("event_type") == "user_message", "user").otherwise("assistant").alias("authority"),
     )
 
 
 def to_ledger(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(beliefs, belief events) of the folded rules, whose authority is that of the event which they follow from."""
-    e = emitted.withColumns({"event_id": F.floor(F.col("source_event") / 2), "belief_event_id": F.struct("source_event", "belief_id").cast("string")})
+    e = emitted.withColumn("belief_event_id", F.struct("source_event", "belief_id").cast("string"))
     b = e.where("kind = 'born'").groupBy("belief_id", "session_id", "belief_type").agg(F.min("effective_turn").alias("created_turn"), F.min("event_id").alias("event"))
     claims = b.withColumn("claim", F.concat("belief_type", F.lit(" from line "), F.col("event").cast("string"))).drop("event")
     return claims, e.select("belief_event_id", "belief_id", "kind", "at_turn", "effective_turn", F.coalesce("authority", F.lit("assistant")).alias("authority"))
@@ -107,10 +106,13 @@ def to_ledger(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
 def capture(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, beliefs, belief events) of raw log lines (session_id, line, raw).
 
-    What the rules give is read several times but folded once: it stays on the executors' disks."""
+    What the rules give is read several times but folded once: it stays on the executors' disks. A row may follow from an event
+    before the one at which the rules gave it."""
     events = normalise(lines)
-    emitted = rules.fold(rule_rows(events), keep=("authority",)).persist(StorageLevel.DISK_ONLY)
-    return events, *to_ledger(emitted)
+    authority = F.when(F.col("event_type") == "tool_result", "tool").when(F.col("event_type") == "user_message", "user").otherwise("assistant")
+    of = events.select(F.col("session_id").cast("string").alias("session_id"), "event_id", authority.alias("authority"))
+    emitted = rules.fold(rule_rows(events)).withColumn("event_id", F.floor(F.col("source_event") / 2)).join(of, ["session_id", "event_id"], "left")
+    return events, *to_ledger(emitted.persist(StorageLevel.DISK_ONLY))
 
 
 def capture_overlay(lines: DataFrame, turn: int, budget: int, k: int = 20) -> DataFrame:

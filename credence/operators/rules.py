@@ -146,12 +146,12 @@ def named(session: str, rows: list[tuple]) -> list[tuple]:
 COLUMNS = ["session_id", "belief_id", "belief_type", "kind", "at_turn", "effective_turn", "source_event", "fault"]
 
 
-def fold_with_faults(events: DataFrame, session: Callable[[], Session] = Session, keep: tuple[str, ...] = ()) -> DataFrame:
+def fold_with_faults(events: DataFrame, session: Callable[[], Session] = Session) -> DataFrame:
     """All belief events of all sessions, and for each session whose rules raised one row with the fault (and nothing of its events from
-    there on); ``keep``: columns (strings) of the event that a row follows from. A session's rows are read in batches in order, never as one frame."""
+    there on). A session's rows are read in batches in order, never as one frame."""
     text, number = pa.string(), pa.int64()
     fields = zip(COLUMNS, [text] * 4 + [number] * 3 + [pa.struct([("rule", text), ("kind", text), ("message", text)])])
-    schema = pa.schema([*fields, *((c, text) for c in keep)])
+    schema = pa.schema([*fields])
 
     def run(batches):
         now, state, failed = None, session(), False
@@ -162,19 +162,18 @@ def fold_with_faults(events: DataFrame, session: Callable[[], Session] = Session
                     now, state, failed = e["session_id"], session(), False
                 if failed:
                     continue
-                kept = tuple(e[c] for c in keep)
                 try:
-                    out += [(*x, None, *kept) for x in named(now, list(state.step(e)))]
+                    out += [(*x, None) for x in named(now, list(state.step(e)))]
                 except RuleFault as fault:
                     failed = True
-                    out.append((now, None, None, None, e["turn"], None, e["event_id"], {"rule": fault.rule, "kind": type(fault.cause).__name__, "message": str(fault)}, *kept))
+                    out.append((now, None, None, None, e["turn"], None, e["event_id"], {"rule": fault.rule, "kind": type(fault.cause).__name__, "message": str(fault)}))
             columns = zip(*out) if out else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     e = events.withColumn("session_id", events["session_id"].cast("string"))
-    return e.repartition("session_id").sortWithinPartitions("session_id", "event_id").mapInArrow(run, FOLDED + "".join(f", {c} string" for c in keep))
+    return e.repartition("session_id").sortWithinPartitions("session_id", "event_id").mapInArrow(run, FOLDED)
 
 
-def fold(events: DataFrame, session: Callable[[], Session] = Session, keep: tuple[str, ...] = ()) -> DataFrame:
-    """All belief events of all sessions, with the columns ``keep`` of the event that each follows from."""
-    return fold_with_faults(events, session, keep).where(F.col("fault").isNull()).drop("fault")
+def fold(events: DataFrame, session: Callable[[], Session] = Session) -> DataFrame:
+    """All belief events of all sessions."""
+    return fold_with_faults(events, session).where(F.col("fault").isNull()).drop("fault")
