@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Edges that a partition of a round holds at least, so that few edges are not dealt over many files, whatever the number of partitions.
+EDGES = 50_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -16,13 +19,15 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Columns node and label (the smallest node of its component) for every node of an edge; edges: a, b (bigint).
 
     A step aggregates the smallest neighbour of each node and joins it back, so no neighbourhood is ever gathered. The
-    edges of each round are written to the shared folder."""
+    edges of each round are written to the shared folder; a round has a partition for each EDGES of them, or as many as
+    its input has, so its shuffles leave files by the edges, and none where one partition holds all."""
     now = common.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     for _ in range(most):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        fill = -(-max(1, state[0]) // EDGES)
+        both = now.coalesce(fill).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().coalesce(fill)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
         now = common.cut(small.select("x.a", F.col("x.m").alias("b")).where("a <> b").distinct())

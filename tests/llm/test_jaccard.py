@@ -107,6 +107,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_take_few_partitions(spark, monkeypatch):
+    """Rounds over few edges leave files by the edges and not by the shuffle partitions, whose number a cluster may fix; labels stay."""
+    from credence.llm import common, components as module
+
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)]
+    df, real, seen = spark.createDataFrame(edges, "a long, b long"), common.cut, []
+    monkeypatch.setattr(common, "cut", lambda d: seen.append((out := real(d)).rdd.getNumPartitions()) or out)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert {r.node: r.label for r in components(df).collect()} == {x: 100 if x >= 100 else 0 for e in edges for x in e}
+        assert seen[0] == 16 and set(seen[1:]) == {1}
+        monkeypatch.setattr(module, "EDGES", 10)  # several partitions
+        assert {r.node: r.label for r in components(df).collect()} == {x: 100 if x >= 100 else 0 for e in edges for x in e}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_shingles_do_not_cross_rows():
     raw = [b"a b c d", b"e f", b"", b"g h i"]
     off = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
