@@ -118,3 +118,16 @@ def test_the_pipeline_fits_on_all_labelled_documents(spark, tmp_path, monkeypatc
     docs.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
     corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
     assert asked == [quality.PER_LANGUAGE + 7]
+
+
+def test_the_query_fits_on_all_labelled_documents(spark, tmp_path, monkeypatch):
+    from credence.llm import queries
+
+    asked = []
+    real = quality.judge
+    monkeypatch.setattr(quality, "judge", lambda docs, **kw: asked.append(kw["sample"].count()) or real(docs, **kw))
+    docs = spark.range(quality.PER_LANGUAGE + 7).selectExpr("id as doc_id", "'the word of' as text", "'en' as lang", "'x' as source", "1L as n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    queries.op3_quality_rules(spark, str(tmp_path))
+    assert asked == [quality.PER_LANGUAGE + 7]
