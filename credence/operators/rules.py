@@ -7,6 +7,7 @@ later events of the session are not applied.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -28,14 +29,19 @@ class RuleFault(Exception):
 
 @dataclass
 class Session:
-    """What the rules know of a session; ``active`` maps a belief to its type and detail.
+    """What the rules know of a session; ``active`` maps a type to its beliefs and their details.
+
+    Pending validations are found by call and by tool and command, and calls wait for their notice in a heap by turn, so
+    that no event walks all calls or all beliefs.
 
     A result belongs to the call of its id. One without an id, or with an id that no call has, belongs to the pending
     validations of its tool and command, and to the latest call of these if that is a validation; as tool and command decide
     that, ``validations`` holds one entry for each such pair, however often it was called."""
 
-    active: dict[str, tuple[str, object]] = field(default_factory=dict)
-    calls: dict[str, tuple[int, int, bool]] = field(default_factory=dict)  # call id: (turn, event, is a validation)
+    active: dict[str, dict[str, object]] = field(default_factory=dict)
+    pending_of: dict[object, dict[str, None]] = field(default_factory=dict)  # call id, or (tool, command): pending validations
+    calls: dict[str, tuple[int, int, bool, int]] = field(default_factory=dict)  # call id: (turn, event, is a validation, first event with this id)
+    waiting: list[tuple[int, int, str]] = field(default_factory=list)  # heap of (turn, event, call id) without notice
     validations: set[tuple[str, str]] = field(default_factory=set)
     signatures: dict[str, str] = field(default_factory=dict)
     noticed: set[str] = field(default_factory=set)
@@ -57,26 +63,43 @@ class Session:
                 raise RuleFault(name, cause) from cause
 
     def _born(self, kind, key, turn, now, detail=""):
-        self.active[key] = (kind, detail)
+        self.active.setdefault(kind, {})[key] = detail
+        if kind == "validation_pending":
+            for name in (detail[0], detail[1:]):
+                self.pending_of.setdefault(name, {})[key] = None
         return kind, key, "born", turn, turn, now
 
-    def _end(self, key, what, turn, now):
-        return self.active.pop(key)[0], key, what, turn, turn, now
+    def _end(self, kind, key, what, turn, now):
+        detail = self.active[kind].pop(key)
+        if kind == "validation_pending":
+            for name in (detail[0], detail[1:]):
+                self.pending_of[name].pop(key)
+                if not self.pending_of[name]:
+                    del self.pending_of[name]
+        return kind, key, what, turn, turn, now
 
     def _of(self, kind):
-        return [(k, d) for k, (t, d) in self.active.items() if t == kind]
+        return list(self.active.get(kind, {}).items())
 
     def running(self, turn, now, e):
         if turn > self.turn:
-            for call, (at, event, _) in self.calls.items():
-                if call not in self.noticed and turn >= at + 3:
+            due = []
+            while self.waiting and turn >= self.waiting[0][0] + 3:
+                at, event, call = heapq.heappop(self.waiting)
+                known = self.calls.get(call)
+                if known is not None and known[:2] == (at, event):  # no result yet, and not called again since
                     self.noticed.add(call)
-                    yield ("pipeline_running", f"running:{call}", "born", turn, at, event)
+                    due.append((known[3], call, at, event))
+            for _, call, at, event in sorted(due):
+                yield ("pipeline_running", f"running:{call}", "born", turn, at, event)
             self.turn = turn
 
     def call(self, turn, now, e):
         checks = e["kind"] == "validation_call"
-        self.calls[e.get("call_id") or f"@{now}"] = (turn, now, checks)
+        call = e.get("call_id") or f"@{now}"
+        self.calls[call] = (turn, now, checks, self.calls[call][3] if call in self.calls else now)
+        if call not in self.noticed:
+            heapq.heappush(self.waiting, (turn, now, call))
         if checks and e.get("tool") is not None and e.get("command") is not None:
             self.validations.add((e["tool"], e["command"]))
         yield from ()
@@ -89,17 +112,17 @@ class Session:
         code, pair = e.get("exit_code"), (e.get("tool"), e.get("command"))
         known = self.calls.pop(e.get("call_id") or "", None)
         if known is not None:
-            validation, mine = known[2], [k for k, d in self._of("validation_pending") if d[0] == e["call_id"]]
+            validation, mine = known[2], list(self.pending_of.get(e["call_id"], ()))
         else:
-            validation, mine = pair in self.validations, [k for k, d in self._of("validation_pending") if None not in pair and d[1:] == pair]
+            validation, mine = pair in self.validations, [] if None in pair else list(self.pending_of.get(pair, ()))
         if code is not None:
             for key in mine:
-                yield self._end(key, "contradicted" if code else "retired", turn, now)
+                yield self._end("validation_pending", key, "contradicted" if code else "retired", turn, now)
         if validation and code == 0:
             yield self._born("validation_complete", f"complete:{now}", turn, now)
             path = e.get("path")
             for key in [k for k, d in self._of("fix_attempted") if not path or _overlap(d, path)]:
-                yield self._end(key, "retired", turn, now)
+                yield self._end("fix_attempted", key, "retired", turn, now)
 
     def failure(self, turn, now, e):
         if e.get("exit_code") != 0 and e.get("signature"):
@@ -112,16 +135,16 @@ class Session:
 
     def superseded(self, turn, now, e):
         for key in [k for k, d in self._of("fix_attempted") if e.get("path") and _overlap(d, e["path"])]:
-            yield self._end(key, "retired", turn, now)
+            yield self._end("fix_attempted", key, "retired", turn, now)
 
     def fix(self, turn, now, e):
-        if e.get("path") and any(t in ("pipeline_failed", "validation_pending", "validation_complete") for t, _ in self.active.values()):
+        if e.get("path") and any(self.active.get(t) for t in ("pipeline_failed", "validation_pending", "validation_complete")):
             yield self._born("fix_attempted", f"fix:{now}", turn, now, e["path"])
 
     def report(self, turn, now, e):
         if e.get("exit_code") == 0:
             for key in [k for k, d in self._of("report_ready") if d == (e.get("path") or "")]:
-                yield self._end(key, "retired", turn, now)
+                yield self._end("report_ready", key, "retired", turn, now)
             yield self._born("report_ready", f"report:{now}", turn, now, e.get("path") or "")
 
     def approval(self, turn, now, e):
@@ -130,7 +153,7 @@ class Session:
     def answer(self, turn, now, e):
         if e.get("grants") or e.get("denies"):
             for key, _ in self._of("user_approval_pending"):
-                yield self._end(key, "retired" if e.get("grants") else "contradicted", turn, now)
+                yield self._end("user_approval_pending", key, "retired" if e.get("grants") else "contradicted", turn, now)
 
 
 def _overlap(a: str, b: str) -> bool:

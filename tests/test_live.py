@@ -105,3 +105,21 @@ def test_results_that_lost_their_ids(spark):
     df = spark.createDataFrame([("s", *(e[k] for k in schema.replace(",", "").split()[2::2])) for e in events], schema)
     assert sorted((r.belief_type, r.kind, r.source_event) for r in rules.fold(df).collect()) == sorted(out)
     assert rules.fold(df).where(F.col("session_id") != "s").count() == 0
+
+
+def test_a_session_never_walks_all_its_calls():
+    """Notices and results look only at what they end: walking every call or every pending check once a turn is quadratic."""
+
+    class Unwalked(dict):
+        def items(self):
+            raise AssertionError("all calls walked")
+
+    base = {"tool": "pytest", "command": "pytest -q", "exit_code": None, "signature": None, "path": None, "grants": False, "denies": False}
+    state, out = rules.Session(calls=Unwalked()), []
+    kinds = [("validation_call", "a", 0), ("validation_call", "b", 0), ("tool_result", "a", 1), ("validation_call", "b", 2), ("turn", None, 3), ("turn", None, 5), ("tool_result", None, 6)]
+    for i, (kind, call, turn) in enumerate(kinds):
+        out += [(x[1], x[2], x[4], x[5]) for x in state.step({**base, "event_id": i, "turn": turn, "kind": kind, "call_id": call, "exit_code": 0 if kind == "tool_result" else None})]
+    assert out == [
+        ("pending:a:0", "born", 0, 0), ("pending:b:1", "born", 0, 1), ("pending:a:0", "retired", 1, 2), ("complete:2", "born", 1, 2), ("pending:b:3", "born", 2, 3), ("running:b", "born", 2, 3),
+        ("pending:b:1", "retired", 6, 6), ("pending:b:3", "retired", 6, 6), ("complete:6", "born", 6, 6),
+    ]
