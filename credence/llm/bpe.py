@@ -28,7 +28,7 @@ from . import common, pieces
 
 WINDOW = 16
 #: Bytes of chunks and ids that one Python worker remembers.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 24 << 20
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray, mean: int) -> np.ndarray:

@@ -16,8 +16,9 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-#: Pieces that one Python worker remembers, and about how many bytes they and their ids may have.
-CACHE_PIECES, CACHE_BYTES = 1_000_000, 200 << 20
+#: Pieces that one Python worker remembers, and about how many bytes they and their ids may have. Workers are reused, so they
+#: hold this through all later stages of a session too.
+CACHE_PIECES, CACHE_BYTES = 250_000, 40 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from credence.llm import bpe, decontaminate, pieces, token_output, url_filter  # noqa: E402
+from credence.llm import bpe, common, decontaminate, line_dedup, pieces, token_output, url_filter  # noqa: E402
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -97,6 +98,22 @@ def test_chunks_are_shared_and_joins_repaired():
     assert coder.stitch(row, {}).tolist() == tk.encode("one two three four five six seven eight nine ten", add_special_tokens=False).ids and coder.merged == 1
 
 
+def test_what_a_worker_keeps_is_small(monkeypatch):
+    """Workers are reused, so what one holds after a stage counts in all later ones."""
+    coder = pieces.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f" {a}{b}{c}{d}".encode() for a in letters for b in letters for c in letters for d in letters][:400_000]
+    for k in range(0, len(words), 20_000):
+        coder.lookup(words[k : k + 20_000])
+    assert sys.getsizeof(coder.known) + sum(sys.getsizeof(p) + sys.getsizeof(i) for p, i in coder.known.items()) < 40e6
+    monkeypatch.setattr(common, "_tables", {})
+    data = np.frombuffer(b"some words of a line\n" * 60_000, np.uint8)
+    offsets = np.arange(0, len(data) + 1, 2100)
+    for a, b in common.slices(offsets):
+        line_dedup.line_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    assert sum(x.nbytes for x in common._tables.values()) < 40e6
+
+
 def test_cache_gives_way(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE_PIECES", 3)
     coder = pieces.Encoder(BYTE)
