@@ -67,7 +67,8 @@ class Encoder:
     A piece that is one word of Latin letters, with at most a space before it, passes normalizer and pre-tokenizer
     unchanged, so it goes to the library's model at once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_pieces: int | None = None, most_bytes: int | None = None):
+        self.most_pieces, self.most_bytes = most_pieces or CACHE_PIECES, most_bytes or CACHE_BYTES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,10 +105,13 @@ class Encoder:
     def lookup(self, distinct: list[bytes]) -> list[bytes]:
         """The ids of each piece as uint32 bytes."""
         known = self.known
-        new = [p for p in distinct if p not in known]
+        found = list(map(known.get, distinct))
+        new = [p for p, x in zip(distinct, found) if x is None]
+        if not new:
+            return found
         self.held += sum(map(len, new)) * 3 + 130 * len(new)
-        if len(known) + len(new) > CACHE_PIECES or self.held > CACHE_BYTES:
-            keep = {p: known[p] for p in distinct if p in known}
+        if len(known) + len(new) > self.most_pieces or self.held > self.most_bytes:
+            keep = {p: x for p, x in zip(distinct, found) if x is not None}
             known.clear()
             known.update(keep)
             self.held = 0
@@ -131,24 +135,18 @@ class Encoder:
         cuts = np.ascontiguousarray(bounds, np.int32)
         column = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
         coded = column.dictionary_encode()
-        ids = self.lookup(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        begin = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(sizes, out=begin[1:])
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        count = sizes[which]
-        before = np.zeros(len(which) + 1, np.int64)
-        np.cumsum(count, out=before[1:])
-        take = np.arange(before[-1], dtype=np.int64) + np.repeat(begin[which] - before[:-1], count)
-        return flat[take], before
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; workers are reused, so files load once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        ids = pa.array(self.lookup(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, ends, flat = ids.buffers()
+        before = np.frombuffer(ends, np.int64)[: len(ids) + 1] // 4
+        return np.frombuffer(flat or b"", np.uint32)[: before[-1]].copy(), before
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, most_pieces: int | None = None, most_bytes: int | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary file (and bounds of its cache); workers are reused, so files load once."""
+    key = (path, most_pieces, most_bytes)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

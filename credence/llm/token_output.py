@@ -34,6 +34,8 @@ from . import common, pieces
 SEEK_MAGIC, SKIP_MAGIC = 0x8F92EAB1, 0x184D2A5E  # fixed values of the seekable format
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
 NO_ID = -(1 << 63)
+#: Bytes of text that are encoded together, and what a worker remembers here: this query's only Python stage of any size is the encoding.
+SLICE_BYTES, CACHE_PIECES, CACHE_BYTES = 2 << 20, 800_000, 120 << 20
 
 
 def _checksum(raw: bytes) -> int:
@@ -142,11 +144,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, parts:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder, sink, writer, total, count, name = pieces.encoder(tokenizer), None, None, 0, 0, ""
+        coder, sink, writer, total, count, name = pieces.encoder(tokenizer, CACHE_PIECES, CACHE_BYTES), None, None, 0, 0, ""
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             data, offsets = common.buffers(batch.column(1))
-            for a, b in common.slices(offsets):
+            for a, b in common.slices(offsets, SLICE_BYTES):
                 piece, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 cuts = np.append(np.flatnonzero(pieces.safe_cuts(piece, local)), len(piece)) if len(piece) else np.zeros(1, np.int64)
                 ids, before = coder.encode(piece, cuts)

@@ -114,6 +114,18 @@ def test_what_a_worker_keeps_is_small(monkeypatch):
     assert sum(x.nbytes for x in common._tables.values()) < 40e6
 
 
+def test_token_files_encode_a_word_once(monkeypatch):
+    """More distinct words than other operators keep: what op2 has encoded once it does not encode again."""
+    coder = pieces.encoder(BYTE, token_output.CACHE_PIECES, token_output.CACHE_BYTES)
+    asked, word = [], coder.word
+    monkeypatch.setattr(coder, "word", lambda p: asked.append(p) or word(p))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f" {a}{b}{c}{d}".encode() for a in letters for b in letters for c in letters for d in letters][: pieces.CACHE_PIECES + 20_000]
+    first = [coder.lookup(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    assert [coder.lookup(words[k : k + 20_000]) for k in range(0, len(words), 20_000)] == first and len(asked) == len(words)
+    assert sys.getsizeof(coder.known) + sum(sys.getsizeof(p) + sys.getsizeof(i) for p, i in coder.known.items()) < token_output.CACHE_BYTES
+
+
 def test_cache_gives_way(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE_PIECES", 3)
     coder = pieces.Encoder(BYTE)
