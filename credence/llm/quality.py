@@ -27,7 +27,7 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se"],
 }
-SPACE = r"[\x20\x09-\x0D]"
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Character classes by pattern; what is in none of them is the last class, mostly lower-case letters.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": r"[.,;:!?'\"()\-]", "symbol": r"[#*$%&|<>@^~=+_/\\\[\]{}`]", "other": r"[^\x00-\x7F]"}
 WINDOW = 8
@@ -38,39 +38,45 @@ PER_LANGUAGE = 5000
 MIN_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 50, (0.18, 1.2), (0.06, 2.4)
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def _count(text: str, pattern: str) -> Column:
+    """Characters of a class, by what is left without them: no string is made for each."""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))).cast("long")
 
 
 def features(docs: DataFrame) -> DataFrame:
     """Columns of ``docs`` with the base counts and both histograms (arrays of long)."""
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_counts", "word_counts", "base_failed", "kept")
     t = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("__w", F.filter(F.split(t, SPACE + "+"), lambda x: x != ""))
-    df = df.withColumn("n_words", F.size("__w").cast("long"))
-    starts = F.sequence(F.lit(1), F.size("__w") - (WINDOW - 1))
-    df = df.withColumn("__h", F.when(F.col("n_words") > WINDOW, F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("__w", i, WINDOW)).alias("h"), i.alias("i"))))))
+    df = docs.withColumn("__w", F.array_remove(F.split(t, SPACE + "+"), ""))
+    df = df.withColumns({"n_words": F.size("__w").cast("long"), "__h": F.transform("__w", lambda x: F.xxhash64(x))})
+    for k in (1, 2, 4):  # hashes of runs of 1, 2, 4 words give that of 8
+        df = df.withColumn("__h", F.transform("__h", lambda h, i: F.xxhash64(h, F.get("__h", i + k))))
+    df = df.withColumn("__h", F.slice("__h", 1, F.greatest(F.size("__h") - (WINDOW - 1), F.lit(0))))
+    placed = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
+    df = df.withColumn("__h", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), placed))
     same = lambda x, i: ((i > 0) & (F.get("__h", i - 1)["h"] == x["h"])) | (F.get("__h", i + 1)["h"] == x["h"])
     df = df.withColumn("__p", F.sort_array(F.transform(F.filter("__h", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])))
     covered = F.aggregate(F.col("__p"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["last"])).cast("long").alias("n"), x.alias("last")), lambda a: a["n"])
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     df = df.withColumn("__l", lines)
     chars = F.length(t).cast("long")
     df = df.withColumns({
-        "__space": _count(t, SPACE),
-        "n_symbols": _count(t, "[#*$%&|<>]"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "__rest": F.regexp_replace(t, r"[a-z\x20\x09-\x0D]+", ""),  # no class has a lower-case letter or white space
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "__c": F.array(*(_count(t, p) for p in CLASSES.values())),
     })
+    df = df.withColumns({"n_symbols": _count("__rest", "[#*$%&|<>]"), "__c": F.array(*(_count("__rest", p) for p in CLASSES.values())), "__space": chars - F.col("word_chars")})
     rest = chars - F.aggregate("__c", F.lit(0).cast("long"), lambda a, x: a + x) - F.col("__space")
     common_list = F.coalesce(*(F.when(F.col("lang") == k, F.array(*map(F.lit, v))) for k, v in COMMON_WORDS.items()))
-    df = df.withColumns({"word_chars": chars - F.col("__space"), "class_counts": F.concat("__c", F.array("__space", rest)), "__list": common_list})
-    df = df.withColumn("__cw", F.filter(F.transform("__w", lambda x: F.lower(x)), lambda x: F.array_contains("__list", x)))
-    counts = F.transform("__list", lambda c: F.size(F.filter("__cw", lambda x: x == c)).cast("long"))
-    df = df.withColumn("word_counts", F.concat(counts, F.array(F.col("n_words") - F.size("__cw"))))
+    # the common words of the text's language, which are ASCII, in any case of letters
+    found = F.coalesce(*(F.when(F.col("lang") == k, F.regexp_extract_all(t, F.lit(f"(?i)(?<!{WORD})(?:{'|'.join(v)})(?!{WORD})"), F.lit(0))) for k, v in COMMON_WORDS.items()))
+    df = df.withColumns({"class_counts": F.concat("__c", F.array("__space", rest)), "__list": common_list, "__low": F.transform(found, lambda x: F.lower(x))})
+    counts = F.array(*((F.size("__low") - F.size(F.array_remove("__low", F.get("__list", F.lit(i))))).cast("long") for i in range(len(COMMON_WORDS["en"]))))
+    df = df.withColumn("__cw", F.when(F.col("__list").isNotNull(), counts))
+    df = df.withColumn("word_counts", F.concat("__cw", F.array(F.col("n_words") - F.aggregate("__cw", F.lit(0).cast("long"), lambda a, x: a + x))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("__w", "__h", "__p", "__l", "__space", "__c", "__list", "__cw")
+    return df.withColumn("base_failed", failed).drop("__w", "__h", "__p", "__l", "__rest", "__space", "__c", "__list", "__low", "__cw")
 
 
 def _total(counts: Column) -> Column:

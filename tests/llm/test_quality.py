@@ -131,3 +131,15 @@ def test_the_query_fits_on_all_labelled_documents(spark, tmp_path, monkeypatch):
     docs.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
     queries.op3_quality_rules(spark, str(tmp_path))
     assert asked == [quality.PER_LANGUAGE + 7]
+
+
+def test_counts_of_odd_texts_without_a_string_for_each_character(spark):
+    odd = ["The THE tHe the, the. (the) K İn in a IN\x0bA\x1cto for\x85of", "", None, "the", "a a\ta\n\na  ", "Σας ΣΑΣ é É 😀 x😀 [#*] {}|\\ 12٣", "de La LA que\r\nEL el. y", "a b c d e f g h " * 2 + "a"]
+    data = [(i, t, g) for i, (t, g) in enumerate((t, g) for t in odd for g in ("en", "fr", "de", "es", "xx", None))]
+    df = quality.features(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    for r in df.collect():
+        classes, words = histograms(r.text, r.lang if r.lang in quality.COMMON_WORDS else "en")
+        assert r.class_counts == classes and r.word_counts == (words if r.lang in quality.COMMON_WORDS else None), r
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(r.text)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(__w" not in plan and plan.count("regexp_extract_all(") <= len(quality.COMMON_WORDS)
