@@ -6,7 +6,8 @@ A document's set has the distinct shingles of ``k`` words (the whole sequence wh
 * Index level. Hash order gives all shingles a global position. For sets of up to s shingles, a link leaves at most
   d = floor(2 s (100 - percent) / (100 + percent)) shingles that are in one set only, so if the positions are cut into
   more than d blocks, linked sets agree on all but d whole blocks. The index has a list for each block content, by size
-  class; a probe reads the lists of its own block contents and skips all others. Sets that could cross to the next size
+  class; a set is in the lists of its d + 1 fullest blocks, d being what its own links can leave, so that a shingle or two
+  that unrelated texts share seldom tie them; a probe reads these lists and skips all others. Sets that could cross to the next size
   class are entered there too. Shingles that are frequent in a bounded sample are left out of the blocks where a set has
   enough others, so that common lines do not tie unrelated texts. A list is only ever streamed: each member is tied to the
   list's first one, inside a task before the shuffle and across tasks after it, so a list that a third of all sets are in
@@ -119,10 +120,12 @@ def block_count(c: int, percent: int) -> tuple[int, int]:
 def index_keys(s: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
     """The lists that a set is entered in.
 
-    Blocks are made of the shingles that are not ``frequent`` (sorted); linked sets agree on all but d of them too. A set
-    with more than d filled blocks agrees on a filled one with any linked set, so filled blocks alone get lists. Sets
-    with fewer are entered in the lists of blocks of all shingles as well, by the same rule, and of empty blocks if need be.
-    What counts as frequent changes the work, never the links."""
+    Blocks are made of the shingles that are not ``frequent`` (sorted); linked sets agree on all but d of them too, where d
+    is what a link of this set within the class can leave. A set with more than d filled blocks agrees on a filled one with
+    any linked set. In the order of their shingles (most first) and keys, which is one order for all sets, at most d of
+    either set's blocks stand before the first on which they agree, so the first d + 1 alone get lists: those that unrelated
+    sets least agree on. Sets with fewer are entered in the lists of all filled blocks and of blocks of all shingles as
+    well, by the same rule, and of empty blocks if need be. What counts as frequent changes the work, never the links."""
     n, out = len(s), []
     own = int(np.searchsorted(_BOUNDS, n, side="right")) - 1
     classes = [own, own + 1] if 100 * n >= percent * int(_BOUNDS[own + 1]) else [own]
@@ -130,12 +133,16 @@ def index_keys(s: np.ndarray, percent: int, frequent: np.ndarray | None = None)
     if frequent is not None and len(frequent):
         rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
     for c in classes:
-        count, d = block_count(c, percent)
+        count, _ = block_count(c, percent)
+        d = differing(n + min(n * 100 // percent, int(_BOUNDS[c + 1]) - 1), percent)
         place = np.arange(count, dtype=np.uint64)
         for part, salt in ((rare, 2 * c), (s, 2 * c + 1)):
-            filled = np.diff(block_edges(part, count)) > 0
+            held = np.diff(block_edges(part, count))
             keys = common.mix(common.mix(block_sums(part, count) + common.mix(np.array([salt * 1_000_003 + 17], np.uint64))[0]) + place)
-            enough = int(filled.sum()) > d
+            filled = np.flatnonzero(held)
+            enough = len(filled) > d
+            if enough:
+                filled = filled[np.lexsort((keys[filled], -held[filled]))[: d + 1]]
             out.append(keys[filled] if enough or part is rare and rare is not s else keys)
             if enough or rare is s:
                 break
@@ -365,6 +372,11 @@ def _class_of_value(x):
 
 def link_components(docs: DataFrame, k: int = 3, percent: int = 90, parts: int | None = None, per_task: int = FAMILY, elements: int = ELEMENTS) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set, null if empty) and component_id, a row for each row of ``docs``."""
+    with common.shuffles_released(docs.sparkSession):
+        return _link_components(docs, k, percent, parts, per_task, elements)
+
+
+def _link_components(docs: DataFrame, k: int, percent: int, parts: int | None, per_task: int, elements: int) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     parts = parts or common.shuffle_parts(spark)

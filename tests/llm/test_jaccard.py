@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -156,3 +157,42 @@ def test_frequent_shingles_change_no_link(spark, monkeypatch):
         found.append({r.doc_id: r.component_id for r in jaccard.link_components(docs).collect()})
     monkeypatch.setattr(jaccard, "frequent_shingles", real)
     assert found[0] == found[1] == found[2] and len(set(found[0].values())) < len(rows)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_list(percent):
+    """Sets that just link share a list, within a size class and across two, with and without frequent shingles."""
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 40), 64, 65, 97, 150, 291, 350, 436, 437, 700]:
+        for _ in range(6):
+            both = np.unique(rng.integers(0, (1 << 64) - 1, 3 * n, dtype=np.uint64))
+            gone = int(rng.integers(0, n + 1))
+            come = int(rng.integers(0, n + 1))
+            while 100 * (n - gone) < percent * (n + come):
+                gone, come = gone * 9 // 10, come * 9 // 10
+            a, b = np.sort(both[:n]), np.sort(both[gone : n + come])
+            assert jaccard.linked(a, b, percent)
+            often = np.sort(rng.choice(both, int(rng.integers(0, len(both))), replace=False))
+            for frequent in (None, often):
+                assert len(np.intersect1d(jaccard.index_keys(a, percent, frequent), jaccard.index_keys(b, percent, frequent)))
+
+
+def test_shared_shingles_seldom_tie_unrelated_sets():
+    """Sets of 400 that have twelve shingles in common share no list here, and enter no more lists than their links need."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, (1 << 64) - 1, 400, dtype=np.uint64) for _ in range(201)]
+    sets = [np.unique(np.concatenate((a, b[:12]))) for a, b in zip(sets, sets[1:])]
+    keys = [jaccard.index_keys(s, 80) for s in sets]
+    assert max(map(len, keys)) <= 2 * (jaccard.differing(412 + 412 * 100 // 80, 80) + 1)
+    assert not any(len(np.intersect1d(a, b)) for a, b in zip(keys, keys[1:]))
+
+
+def test_shuffle_files_go_with_their_execution(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+    before = files()
+    docs = spark.createDataFrame(list(enumerate(corpus(7, 3, 8, 60, 3))), "doc_id long, text string").repartition(3)
+    jaccard.link_components(docs)  # nothing but what it does before its result is asked for
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
